@@ -172,3 +172,273 @@ SQL: dict[str, str] = {}
 
 SQL["finding_counts"] = PIPELINE_FINDINGS + """
 SELECT category, severity, count(*) AS n_findings FROM findings GROUP BY category, severity"""
+
+
+# ---------------------------------------------------------------------------
+# Parsing (D)
+# ---------------------------------------------------------------------------
+from ..operators import parse as P  # noqa: E402
+from ..functions.text import SPLITLINES_RE  # noqa: E402
+
+
+def split_lines_sql(e: str) -> str:
+    sep = "\\r\\n|[" + _class_body("\n\r\x0b\x0c\x1c\x1d\x1e\x85  ") + "]"
+    arr = f"string_split_regex({e}, {lit(sep)})"
+    return f"(CASE WHEN {arr}[-1] = '' THEN {arr}[1:len({arr}) - 1] ELSE {arr} END)"
+
+
+def rxe(e: str, p: str, g: int, ci_: bool = False) -> str:
+    return f"regexp_extract({e}, {rx(p) if ci_ else lit(p)}, {g})"
+
+
+def nz(e: str) -> str:
+    return f"nullif({e}, '')"
+
+
+def ts_parts_sql(y, mo, d, h, mi, s, frac=None, off=None) -> str:
+    sec = f"CAST({s} AS DOUBLE)"
+    if frac is not None:
+        sec = f"({sec} + CASE WHEN {frac} <> '' THEN CAST(rpad(substr({frac}, 1, 6), 6, '0') AS BIGINT) / 1000000.0 ELSE 0 END)"
+    t = (f"TRY(make_timestamp(CAST({y} AS BIGINT), CAST({mo} AS BIGINT), CAST({d} AS BIGINT), "
+         f"CAST({h} AS BIGINT), CAST({mi} AS BIGINT), {sec}))")
+    if off is not None:
+        t = f"({t} - to_minutes(CAST({off} AS BIGINT)))"
+    return t
+
+
+def off_sql(z: str) -> str:
+    digits = f"regexp_replace({z}, '[^0-9]', '', 'g')"
+    return (f"(CASE WHEN {z} = '' OR {z} = 'Z' THEN 0 ELSE (CASE WHEN substr({z}, 1, 1) = '-' THEN -1 ELSE 1 END) * "
+            f"(CAST(substr({digits}, 1, 2) AS INTEGER) * 60 + coalesce(TRY_CAST(nullif(substr({digits}, 3, 2), '') AS INTEGER), 0)) END)")
+
+
+def iso_ts_sql(s: str) -> str:
+    p = P.ISO_FULL
+    g = [None] + [rxe(s, p, i) for i in range(1, 9)]
+    return f"(CASE WHEN regexp_matches({s}, {lit(p)}) THEN {ts_parts_sql(*g[1:7], frac=g[7], off=off_sql(g[8]))} END)"
+
+
+def naive_iso_sql(s: str) -> str:
+    p = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})$"
+    return f"(CASE WHEN regexp_matches({s}, {lit(p)}) THEN {ts_parts_sql(*[rxe(s, p, i) for i in range(1, 7)])} END)"
+
+
+MONTHS_SQL = "[" + ", ".join(lit(m) for m in P.MONTHS) + "]"
+
+
+def clf_sql(s: str) -> str:
+    p = r"^(\d{1,2})/([A-Za-z]{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})\s+([+-]\d{2}:?\d{2})$"
+    mon = f"list_position({MONTHS_SQL}, lower({rxe(s, p, 2)}))"
+    return (f"(CASE WHEN regexp_matches({s}, {lit(p)}) AND coalesce({mon}, 0) > 0 THEN "
+            f"{ts_parts_sql(rxe(s, p, 3), mon, rxe(s, p, 1), rxe(s, p, 4), rxe(s, p, 5), rxe(s, p, 6), off=off_sql(rxe(s, p, 7)))} END)")
+
+
+def ymd_sql(s: str, sep: str = "-") -> str:
+    p = rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}})\s+(\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})$"
+    return f"(CASE WHEN regexp_matches({s}, {lit(p)}) THEN {ts_parts_sql(*[rxe(s, p, i) for i in range(1, 7)])} END)"
+
+
+def jenkins_ts_sql(s: str) -> str:
+    p = r"^(\d{4})-(\d{1,2})-(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})\.(\d{1,6})\s+([+-]\d{4})$"
+    g = [None] + [rxe(s, p, i) for i in range(1, 9)]
+    return f"(CASE WHEN regexp_matches({s}, {lit(p)}) THEN {ts_parts_sql(*g[1:7], frac=g[7], off=off_sql(g[8]))} END)"
+
+
+def iso_zone_sql(s: str) -> str:
+    p = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})(Z|[+-]\d{2}:?\d{2})$"
+    g = [None] + [rxe(s, p, i) for i in range(1, 8)]
+    return f"(CASE WHEN regexp_matches({s}, {lit(p)}) THEN {ts_parts_sql(*g[1:7], off=off_sql(g[7]))} END)"
+
+
+def syslog_sql(s: str) -> str:
+    p = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
+    mon = f"list_position({MONTHS_SQL}, lower({rxe(s, p, 1)}))"
+    return (f"(CASE WHEN regexp_matches({s}, {lit(p)}) AND coalesce({mon}, 0) > 0 THEN "
+            f"{ts_parts_sql('1900', mon, rxe(s, p, 2), rxe(s, p, 3), rxe(s, p, 4), rxe(s, p, 5))} END)")
+
+
+def level_sql(m: str, fold: bool = True) -> str:
+    g = f"upper({nz(rxe(m, rules.LEVEL_WORDS, 1, True))})"
+    return f"(CASE WHEN {g} = 'WARNING' THEN 'WARN' ELSE {g} END)" if fold else g
+
+
+def jkey(l: str, k: str) -> str:
+    return f"list_contains(json_keys({l}), {lit(k)})"
+
+
+def jget(l: str, k: str) -> str:
+    return f"json_extract_string({l}, {lit('$.' + chr(34) + k + chr(34))})"
+
+
+def jmeta(l: str, drop: list[str]) -> str:
+    ks = f"list_sort(list_filter(json_keys({l}), lambda k: NOT list_contains({ '[' + ', '.join(lit(d) for d in drop) + ']' }, k)))"
+    return (f"array_to_string(list_transform({ks}, lambda k: k || '=' || "
+            f"coalesce(json_extract_string({l}, '$.\"' || k || '\"'), '')), ';')")
+
+
+def kv_sql(pairs: list[tuple[str, str]]) -> str:
+    """sorted k=v text for fixed keys (null value -> k=)."""
+    items = sorted(pairs)
+    return " || ';' || ".join(f"{lit(k + '=')} || coalesce({v}, '')" for k, v in items)
+
+
+def parse_fields_sql(l: str) -> dict[str, str]:
+    """Per source: (ts, level, message, meta, raw) SQL expressions on stripped line ``l``."""
+    out = {}
+    # kubernetes
+    isj = f"regexp_matches({l}, {lit(P.K8S_JSON)})"
+    ok = f"json_valid({l})"
+    pre = rxe(l, P.ISO_PREFIX, 1)
+    pts = f"(CASE WHEN {pre} <> '' THEN {iso_ts_sql(pre)} END)"
+    pmsg = f"(CASE WHEN {pts} IS NOT NULL THEN regexp_replace({l}, {lit(P.ISO_PREFIX)}, '') ELSE {l} END)"
+    jmsg = f"(CASE WHEN {jkey(l, 'log')} THEN {jget(l, 'log')} WHEN {jkey(l, 'message')} THEN {jget(l, 'message')} ELSE {l} END)"
+    out["kubernetes"] = (
+        f"CASE WHEN {isj} THEN (CASE WHEN {ok} AND {jkey(l, 'time')} THEN {iso_ts_sql(jget(l, 'time'))} END) ELSE {pts} END",
+        f"CASE WHEN {isj} THEN (CASE WHEN {ok} THEN (CASE WHEN {jkey(l, 'stream')} THEN {jget(l, 'stream')} WHEN {jkey(l, 'level')} THEN {jget(l, 'level')} END) END) ELSE {level_sql(pmsg)} END",
+        f"CASE WHEN {isj} THEN (CASE WHEN {ok} THEN {jmsg} ELSE {l} END) ELSE {pmsg} END",
+        f"CASE WHEN {isj} AND {ok} THEN {jmeta(l, ['log', 'message', 'stream', 'time'])} ELSE '' END",
+        l)
+    # docker
+    isj = f"starts_with({l}, '{{')"
+    out["docker"] = (
+        f"CASE WHEN {isj} THEN (CASE WHEN {ok} AND {jkey(l, 'time')} THEN {iso_ts_sql(jget(l, 'time'))} END) ELSE {pts} END",
+        f"CASE WHEN {isj} THEN (CASE WHEN {ok} AND {jkey(l, 'stream')} THEN {jget(l, 'stream')} END) ELSE {level_sql(pmsg, False)} END",
+        f"CASE WHEN {isj} THEN (CASE WHEN {ok} THEN {jmsg} ELSE {l} END) ELSE {pmsg} END",
+        "''", l)
+    # nginx / apache
+
+    def access(p, size):
+        g = [None] + [rxe(l, p, i) for i in range(1, 9)]
+        st = f"CAST(CAST({g[7]} AS INTEGER) AS VARCHAR)"
+        kv = [("ip", g[1]), ("status", st), ("method", g[4]), ("path", g[5])]
+        if size:
+            kv.append(("size", f"CASE WHEN {g[8]} <> '-' THEN CAST(CAST({g[8]} AS HUGEINT) AS VARCHAR) END"))
+        return (clf_sql(g[3]), f"CASE WHEN CAST({g[7]} AS INTEGER) >= 400 THEN 'ERROR' ELSE 'INFO' END",
+                f"{g[4]} || ' ' || {g[5]} || ' - ' || {st}", kv_sql(kv))
+
+    def sev(word, mapping):
+        whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in mapping.items())
+        return f"(CASE lower({word}) {whens} ELSE 'INFO' END)"
+
+    a = access(P.NGINX_ACCESS, True)
+    e = [None] + [rxe(l, P.NGINX_ERROR, i) for i in range(1, 6)]
+    ea = f"regexp_matches({l}, {lit(P.NGINX_ACCESS)})"
+    ee = f"regexp_matches({l}, {lit(P.NGINX_ERROR)})"
+    out["nginx"] = (
+        f"CASE WHEN {ea} THEN {a[0]} WHEN {ee} THEN {ymd_sql(e[1], '/')} END",
+        f"CASE WHEN {ea} THEN {a[1]} WHEN {ee} THEN {sev(e[2], rules.NGINX_ERROR_LEVELS)} END",
+        f"CASE WHEN {ea} THEN {a[2]} WHEN {ee} THEN {e[5]} ELSE {l} END",
+        f"CASE WHEN {ea} THEN {a[3]} WHEN {ee} THEN {kv_sql([('pid', e[3]), ('tid', e[4]), ('nginx_level', e[2])])} ELSE '' END",
+        l)
+    a = access(P.APACHE_ACCESS, False)
+    e = [None] + [rxe(l, P.APACHE_ERROR, i) for i in range(1, 5)]
+    ea = f"regexp_matches({l}, {lit(P.APACHE_ACCESS)})"
+    ee = f"regexp_matches({l}, {lit(P.APACHE_ERROR)})"
+    out["apache"] = (
+        f"CASE WHEN {ea} THEN {a[0]} END",
+        f"CASE WHEN {ea} THEN {a[1]} WHEN {ee} THEN {sev(e[3], rules.APACHE_ERROR_LEVELS)} END",
+        f"CASE WHEN {ea} THEN {a[2]} WHEN {ee} THEN {e[4]} ELSE {l} END",
+        f"CASE WHEN {ea} THEN {a[3]} WHEN {ee} THEN {kv_sql([('module', e[2]), ('apache_level', e[3])])} ELSE '' END",
+        l)
+    # jenkins
+    pre = rxe(l, P.JENKINS_TS, 1)
+    jts = f"(CASE WHEN {pre} <> '' THEN {jenkins_ts_sql(pre)} END)"
+    jm = f"(CASE WHEN {jts} IS NOT NULL THEN regexp_replace({l}, {lit(P.JENKINS_TS)}, '') ELSE {l} END)"
+    word = nz(rxe(jm, rules.JENKINS_LEVEL_WORDS, 1, True))
+    whens = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in rules.JENKINS_LEVELS.items())
+    stage = nz(rxe(l, P.JENKINS_STAGE, 1, True))
+    out["jenkins"] = (
+        jts, f"CASE WHEN {word} IS NOT NULL THEN (CASE {word} {whens} ELSE 'INFO' END) END", jm,
+        f"CASE WHEN {stage} IS NOT NULL THEN 'pipeline_action=' || {stage} ELSE '' END", l)
+    # github actions
+    isa = f"regexp_matches({l}, {rx(P.GHA_ANNOTATION)})"
+    typ = f"lower({rxe(l, P.GHA_ANNOTATION, 1, True)})"
+    m0 = f"(CASE WHEN {isa} THEN {rxe(l, P.GHA_ANNOTATION, 3, True)} ELSE {l} END)"
+    params = rxe(l, P.GHA_ANNOTATION, 2, True)
+    pairs = f"list_filter(string_split({params}, ','), lambda p: contains(p, '='))"
+    kvl = (f"list_transform({pairs}, lambda p: {{'k': {strip('split_part(p, ' + lit('=') + ', 1)')}, "
+           f"'v': {strip('substr(p, strpos(p, ' + lit('=') + ') + 1)')}}})")
+    last = f"list_filter({kvl}, lambda e, i: NOT coalesce(list_bool_or(list_transform({kvl}[i+1:], lambda x: x.k = e.k)), false))"
+    ann_meta = f"array_to_string(list_sort(list_transform({last}, lambda e: e.k || '=' || e.v)), ';')"
+    gpre = rxe(m0, P.GHA_TS_PREFIX, 1)
+    gts = f"(CASE WHEN {gpre} <> '' THEN {naive_iso_sql(gpre)} END)"
+    out["github_actions"] = (
+        gts,
+        f"CASE WHEN {isa} THEN (CASE WHEN {typ} = 'notice' THEN 'INFO' ELSE upper({typ}) END) END",
+        f"CASE WHEN {gts} IS NOT NULL THEN regexp_replace({m0}, {lit(P.GHA_TS_PREFIX)}, '') ELSE {m0} END",
+        f"CASE WHEN {isa} THEN coalesce({ann_meta}, '') ELSE '' END", l)
+    # terraform
+    lv = nz(rxe(l, P.TERRAFORM_LEVEL, 1, True))
+    tm0 = f"(CASE WHEN {lv} IS NOT NULL THEN regexp_replace({l}, {rx(P.TERRAFORM_LEVEL)}, '') ELSE {l} END)"
+    tpre = rxe(tm0, P.ISO_PREFIX, 1)
+    tts = f"(CASE WHEN {tpre} <> '' THEN {iso_ts_sql(tpre)} END)"
+    out["terraform"] = (
+        tts, f"upper({lv})",
+        f"CASE WHEN {tts} IS NOT NULL THEN regexp_replace({tm0}, {lit(P.ISO_PREFIX)}, '') ELSE {tm0} END",
+        "''", l)
+    # cloudwatch
+    isj = f"(starts_with({l}, '{{') AND {ok})"
+    tsv = jget(l, "@timestamp")
+    num = f"regexp_matches({l}, {lit(chr(34) + '@timestamp' + chr(34) + r'\s*:\s*-?[0-9]')})"
+    cts = (f"(CASE WHEN {jkey(l, '@timestamp')} THEN (CASE WHEN {num} THEN "
+           f"TRY(CAST(TIMESTAMP '1970-01-01' + to_microseconds(CAST(round(CAST({tsv} AS DOUBLE) * 1000) AS BIGINT)) AS TIMESTAMP)) "
+           f"ELSE {iso_ts_sql(tsv)} END) END)")
+    cmsg = f"(CASE WHEN {jkey(l, 'message')} THEN {jget(l, 'message')} WHEN {jkey(l, '@message')} THEN {jget(l, '@message')} ELSE '' END)"
+    parts = f"string_split({l}, chr(9))"
+    out["cloudwatch"] = (
+        f"CASE WHEN {isj} THEN {cts} WHEN len({parts}) >= 2 THEN {iso_ts_sql(parts + '[1]')} END",
+        f"CASE WHEN {isj} THEN {level_sql(cmsg)} END",
+        f"CASE WHEN {isj} THEN {cmsg} WHEN len({parts}) >= 2 THEN {parts}[2] ELSE {l} END",
+        f"CASE WHEN {isj} THEN {jmeta(l, ['@timestamp', 'message', '@message'])} WHEN len({parts}) > 2 THEN 'log_stream=' || {parts}[3] ELSE '' END",
+        None)
+    # generic
+    g1, g2, g3 = (rxe(l, p, 1) for p in P.GENERIC_TS)
+    gmsg = (f"(CASE WHEN {g1} <> '' THEN regexp_replace({l}, {lit(P.GENERIC_TS[0])}, '') "
+            f"WHEN {g2} <> '' THEN regexp_replace({l}, {lit(P.GENERIC_TS[1])}, '') "
+            f"WHEN {g3} <> '' THEN regexp_replace({l}, {lit(P.GENERIC_TS[2])}, '') ELSE {l} END)")
+    out["generic"] = (
+        f"CASE WHEN {g1} <> '' THEN {iso_zone_sql(g1)} WHEN {g2} <> '' THEN {ymd_sql(g2)} WHEN {g3} <> '' THEN {syslog_sql(g3)} END",
+        level_sql(gmsg), gmsg, "''", l)
+    return out
+
+
+def parse_select_sql(l: str = "line", src: str = "source") -> str:
+    f = parse_fields_sql(l)
+    cols = []
+    for i, name in enumerate(["ts", "level", "message", "meta", "raw"]):
+        whens = []
+        for s_, exprs in f.items():
+            e = exprs[i]
+            if e is None:
+                continue
+            whens.append(f"WHEN {src} = {lit(s_)} THEN {e}")
+        if name == "raw":
+            dumps = (f"'{{' || array_to_string(list_transform(json_keys({l}), lambda k: to_json(k) || ': ' || "
+                     f"CAST(json_extract({l}, '$.\"' || k || '\"') AS VARCHAR)), ', ') || '}}'")
+            raw_cw = f"CASE WHEN coalesce({jget(l, 'message')}, '') <> '' THEN {dumps} ELSE '' END"
+            whens.append(f"WHEN {src} = 'cloudwatch' THEN (CASE WHEN starts_with({l}, '{{') AND json_valid({l}) THEN {raw_cw} ELSE {l} END)")
+        cols.append(f"CASE {' '.join(whens)} END AS {name}")
+    return ",\n    ".join(cols)
+
+
+PARSED = f"""pl AS (SELECT file_id, text, {parser_source_sql('text')} AS source FROM log_files),
+ln0 AS (SELECT file_id, source, {split_lines_sql('text')} AS arr FROM pl),
+ln1 AS (SELECT file_id, source, arr, unnest(range(len(arr))) AS line_no FROM ln0),
+ln AS (SELECT file_id, source, CAST(line_no AS INTEGER) AS line_no, {strip('arr[line_no + 1]')} AS line FROM ln1),
+entries AS (
+  SELECT file_id, line_no, source, {parse_select_sql()}
+  FROM ln WHERE line <> '')"""
+
+SQL["parse_logs"] = f"""WITH {LOG_LINES},
+{LOG_FILES},
+{PARSED}
+SELECT file_id, line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, level, message, source, meta, raw FROM entries"""
+
+SQL["batch_counts"] = f"""WITH {LOG_LINES},
+{LOG_FILES},
+b AS (SELECT file_id, list_transform({split_lines_sql('text')}, lambda x: {strip('x')}) AS ls FROM log_files)
+SELECT file_id, len(ls) AS total_lines, len(list_filter(ls, lambda x: x <> '')) AS parsed_lines, 0 AS failed_lines FROM b"""
+
+SQL["k8s_batch_flags"] = f"""WITH {LOG_LINES},
+{LOG_FILES}
+SELECT file_id, {', '.join(f'regexp_matches(text, {rx(p)}) AS {n}' for n, p in rules.K8S_FLAGS)} FROM log_files"""

@@ -11,7 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..operators import findings as fnd
+from ..operators import parse as prs
 from ..sources import fixtures as fx
 from . import pipeline
 
@@ -34,3 +37,27 @@ def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_finding_counts(spark, sf_dir):
     """Minimum slice: events -> log files -> detect/clean/classify -> rules -> counts."""
     return fnd.finding_counts(log_findings(spark, sf_dir))
+
+
+def ts_text(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@register("parse_logs")
+def q_parse_logs(spark, sf_dir):
+    """D-14 (D-1 ... D-13 by source): every entry of every log file."""
+    e = prs.parse_logs(fx.log_files(spark, sf_dir))
+    return e.select("file_id", "line_no", ts_text("ts").alias("ts"), "level", "message", "source",
+                    prs.metadata_text(F.col("metadata")).alias("meta"), "raw")
+
+
+@register("batch_counts")
+def q_batch_counts(spark, sf_dir):
+    """D-15: total / parsed / failed line counts per file."""
+    return prs.batch_counts(fx.log_files(spark, sf_dir))
+
+
+@register("k8s_batch_flags")
+def q_k8s_flags(spark, sf_dir):
+    """D-2: Kubernetes flags over each whole text."""
+    return prs.k8s_batch_flags(fx.log_files(spark, sf_dir))
