@@ -243,7 +243,7 @@ def _severity(word: Column, mapping: dict[str, str]) -> Column:
     items = []
     for k, v in mapping.items():
         items += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.element_at(F.create_map(*items), F.lower(word)), F.lit("INFO"))
+    return F.coalesce(F.try_element_at(F.create_map(*items), F.lower(word)), F.lit("INFO"))
 
 
 def _plain(line: Column) -> Column:
@@ -281,7 +281,7 @@ def parse_jenkins(line: Column) -> Column:
     items = []
     for k, v in rules.JENKINS_LEVELS.items():
         items += [F.lit(k), F.lit(v)]
-    level = F.when(word.isNotNull(), F.coalesce(F.element_at(F.create_map(*items), word), F.lit("INFO")))
+    level = F.when(word.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*items), word), F.lit("INFO")))
     return _entry(ts, level, msg, meta, line)
 
 
@@ -548,7 +548,7 @@ def parse_lines(lines: DataFrame, line_col: str = "line", source_col: str = "sou
              .when(src.isin("nginx", "apache"), F.when(acc.isNotNull(), F.when(acc_status >= 400, F.lit("ERROR")).otherwise(F.lit("INFO")))
                    .when(err.isNotNull(), F.when(src == "nginx", _severity(err[1], rules.NGINX_ERROR_LEVELS))
                          .otherwise(_severity(err[2], rules.APACHE_ERROR_LEVELS))))
-             .when(src == "jenkins", F.when(jword.isNotNull(), F.coalesce(F.element_at(F.create_map(*items), jword), F.lit("INFO"))))
+             .when(src == "jenkins", F.when(jword.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*items), jword), F.lit("INFO"))))
              .when(src == "github_actions", F.when(ann.isNotNull(), F.when(gtyp == "notice", F.lit("INFO")).otherwise(F.upper(gtyp))))
              .when(src == "terraform", F.upper(tfl))
              .when(F.col("_cwj"), level_of(msg, True))

@@ -442,3 +442,224 @@ SELECT file_id, len(ls) AS total_lines, len(list_filter(ls, lambda x: x <> ''))
 SQL["k8s_batch_flags"] = f"""WITH {LOG_LINES},
 {LOG_FILES}
 SELECT file_id, {', '.join(f'regexp_matches(text, {rx(p)}) AS {n}' for n, p in rules.K8S_FLAGS)} FROM log_files"""
+
+
+# ---------------------------------------------------------------------------
+# B, C, E
+# ---------------------------------------------------------------------------
+FILES = f"WITH {LOG_LINES},\n{LOG_FILES}"
+
+SQL["b1_explode_lines"] = f"""{FILES},
+ln0 AS (SELECT file_id, {split_lines_sql('text')} AS arr FROM log_files),
+ln1 AS (SELECT file_id, arr, unnest(range(len(arr))) AS line_no FROM ln0)
+SELECT file_id, line_no, {strip('arr[line_no + 1]')} AS line FROM ln1 WHERE {strip('arr[line_no + 1]')} <> ''"""
+
+SQL["b2_clean_text"] = f"""{FILES},
+d AS (SELECT file_id, chr(27) || '[31m' || replace(text, chr(10), ' ' || chr(9) || chr(13) || chr(10))
+             || chr(27) || '[0m' || chr(0) || '  ' || chr(13) AS text FROM log_files)
+SELECT file_id, {clean('text')} AS clean_text FROM d"""
+
+
+def normalize_sql(e: str) -> str:
+    t = f"replace({e}, chr(0), ' ')"
+    t = f"regexp_replace({t}, {lit(chr(92) + 'r' + chr(92) + 'n?')}, chr(10), 'g')"
+    t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return strip(t)
+
+
+SQL["b3_normalize_text"] = f"""SELECT doc_id, sha256({normalize_sql('text')}) AS digest,
+  length({normalize_sql('text')}) AS n_chars FROM documents"""
+
+SQL["b4_first_nonblank_lines"] = f"""{FILES}
+SELECT file_id, array_to_string(list_filter(list_transform({split_lines_sql('text')}, lambda x: {strip('x')}), lambda x: x <> '')[1:3], chr(10)) AS evidence
+FROM log_files"""
+
+SQL["c1_detect_source"] = f"""{FILES}
+SELECT file_id, {parser_source_sql('text')} AS source FROM log_files"""
+
+
+def classify_first_sql(e: str) -> str:
+    s = f"substr({e}, 1, {rules.CLASSIFY_TEXT_LIMIT})"
+    whens = " ".join(f"WHEN regexp_matches({s}, {rx(p)}) THEN {lit(n)}" for n, p in rules.SOURCE_RULES)
+    return f"CASE {whens} ELSE 'generic' END"
+
+
+SQL["c2_classify_source"] = f"""{FILES}
+SELECT file_id, {classify_first_sql(clean('text'))} AS source FROM log_files"""
+
+_PREP = f"""{FILES},
+{PREPARED}"""
+
+SQL["c3_classify_source_scored"] = f"""{_PREP}
+SELECT file_id, classification_source AS source, round(classification_confidence, 6) AS confidence FROM prepared"""
+
+SQL["c4_source_match_counts"] = f"""{_PREP},
+u AS (UNPIVOT scored ON {', '.join(f'c{i}' for i in range(len(rules.SOURCE_RULES)))} INTO NAME rule VALUE n),
+names(rule, source) AS (VALUES {', '.join(f"('c{i}', {lit(n)})" for i, (n, _) in enumerate(rules.SOURCE_RULES))})
+SELECT u.file_id, names.source, CAST(u.n AS BIGINT) AS n FROM u JOIN names USING (rule) WHERE u.n > 0"""
+
+SQL["c5_resolve_source"] = f"""{_PREP}
+SELECT file_id, parser_source, classification_source, round(classification_confidence, 6) AS classification_confidence, source
+FROM prepared"""
+
+SQL["c6_forced_source"] = f"""{FILES}
+SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'nginx' WHEN 1 THEN 'generic' ELSE {parser_source_sql('text')} END AS source
+FROM log_files"""
+
+SQL["e2_rule_applicability"] = f"""{_PREP},
+{RULES_T},
+src_t(rule_no, sources) AS (VALUES {', '.join(f"({r.rule_no}, {('[' + ', '.join(lit(x) for x in r.sources) + ']') if r.sources else 'NULL'})" for r in rules.DETECTION_RULES)})
+SELECT p.file_id, p.source, CAST(s.rule_no AS BIGINT) AS rule_no FROM prepared p JOIN src_t s
+  ON s.sources IS NULL OR list_contains(s.sources, p.source)"""
+
+SQL["e3_find_matches"] = PIPELINE_FINDINGS + """
+SELECT file_id, CAST(rule_no AS BIGINT) AS rule_no, CAST(match_no AS BIGINT) AS match_no, st AS start, st + hl AS "end" FROM mo"""
+
+SQL["e7_detect_findings"] = PIPELINE_FINDINGS + """
+SELECT file_id, CAST(rule_no AS BIGINT) AS rule_no, CAST(match_no AS BIGINT) AS match_no, category, severity, title,
+       evidence, source_type, confidence FROM findings"""
+
+_ENTRY_FINDINGS = f"""{FILES},
+{PARSED},
+ekeyed AS (SELECT file_id || ':' || line_no AS ek, file_id, line_no, source, message AS clean_text, ts FROM entries),
+{findings_ctes(src_tbl='ekeyed', key='ek', text='clean_text', src='source')}"""
+
+SQL["e8_detect_findings_from_entries"] = _ENTRY_FINDINGS + """
+SELECT e.file_id, CAST(e.line_no AS BIGINT) AS line_no, CAST(f.rule_no AS BIGINT) AS rule_no,
+       CAST(f.match_no AS BIGINT) AS match_no, f.category, f.severity, f.title, f.evidence, f.source_type,
+       f.confidence, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS ts
+FROM findings f JOIN ekeyed e ON e.ek = f.ek"""
+
+SQL["e9_finding_summary"] = PIPELINE_FINDINGS + f"""
+SELECT file_id, {', '.join(f"count(*) FILTER (WHERE severity = {lit(s)}) AS {s}" for s in rules.SEVERITIES)},
+       count(*) AS total FROM findings GROUP BY file_id"""
+
+SQL["e10_brief_findings"] = PIPELINE_FINDINGS + """
+SELECT file_id,
+  coalesce(string_agg(title, '|' ORDER BY rule_no, match_no) FILTER (WHERE severity IN ('critical', 'high')), '') AS critical_list,
+  coalesce(string_agg(title, '|' ORDER BY rule_no, match_no) FILTER (WHERE severity = 'high'), '') AS high_list
+FROM findings GROUP BY file_id"""
+
+SQL["e11_brief_message"] = PIPELINE_FINDINGS + """,
+s AS (SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h,
+             count(*) AS t FROM findings GROUP BY file_id)
+SELECT file_id, CASE WHEN c > 0 THEN 'Critical issues detected: ' || c || ' critical findings'
+                     WHEN h > 0 THEN 'High severity issues detected: ' || h || ' high findings'
+                     WHEN t > 0 THEN t || ' issues detected' ELSE 'No issues detected' END AS message FROM s"""
+
+SQL["e12_severity_flags"] = PIPELINE_FINDINGS + """
+SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS critical_findings,
+       count(*) FILTER (WHERE severity = 'high') AS high_findings, bool_or(severity = 'critical') AS has_critical_issues
+FROM findings GROUP BY file_id"""
+
+# ---------------------------------------------------------------------------
+# H: relational views and queries
+# ---------------------------------------------------------------------------
+SOURCES_SQL = "[" + ", ".join(lit(s) for s in rules.SOURCES) + "]"
+LI = """li AS (SELECT *, l_orderkey * 1000000 + row_number() OVER (PARTITION BY l_orderkey
+                ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS id FROM lineitem)"""
+INCIDENTS = """incidents AS (
+  SELECT o.o_orderkey AS id, o.o_custkey AS owner_user_id, 'order ' || o.o_orderkey AS title,
+         CAST(NULL AS VARCHAR) AS description,
+         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium'
+              ELSE 'low' END AS severity,
+         o.o_orderstatus AS environment, 'svc-' || (o.o_custkey % 10) AS service_name,
+         o.o_orderdate AS started_at, e.ended_at, o.o_orderdate AS created_at, o.o_orderdate AS updated_at
+  FROM orders o LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS ended_at FROM lineitem GROUP BY l_orderkey) e
+    ON o.o_orderkey = e.l_orderkey)"""
+ATTACHMENTS = """attachments AS (
+  SELECT id, l_orderkey AS incident_id, l_suppkey AS uploaded_by_user_id,
+         CASE l_linenumber % 3 WHEN 0 THEN 'log' WHEN 1 THEN 'yaml' ELSE 'screenshot' END AS kind,
+         'file-' || id || '.log' AS filename, CAST(trunc(l_quantity * 1024) AS BIGINT) AS size_bytes,
+         l_shipdate AS created_at FROM li)"""
+JOBS = f"""jobs0 AS (
+  SELECT id, l_orderkey AS incident_id, id AS attachment_id, l_linenumber,
+         CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'A' THEN 'succeeded'
+              WHEN l_linestatus = 'O' THEN 'queued' ELSE 'running' END AS status,
+         {SOURCES_SQL}[l_partkey % 9 + 1] AS source_type, l_shipdate AS created_at FROM li),
+jobs AS (
+  SELECT id, incident_id, attachment_id, status, source_type,
+         CASE WHEN status = 'failed' THEN 'ingestion failed' END AS error, created_at,
+         CASE WHEN status <> 'queued' THEN created_at END AS started_at,
+         CASE WHEN status IN ('succeeded', 'failed') THEN created_at + to_minutes(l_linenumber * 5) END AS finished_at
+  FROM jobs0)"""
+CATS_SQL = "[" + ", ".join(lit(r.category) for r in rules.DETECTION_RULES) + "]"
+SEVS_SQL = "[" + ", ".join(lit(s) for s in rules.SEVERITIES) + "]"
+FINDINGS_T = f"""findings_t AS (
+  SELECT id, l_orderkey AS incident_id, id AS job_id, {CATS_SQL}[l_suppkey % 20 + 1] AS category,
+         {SEVS_SQL}[l_linenumber % 4 + 1] AS severity, l_shipdate AS created_at FROM li)"""
+REL = f"WITH {LI},\n{INCIDENTS},\n{ATTACHMENTS},\n{JOBS},\n{FINDINGS_T}"
+
+
+def ts_out(e: str) -> str:
+    return f"strftime({e}, '%Y-%m-%d %H:%M:%S')"
+
+
+SQL["h1_jobs_by_incident"] = f"""{REL}
+SELECT incident_id, id, status, {ts_out('created_at')} AS created_at,
+       row_number() OVER (PARTITION BY incident_id ORDER BY created_at DESC, id DESC) AS pos FROM jobs"""
+
+SQL["h3_findings_by_job"] = f"""{REL}
+SELECT job_id, id, severity, category,
+       row_number() OVER (PARTITION BY job_id ORDER BY severity DESC, category, id) AS pos FROM findings_t"""
+
+SQL["h4_findings_by_incident"] = f"""{REL}
+SELECT incident_id, id, severity, {ts_out('created_at')} AS created_at,
+       row_number() OVER (PARTITION BY incident_id ORDER BY severity DESC, created_at DESC, id DESC) AS pos FROM findings_t"""
+
+SQL["h5_critical_findings"] = f"""{REL}
+SELECT id, incident_id, severity, category, {ts_out('created_at')} AS created_at FROM findings_t
+WHERE severity IN ('critical', 'high') ORDER BY severity DESC, findings_t.created_at DESC, id DESC LIMIT 10"""
+
+SQL["h5_critical_findings_ranked"] = f"""{REL}
+SELECT id, incident_id, severity, category, {ts_out('created_at')} AS created_at FROM findings_t
+WHERE severity IN ('critical', 'high')
+ORDER BY CASE severity WHEN 'critical' THEN 1 ELSE 2 END, findings_t.created_at DESC, id DESC LIMIT 10"""
+
+SQL["h6_job_status_counts"] = f"""{REL}
+SELECT status, count(*) AS n FROM jobs GROUP BY status"""
+
+SQL["h8_severity_counts"] = f"""{REL}
+SELECT severity, count(*) AS n FROM findings_t GROUP BY severity"""
+
+SQL["h8_category_counts"] = f"""{REL}
+SELECT category, count(*) AS n FROM findings_t GROUP BY category"""
+
+SQL["h10_jobs_for_owner"] = f"""{REL}
+SELECT i.owner_user_id, j.incident_id, j.id, {ts_out('j.created_at')} AS created_at,
+       row_number() OVER (PARTITION BY i.owner_user_id ORDER BY j.created_at DESC, j.id DESC) AS pos
+FROM jobs j JOIN incidents i ON i.id = j.incident_id"""
+
+SQL["h11_owned_by"] = f"""{REL}
+SELECT id, incident_id, category FROM findings_t f
+WHERE incident_id IN (SELECT i.id FROM incidents i JOIN customer c ON c.c_custkey = i.owner_user_id
+                      WHERE c.c_mktsegment = 'BUILDING')"""
+
+SQL["h12_incidents_by_owner"] = f"""{REL}
+SELECT owner_user_id, id, {ts_out('created_at')} AS created_at, pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_at DESC, id DESC) AS pos FROM incidents)
+WHERE pos <= 5"""
+
+SQL["h13_lookup_by_id"] = f"""{REL}
+SELECT id, title, severity FROM incidents WHERE id IN (SELECT incident_id FROM jobs WHERE status = 'failed')"""
+
+SQL["h14_latest_log_attachment"] = f"""{REL}
+SELECT incident_id, arg_max(id, (created_at, id)) AS attachment_id, {ts_out('max(created_at)')} AS created_at
+FROM attachments WHERE kind = 'log' GROUP BY incident_id"""
+
+SQL["h15_incident_timeline"] = f"""WITH {LOG_LINES}
+SELECT file_id AS incident_id, event_id AS id, {ts_out('ts')} AS occurred_at,
+       row_number() OVER (PARTITION BY file_id ORDER BY ts, event_id) AS pos FROM log_lines"""
+
+SQL["h16_job_state"] = f"""{REL}
+SELECT id AS job_id, status, {ts_out('created_at')} AS created_at, {ts_out('started_at')} AS started_at,
+       {ts_out('finished_at')} AS finished_at, error FROM jobs"""
+
+SQL["h17_touch_incident"] = f"""{REL}
+SELECT i.id, {ts_out('greatest(i.updated_at, a.last)')} AS updated_at FROM incidents i
+LEFT JOIN (SELECT incident_id, max(created_at) AS last FROM attachments GROUP BY incident_id) a ON a.incident_id = i.id"""
+
+SQL["h18_incident_defaults"] = f"""{REL}
+SELECT id, coalesce(severity, 'medium') AS severity_eff, coalesce(environment, 'production') AS environment_eff,
+       length(title) BETWEEN 3 AND 255 AS title_valid FROM incidents"""

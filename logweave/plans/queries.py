@@ -22,10 +22,28 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def finalize(df: DataFrame) -> DataFrame:
+    """Stable output types: integers -> bigint, timestamps -> 'yyyy-MM-dd HH:mm:ss' text."""
+    from pyspark.sql import types as T
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            c = c.cast("long")
+        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
 def register(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return finalize(fn(spark, sf_dir))
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        return run
     return deco
 
 
@@ -47,7 +65,7 @@ def ts_text(c):
 def q_parse_logs(spark, sf_dir):
     """D-14 (D-1 ... D-13 by source): every entry of every log file."""
     e = prs.parse_logs(fx.log_files(spark, sf_dir))
-    return e.select("file_id", "line_no", ts_text("ts").alias("ts"), "level", "message", "source",
+    return e.select("file_id", "line_no", "ts", "level", "message", "source",
                     prs.metadata_text(F.col("metadata")).alias("meta"), "raw")
 
 
@@ -61,3 +79,252 @@ def q_batch_counts(spark, sf_dir):
 def q_k8s_flags(spark, sf_dir):
     """D-2: Kubernetes flags over each whole text."""
     return prs.k8s_batch_flags(fx.log_files(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# B: line handling and cleaning
+# ---------------------------------------------------------------------------
+from ..functions import text as tx  # noqa: E402
+from ..operators import detect as dt  # noqa: E402
+
+
+def dirty_files(spark, sf_dir):
+    """Log files with ANSI colour codes, CR/CRLF line ends, NUL bytes and trailing blanks added."""
+    f = fx.log_files(spark, sf_dir)
+    t = F.concat(F.lit("\x1b[31m"), F.replace(F.col("text"), F.lit("\n"), F.lit(" \t\r\n")),
+                 F.lit("\x1b[0m\x00  \r"))
+    return f.select("file_id", t.alias("text"))
+
+
+@register("b1_explode_lines")
+def q_b1(spark, sf_dir):
+    """B-1: non-blank stripped lines with their splitlines() index."""
+    return prs.explode_lines(fx.log_files(spark, sf_dir).select("file_id", "text"))
+
+
+@register("b2_clean_text")
+def q_b2(spark, sf_dir):
+    """B-2: cleaning of texts carrying ANSI codes, CR line ends, NUL and trailing blanks."""
+    d = dirty_files(spark, sf_dir)
+    return d.select("file_id", tx.clean_text(F.col("text")).alias("clean_text"))
+
+
+@register("b3_normalize_text")
+def q_b3(spark, sf_dir):
+    """B-3: document normalisation, reported as digest and length of the whole result."""
+    n = tx.normalize_text(F.col("text"))
+    return fx.table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(n, 256).alias("digest"), F.length(n).alias("n_chars"))
+
+
+@register("b4_first_nonblank_lines")
+def q_b4(spark, sf_dir):
+    """B-4: first three stripped non-blank lines of each file (LF-joined)."""
+    return fx.log_files(spark, sf_dir).select(
+        "file_id", F.array_join(tx.first_nonblank_lines(F.col("text"), 3), "\n").alias("evidence"))
+
+
+# ---------------------------------------------------------------------------
+# C: source detection
+# ---------------------------------------------------------------------------
+def _files_clean(spark, sf_dir):
+    return fx.log_files(spark, sf_dir).select("file_id", "text", tx.clean_text(F.col("text")).alias("clean_text"))
+
+
+@register("c1_detect_source")
+def q_c1(spark, sf_dir):
+    return fx.log_files(spark, sf_dir).select("file_id", dt.detect_source(F.col("text")).alias("source"))
+
+
+@register("c2_classify_source")
+def q_c2(spark, sf_dir):
+    return _files_clean(spark, sf_dir).select("file_id", dt.classify_source(F.col("clean_text")).alias("source"))
+
+
+@register("c3_classify_source_scored")
+def q_c3(spark, sf_dir):
+    s = dt.classify_source_scored(F.col("clean_text"))
+    return _files_clean(spark, sf_dir).select("file_id", s["source"].alias("source"),
+                                              F.round(s["confidence"], 6).alias("confidence"))
+
+
+@register("c4_source_match_counts")
+def q_c4(spark, sf_dir):
+    m = dt.source_match_counts(F.col("clean_text"))
+    return (_files_clean(spark, sf_dir).select("file_id", F.explode(m).alias("source", "n"))
+            .select("file_id", "source", F.col("n").cast("long").alias("n")))
+
+
+@register("c5_resolve_source")
+def q_c5(spark, sf_dir):
+    p = pipeline.prepare_files(fx.log_files(spark, sf_dir))
+    return p.select("file_id", "parser_source", "classification_source",
+                    F.round("classification_confidence", 6).alias("classification_confidence"), "source")
+
+
+@register("c6_forced_source")
+def q_c6(spark, sf_dir):
+    """C-6: a forced name per file (valid, unknown or none) overrides detection."""
+    f = fx.log_files(spark, sf_dir)
+    forced = (F.when(F.pmod(F.col("file_id"), F.lit(3)) == 0, F.lit("Nginx"))
+              .when(F.pmod(F.col("file_id"), F.lit(3)) == 1, F.lit("syslog")))
+    return f.select("file_id", dt.forced_source(forced, dt.detect_source(F.col("text"))).alias("source"))
+
+
+# ---------------------------------------------------------------------------
+# E: findings
+# ---------------------------------------------------------------------------
+@register("e2_rule_applicability")
+def q_e2(spark, sf_dir):
+    """E-2: (file, rule) pairs whose source filter admits the file's resolved source."""
+    p = pipeline.resolve_files(fx.log_files(spark, sf_dir))
+    from .. import rules as R
+    ok = F.array(*[F.when(fnd.rule_applies(r, F.col("source")), F.lit(r.rule_no)) for r in R.DETECTION_RULES])
+    return p.select("file_id", "source", F.explode(F.array_compact(ok)).alias("rule_no"))
+
+
+@register("e3_find_matches")
+def q_e3(spark, sf_dir):
+    """E-3: offsets of every match of every applicable rule (before dedup and cap)."""
+    p = pipeline.resolve_files(fx.log_files(spark, sf_dir))
+    return fnd.match_offsets(p, text_col="clean_text", source_col="source")
+
+
+@register("e7_detect_findings")
+def q_e7(spark, sf_dir):
+    """E-4 ... E-7: full finding rows (evidence windows, dedup, cap five)."""
+    return log_findings(spark, sf_dir)
+
+
+@register("e8_detect_findings_from_entries")
+def q_e8(spark, sf_dir):
+    """E-8: rules per parsed entry message, carrying the entry's timestamp."""
+    e = prs.parse_logs(fx.log_files(spark, sf_dir))
+    return fnd.detect_findings_from_entries(e)
+
+
+@register("e9_finding_summary")
+def q_e9(spark, sf_dir):
+    return fnd.finding_summary(log_findings(spark, sf_dir))
+
+
+@register("e10_brief_findings")
+def q_e10(spark, sf_dir):
+    b = fnd.brief_findings(log_findings(spark, sf_dir))
+    return b.select("file_id", F.array_join("critical_list", "|").alias("critical_list"),
+                    F.array_join("high_list", "|").alias("high_list"))
+
+
+@register("e11_brief_message")
+def q_e11(spark, sf_dir):
+    s = fnd.brief_message(fnd.finding_summary(log_findings(spark, sf_dir)))
+    return s.select("file_id", "message")
+
+
+@register("e12_severity_flags")
+def q_e12(spark, sf_dir):
+    return fnd.severity_flags(log_findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# H: relational queries
+# ---------------------------------------------------------------------------
+from ..operators import store  # noqa: E402
+
+
+@register("h1_jobs_by_incident")
+def q_h1(spark, sf_dir):
+    return store.jobs_by_incident(fx.jobs(spark, sf_dir)).select("incident_id", "id", "status", "created_at", "pos")
+
+
+@register("h3_findings_by_job")
+def q_h3(spark, sf_dir):
+    return store.findings_by_job(fx.findings_table(spark, sf_dir)).select("job_id", "id", "severity", "category", "pos")
+
+
+@register("h4_findings_by_incident")
+def q_h4(spark, sf_dir):
+    return store.findings_by_incident(fx.findings_table(spark, sf_dir)).select(
+        "incident_id", "id", "severity", "created_at", "pos")
+
+
+@register("h5_critical_findings")
+def q_h5(spark, sf_dir):
+    """H-5: top ten critical/high findings (a top-k report: the limit is the feature)."""
+    return store.critical_findings(fx.findings_table(spark, sf_dir), limit=10).select(
+        "id", "incident_id", "severity", "category", "created_at")
+
+
+@register("h5_critical_findings_ranked")
+def q_h5r(spark, sf_dir):
+    """H-5 with ``rank_severity=True``: critical before high."""
+    return store.critical_findings(fx.findings_table(spark, sf_dir), limit=10, rank_severity=True).select(
+        "id", "incident_id", "severity", "category", "created_at")
+
+
+@register("h6_job_status_counts")
+def q_h6(spark, sf_dir):
+    return store.job_status_counts(fx.jobs(spark, sf_dir))
+
+
+@register("h8_severity_counts")
+def q_h8s(spark, sf_dir):
+    return store.severity_counts(fx.findings_table(spark, sf_dir))
+
+
+@register("h8_category_counts")
+def q_h8c(spark, sf_dir):
+    return store.category_counts(fx.findings_table(spark, sf_dir))
+
+
+@register("h10_jobs_for_owner")
+def q_h10(spark, sf_dir):
+    return store.jobs_for_owner(fx.jobs(spark, sf_dir), fx.incidents(spark, sf_dir)).select(
+        "owner_user_id", "incident_id", "id", "created_at", "pos")
+
+
+@register("h11_owned_by")
+def q_h11(spark, sf_dir):
+    """H-11: findings visible to the customers of one market segment."""
+    users = fx.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING").select(
+        F.col("c_custkey").alias("user_id"))
+    return store.owned_by(fx.findings_table(spark, sf_dir), fx.incidents(spark, sf_dir), users).select(
+        "id", "incident_id", "category")
+
+
+@register("h12_incidents_by_owner")
+def q_h12(spark, sf_dir):
+    return store.incidents_by_owner(fx.incidents(spark, sf_dir)).select("owner_user_id", "id", "created_at", "pos")
+
+
+@register("h13_lookup_by_id")
+def q_h13(spark, sf_dir):
+    """H-13: the incidents of every failed job (a keyed lookup as a semi join)."""
+    ids = fx.jobs(spark, sf_dir).where(F.col("status") == "failed").select("incident_id")
+    return store.lookup_by_id(fx.incidents(spark, sf_dir), ids).select("id", "title", "severity")
+
+
+@register("h14_latest_log_attachment")
+def q_h14(spark, sf_dir):
+    return store.latest_log_attachment(fx.attachments(spark, sf_dir))
+
+
+@register("h15_incident_timeline")
+def q_h15(spark, sf_dir):
+    return store.incident_timeline(fx.incident_events(spark, sf_dir)).select("incident_id", "id", "occurred_at", "pos")
+
+
+@register("h16_job_state")
+def q_h16(spark, sf_dir):
+    return store.job_state(store.job_transitions(fx.jobs(spark, sf_dir)))
+
+
+@register("h17_touch_incident")
+def q_h17(spark, sf_dir):
+    return store.touch_incident(fx.incidents(spark, sf_dir), fx.attachments(spark, sf_dir)).select("id", "updated_at")
+
+
+@register("h18_incident_defaults")
+def q_h18(spark, sf_dir):
+    return store.incident_defaults(fx.incidents(spark, sf_dir)).select(
+        "id", "severity_eff", "environment_eff", "title_valid")

@@ -104,7 +104,7 @@ def infer_doc_type(path_col, content_type_col) -> F.Column:
     items = []
     for k, v in rules.DOC_SUFFIX_TYPES.items():
         items += [F.lit(k), F.lit(v)]
-    by_suffix = F.element_at(F.create_map(*items), suffix)
+    by_suffix = F.try_element_at(F.create_map(*items), suffix)
     return (F.when(ct.contains("pdf"), "pdf")
             .when(ct.contains("word") | ct.contains("docx"), "docx")
             .when(ct.contains("yaml"), "yaml")

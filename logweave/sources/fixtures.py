@@ -128,7 +128,7 @@ def render_log_lines(events: DataFrame) -> DataFrame:
     ngx = F.date_format(ts, "yyyy/MM/dd HH:mm:ss")
     file_id = F.floor(F.col("event_id") / LINES_PER_FILE).cast("long")
     kind = F.pmod(file_id, F.lit(9))
-    tmpl = F.element_at(_map_literal(full_templates()),
+    tmpl = F.try_element_at(_map_literal(full_templates()),
                         F.concat(kind.cast("string"), F.lit(":"), F.col("event_type")))
     line = tmpl
     for key, val in (("{iso}", iso), ("{clf}", clf), ("{jts}", jts), ("{sp}", sp),
@@ -163,7 +163,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     ends = (table(spark, sf_dir, "lineitem")
             .groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ended_at")))
-    sev = F.coalesce(F.element_at(_map_literal(PRIORITY_SEVERITY), F.col("o_orderpriority")),
+    sev = F.coalesce(F.try_element_at(_map_literal(PRIORITY_SEVERITY), F.col("o_orderpriority")),
                      F.lit("low"))
     return (orders.join(ends, orders.o_orderkey == ends.l_orderkey, "left")
             .select(
@@ -199,7 +199,7 @@ def _lineitem_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _lineitem_with_id(spark, sf_dir)
-    kind = F.element_at(_map_literal(ATTACHMENT_KIND_BY_MOD3), F.pmod(F.col("l_linenumber"), F.lit(3)))
+    kind = F.try_element_at(_map_literal(ATTACHMENT_KIND_BY_MOD3), F.pmod(F.col("l_linenumber"), F.lit(3)))
     return li.select(
         "id",
         F.col("l_orderkey").alias("incident_id"),
