@@ -41,9 +41,8 @@ def py_rstrip(c) -> Column:
 
 def split_lines(c) -> Column:
     """``str.splitlines()`` as an array column (one trailing empty item dropped)."""
-    parts = F.split(_col(c), SPLITLINES_RE, -1)
-    return F.when(F.element_at(parts, -1) == F.lit(""),
-                  F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(_col(c), SPLITLINES_RE, -1),
+               lambda parts: F.slice(parts, 1, F.size(parts) - F.when(F.element_at(parts, -1) == F.lit(""), 1).otherwise(0)))
 
 
 def clean_text(c) -> Column:
@@ -80,3 +79,13 @@ def _class_body(chars: str) -> str:
 def regex_class(chars: str) -> str:
     """Java regex character class of the given characters."""
     return "[" + _class_body(chars) + "]"
+
+
+def let(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and pass it to ``fn`` (a lambda over Columns).
+
+    Spark has no expression-level binding, and subexpressions inside
+    conditional branches are not shared, so a value used several times is
+    bound through a one-element ``transform``.
+    """
+    return F.element_at(F.transform(F.array(expr), fn), 1)

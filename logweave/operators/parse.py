@@ -95,6 +95,7 @@ def _ts_from_parts(y, mo, d, h, mi, s, frac: Column | None = None, off_min: Colu
         sec = sec + F.when(frac != "", f6.cast("decimal(10,6)") / F.lit(1000000)).otherwise(F.lit(0))
     ts = F.try_make_timestamp_ntz(y.cast("int"), mo.cast("int"), d.cast("int"), h.cast("int"),
                                   mi.cast("int"), sec.cast("decimal(16,6)"))
+    ts = F.when(s.cast("int") < 60, ts)  # Python rejects second 60/61
     if off_min is not None:
         ts = ts - F.make_dt_interval(F.lit(0), F.lit(0), off_min, F.lit(0))
     return ts

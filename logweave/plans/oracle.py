@@ -663,3 +663,186 @@ LEFT JOIN (SELECT incident_id, max(created_at) AS last FROM attachments GROUP BY
 SQL["h18_incident_defaults"] = f"""{REL}
 SELECT id, coalesce(severity, 'medium') AS severity_eff, coalesce(environment, 'production') AS environment_eff,
        length(title) BETWEEN 3 AND 255 AS title_valid FROM incidents"""
+
+
+# ---------------------------------------------------------------------------
+# I: timeline
+# ---------------------------------------------------------------------------
+from ..operators import timeline as TL  # noqa: E402
+
+LINES_NB = f"""ln0 AS (SELECT file_id, {split_lines_sql('text')} AS arr FROM log_files),
+ln1 AS (SELECT file_id, arr, unnest(range(len(arr))) AS line_no FROM ln0),
+ln AS (SELECT file_id, CAST(line_no AS INTEGER) AS line_no, {strip('arr[line_no + 1]')} AS line FROM ln1
+       WHERE {strip('arr[line_no + 1]')} <> '')"""
+
+
+def _timeline_sql(use_line_date: bool) -> str:
+    h, m, s = (rxe("line", TL.TIME_ONLY, i) for i in (1, 2, 3))
+    sec = f"coalesce(nullif({s}, ''), '0')"
+    only = (f"CASE WHEN regexp_matches(line, {lit(TL.TIME_ONLY)}) AND base_ts IS NOT NULL AND CAST({sec} AS INTEGER) < 60 THEN "
+            f"TRY(make_timestamp(year(base_ts), month(base_ts), day(base_ts), CAST({h} AS BIGINT), CAST({m} AS BIGINT), CAST({sec} AS DOUBLE))) END")
+    t = only
+    if use_line_date:
+        g = [rxe("line", TL.DATED, i) for i in range(1, 7)]
+        dsec = f"coalesce(nullif({g[5]}, ''), '0')"
+        dated = (f"CASE WHEN CAST({dsec} AS INTEGER) < 60 THEN TRY(make_timestamp(CAST({g[0]} AS BIGINT), CAST({g[1]} AS BIGINT), "
+                 f"CAST({g[2]} AS BIGINT), CAST({g[3]} AS BIGINT), CAST({g[4]} AS BIGINT), CAST({dsec} AS DOUBLE))) END")
+        t = f"CASE WHEN regexp_matches(line, {lit(TL.DATED)}) THEN {dated} ELSE {only} END"
+    union = " UNION ALL ".join(
+        f"SELECT file_id, line_no, line, occurred_at, {i} AS rule_no, {lit(title)} AS title FROM t WHERE regexp_matches(line, {rx(p)})"
+        for i, (p, title) in enumerate(rules.TIMELINE_RULES))
+    return f"""{FILES},
+{LINES_NB},
+b AS (SELECT ln.*, o.o_orderdate AS base_ts FROM ln LEFT JOIN orders o ON o.o_orderkey = ln.file_id),
+t AS (SELECT *, coalesce({t}, TIMESTAMP '2025-01-01 00:00:00') AS occurred_at FROM b),
+ev AS ({union}),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, title, date_trunc('second', occurred_at)
+                                                     ORDER BY line_no, rule_no) AS r FROM ev) WHERE r = 1)
+SELECT file_id, {ts_out('occurred_at')} AS occurred_at, title, line AS detail, {"'auto' AS source, " if not use_line_date else ""}
+       CAST(line_no AS BIGINT) AS line_no,
+       row_number() OVER (PARTITION BY file_id ORDER BY occurred_at, title, line_no, rule_no) AS pos FROM kept"""
+
+
+SQL["i4_generate_timeline"] = _timeline_sql(False)
+SQL["i4_generate_timeline_line_date"] = _timeline_sql(True)
+
+# ---------------------------------------------------------------------------
+# J: incident analysis
+# ---------------------------------------------------------------------------
+PAY_FIELDS = {"summary": "str", "logs": "list", "incident_type": "str", "tags": "list", "message": "str"}
+
+
+def ptext(keys) -> str:
+    parts = []
+    for k in keys:
+        kind = PAY_FIELDS.get(k)
+        if kind == "str":
+            parts.append(f"nullif({k}, '')")
+        elif kind == "list":
+            parts.append(f"nullif(array_to_string(list_filter({k}, lambda x: x IS NOT NULL AND x <> ''), chr(10)), '')")
+    if not parts:
+        return "''"
+    return f"coalesce(concat_ws(chr(10), {', '.join(parts)}), '')"
+
+
+def first3(e: str) -> str:
+    return f"list_filter(list_transform({split_lines_sql(e)}, lambda x: {strip('x')}), lambda x: x <> '')[1:3]"
+
+
+def sublist(text: str, subs) -> str:
+    return "(" + " OR ".join(f"contains({text}, {lit(s_)})" for s_ in subs) + ")"
+
+
+def _route_sql() -> str:
+    text = f"lower({ptext(rules.ROUTER_TEXT_FIELDS)})"
+    itype = "lower(coalesce(incident_type, 'none'))"
+    tags = f"list_transform(list_filter(coalesce(tags, []), lambda x: x IS NOT NULL AND x <> ''), lambda x: lower({strip('x')}))"
+    picks = [f"CASE WHEN {sublist(text, subs)} THEN {lit(a)} END" for a, subs in rules.ROUTER_TEXT_RULES]
+    picks += [f"CASE WHEN {sublist(itype, subs)} THEN {lit(a)} END" for a, subs in rules.ROUTER_TYPE_RULES]
+    picks += [f"CASE WHEN {' OR '.join(f'list_contains({tags}, {lit(v)})' for v in vals)} THEN {lit(a)} END"
+              for a, vals in rules.ROUTER_TAG_RULES]
+    chosen = f"list_sort(list_distinct(list_filter([{', '.join(picks)}], lambda x: x IS NOT NULL)))"
+    return f"CASE WHEN len({chosen}) > 0 THEN {chosen} ELSE {('[' + ', '.join(lit(a) for a in sorted(rules.ROUTER_DEFAULT)) + ']')} END"
+
+
+def _agent_sql(a) -> str:
+    text = ptext(a.keys)
+    hits = f"list_filter([{', '.join(f'CASE WHEN regexp_matches({text}, {rx(p)}) THEN {lit(p)} END' for p in a.patterns)}], lambda x: x IS NOT NULL)"
+    return (f"{{'agent': {lit(a.name)}, "
+            f"'summary': CASE WHEN len({hits}) > 0 THEN {lit(a.hit_summary)} ELSE {lit(a.miss_summary)} END, "
+            f"'findings': list_transform({hits}, lambda h: {lit(a.finding_prefix)} || h), "
+            f"'confidence': CASE WHEN len({hits}) > 0 THEN {a.hit_conf} ELSE {a.miss_conf} END, "
+            f"'evidence': {first3(text)}}}")
+
+
+def _docs_sql() -> str:
+    d = rules.DOCS_AGENT
+    return (f"{{'agent': 'docs_retrieval', 'summary': {lit(d['skip_summary'])}, 'findings': CAST([] AS VARCHAR[]), "
+            f"'confidence': {d['skip_conf']}, 'evidence': CAST([] AS VARCHAR[])}}")
+
+
+def _results_sql() -> str:
+    by_name = {a.name: _agent_sql(a) for a in rules.AGENTS}
+    by_name["docs_retrieval"] = _docs_sql()
+    items = [f"CASE WHEN list_contains(agents, {lit(n)}) THEN {by_name[n]} END" for n in sorted(by_name)]
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+def exact_round2(x: str) -> str:
+    two54 = 18014398509481984
+    num = f"(CAST({x} * {float(two54)} AS HUGEINT) * 100)"
+    q = f"({num} // {two54})"
+    r = f"({num} - {q} * {two54})"
+    return (f"(CAST(CASE WHEN 2 * {r} > {two54} THEN {q} + 1 WHEN 2 * {r} = {two54} AND {q} % 2 = 1 THEN {q} + 1 "
+            f"ELSE {q} END AS DOUBLE) / 100.0)")
+
+
+def _rc_pick(idx: int, lowered: str, text: str) -> str:
+    items = []
+    for r in rules.ROOT_CAUSE_RULES:
+        cond = sublist(lowered, r[0])
+        if "database_url" in r[0]:
+            cond = f"({cond} OR contains({text}, 'missing DATABASE_URL'))"
+        items.append(f"CASE WHEN {cond} THEN {lit(r[idx])} END")
+    return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
+
+
+ANALYSIS = f"""{FILES},
+pay AS (
+  SELECT 'log-' || file_id AS incident_id, {first3('text')}[1] AS summary, [text] AS logs,
+         {parser_source_sql('text')} AS incident_type, ['auto-analysis', {parser_source_sql('text')}] AS tags,
+         CAST(NULL AS VARCHAR) AS message FROM log_files
+  UNION ALL
+  SELECT 'conv-' || conv_id, NULL, NULL, NULL, NULL, text FROM conversations WHERE turn = 0),
+routed AS (SELECT *, {_route_sql()} AS agents FROM pay),
+res AS (SELECT *, {_results_sql()} AS results FROM routed),
+merged AS (
+  SELECT *, array_to_string(list_transform(results, lambda r: r.agent || ': ' || r.summary), ' | ') AS summary_m,
+         flatten(list_transform(results, lambda r: r.findings)) AS findings,
+         flatten(list_transform(results, lambda r: r.evidence)) AS evidence,
+         {ptext(rules.ROOT_CAUSE_KEYS)} AS rc_text FROM res),
+rc0 AS (
+  SELECT *, lower(array_to_string(findings, ' ') || ' ' || rc_text) AS lowered FROM merged),
+rc1 AS (
+  SELECT *, {_rc_pick(1, 'lowered', 'rc_text')} AS probable0, {_rc_pick(2, 'lowered', 'rc_text')} AS dependency,
+         {_rc_pick(4, 'lowered', 'rc_text')} AS remediation0,
+         list_reduce(list_transform(results, lambda r: r.confidence), lambda a, x: a + x) / len(results) AS mean_conf
+  FROM rc0),
+rc AS (
+  SELECT *, CASE WHEN len(probable0) = 0 THEN [{lit(rules.ROOT_CAUSE_FALLBACK)}] ELSE probable0 END AS probable,
+         CASE WHEN len(probable0) = 0 THEN [{lit(rules.ROOT_CAUSE_FALLBACK_FIX)}] ELSE remediation0 END AS remediation,
+         {exact_round2('least(0.99, greatest(0.3, mean_conf))')} AS rc_confidence FROM rc1),
+recs AS (
+  SELECT *, list_filter([{', '.join(f'CASE WHEN {sublist("lower(array_to_string(findings, ' '))", subs)} THEN {lit(s_)} END' for subs, s_ in rules.REMEDIATION_RULES)}],
+                        lambda x: x IS NOT NULL) AS recs0 FROM rc),
+final AS (
+  SELECT *, CASE WHEN len(recs0) > 0 THEN recs0 ELSE [{', '.join(lit(x) for x in rules.REMEDIATION_DEFAULTS)}] END AS recommendations
+  FROM recs)"""
+
+SQL["j13_analyze_incidents"] = f"""{ANALYSIS}
+SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary,
+       array_to_string(findings, '|') AS findings, array_to_string(evidence, '|') AS evidence,
+       'root cause analysis: ' || probable[1] AS rc_summary,
+       array_to_string(list_concat(list_transform(probable, lambda p: 'Probable cause: ' || p),
+                                   list_transform(remediation[1:3], lambda r: 'Suggested remediation: ' || r)), '|') AS rc_findings,
+       rc_confidence,
+       array_to_string(CASE WHEN len(evidence) > 0 THEN evidence[1:3] ELSE {first3('rc_text')} END, '|') AS rc_evidence,
+       CASE WHEN list_bool_or(list_transform(probable, lambda p: contains(lower(p), 'database') OR contains(lower(p), 'out of memory')))
+            THEN 'Critical' ELSE 'High' END AS rc_severity,
+       array_to_string(dependency, '|') AS rc_dependency_chain,
+       array_to_string(recommendations, '|') AS recommendations
+FROM final"""
+
+SQL["j3_route_agents"] = f"""{ANALYSIS}
+SELECT incident_id, unnest(agents) AS agent FROM routed"""
+
+SQL["j10_agent_results"] = f"""{ANALYSIS},
+x AS (SELECT incident_id, unnest(results) AS r FROM res)
+SELECT incident_id, r.agent AS agent, r.summary AS summary, array_to_string(r.findings, '|') AS findings,
+       r.confidence AS confidence, array_to_string(r.evidence, '|') AS evidence FROM x"""
+
+SQL["j14_ai_events"] = f"""{ANALYSIS}
+SELECT incident_id, 'AI Orchestrator Analysis' AS title,
+       'Summary: ' || summary_m || chr(10) || 'Recommendations:' || chr(10)
+         || array_to_string(list_transform(recommendations, lambda r: '- ' || r), chr(10)) AS detail,
+       'ai' AS source FROM final"""

@@ -328,3 +328,81 @@ def q_h17(spark, sf_dir):
 def q_h18(spark, sf_dir):
     return store.incident_defaults(fx.incidents(spark, sf_dir)).select(
         "id", "severity_eff", "environment_eff", "title_valid")
+
+
+# ---------------------------------------------------------------------------
+# I: timeline, J: incident analysis
+# ---------------------------------------------------------------------------
+from ..operators import incidents as inc  # noqa: E402
+from ..operators import timeline as tl  # noqa: E402
+
+RUN_TS = "2025-01-01 00:00:00"
+
+
+@register("i4_generate_timeline")
+def q_i4(spark, sf_dir):
+    """I-1 ... I-4: timeline events of every log file, base date from its incident."""
+    t = tl.timeline_for_incidents(fx.log_files(spark, sf_dir), fx.incidents(spark, sf_dir),
+                                  F.lit(RUN_TS).cast("timestamp_ntz"))
+    return t.select("file_id", "occurred_at", "title", "detail", "source", "line_no", "pos")
+
+
+@register("i4_generate_timeline_line_date")
+def q_i4d(spark, sf_dir):
+    """I-4 with ``use_line_date=True`` (the dated pattern is tried first)."""
+    t = tl.timeline_for_incidents(fx.log_files(spark, sf_dir), fx.incidents(spark, sf_dir),
+                                  F.lit(RUN_TS).cast("timestamp_ntz"), use_line_date=True)
+    return t.select("file_id", "occurred_at", "title", "detail", "line_no", "pos")
+
+
+def _analysis(spark, sf_dir):
+    return inc.analyze_incidents(fx.analysis_payloads(spark, sf_dir))
+
+
+def _j(c):
+    return F.array_join(F.col(c), "|")
+
+
+@register("j13_analyze_incidents")
+def q_j13(spark, sf_dir):
+    """J-2 ... J-13: routing, agents, merge, root cause and fixes for every payload."""
+    a = _analysis(spark, sf_dir)
+    return a.select(
+        "incident_id", F.array_join("agents", ",").alias("agents"), "summary",
+        _j("findings").alias("findings"), _j("evidence").alias("evidence"),
+        F.col("root_cause.summary").alias("rc_summary"),
+        F.array_join("root_cause.findings", "|").alias("rc_findings"),
+        F.col("root_cause.confidence").alias("rc_confidence"),
+        F.array_join("root_cause.evidence", "|").alias("rc_evidence"),
+        F.col("root_cause.severity").alias("rc_severity"),
+        F.array_join("root_cause.dependency_chain", "|").alias("rc_dependency_chain"),
+        _j("recommendations").alias("recommendations"))
+
+
+@register("j3_route_agents")
+def q_j3(spark, sf_dir):
+    p = inc.with_payload_fields(fx.analysis_payloads(spark, sf_dir))
+    return p.select("incident_id", F.explode(inc.route_agents()).alias("agent"))
+
+
+@register("j10_agent_results")
+def q_j10(spark, sf_dir):
+    """J-4 ... J-9: one row per (incident, agent) with summary, findings, confidence, evidence."""
+    r = inc.agent_results_long(fx.analysis_payloads(spark, sf_dir))
+    return r.select("incident_id", "agent", "summary", F.array_join("findings", "|").alias("findings"),
+                    "confidence", F.array_join("evidence", "|").alias("evidence"))
+
+
+@register("j14_ai_events")
+def q_j14(spark, sf_dir):
+    return inc.ai_event(_analysis(spark, sf_dir)).select("incident_id", "title", "detail", "source")
+
+
+@register("j15_auto_analyze")
+def q_j15(spark, sf_dir):
+    """J-15 / J-16: the upload hook — pipeline source per file, then the analysis and its event."""
+    files = pipeline.resolve_files(fx.log_files(spark, sf_dir))
+    payloads = inc.auto_analyze_payloads(files.select("file_id", "text", "source"))
+    res = inc.analyze_incidents(payloads)
+    ev = inc.ai_event(res, auto=True)
+    return ev.select(F.col("incident_id").alias("file_id"), "title", "detail")

@@ -274,3 +274,32 @@ def incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("auto").alias("source"),
         F.col("ts").alias("created_at"),
     )
+
+
+def analysis_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads (FIXTURES.md §3.2): one per log file and one per conversation.
+
+    Log files: summary = first line, logs = [text], incident_type = detected
+    source, tags = [auto-analysis, source].  Conversations: message = text
+    of turn 0 (prose without incident signals).
+    """
+    from ..functions.text import first_nonblank_lines
+    from ..operators.detect import detect_source
+    files = log_files(spark, sf_dir)
+    src = detect_source(F.col("text"))
+    logs = files.select(
+        F.concat(F.lit("log-"), F.col("file_id").cast("string")).alias("incident_id"),
+        F.element_at(first_nonblank_lines(F.col("text"), 1), 1).alias("summary"),
+        F.array(F.col("text")).alias("logs"),
+        src.alias("incident_type"),
+        F.array(F.lit("auto-analysis"), src).alias("tags"),
+        F.lit(None).cast("string").alias("message"),
+    )
+    conv = (table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+            .select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("incident_id"),
+                    F.lit(None).cast("string").alias("summary"),
+                    F.lit(None).cast("array<string>").alias("logs"),
+                    F.lit(None).cast("string").alias("incident_type"),
+                    F.lit(None).cast("array<string>").alias("tags"),
+                    F.col("text").alias("message")))
+    return logs.unionByName(conv)
