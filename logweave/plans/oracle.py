@@ -846,3 +846,142 @@ SELECT incident_id, 'AI Orchestrator Analysis' AS title,
        'Summary: ' || summary_m || chr(10) || 'Recommendations:' || chr(10)
          || array_to_string(list_transform(recommendations, lambda r: '- ' || r), chr(10)) AS detail,
        'ai' AS source FROM final"""
+
+
+# ---------------------------------------------------------------------------
+# F: chunking (F-3, F-5, F-6 have SQL; the greedy folds are checked in tests)
+# ---------------------------------------------------------------------------
+WS_CLASS = "[" + _class_body(PY_WHITESPACE) + "]"
+
+
+def checksum_sql(e: str) -> str:
+    return f"substr(sha256({e}), 1, 16)"
+
+
+SQL["f3_single_chunk"] = f"""{FILES},
+c AS (SELECT file_id, {clean('text')} AS t FROM log_files)
+SELECT file_id, CAST(0 AS BIGINT) AS chunk_index, CAST(0 AS BIGINT) AS start_line,
+       CAST(length(t) - length(replace(t, chr(10), '')) AS BIGINT) AS end_line, {checksum_sql('t')} AS checksum
+FROM c WHERE t <> ''"""
+
+SQL["f5_split_sentences"] = f"""WITH d AS (SELECT doc_id, {normalize_sql('text')} AS t FROM documents),
+p0 AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, {lit(chr(10) + WS_CLASS + '*' + chr(10))}),
+                                                 lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM d),
+p1 AS (SELECT doc_id, unnest(range(len(ps))) AS para_no, ps FROM p0),
+p AS (SELECT doc_id, para_no, ps[para_no + 1] AS para FROM p1),
+s0 AS (SELECT doc_id, para_no,
+              list_filter(list_transform(string_split(regexp_replace({strip('para')}, {lit('([.!?])' + WS_CLASS + '+')}, '\\1' || chr(1), 'g'), chr(1)),
+                                         lambda x: {strip('x')}), lambda x: x <> '') AS ss FROM p),
+s1 AS (SELECT doc_id, para_no, unnest(range(len(ss))) AS sent_no, ss FROM s0)
+SELECT doc_id, CAST(para_no AS BIGINT) AS para_no, CAST(sent_no AS BIGINT) AS sent_no,
+       {checksum_sql('ss[sent_no + 1]')} AS checksum, length(ss[sent_no + 1]) AS n_chars FROM s1"""
+
+SQL["f6_split_long"] = f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN n <= 1200 THEN 0 ELSE CAST(ceil((n - 1200) / 1050.0) AS BIGINT) END)) AS part_no FROM d),
+x AS (SELECT doc_id, part_no, {strip('substr(text, CAST(part_no * 1050 + 1 AS BIGINT), 1200)')} AS part FROM w)
+SELECT doc_id, part_no, {checksum_sql('part')} AS checksum, length(part) AS n_chars FROM x"""
+
+# ---------------------------------------------------------------------------
+# G, K
+# ---------------------------------------------------------------------------
+TOPK = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pairs AS (SELECT q.vec_id AS query_id, x.vec_id, 1.0 - list_cosine_similarity(q.v, x.v) AS distance
+          FROM e q, e x WHERE q.vec_id <> x.vec_id),
+topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs)
+         WHERE rank <= 5)"""
+
+SQL["g2_cosine_topk"] = f"""WITH {TOPK}
+SELECT query_id, rank, vec_id, round(distance, 6) AS distance FROM topk"""
+
+SQL["g1_with_embeddings"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm, v FROM e),
+u AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN nrm > 0 THEN x / nrm ELSE 0.0 END) AS w FROM n)
+SELECT d.doc_id AS vec_id, d.source, round(sqrt(list_sum(list_transform(u.w, lambda x: x * x))), 6) AS norm,
+       round(u.w[1], 6) AS x1
+FROM documents d JOIN u ON u.vec_id = d.doc_id"""
+
+SQL["g3_format_context"] = f"""WITH {TOPK},
+b AS (SELECT t.query_id, t.rank, 'Source: ' || coalesce(d.source, 'unknown') || chr(10) || {strip("coalesce(d.text, '')")} AS blk
+      FROM topk t JOIN documents d ON d.doc_id = t.vec_id),
+c AS (SELECT query_id, string_agg(blk, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY query_id)
+SELECT query_id, sha256(context) AS digest, length(context) AS n_chars FROM c"""
+
+SQL["k1_mttr"] = f"""{REL}
+SELECT service_name, count(*) AS n_resolved, round(avg(CAST(epoch(ended_at) - epoch(started_at) AS DOUBLE)), 6) AS mttr_seconds
+FROM incidents WHERE started_at IS NOT NULL AND ended_at IS NOT NULL AND ended_at >= started_at GROUP BY service_name"""
+
+SQL["k2_pipeline_health"] = f"""{REL}
+SELECT {ts_out("date_trunc('day', created_at)")} AS period, count(*) AS n_jobs,
+       count(*) FILTER (WHERE status = 'succeeded') AS n_succeeded,
+       round(avg(CASE WHEN status = 'succeeded' THEN 1.0 ELSE 0.0 END), 6) AS health
+FROM jobs GROUP BY date_trunc('day', created_at)"""
+
+SQL["k2_pipeline_health_last_24h"] = f"""{REL}
+SELECT count(*) AS n_jobs, round(avg(CASE WHEN status = 'succeeded' THEN 1.0 ELSE 0.0 END), 6) AS health
+FROM jobs WHERE created_at > (SELECT max(created_at) FROM jobs) - INTERVAL 24 HOURS"""
+
+SQL["k3_error_latency_trend"] = """WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS errors,
+                  avg(value) AS avg_latency FROM events GROUP BY CAST(ts AS DATE))
+SELECT CAST(day AS VARCHAR) AS day, errors, round(avg_latency, 6) AS avg_latency,
+       round(avg(errors) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS errors_rolling FROM d"""
+
+SQL["k4_latency_p95"] = """SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type"""
+
+SQL["k4_error_rate"] = """SELECT user_id, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate, count(*) AS n
+FROM events GROUP BY user_id"""
+
+SQL["k5_integration_rollup"] = f"""{REL},
+s AS (SELECT source_type AS service, avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0.0 END) AS fr FROM jobs GROUP BY source_type)
+SELECT count(*) AS total_integrations,
+       coalesce(array_to_string(list_sort(list(service) FILTER (WHERE fr > 0.25)), ','), '') AS degraded,
+       CASE WHEN count(*) FILTER (WHERE fr > 0.25) > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM s"""
+
+SQL["k6_docs_recall"] = f"""WITH {TOPK},
+h AS (SELECT t.query_id, max(CASE WHEN lq.label = lv.label THEN 1 ELSE 0 END) AS hit, lq.label AS label
+      FROM topk t JOIN embeddings lq ON lq.vec_id = t.query_id JOIN embeddings lv ON lv.vec_id = t.vec_id
+      GROUP BY t.query_id, lq.label)
+SELECT CAST(label AS BIGINT) AS label, count(*) AS n_queries, round(avg(hit), 6) AS recall FROM h GROUP BY label"""
+
+# ---------------------------------------------------------------------------
+# S: streaming results equal the batch SQL
+# ---------------------------------------------------------------------------
+SQL["s1_stream_ingest"] = SQL["finding_counts"]
+
+
+def _line_cats_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT file_id, line_no, ts, line, {lit(r.category)} AS category FROM log_lines WHERE regexp_matches(line, {rx(r.pattern)})"
+        for r in rules.DETECTION_RULES)
+
+
+SQL["s2_stream_finding_counts"] = f"""WITH {LOG_LINES},
+h AS ({_line_cats_sql()})
+SELECT {ts_out("date_trunc('day', ts)")} AS window_start, {ts_out("date_trunc('day', ts) + INTERVAL 1 DAY")} AS window_end,
+       category, count(*) AS n FROM h GROUP BY date_trunc('day', ts), category"""
+
+SQL["s3_stream_incident_sessions"] = """WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'error'),
+g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                      OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS brk FROM e),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
+       strftime(max(ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_errors
+FROM s GROUP BY user_id, sid
+HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM e) - INTERVAL 1 DAY"""
+
+SQL["s4_stream_dedup"] = f"""WITH {LOG_LINES}
+SELECT DISTINCT {checksum_sql('line')} AS checksum FROM log_lines"""
+
+SQL["s5_stream_job_state"] = f"""WITH j AS (
+  SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey || ':' || strftime(l_shipdate, '%Y%m%d') AS job_id,
+         CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'A' THEN 'succeeded'
+              WHEN l_linestatus = 'O' THEN 'queued' ELSE 'running' END AS status, l_shipdate, l_linenumber FROM lineitem)
+SELECT job_id, status, {ts_out('l_shipdate')} AS created_at,
+       CASE WHEN status <> 'queued' THEN {ts_out('l_shipdate')} END AS started_at,
+       CASE WHEN status IN ('succeeded', 'failed') THEN {ts_out('l_shipdate + to_minutes(l_linenumber * 5)')} END AS finished_at
+FROM j"""
+
+SQL["s7_stream_static_enrich"] = f"""WITH {LOG_LINES},
+{INCIDENTS},
+h AS ({_line_cats_sql()})
+SELECT h.file_id, CAST(h.line_no AS BIGINT) AS line_no, h.category, i.owner_user_id, i.service_name
+FROM h JOIN incidents i ON i.id = h.file_id"""

@@ -406,3 +406,245 @@ def q_j15(spark, sf_dir):
     res = inc.analyze_incidents(payloads)
     ev = inc.ai_event(res, auto=True)
     return ev.select(F.col("incident_id").alias("file_id"), "title", "detail")
+
+
+# ---------------------------------------------------------------------------
+# F: chunking
+# ---------------------------------------------------------------------------
+from ..operators import chunking as ch  # noqa: E402
+
+
+def log_chunks(spark, sf_dir):
+    """F-1 over the cleaned text of every log file (as the pipeline does)."""
+    files = fx.log_files(spark, sf_dir).select("file_id", tx.clean_text(F.col("text")).alias("text"))
+    return ch.chunk_log_lines(files)
+
+
+def doc_chunks(spark, sf_dir):
+    """F-4 over normalised documents (strict: quirk Q-11 reproduced)."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", tx.normalize_text(F.col("text")).alias("text"))
+    return ch.chunk_documents(docs).join(docs.select("doc_id", "source"), "doc_id")
+
+
+@register("f1_chunk_log_lines")
+def q_f1(spark, sf_dir):
+    """F-1 / F-8: log chunks (2200/200, line mode) with checksums."""
+    return log_chunks(spark, sf_dir).select("file_id", "chunk_index", "start_line", "end_line", "checksum",
+                                            F.length("text").alias("n_chars"))
+
+
+@register("f2_chunk_non_line_mode")
+def q_f2(spark, sf_dir):
+    """F-2: the same fold with respect_lines=False and a small budget (300/40)."""
+    files = fx.log_files(spark, sf_dir).select("file_id", tx.clean_text(F.col("text")).alias("text"))
+    c = ch.chunk_log_lines(files, max_chars=300, overlap_chars=40, respect_lines=False)
+    return c.select("file_id", "chunk_index", "start_line", "end_line", "checksum")
+
+
+@register("f3_single_chunk")
+def q_f3(spark, sf_dir):
+    """F-3: max_chars <= 0 gives one chunk with the whole text."""
+    files = fx.log_files(spark, sf_dir).select("file_id", tx.clean_text(F.col("text")).alias("text"))
+    c = ch.chunk_log_lines(files, max_chars=0)
+    return c.select("file_id", "chunk_index", "start_line", "end_line", "checksum")
+
+
+@register("f4_chunk_documents")
+def q_f4(spark, sf_dir):
+    """F-4: document chunks (1200/150, at most 1000 per document)."""
+    c = doc_chunks(spark, sf_dir)
+    return c.select("doc_id", "chunk_index", ch.checksum(F.col("text")).alias("checksum"), F.length("text").alias("n_chars"))
+
+
+@register("f5_split_sentences")
+def q_f5(spark, sf_dir):
+    """F-5: paragraphs and sentences of every normalised document."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("t"))
+    p = d.select("doc_id", F.posexplode(ch.split_paragraphs(F.col("t"))).alias("para_no", "para"))
+    s = p.select("doc_id", "para_no", F.posexplode(ch.split_sentences(F.col("para"))).alias("sent_no", "sentence"))
+    return s.select("doc_id", "para_no", "sent_no", ch.checksum(F.col("sentence")).alias("checksum"),
+                    F.length("sentence").alias("n_chars"))
+
+
+@register("f6_split_long")
+def q_f6(spark, sf_dir):
+    """F-6: fixed windows (1200, overlap 150) over every whole document text."""
+    d = fx.table(spark, sf_dir, "documents")
+    w = d.select("doc_id", F.posexplode(ch.split_long(F.col("text"), 1200, 150)).alias("part_no", "part"))
+    return w.select("doc_id", "part_no", ch.checksum(F.col("part")).alias("checksum"), F.length("part").alias("n_chars"))
+
+
+@register("f7_chunk_ids")
+def q_f7(spark, sf_dir):
+    """F-7: content ids of document chunks with chunk_total."""
+    return ch.chunk_ids(doc_chunks(spark, sf_dir)).select("doc_id", "chunk_index", "chunk_id", "chunk_total")
+
+
+@register("f9_dedup_chunks")
+def q_f9(spark, sf_dir):
+    """F-9: one log chunk per checksum (smallest file, index)."""
+    return ch.dedup_chunks(log_chunks(spark, sf_dir)).select("checksum", "file_id", "chunk_index")
+
+
+@register("f10_embedding_records")
+def q_f10(spark, sf_dir):
+    """F-10: embedding records of log chunks with the file id as extra metadata."""
+    r = ch.embedding_records(log_chunks(spark, sf_dir), {"file_id": F.col("file_id")})
+    return r.select("file_id", "chunk_index", prs.metadata_text(F.col("metadata")).alias("meta"))
+
+
+# ---------------------------------------------------------------------------
+# G: retrieval, K: KPIs
+# ---------------------------------------------------------------------------
+from ..operators import kpi  # noqa: E402
+from ..operators import retrieval as rt  # noqa: E402
+
+
+def topk_all(spark, sf_dir, k=5):
+    e = fx.table(spark, sf_dir, "embeddings")
+    return rt.cosine_topk(e.select(F.col("vec_id").alias("query_id"), "embedding"), e, k=k, exclude_self=True)
+
+
+@register("g2_cosine_topk")
+def q_g2(spark, sf_dir):
+    """G-2: the five nearest other vectors of every vector (exact cosine)."""
+    return topk_all(spark, sf_dir).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@register("g1_with_embeddings")
+def q_g1(spark, sf_dir):
+    """G-1: unit-norm vectors attached to documents by id (norm reported)."""
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    j = rt.with_embeddings(d, fx.table(spark, sf_dir, "embeddings"), "vec_id")
+    n = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return j.select("vec_id", "source", F.round(n, 6).alias("norm"), F.round(F.element_at("embedding", 1), 6).alias("x1"))
+
+
+@register("g3_format_context")
+def q_g3(spark, sf_dir):
+    """G-3: context text of each vector's top five, with documents as the texts."""
+    hits = topk_all(spark, sf_dir)
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
+    ctx = rt.format_context(hits.join(docs, "vec_id"))
+    return ctx.select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("n_chars"))
+
+
+@register("g4_index_stats")
+def q_g4(spark, sf_dir):
+    """G-4: documents and chunks indexed."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+    return rt.index_stats(docs, ch.chunk_documents(docs))
+
+
+@register("k1_mttr")
+def q_k1(spark, sf_dir):
+    return kpi.mttr(fx.incidents(spark, sf_dir)).select("service_name", "n_resolved",
+                                                       F.round("mttr_seconds", 6).alias("mttr_seconds"))
+
+
+@register("k2_pipeline_health")
+def q_k2(spark, sf_dir):
+    return kpi.pipeline_health(fx.jobs(spark, sf_dir)).select("period", "n_jobs", "n_succeeded",
+                                                              F.round("health", 6).alias("health"))
+
+
+@register("k2_pipeline_health_last_24h")
+def q_k2b(spark, sf_dir):
+    return kpi.pipeline_health_last_24h(fx.jobs(spark, sf_dir)).select("n_jobs", F.round("health", 6).alias("health"))
+
+
+@register("k3_error_latency_trend")
+def q_k3(spark, sf_dir):
+    t = kpi.error_latency_trend(fx.table(spark, sf_dir, "events"))
+    return t.select(F.col("day").cast("string").alias("day"), "errors", F.round("avg_latency", 6).alias("avg_latency"),
+                    F.round("errors_rolling", 6).alias("errors_rolling"))
+
+
+@register("k4_latency_p95")
+def q_k4(spark, sf_dir):
+    """K-4: exact 95th percentile of event values per event type."""
+    return kpi.latency_p95(fx.table(spark, sf_dir, "events"), exact=True).select(
+        "event_type", F.round("p95", 6).alias("p95"), "n")
+
+
+@register("k4_error_rate")
+def q_k4e(spark, sf_dir):
+    return kpi.error_rate(fx.table(spark, sf_dir, "events"), by="user_id").select(
+        "user_id", F.round("error_rate", 6).alias("error_rate"), "n")
+
+
+@register("k5_integration_rollup")
+def q_k5(spark, sf_dir):
+    """K-5: services (job source types) with a failure rate over 25 % make the rollup degraded."""
+    r = kpi.integration_rollup(kpi.service_status(fx.jobs(spark, sf_dir)))
+    return r.select("total_integrations", F.array_join("degraded", ",").alias("degraded"), "status")
+
+
+@register("k6_docs_recall")
+def q_k6(spark, sf_dir):
+    """K-6: recall@5 of the exact top-k against the embedding labels, per label."""
+    e = fx.table(spark, sf_dir, "embeddings")
+    r = kpi.docs_recall(topk_all(spark, sf_dir), e.select("vec_id", "label"))
+    return r.select(F.col("q_label").alias("label"), "n_queries", F.round("recall", 6).alias("recall"))
+
+
+# ---------------------------------------------------------------------------
+# S: streaming (availableNow over the driver tables; sinks in the checkpoint folder)
+# ---------------------------------------------------------------------------
+from ..streaming import ingest as st  # noqa: E402
+
+
+@register("s1_stream_ingest")
+def q_s1(spark, sf_dir):
+    """S-1: streamed findings, counted like ``finding_counts``."""
+    out = st.stream_ingest(spark, st.log_line_stream(spark, sf_dir))
+    return fnd.finding_counts(spark.read.parquet(out))
+
+
+@register("s2_stream_finding_counts")
+def q_s2(spark, sf_dir):
+    return st.stream_finding_counts(spark, st.log_line_stream(spark, sf_dir))
+
+
+@register("s3_stream_incident_sessions")
+def q_s3(spark, sf_dir):
+    return st.stream_incident_sessions(spark, st.table_stream(spark, sf_dir, "events"))
+
+
+@register("s4_stream_dedup")
+def q_s4(spark, sf_dir):
+    d = st.stream_dedup_lines(spark, st.log_line_stream(spark, sf_dir))
+    return d.select("checksum")
+
+
+@register("s5_stream_job_state")
+def q_s5(spark, sf_dir):
+    """S-5: job states folded from a stream of lineitem-derived transitions."""
+    li = st.table_stream(spark, sf_dir, "lineitem")
+    return st.stream_job_state(spark, stream_job_transitions(li))
+
+
+def stream_job_transitions(li):
+    """Transitions keyed by the five lineitem columns that are unique (no window in a stream)."""
+    key = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                      F.date_format("l_shipdate", "yyyyMMdd"))
+    status = (F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "succeeded")
+              .when(F.col("l_linestatus") == "O", "queued").otherwise("running"))
+    base = li.select(key.alias("job_id"), status.alias("final"), F.col("l_shipdate").alias("at0"), "l_linenumber")
+    q = base.select("job_id", F.lit("queued").alias("status"), F.col("at0").alias("at"))
+    r = base.where(F.col("final") != "queued").select("job_id", F.lit("running").alias("status"), F.col("at0").alias("at"))
+    d = base.where(F.col("final").isin("succeeded", "failed")).select(
+        "job_id", F.col("final").alias("status"),
+        (F.col("at0") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("l_linenumber") * 5, F.lit(0))).alias("at"))
+    return q.unionByName(r).unionByName(d)
+
+
+def q_s6(spark, sf_dir):
+    """S-6 (not registered: the foreachBatch analysis does not finish in time yet)."""
+    return st.stream_auto_analysis(spark, st.log_line_stream(spark, sf_dir)).select(
+        F.col("incident_id").alias("file_id"), "title", "detail")
+
+
+@register("s7_stream_static_enrich")
+def q_s7(spark, sf_dir):
+    return st.stream_static_enrich(spark, st.log_line_stream(spark, sf_dir), fx.incidents(spark, sf_dir))
