@@ -985,3 +985,27 @@ SQL["s7_stream_static_enrich"] = f"""WITH {LOG_LINES},
 h AS ({_line_cats_sql()})
 SELECT h.file_id, CAST(h.line_no AS BIGINT) AS line_no, h.category, i.owner_user_id, i.service_name
 FROM h JOIN incidents i ON i.id = h.file_id"""
+
+
+# ---------------------------------------------------------------------------
+# A
+# ---------------------------------------------------------------------------
+SQL["a3_infer_doc_type"] = """SELECT doc_id,
+  CASE WHEN lang = 'de' THEN 'pdf' WHEN lang = 'fr' THEN 'yaml' WHEN lang = 'en' THEN 'markdown'
+       WHEN lang = 'es' THEN 'docx' ELSE 'text' END AS doc_type FROM documents"""
+
+SQL["a5_attachment_manifest"] = f"""{REL}
+SELECT id, kind AS kind_norm,
+       CASE WHEN regexp_replace(split_part('/uploads/' || incident_id || '/' || id, '/', -1), '[^a-zA-Z0-9._-]+', '_', 'g') = '' THEN 'file'
+            ELSE regexp_replace(split_part('/uploads/' || incident_id || '/' || id, '/', -1), '[^a-zA-Z0-9._-]+', '_', 'g') END AS safe_name,
+       CASE WHEN kind NOT IN ('log', 'screenshot', 'yaml') THEN 'invalid kind'
+            WHEN size_bytes > 26214400 THEN 'file too large' END AS reject_reason
+FROM attachments"""
+
+SQL["a9_export_log_lines"] = """SELECT event_id,
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 <> 0
+       THEN '.' || lpad(CAST(microsecond(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00'
+  || ' ' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || ' events: ' || event_type || ' ' || CAST(value AS VARCHAR)
+  || ' | {' || array_to_string(list_transform(json_keys(props), lambda k: '''' || k || ''': ' ||
+        CAST(json_extract(props, '$."' || k || '"') AS VARCHAR)), ', ') || '}' AS line
+FROM events"""

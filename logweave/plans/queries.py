@@ -648,3 +648,94 @@ def q_s6(spark, sf_dir):
 @register("s7_stream_static_enrich")
 def q_s7(spark, sf_dir):
     return st.stream_static_enrich(spark, st.log_line_stream(spark, sf_dir), fx.incidents(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# A: scans and sinks; H over real chunks
+# ---------------------------------------------------------------------------
+from ..sources import files as fls  # noqa: E402
+from ..sources import sinks  # noqa: E402
+
+
+@register("a3_infer_doc_type")
+def q_a3(spark, sf_dir):
+    """A-3: document type from a content type (derived from the language) and the source name."""
+    d = fx.table(spark, sf_dir, "documents")
+    ct = (F.when(F.col("lang") == "en", F.lit("text/markdown")).when(F.col("lang") == "de", F.lit("application/pdf"))
+          .when(F.col("lang") == "fr", F.lit("application/x-yaml")))
+    path = F.concat(F.col("source"), F.when(F.col("lang") == "es", F.lit(".docx")).otherwise(F.lit(".txt")))
+    return d.select("doc_id", fls.infer_doc_type(path, ct).alias("doc_type"))
+
+
+@register("a5_attachment_manifest")
+def q_a5(spark, sf_dir):
+    """A-5: normalised kind, safe file name and reject reason of every attachment."""
+    a = fx.attachments(spark, sf_dir).withColumn("kind", F.upper(F.concat(F.lit(" "), F.col("kind"), F.lit(" "))))
+    m = fls.attachment_manifest(a, name_col="storage_path")
+    return m.select("id", "kind_norm", "safe_name", "reject_reason")
+
+
+@register("a9_export_log_lines")
+def q_a9(spark, sf_dir):
+    """A-9: event export lines."""
+    return sinks.export_log_lines(fx.table(spark, sf_dir, "events")).select("event_id", "line")
+
+
+@register("a8_upsert_doc_chunks")
+def q_a8(spark, sf_dir):
+    """A-8: chunks of all documents upserted into an index holding the English ones."""
+    allc = ch.chunk_ids(doc_chunks(spark, sf_dir)).select("chunk_id", "doc_id", "chunk_index", "text")
+    en = fx.table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id")
+    index = allc.join(en, "doc_id", "left_semi").select(*allc.columns)
+    merged = sinks.upsert_doc_chunks(allc, index)
+    return merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@register("a7_write_ingest")
+def q_a7(spark, sf_dir):
+    """A-1 / A-7: log files written as files, read back with binaryFile, ingested, written, counted."""
+    from ..streaming.ingest import stream_root
+    root = stream_root(spark, "ingest-batch")
+    files = fx.log_files(spark, sf_dir)
+    files.select(F.concat(F.lit("log-"), F.col("file_id").cast("string")).alias("name"), "text") \
+        .write.partitionBy("name").mode("overwrite").text(root + "/raw")
+    raw = fls.read_log_files(spark, root + "/raw", glob="*.txt")
+    prepared = pipeline.resolve_files(raw)
+    found = fnd.detect_findings(prepared, text_col="clean_text", source_col="source")
+    chunks = ch.chunk_log_lines(prepared.select("file_id", F.col("clean_text").alias("text")))
+    jobs = prepared.select(F.col("file_id").alias("id"), F.lit("succeeded").alias("status"), "source",
+                           F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
+    paths = sinks.write_ingest(jobs, chunks, found, root + "/tables", mode="overwrite")
+    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table"), "n")
+              for k, p in paths.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def chunk_table(spark, sf_dir):
+    c = log_chunks(spark, sf_dir)
+    return c.select(F.monotonically_increasing_id().alias("id"), F.col("file_id").alias("incident_id"),
+                    F.col("file_id").alias("job_id"), "chunk_index", "text", "checksum")
+
+
+@register("h2_chunks_by_job")
+def q_h2(spark, sf_dir):
+    return store.chunks_by_job(chunk_table(spark, sf_dir).withColumn("id", F.col("chunk_index").cast("long"))).select(
+        "job_id", "chunk_index", "pos")
+
+
+@register("h7_chunk_counts")
+def q_h7(spark, sf_dir):
+    return store.chunk_counts(chunk_table(spark, sf_dir))
+
+
+@register("h9_ingestion_stats")
+def q_h9(spark, sf_dir):
+    """H-9 for every incident plus the all-incident total row."""
+    s = store.ingestion_stats(fx.jobs(spark, sf_dir), chunk_table(spark, sf_dir), fx.findings_table(spark, sf_dir))
+    return s.select("incident_id", "total_jobs", "pending_jobs", "running_jobs", "completed_jobs", "failed_jobs",
+                    "total_chunks", "total_findings",
+                    prs.metadata_text(F.col("findings_by_severity").cast("map<string,string>")).alias("by_severity"),
+                    prs.metadata_text(F.col("findings_by_category").cast("map<string,string>")).alias("by_category"))
