@@ -92,7 +92,7 @@ def _ts_from_parts(y, mo, d, h, mi, s, frac: Column | None = None, off_min: Colu
     sec = s.cast("decimal(10,6)")
     if frac is not None:
         f6 = F.rpad(F.substring(frac, 1, 6), 6, "0")
-        sec = sec + F.when(frac != "", f6.cast("decimal(10,6)") / F.lit(1000000)).otherwise(F.lit(0))
+        sec = sec + F.when(frac != "", f6.cast("int").cast("decimal(16,6)") / F.lit(1000000)).otherwise(F.lit(0))
     ts = F.try_make_timestamp_ntz(y.cast("int"), mo.cast("int"), d.cast("int"), h.cast("int"),
                                   mi.cast("int"), sec.cast("decimal(16,6)"))
     ts = F.when(s.cast("int") < 60, ts)  # Python rejects second 60/61
@@ -494,13 +494,13 @@ def parse_lines(lines: DataFrame, line_col: str = "line", source_col: str = "sou
               .when(src == "terraform", groups(tf_msg0, ISO_PREFIX, 1)[0])
               .when(cw_json, _get(j, "@timestamp"))
               .when(cw_tab, tab[0])
-              .when(gen_idx.isNotNull(), F.element_at(gen, gen_idx + 1)))
+              .when(gen_idx == 0, gen[0]).when(gen_idx == 1, gen[1]).when(gen_idx == 2, gen[2]))
     ts_kind = (F.when(src.isin("kubernetes", "docker", "terraform"), F.lit("iso"))
                .when(src.isin("nginx", "apache"), F.when(acc.isNotNull(), F.lit("clf")).otherwise(F.lit("ngx")))
                .when(src == "jenkins", F.lit("jenkins"))
                .when(src == "github_actions", F.lit("naive"))
                .when(src == "cloudwatch", F.lit("iso"))
-               .otherwise(F.element_at(F.array(F.lit("isoz"), F.lit("ymd"), F.lit("syslog")), gen_idx + 1)))
+               .when(gen_idx == 0, F.lit("isoz")).when(gen_idx == 1, F.lit("ymd")).when(gen_idx == 2, F.lit("syslog")))
     s2 = s1.select("*", gha_msg0.alias("_gm0"), tf_msg0.alias("_tm0"), ts_src.alias("_tss"), ts_kind.alias("_tsk"),
                    cw_json.alias("_cwj"), cw_tab.alias("_cwt"), gen_idx.alias("_gi"))
     # stage 3: stamp groups (one regex pass), epoch-ms json stamps

@@ -75,10 +75,10 @@ def test_evidence_dedup_and_cap(files_df):
 
 
 def test_source_filter(files_df):
-    # a CrashLoopBackOff text parsed as nginx must not get the kubernetes-only rule
-    text = '1.1.1.1 - - [01/Jan/2024:00:00:00 +0000] "GET / HTTP/1.1" 200 1\nCrashLoopBackOff'
-    f = pipeline_findings(files_df({1: text}))
-    assert "CrashLoopBackOff" not in {r.category for r in f.collect()}
+    # a build failure inside an nginx text must not get the CI-only rules
+    text = '1.1.1.1 - - [01/Jan/2024:00:00:00 +0000] "GET / HTTP/1.1" 500 1\nBUILD FAILED'
+    cats = {r.category for r in pipeline_findings(files_df({1: text})).collect()}
+    assert "BuildFailure" not in cats and "TestFailure" not in cats and "HTTPError5xx" in cats
 
 
 def test_brief_message(spark):
