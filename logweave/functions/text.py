@@ -23,6 +23,8 @@ SPLITLINES_RE = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 # FIXED VALUES: cleaning patterns (ANSI escapes; control characters except \t \n \r).
 ANSI_RE = r"\x1B\[[0-?]*[ -/]*[@-~]"
 CONTROL_RE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+# Python whitespace except LF (as ranges), up to a line end: what rstrip() removes per line.
+RSTRIP_LINES_RE = r"[\t\x0B-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+(?=\n|\z)"
 
 
 def _col(c) -> Column:
@@ -50,8 +52,7 @@ def clean_text(c) -> Column:
     t = F.regexp_replace(_col(c), ANSI_RE, "")
     t = F.regexp_replace(t, CONTROL_RE, "")
     t = F.regexp_replace(t, "\r\n?", "\n")
-    ws = "[" + _class_body(PY_WHITESPACE_NO_NL) + "]+(?=\n|\\z)"
-    return F.regexp_replace(t, ws, "")
+    return F.regexp_replace(t, RSTRIP_LINES_RE, "")
 
 
 def normalize_text(c) -> Column:

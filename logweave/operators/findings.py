@@ -52,7 +52,8 @@ def _rule_meta(col: Column, field: str) -> Column:
 
 def match_offsets(files: DataFrame, text_col: str = "text", source_col: str = "source",
                   key: str = "file_id", limit: int = rules.DETECTION_TEXT_LIMIT,
-                  detection_rules: list[rules.DetectionRule] | None = None) -> DataFrame:
+                  detection_rules: list[rules.DetectionRule] | None = None,
+                  with_source: bool = False) -> DataFrame:
     """E-3: every match of every applicable rule in the first ``limit`` chars.
 
     Returns ``(key, rule_no, match_no, start, end)``; offsets are 0-based
@@ -70,16 +71,17 @@ def match_offsets(files: DataFrame, text_col: str = "text", source_col: str = "s
                      F.transform(F.regexp_extract_all(sample, F.lit(p), 0), lambda x: F.length(x)).alias("hl"),
                      F.transform(F.split(sample, p, -1), lambda x: F.length(x)).alias("gl")))
         per_rule.append(hit)
-    hits = (files.select(key, F.inline(F.filter(F.array(*per_rule), lambda x: x.isNotNull())))
-            .select(key, "rule_no", F.posexplode(F.arrays_zip("hl", "gl")).alias("match_no", "z"))
+    hits = (files.select(key, src.alias("_src"), F.inline(F.filter(F.array(*per_rule), lambda x: x.isNotNull())))
+            .select(key, "_src", "rule_no", F.posexplode(F.arrays_zip("hl", "gl")).alias("match_no", "z"))
             .where(F.col("z.hl").isNotNull())
-            .select(key, "rule_no", "match_no",
+            .select(key, "_src", "rule_no", "match_no",
                     F.col("z.hl").alias("hl"), F.col("z.gl").alias("gl")))
     w = (Window.partitionBy(key, "rule_no").orderBy("match_no")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     end = F.sum(F.col("hl") + F.col("gl")).over(w)
-    return hits.select(key, "rule_no", "match_no",
-                       (end - F.col("hl")).alias("start"), end.alias("end"))
+    out = hits.select(key, "rule_no", "match_no", (end - F.col("hl")).alias("start"), end.alias("end"),
+                      F.col("_src").alias("source_type"))
+    return out if with_source else out.drop("source_type")
 
 
 def evidence_window(sample: Column, start: Column, end: Column,
@@ -99,9 +101,8 @@ def detect_findings(files: DataFrame, text_col: str = "text", source_col: str =
     evidence, source_type, confidence`` — rule order then match order is
     ``(rule_no, match_no)``.
     """
-    offsets = match_offsets(files, text_col, source_col, key, limit)
-    texts = files.select(key, F.substring(F.col(text_col), 1, limit).alias("_sample"),
-                         F.col(source_col).alias("source_type"))
+    offsets = match_offsets(files, text_col, source_col, key, limit, with_source=True)
+    texts = files.select(key, F.substring(F.col(text_col), 1, limit).alias("_sample"))
     ev = (offsets.join(texts, key)
           .select(key, "rule_no", "match_no", "source_type",
                   evidence_window(F.col("_sample"), F.col("start"), F.col("end")).alias("evidence")))
@@ -136,9 +137,8 @@ def detect_findings_from_entries(entries: DataFrame, source_col: str = "source",
     """
     keyed = entries.select(F.struct(*keys).alias("_ek"), F.col(message_col).alias("_msg"),
                            F.col(source_col).alias("_src"), F.col(ts_col).alias("_ts"))
-    offsets = match_offsets(keyed, "_msg", "_src", "_ek", limit)
-    texts = keyed.select("_ek", F.substring("_msg", 1, limit).alias("_sample"),
-                         F.col("_src").alias("source_type"), F.col("_ts").alias("ts"))
+    offsets = match_offsets(keyed, "_msg", "_src", "_ek", limit, with_source=True)
+    texts = keyed.select("_ek", F.substring("_msg", 1, limit).alias("_sample"), F.col("_ts").alias("ts"))
     ev = (offsets.join(texts, "_ek")
           .select("_ek", "rule_no", "match_no", "source_type", "ts",
                   evidence_window(F.col("_sample"), F.col("start"), F.col("end")).alias("evidence")))

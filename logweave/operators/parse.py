@@ -401,18 +401,20 @@ def parse_line(line: Column, source: Column) -> Column:
 # Staged parser: each regex runs once per line
 # ---------------------------------------------------------------------------
 SEP = "\u0001\u0002"
+SEP_CHARS = SEP
 
 
 def groups(c: Column, pattern: str, n: int, flags: str = "(?d)") -> Column:
     """All ``n`` capture groups of the first (anchored) match in ONE regex pass, or null.
 
-    The whole string is replaced by ``$1<SEP>$2...`` and split; a group that
-    did not take part comes back as "".
+    The whole string is replaced by ``<SEP>$1<SEP>$2...`` and split; the
+    leading separator marks a match (an unmatched string comes back
+    unchanged).  A group that did not take part comes back as "".
     """
     full = flags + "(?:" + pattern + ")(?s:.*)"
-    rep = SEP.join(f"${i}" for i in range(1, n + 1))
-    arr = F.split(F.regexp_replace(c, full, rep), SEP, -1)
-    return F.when(c.rlike(flags + pattern), arr)
+    rep = "".join(SEP + f"${i}" for i in range(1, n + 1))
+    out = F.regexp_replace(c, full, rep)
+    return F.when(F.startswith(out, F.lit(SEP_CHARS)), F.slice(F.split(out, SEP, -1), 2, n))
 
 
 ISO_P = ISO_FULL

@@ -149,9 +149,15 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``log_files(file_id, text, n_lines, first_ts, last_ts)``: lines joined by LF in line order."""
-    from ..sources.files import assemble_files
-    return assemble_files(log_lines(spark, sf_dir))
+    """``log_files(file_id, text)``: lines joined by LF in line order.
+
+    ``file_id = event_id div 50`` and ``event_id`` is the events key, so a
+    file holds at most 50 template lines: the group is bounded by
+    construction and one ``groupBy`` suffices.  Line tables without such a
+    bound go through ``files.assemble_files`` (byte-limited, skew-safe).
+    """
+    from ..sources.files import simple_assemble_files
+    return simple_assemble_files(log_lines(spark, sf_dir))
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
