@@ -66,25 +66,33 @@ def _any_sub(text: Column, subs) -> Column:
 
 
 def route_agents(text_fields=None) -> Column:
-    """J-3: sorted agent names chosen by substring rules on text, incident_type and tags."""
+    """J-3: sorted agent names chosen by substring rules on text, incident_type and tags.
+
+    Each input is bound once (``let``) so a costly ``incident_type`` or
+    ``tags`` expression is never copied into every rule.
+    """
+    def with_inputs(text: Column, itype: Column, tags: Column) -> Column:
+        picks = []
+        for agent, subs in rules.ROUTER_TEXT_RULES:
+            picks.append(F.when(_any_sub(text, subs), F.lit(agent)))
+        for agent, subs in rules.ROUTER_TYPE_RULES:
+            picks.append(F.when(_any_sub(itype, subs), F.lit(agent)))
+        for agent, vals in rules.ROUTER_TAG_RULES:
+            cond = F.lit(False)
+            for v in vals:
+                cond = cond | F.array_contains(tags, F.lit(v))
+            picks.append(F.when(cond, F.lit(agent)))
+        default = F.array(*[F.lit(a) for a in sorted(rules.ROUTER_DEFAULT)])
+        return let(F.array_sort(F.array_distinct(F.array_compact(F.array(*picks)))),
+                   lambda chosen: F.when(F.size(chosen) > 0, chosen).otherwise(default))
+
     text = F.lower(payload_text(text_fields or rules.ROUTER_TEXT_FIELDS))
     itype = F.lower(F.coalesce(F.col("incident_type"), F.lit("none")))
     tags = F.transform(F.filter(F.coalesce(F.col("tags"), F.array().cast("array<string>")),
                                 lambda x: x.isNotNull() & (x != "")),
                        lambda x: F.lower(py_strip(x)))
-    picks = []
-    for agent, subs in rules.ROUTER_TEXT_RULES:
-        picks.append(F.when(_any_sub(text, subs), F.lit(agent)))
-    for agent, subs in rules.ROUTER_TYPE_RULES:
-        picks.append(F.when(_any_sub(itype, subs), F.lit(agent)))
-    for agent, vals in rules.ROUTER_TAG_RULES:
-        cond = F.lit(False)
-        for v in vals:
-            cond = cond | F.array_contains(tags, F.lit(v))
-        picks.append(F.when(cond, F.lit(agent)))
-    chosen = F.array_sort(F.array_distinct(F.array_compact(F.array(*picks))))
-    default = F.array(*[F.lit(a) for a in sorted(rules.ROUTER_DEFAULT)])
-    return F.when(F.size(chosen) > 0, chosen).otherwise(default)
+    return let(F.struct(text.alias("t"), itype.alias("i"), tags.alias("g")),
+               lambda b: with_inputs(b["t"], b["i"], b["g"]))
 
 
 def keyword_agent(agent: rules.Agent) -> Column:

@@ -709,7 +709,7 @@ SQL["i4_generate_timeline_line_date"] = _timeline_sql(True)
 # ---------------------------------------------------------------------------
 # J: incident analysis
 # ---------------------------------------------------------------------------
-PAY_FIELDS = {"summary": "str", "logs": "list", "incident_type": "str", "tags": "list", "message": "str"}
+PAY_FIELDS = {"summary": "str", "logs": "list", "incident_type": "str", "tags": "list", "message": "str", "log_text": "str"}
 
 
 def ptext(keys) -> str:
@@ -787,13 +787,23 @@ def _rc_pick(idx: int, lowered: str, text: str) -> str:
     return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
 
-ANALYSIS = f"""{FILES},
-pay AS (
+PAY_J13 = f"""pay AS (
   SELECT 'log-' || file_id AS incident_id, {first3('text')}[1] AS summary, [text] AS logs,
          {parser_source_sql('text')} AS incident_type, ['auto-analysis', {parser_source_sql('text')}] AS tags,
-         CAST(NULL AS VARCHAR) AS message FROM log_files
+         CAST(NULL AS VARCHAR) AS message, CAST(NULL AS VARCHAR) AS log_text FROM log_files
   UNION ALL
-  SELECT 'conv-' || conv_id, NULL, NULL, NULL, NULL, text FROM conversations WHERE turn = 0),
+  SELECT 'conv-' || conv_id, NULL, NULL, NULL, NULL, text, NULL FROM conversations WHERE turn = 0)"""
+
+PAY_J15 = f"""{PREPARED},
+pay AS (
+  SELECT file_id AS incident_id, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR[]) AS logs,
+         source AS incident_type, ['auto-analysis', source] AS tags, CAST(NULL AS VARCHAR) AS message,
+         text AS log_text FROM prepared WHERE text IS NOT NULL AND text <> '')"""
+
+
+def analysis_sql(pay: str) -> str:
+    return f"""{FILES},
+{pay},
 routed AS (SELECT *, {_route_sql()} AS agents FROM pay),
 res AS (SELECT *, {_results_sql()} AS results FROM routed),
 merged AS (
@@ -819,6 +829,9 @@ final AS (
   SELECT *, CASE WHEN len(recs0) > 0 THEN recs0 ELSE [{', '.join(lit(x) for x in rules.REMEDIATION_DEFAULTS)}] END AS recommendations
   FROM recs)"""
 
+
+ANALYSIS = analysis_sql(PAY_J13)
+
 SQL["j13_analyze_incidents"] = f"""{ANALYSIS}
 SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary,
        array_to_string(findings, '|') AS findings, array_to_string(evidence, '|') AS evidence,
@@ -1009,3 +1022,10 @@ SQL["a9_export_log_lines"] = """SELECT event_id,
   || ' | {' || array_to_string(list_transform(json_keys(props), lambda k: '''' || k || ''': ' ||
         CAST(json_extract(props, '$."' || k || '"') AS VARCHAR)), ', ') || '}' AS line
 FROM events"""
+
+SQL["j15_auto_analyze"] = f"""{analysis_sql(PAY_J15)}
+SELECT incident_id AS file_id, 'AI Auto-Analysis' AS title,
+       'Summary: ' || summary_m || chr(10) || 'Recommendations:' || chr(10)
+         || array_to_string(list_transform(recommendations, lambda r: '- ' || r), chr(10)) AS detail FROM final"""
+
+SQL["s6_stream_auto_analysis"] = SQL["j15_auto_analyze"]

@@ -402,7 +402,11 @@ def q_j14(spark, sf_dir):
 def q_j15(spark, sf_dir):
     """J-15 / J-16: the upload hook — pipeline source per file, then the analysis and its event."""
     files = pipeline.resolve_files(fx.log_files(spark, sf_dir))
-    payloads = inc.auto_analyze_payloads(files.select("file_id", "text", "source"))
+    # reliable checkpoint (shared spark.checkpoint.dir): the analysis plan fused onto
+    # the detection plan optimises badly, and the cut also bounds recompute on executor loss
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    payloads = inc.auto_analyze_payloads(files.select("file_id", "text", "source")).checkpoint(eager=True)
     res = inc.analyze_incidents(payloads)
     ev = inc.ai_event(res, auto=True)
     return ev.select(F.col("incident_id").alias("file_id"), "title", "detail")
@@ -639,8 +643,9 @@ def stream_job_transitions(li):
     return q.unionByName(r).unionByName(d)
 
 
+@register("s6_stream_auto_analysis")
 def q_s6(spark, sf_dir):
-    """S-6 (not registered: the foreachBatch analysis does not finish in time yet)."""
+    """S-6: the upload hook on each micro-batch, events appended per batch."""
     return st.stream_auto_analysis(spark, st.log_line_stream(spark, sf_dir)).select(
         F.col("incident_id").alias("file_id"), "title", "detail")
 

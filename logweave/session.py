@@ -26,6 +26,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         # size/parallelism instead of a 1 MB floor (large inputs are unaffected).
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
+        # generated methods above 8000 bytecodes are never JIT-compiled by HotSpot;
+        # such stages run faster without whole-stage codegen
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -56,3 +59,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="logweave-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def spread(df, min_partitions: int | None = None):
+    """Repartition only when ``df`` has fewer partitions than the cluster can run.
+
+    Row-local CPU-heavy work (regexes, Python folds) gets its parallelism from
+    the input partitioning; a scan of one small file is a single task.  On a
+    real input with many partitions this is a no-op (no extra shuffle).
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

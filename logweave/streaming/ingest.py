@@ -189,7 +189,8 @@ def stream_auto_analysis(spark: SparkSession, lines: DataFrame, name: str = "aut
 
     def transform(batch: DataFrame) -> DataFrame:
         files = resolve_files(assemble_files(batch.select("file_id", "line_no", "line")))
-        payloads = inc.auto_analyze_payloads(files.select("file_id", "text", "source"))
+        ensure_checkpoint_dir(batch.sparkSession)
+        payloads = inc.auto_analyze_payloads(files.select("file_id", "text", "source")).checkpoint(eager=True)
         return inc.ai_event(inc.analyze_incidents(payloads), auto=True)
 
     run_available_now(lines.writeStream.foreachBatch(_batch_writer(out + "/data", transform)), out + "/_ckpt")
