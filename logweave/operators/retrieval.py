@@ -6,9 +6,10 @@ Exact cosine top-k without a cross join:
   each query row is repeated once per vector block and each vector row once
   per query block (``explode(sequence)``), giving the key
   ``(query_block, vector_block)``;
-* ``cogroup(...).applyInPandas`` multiplies one query block by one vector
-  block with numpy (normalised float64) and emits only the top ``k`` per
-  query of that block — never the pairs;
+* one tagged frame grouped by ``(query_block, vector_block)`` and
+  ``applyInPandas`` multiplies one query block by one vector block with
+  numpy (normalised float64), emitting only the top ``k`` per query of that
+  block — never the pairs;
 * a final per-query top ``k`` over at most ``vb * k`` candidates.
 
 Block counts come from the row counts so a block holds at most
@@ -58,15 +59,24 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: st
     vb = _blocks(nv, max_block_vectors)
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv")).where(F.col("qv").isNotNull())
     v = vectors.select(F.col(vec_id).alias("vid"), F.col(vec_col).alias("vv")).where(F.col("vv").isNotNull())
-    q = q.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("qb"),
-                 F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"))
-    v = v.select("vid", "vv", F.pmod(F.xxhash64("vid"), F.lit(vb)).alias("vb"),
-                 F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
+    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("qb"),
+                 F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"),
+                 F.lit(True).alias("is_q"), F.col("qid").cast("long").alias("id"),
+                 F.col("qv").cast("array<double>").alias("v"))
+    v = v.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"),
+                 F.pmod(F.xxhash64("vid"), F.lit(vb)).alias("vb"),
+                 F.lit(False).alias("is_q"), F.col("vid").cast("long").alias("id"),
+                 F.col("vv").cast("array<double>").alias("v"))
+    # one tagged frame and one grouping: both sides of a block always meet in the
+    # same group (no reliance on two shuffles being coalesced alike)
+    both = q.unionByName(v)
     out_schema = "qid long, vid long, distance double"
 
-    def block_topk(qpdf, vpdf):
+    def block_topk(pdf):
         import numpy as np
         import pandas as pd
+        qpdf = pdf[pdf["is_q"]].rename(columns={"id": "qid", "v": "qv"})
+        vpdf = pdf[~pdf["is_q"]].rename(columns={"id": "vid", "v": "vv"})
         if len(qpdf) == 0 or len(vpdf) == 0:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "vid": pd.Series([], dtype="int64"),
                                  "distance": pd.Series([], dtype="float64")})
@@ -107,7 +117,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: st
         return pd.DataFrame({"qid": np.asarray(rows_q, dtype=np.int64), "vid": np.asarray(rows_v, dtype=np.int64),
                              "distance": np.asarray(rows_d, dtype=np.float64)})
 
-    partial = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(block_topk, out_schema)
+    partial = both.groupBy("qb", "vb").applyInPandas(block_topk, out_schema)
     w = Window.partitionBy("qid").orderBy("distance", "vid")
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias(query_id), "rank", F.col("vid").alias(vec_id), "distance")

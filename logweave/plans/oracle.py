@@ -1029,3 +1029,14 @@ SELECT incident_id AS file_id, 'AI Auto-Analysis' AS title,
          || array_to_string(list_transform(recommendations, lambda r: '- ' || r), chr(10)) AS detail FROM final"""
 
 SQL["s6_stream_auto_analysis"] = SQL["j15_auto_analyze"]
+
+SQL["j8_docs_agent"] = f"""WITH {TOPK},
+h AS (SELECT t.query_id, string_agg('Doc match: ' || d.source, '|' ORDER BY t.rank) AS findings
+      FROM topk t JOIN documents d ON d.doc_id = t.vec_id GROUP BY t.query_id)
+SELECT d.doc_id AS incident_id,
+       CASE WHEN nullif(d.text, '') IS NULL THEN 'docs retrieval skipped'
+            WHEN h.findings IS NOT NULL THEN 'docs retrieval complete' ELSE 'no docs matched' END AS summary,
+       CASE WHEN nullif(d.text, '') IS NULL THEN '' ELSE coalesce(h.findings, '') END AS findings,
+       CASE WHEN nullif(d.text, '') IS NULL THEN 0.3 WHEN h.findings IS NOT NULL THEN 0.6 ELSE 0.4 END AS confidence
+FROM documents d JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id
+LEFT JOIN h ON h.query_id = d.doc_id"""

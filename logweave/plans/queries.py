@@ -744,3 +744,22 @@ def q_h9(spark, sf_dir):
                     "total_chunks", "total_findings",
                     prs.metadata_text(F.col("findings_by_severity").cast("map<string,string>")).alias("by_severity"),
                     prs.metadata_text(F.col("findings_by_category").cast("map<string,string>")).alias("by_category"))
+
+
+@register("j8_docs_agent")
+def q_j8(spark, sf_dir):
+    """J-8 / G-2 / G-5: the docs agent fed by the exact top-5 of each document's vector.
+
+    Payload per embedded document: rag_query = its text (G-5 picks rag_query |
+    query | summary); hits = the sources of the five nearest other documents.
+    """
+    docs = fx.table(spark, sf_dir, "documents")
+    hits = topk_all(spark, sf_dir).join(docs.select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
+    emb = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    payloads = docs.join(emb, "doc_id", "left_semi").select(
+        F.col("doc_id").alias("incident_id"),
+        rt.rag_query(F.col("text"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("rag_query"),
+        F.lit("runbook doc lookup").alias("summary"))
+    res = inc.analyze_incidents(payloads, doc_hits=hits.select(F.col("query_id").alias("incident_id"), "rank", "source"))
+    r = res.select("incident_id", F.inline("agent_results")).where(F.col("agent") == "docs_retrieval")
+    return r.select("incident_id", "summary", F.array_join("findings", "|").alias("findings"), "confidence")
