@@ -1040,3 +1040,21 @@ SELECT d.doc_id AS incident_id,
        CASE WHEN nullif(d.text, '') IS NULL THEN 0.3 WHEN h.findings IS NOT NULL THEN 0.6 ELSE 0.4 END AS confidence
 FROM documents d JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id
 LEFT JOIN h ON h.query_id = d.doc_id"""
+
+for _src, _name in {"kubernetes": "d1_parse_kubernetes", "docker": "d3_parse_docker", "nginx": "d4_parse_nginx",
+                    "apache": "d6_parse_apache", "jenkins": "d8_parse_jenkins",
+                    "github_actions": "d9_parse_github_actions", "terraform": "d10_parse_terraform",
+                    "cloudwatch": "d12_parse_cloudwatch", "generic": "d13_parse_generic"}.items():
+    SQL[_name] = SQL["parse_logs"] + f" WHERE source = {lit(_src)}"
+
+SQL["a4_split_oversize"] = f"""SELECT doc_id, CASE WHEN strlen(text) > {rules.DOC_MAX_BYTES}
+  THEN 'rejected' ELSE 'accepted' END AS side FROM documents"""
+
+SQL["j16_run_pipeline"] = PIPELINE_FINDINGS + f""",
+cnt AS (SELECT file_id, list_transform({split_lines_sql('text')}, lambda x: {strip('x')}) AS ls FROM log_files),
+nf AS (SELECT file_id, count(*) AS n FROM findings GROUP BY file_id)
+SELECT p.file_id, p.source AS source_type, p.parser_source, p.classification_source,
+       round(p.classification_confidence, 6) AS classification_confidence,
+       len(c.ls) AS total_lines, len(list_filter(c.ls, lambda x: x <> '')) AS parsed_lines, 0 AS failed_lines,
+       coalesce(nf.n, 0) AS n_findings
+FROM prepared p JOIN cnt c ON c.file_id = p.file_id LEFT JOIN nf ON nf.file_id = p.file_id"""

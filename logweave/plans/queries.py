@@ -763,3 +763,51 @@ def q_j8(spark, sf_dir):
     res = inc.analyze_incidents(payloads, doc_hits=hits.select(F.col("query_id").alias("incident_id"), "rank", "source"))
     r = res.select("incident_id", F.inline("agent_results")).where(F.col("agent") == "docs_retrieval")
     return r.select("incident_id", "summary", F.array_join("findings", "|").alias("findings"), "confidence")
+
+
+# ---------------------------------------------------------------------------
+# D-1 ... D-13 one query per parser (files detected as that source), A-4, J-16
+# ---------------------------------------------------------------------------
+PARSER_QUERY_IDS = {
+    "kubernetes": "d1_parse_kubernetes", "docker": "d3_parse_docker", "nginx": "d4_parse_nginx",
+    "apache": "d6_parse_apache", "jenkins": "d8_parse_jenkins", "github_actions": "d9_parse_github_actions",
+    "terraform": "d10_parse_terraform", "cloudwatch": "d12_parse_cloudwatch", "generic": "d13_parse_generic",
+}
+
+
+def _parser_query(source: str):
+    def q(spark, sf_dir):
+        files = prs.with_parser_source(fx.log_files(spark, sf_dir)).where(F.col("source") == source)
+        e = prs.parse_logs(files.select("file_id", "text"))
+        return e.select("file_id", "line_no", "ts", "level", "message", "source",
+                        prs.metadata_text(F.col("metadata")).alias("meta"), "raw")
+    q.__doc__ = f"Entries of the files detected as {source}."
+    return q
+
+
+for _src, _name in PARSER_QUERY_IDS.items():
+    register(_name)(_parser_query(_src))
+
+
+@register("a4_split_oversize")
+def q_a4(spark, sf_dir):
+    """A-4: documents over the 20,000,000-byte limit go to the rejects side."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size_bytes"))
+    ok, rejected = fls.split_oversize(d)
+    return ok.select("doc_id", F.lit("accepted").alias("side")).unionByName(
+        rejected.select("doc_id", F.lit("rejected").alias("side")))
+
+
+@register("j16_run_pipeline")
+def q_j16(spark, sf_dir):
+    """J-16: per-file pipeline result metadata (sources, confidence, line counts, findings)."""
+    files = fx.log_files(spark, sf_dir)
+    prepared = pipeline.prepare_files(files)
+    counts = prs.batch_counts(files)
+    found = fnd.detect_findings(prepared, text_col="clean_text", source_col="source")
+    per = found.groupBy("file_id").agg(F.count(F.lit(1)).alias("findings_count"))
+    return (prepared.select("file_id", F.col("source").alias("source_type"), "parser_source",
+                            "classification_source",
+                            F.round("classification_confidence", 6).alias("classification_confidence"))
+            .join(counts, "file_id").join(per, "file_id", "left")
+            .select("*", F.coalesce(F.col("findings_count"), F.lit(0)).alias("n_findings")).drop("findings_count"))
