@@ -1058,3 +1058,16 @@ SELECT p.file_id, p.source AS source_type, p.parser_source, p.classification_sou
        len(c.ls) AS total_lines, len(list_filter(c.ls, lambda x: x <> '')) AS parsed_lines, 0 AS failed_lines,
        coalesce(nf.n, 0) AS n_findings
 FROM prepared p JOIN cnt c ON c.file_id = p.file_id LEFT JOIN nf ON nf.file_id = p.file_id"""
+
+PAY_J1 = """pay AS (
+  SELECT o.o_orderkey AS incident_id, 'order ' || o.o_orderkey AS summary,
+         CASE WHEN lf.text IS NOT NULL THEN [lf.text] END AS logs, CAST(NULL AS VARCHAR) AS incident_type,
+         CAST(NULL AS VARCHAR[]) AS tags, c.text AS message, CAST(NULL AS VARCHAR) AS log_text
+  FROM orders o LEFT JOIN log_files lf ON lf.file_id = o.o_orderkey
+  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON c.conv_id = o.o_orderkey)"""
+
+SQL["j1_analysis_payload"] = f"""{analysis_sql(PAY_J1)}
+SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary,
+       CASE WHEN list_bool_or(list_transform(probable, lambda p: contains(lower(p), 'database') OR contains(lower(p), 'out of memory')))
+            THEN 'Critical' ELSE 'High' END AS rc_severity, rc_confidence,
+       array_to_string(recommendations, '|') AS recommendations FROM final"""

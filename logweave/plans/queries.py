@@ -811,3 +811,19 @@ def q_j16(spark, sf_dir):
                             F.round("classification_confidence", 6).alias("classification_confidence"))
             .join(counts, "file_id").join(per, "file_id", "left")
             .select("*", F.coalesce(F.col("findings_count"), F.lit(0)).alias("n_findings")).drop("findings_count"))
+
+
+@register("j1_analysis_payload")
+def q_j1(spark, sf_dir):
+    """J-1: payloads of every incident (title as summary; a request message when one was
+    sent — conversation turn 0 for the same id; the incident's log text), then analysed."""
+    incs = fx.incidents(spark, sf_dir)
+    reqs = (fx.table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+            .select(F.col("conv_id").alias("incident_id"), F.col("text").alias("message")))
+    logs = fx.log_files(spark, sf_dir).select(F.col("file_id").alias("incident_id"), F.col("text").alias("log_text"))
+    payloads = inc.analysis_payload(incs, reqs, logs)
+    res = inc.analyze_incidents(payloads.select("incident_id", *inc.PAYLOAD_FIELDS))
+    return res.select("incident_id", F.array_join("agents", ",").alias("agents"), "summary",
+                      F.col("root_cause.severity").alias("rc_severity"),
+                      F.col("root_cause.confidence").alias("rc_confidence"),
+                      F.array_join("recommendations", "|").alias("recommendations"))
