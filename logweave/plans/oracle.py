@@ -1071,3 +1071,5 @@ SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary
        CASE WHEN list_bool_or(list_transform(probable, lambda p: contains(lower(p), 'database') OR contains(lower(p), 'out of memory')))
             THEN 'Critical' ELSE 'High' END AS rc_severity, rc_confidence,
        array_to_string(recommendations, '|') AS recommendations FROM final"""
+
+SQL["a2_read_documents"] = """SELECT doc_id, 'text' AS doc_type, length(text) AS n_chars, sha256(text) AS digest FROM documents"""

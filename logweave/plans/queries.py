@@ -827,3 +827,18 @@ def q_j1(spark, sf_dir):
                       F.col("root_cause.severity").alias("rc_severity"),
                       F.col("root_cause.confidence").alias("rc_confidence"),
                       F.array_join("recommendations", "|").alias("recommendations"))
+
+
+@register("a2_read_documents")
+def q_a2(spark, sf_dir):
+    """A-2 / A-3: documents written as .md files, read back with binaryFile, typed and measured."""
+    from ..streaming.ingest import stream_root
+    root = stream_root(spark, "documents")
+    docs = fx.table(spark, sf_dir, "documents")
+    docs.select(F.col("doc_id").cast("string").alias("doc"), "text").write.partitionBy("doc").mode("overwrite").text(root)
+    back = fls.read_documents(spark, root)
+    doc_id = F.regexp_extract(F.col("source"), r"doc=(\d+)", 1).cast("long")
+    # the text writer ends every row with a newline
+    text = F.regexp_replace(F.col("text"), "\n$", "")
+    return back.select(doc_id.alias("doc_id"), "doc_type", F.length(text).alias("n_chars"),
+                       F.sha2(text, 256).alias("digest"))
