@@ -115,7 +115,7 @@ PREPARED = f"""staged AS (
 {SCORED},
 prepared AS (
   SELECT *, {classified_sql()} AS classification_source,
-         CASE WHEN total = 0 THEN 0.5 ELSE least(best / total + 0.3, 1.0) END AS classification_confidence,
+         CASE WHEN total = 0 THEN CAST(0.5 AS DOUBLE) ELSE least(best / total + CAST(0.3 AS DOUBLE), CAST(1.0 AS DOUBLE)) END AS classification_confidence,
          CASE WHEN parser_source <> 'generic' THEN parser_source ELSE {classified_sql()} END AS source
   FROM scored)"""
 
@@ -156,7 +156,7 @@ md AS (
     FROM me) WHERE k1 = 1),
 findings AS (
   SELECT md.{key}, md.rule_no, md.match_no, r.category, r.severity, r.title, md.evidence,
-         md.source_type, 1.0 AS confidence
+         md.source_type, CAST(1.0 AS DOUBLE) AS confidence
   FROM (SELECT *, row_number() OVER (PARTITION BY {key}, rule_no ORDER BY match_no) AS k2 FROM md) md
   JOIN rules_t r ON r.rule_no = md.rule_no
   WHERE k2 <= {rules.MAX_FINDINGS_PER_RULE})"""
@@ -751,14 +751,14 @@ def _agent_sql(a) -> str:
     return (f"{{'agent': {lit(a.name)}, "
             f"'summary': CASE WHEN len({hits}) > 0 THEN {lit(a.hit_summary)} ELSE {lit(a.miss_summary)} END, "
             f"'findings': list_transform({hits}, lambda h: {lit(a.finding_prefix)} || h), "
-            f"'confidence': CASE WHEN len({hits}) > 0 THEN {a.hit_conf} ELSE {a.miss_conf} END, "
+            f"'confidence': CASE WHEN len({hits}) > 0 THEN CAST({a.hit_conf} AS DOUBLE) ELSE CAST({a.miss_conf} AS DOUBLE) END, "
             f"'evidence': {first3(text)}}}")
 
 
 def _docs_sql() -> str:
     d = rules.DOCS_AGENT
     return (f"{{'agent': 'docs_retrieval', 'summary': {lit(d['skip_summary'])}, 'findings': CAST([] AS VARCHAR[]), "
-            f"'confidence': {d['skip_conf']}, 'evidence': CAST([] AS VARCHAR[])}}")
+            f"'confidence': CAST({d['skip_conf']} AS DOUBLE), 'evidence': CAST([] AS VARCHAR[])}}")
 
 
 def _results_sql() -> str:
@@ -1037,7 +1037,7 @@ SELECT d.doc_id AS incident_id,
        CASE WHEN nullif(d.text, '') IS NULL THEN 'docs retrieval skipped'
             WHEN h.findings IS NOT NULL THEN 'docs retrieval complete' ELSE 'no docs matched' END AS summary,
        CASE WHEN nullif(d.text, '') IS NULL THEN '' ELSE coalesce(h.findings, '') END AS findings,
-       CASE WHEN nullif(d.text, '') IS NULL THEN 0.3 WHEN h.findings IS NOT NULL THEN 0.6 ELSE 0.4 END AS confidence
+       CAST(CASE WHEN nullif(d.text, '') IS NULL THEN 0.3 WHEN h.findings IS NOT NULL THEN 0.6 ELSE 0.4 END AS DOUBLE) AS confidence
 FROM documents d JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = d.doc_id
 LEFT JOIN h ON h.query_id = d.doc_id"""
 
