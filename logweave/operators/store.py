@@ -113,7 +113,8 @@ def ingestion_stats(jobs: DataFrame, chunks: DataFrame, findings: DataFrame) ->
     c = chunks.rollup("incident_id").agg(F.count(F.lit(1)).alias("total_chunks"),
                                          F.grouping("incident_id").alias("_g"))
     sev = F.col("severity")
-    per_cat = findings.rollup("incident_id", "category").agg(F.count(F.lit(1)).alias("n"),
+    # cube (not rollup): the total row also needs per-category counts over all incidents
+    per_cat = findings.cube("incident_id", "category").agg(F.count(F.lit(1)).alias("n"),
                                                              F.grouping("incident_id").alias("_g"),
                                                              F.grouping("category").alias("_gc"))
     cats = (per_cat.where(F.col("_gc") == 0).groupBy("incident_id", "_g")
@@ -122,8 +123,12 @@ def ingestion_stats(jobs: DataFrame, chunks: DataFrame, findings: DataFrame) ->
         F.count(F.lit(1)).alias("total_findings"),
         *[F.count_if(sev == s).alias(f"sev_{s}") for s in rules.SEVERITIES],
         F.grouping("incident_id").alias("_g"))
-    keys = ["incident_id", "_g"]
-    out = (j.join(c, keys, "full").join(f, keys, "full").join(cats, keys, "left"))
+    # rollup total rows have a null incident_id: join on a non-null key so they meet
+    def keyed(df):
+        return df.withColumn("_k", F.coalesce(F.col("incident_id").cast("long"), F.lit(-1).cast("long"))).drop("incident_id")
+    keys = ["_k", "_g"]
+    out = (keyed(j).join(keyed(c), keys, "full").join(keyed(f), keys, "full").join(keyed(cats), keys, "left")
+           .withColumn("incident_id", F.when(F.col("_g") == 0, F.col("_k"))))
     sev_map = F.create_map(*[x for s in rules.SEVERITIES for x in (F.lit(s), F.coalesce(F.col(f"sev_{s}"), F.lit(0)))])
     return out.select(
         F.when(F.col("_g") == 0, F.col("incident_id")).alias("incident_id"),

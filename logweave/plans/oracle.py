@@ -1073,3 +1073,96 @@ SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary
        array_to_string(recommendations, '|') AS recommendations FROM final"""
 
 SQL["a2_read_documents"] = """SELECT doc_id, 'text' AS doc_type, length(text) AS n_chars, sha256(text) AS digest FROM documents"""
+
+
+# ---------------------------------------------------------------------------
+# F-1 / F-2 as a recursive CTE: the greedy line fold, one line per step
+# ---------------------------------------------------------------------------
+def chunk_fold_sql(max_chars: int, overlap: int, respect_lines: bool) -> str:
+    add = 1 if respect_lines else 0
+    over = f"(size + n + {add} > {max_chars} AND len(buf) > 0)"
+    body = strip("array_to_string(buf, chr(10))")
+    step = f"""SELECT file_id, ls, i + 1 AS i,
+         list_append(CASE WHEN NOT ov THEN buf WHEN has_ov THEN keep ELSE CAST([] AS VARCHAR[]) END, line) AS buf,
+         CASE WHEN NOT ov THEN size WHEN has_ov THEN coalesce(list_sum(list_transform(keep, lambda x: length(x))), 0) + len(keep) - 1 ELSE 0 END
+           + n + {add} AS size,
+         {"CASE WHEN ov AND len(outs1) > 0 THEN outs1[-1].e + 1 ELSE " if respect_lines else "("}
+           CASE WHEN NOT ov THEN first WHEN has_ov THEN last - len(tail) + 2 ELSE first END END AS first,
+         outs1 AS outs
+  FROM (SELECT *, CASE WHEN len(tail) > 1 THEN tail[2:] ELSE tail END AS keep FROM (
+    SELECT *, ov AND {overlap} > 0 AND body <> '' AND length(body) > {overlap} AS has_ov,
+           string_split(right(body, {overlap}), chr(10)) AS tail,
+           CASE WHEN ov AND body <> '' THEN list_append(outs, {{'idx': len(outs), 'body': body, 's': first, 'e': last}}) ELSE outs END AS outs1
+    FROM (SELECT *, {over} AS ov, {body} AS body, first + len(buf) - 1 AS last
+          FROM (SELECT *, ls[i] AS line, length(ls[i]) AS n FROM st WHERE i <= len(ls)))))"""
+    if not respect_lines:
+        step = step.replace("(\n           CASE WHEN NOT ov THEN first WHEN has_ov THEN last - len(tail) + 2 ELSE first END END AS first",
+                            "(CASE WHEN NOT ov THEN first WHEN has_ov THEN last - len(tail) + 2 ELSE first END) AS first")
+    return f"""WITH RECURSIVE {LOG_LINES},
+{LOG_FILES},
+src AS (SELECT file_id, {split_lines_sql(clean('text'))} AS ls FROM log_files WHERE {clean('text')} <> ''),
+st(file_id, ls, i, buf, size, first, outs) AS (
+  SELECT file_id, ls, 1, CAST([] AS VARCHAR[]), 0, 0,
+         CAST([] AS STRUCT(idx BIGINT, body VARCHAR, s BIGINT, e BIGINT)[]) FROM src
+  UNION ALL
+  {step}),
+fin AS (
+  SELECT file_id, CASE WHEN len(buf) > 0 AND {body} <> ''
+                       THEN list_append(outs, {{'idx': len(outs), 'body': {body}, 's': first, 'e': first + len(buf) - 1}})
+                       ELSE outs END AS outs
+  FROM st WHERE i = len(ls) + 1),
+ch AS (SELECT file_id, unnest(outs) AS c FROM fin)
+SELECT file_id, c.idx AS chunk_index, c.s AS start_line, c.e AS end_line, substr(sha256(c.body), 1, 16) AS checksum,
+       length(c.body) AS n_chars FROM ch"""
+
+
+SQL["f1_chunk_log_lines"] = chunk_fold_sql(rules.LOG_CHUNK_MAX, rules.LOG_CHUNK_OVERLAP, True)
+SQL["f2_chunk_non_line_mode"] = chunk_fold_sql(300, 40, False).replace(
+    ",\n       length(c.body) AS n_chars FROM ch", " FROM ch")
+
+_F1 = f"({SQL['f1_chunk_log_lines']})"
+
+SQL["f9_dedup_chunks"] = f"""SELECT checksum, file_id, chunk_index FROM (
+  SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY file_id, chunk_index) AS rn FROM {_F1} c) WHERE rn = 1"""
+
+SQL["f10_embedding_records"] = f"""SELECT file_id, chunk_index,
+  'checksum=' || checksum || ';chunk_index=' || chunk_index || ';end_line=' || end_line || ';file_id=' || file_id
+  || ';start_line=' || start_line AS meta FROM {_F1} c"""
+
+SQL["h2_chunks_by_job"] = f"""SELECT file_id AS job_id, chunk_index,
+  row_number() OVER (PARTITION BY file_id ORDER BY chunk_index) AS pos FROM {_F1} c"""
+
+SQL["h7_chunk_counts"] = f"""SELECT file_id AS incident_id, count(*) AS n_chunks FROM {_F1} c GROUP BY file_id"""
+
+
+def _h9_sql() -> str:
+    sev_txt = " || ';' || ".join(f"'{s}=' || coalesce(sev_{s}, 0)" for s in sorted(rules.SEVERITIES))
+    return f"""{REL},
+chunks AS (SELECT file_id AS incident_id FROM {_F1} c),
+j AS (SELECT incident_id, count(*) AS total_jobs, count(*) FILTER (WHERE status = 'queued') AS pending_jobs,
+             count(*) FILTER (WHERE status = 'running') AS running_jobs,
+             count(*) FILTER (WHERE status = 'succeeded') AS completed_jobs,
+             count(*) FILTER (WHERE status = 'failed') AS failed_jobs FROM jobs GROUP BY ROLLUP (incident_id)),
+c AS (SELECT incident_id, count(*) AS total_chunks FROM chunks GROUP BY ROLLUP (incident_id)),
+f AS (SELECT incident_id, count(*) AS total_findings,
+             {', '.join(f"count(*) FILTER (WHERE severity = {lit(s)}) AS sev_{s}" for s in rules.SEVERITIES)}
+      FROM findings_t GROUP BY ROLLUP (incident_id)),
+fc0 AS (SELECT incident_id, category, count(*) AS n FROM findings_t GROUP BY incident_id, category
+        UNION ALL SELECT NULL, category, count(*) FROM findings_t GROUP BY category),
+fc AS (SELECT incident_id, string_agg(category || '=' || n, ';' ORDER BY category) AS by_category FROM fc0 GROUP BY incident_id),
+k AS (SELECT coalesce(incident_id, -1) AS k, * FROM j),
+kc AS (SELECT coalesce(incident_id, -1) AS k, * FROM c),
+kf AS (SELECT coalesce(incident_id, -1) AS k, * FROM f),
+kfc AS (SELECT coalesce(incident_id, -1) AS k, * FROM fc),
+keys AS (SELECT k FROM k UNION SELECT k FROM kc UNION SELECT k FROM kf)
+SELECT CASE WHEN keys.k = -1 THEN 'all' ELSE CAST(keys.k AS VARCHAR) END AS incident_id,
+       coalesce(k.total_jobs, 0) AS total_jobs, coalesce(k.pending_jobs, 0) AS pending_jobs,
+       coalesce(k.running_jobs, 0) AS running_jobs, coalesce(k.completed_jobs, 0) AS completed_jobs,
+       coalesce(k.failed_jobs, 0) AS failed_jobs, coalesce(kc.total_chunks, 0) AS total_chunks,
+       coalesce(kf.total_findings, 0) AS total_findings, {sev_txt} AS by_severity,
+       coalesce(kfc.by_category, '') AS by_category
+FROM keys LEFT JOIN k ON k.k = keys.k LEFT JOIN kc ON kc.k = keys.k LEFT JOIN kf ON kf.k = keys.k
+LEFT JOIN kfc ON kfc.k = keys.k"""
+
+
+SQL["h9_ingestion_stats"] = _h9_sql()

@@ -740,7 +740,8 @@ def q_h7(spark, sf_dir):
 def q_h9(spark, sf_dir):
     """H-9 for every incident plus the all-incident total row."""
     s = store.ingestion_stats(fx.jobs(spark, sf_dir), chunk_table(spark, sf_dir), fx.findings_table(spark, sf_dir))
-    return s.select("incident_id", "total_jobs", "pending_jobs", "running_jobs", "completed_jobs", "failed_jobs",
+    return s.select(F.coalesce(F.col("incident_id").cast("string"), F.lit("all")).alias("incident_id"),
+                    "total_jobs", "pending_jobs", "running_jobs", "completed_jobs", "failed_jobs",
                     "total_chunks", "total_findings",
                     prs.metadata_text(F.col("findings_by_severity").cast("map<string,string>")).alias("by_severity"),
                     prs.metadata_text(F.col("findings_by_category").cast("map<string,string>")).alias("by_category"))
