@@ -1166,3 +1166,67 @@ LEFT JOIN kfc ON kfc.k = keys.k"""
 
 
 SQL["h9_ingestion_stats"] = _h9_sql()
+
+
+# ---------------------------------------------------------------------------
+# F-4: the document fold as a recursive CTE over (unit | paragraph end) events
+# ---------------------------------------------------------------------------
+def doc_fold_sql(M: int = rules.DOC_CHUNK_MAX, O: int = rules.DOC_CHUNK_OVERLAP,
+                 K: int = rules.DOC_MAX_CHUNKS) -> str:
+    step = M - O
+    para_re = lit(chr(10) + WS_CLASS + "*" + chr(10))
+    sent = f"string_split(regexp_replace({strip('p')}, {lit('([.!?])' + WS_CLASS + '+')}, '\\1' || chr(1), 'g'), chr(1))"
+    parts = (f"list_transform(generate_series(0, CASE WHEN length(u) <= {M} THEN 0 "
+             f"ELSE CAST(ceil((length(u) - {M}) / {float(step)}) AS BIGINT) END), "
+             f"lambda k: {strip(f'substr(u, CAST(k * {step} + 1 AS BIGINT), {M})')})")
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {normalize_sql('text')} AS t FROM documents),
+ps AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, {para_re}), lambda x: {strip('x')}), lambda x: x <> '') AS ps
+       FROM d WHERE t <> ''),
+ev AS (SELECT doc_id, flatten(list_transform(ps, lambda p:
+         list_append(list_transform(list_filter(list_transform({sent}, lambda x: {strip('x')}), lambda x: x <> ''),
+                                    lambda x: {{'end': false, 'u': x}}),
+                     {{'end': true, 'u': ''}}))) AS evs FROM ps),
+st(doc_id, evs, i, cur, outs, done) AS (
+  SELECT doc_id, evs, 1, '', CAST([] AS VARCHAR[]), false FROM ev
+  UNION ALL
+  SELECT doc_id, evs, i + 1,
+         CASE WHEN e.end THEN (CASE WHEN length(cur) > {M} THEN (CASE WHEN {O} > 0 THEN right(cur, {O}) ELSE '' END) ELSE cur END)
+              WHEN length(u) > {M} THEN ''
+              ELSE (CASE WHEN cur1 <> '' THEN {strip("cur1 || ' ' || u")} ELSE u END) END,
+         CASE WHEN e.end THEN (CASE WHEN length(cur) > {M} THEN list_append(outs, {strip('cur')}) ELSE outs END)
+              WHEN length(u) > {M} THEN list_concat(outs, ({parts})[1:greatest({K} - len(outs), 0)])
+              ELSE outs1 END,
+         CASE WHEN e.end THEN length(cur) > {M} AND len(outs) + 1 >= {K}
+              WHEN length(u) > {M} THEN len(outs) + len({parts}) > {K}
+              ELSE flushed AND len(outs1) >= {K} END
+  FROM (SELECT *, cur <> '' AND length(cur) + length(u) + 1 > {M} AS flushed,
+               CASE WHEN cur <> '' AND length(cur) + length(u) + 1 > {M} THEN list_append(outs, {strip('cur')}) ELSE outs END AS outs1,
+               CASE WHEN cur <> '' AND length(cur) + length(u) + 1 > {M} THEN (CASE WHEN {O} > 0 THEN right(cur, {O}) ELSE '' END) ELSE cur END AS cur1
+        FROM (SELECT *, evs[i] AS e, evs[i].u AS u FROM st WHERE i <= len(evs) AND NOT done))),
+last AS (SELECT doc_id, arg_max(struct_pack(cur := cur, outs := outs, done := done), i) AS s FROM st GROUP BY doc_id),
+fin AS (SELECT doc_id, (CASE WHEN NOT s.done AND s.cur <> '' THEN list_append(s.outs, {strip('s.cur')}) ELSE s.outs END)[1:{K}] AS outs FROM last),
+chunks AS (SELECT doc_id, CAST(generate_subscripts(outs, 1) - 1 AS BIGINT) AS chunk_index, unnest(outs) AS text FROM fin)"""
+
+
+DOC_CHUNKS = doc_fold_sql()
+
+SQL["f4_chunk_documents"] = DOC_CHUNKS + """
+SELECT doc_id, chunk_index, substr(sha256(text), 1, 16) AS checksum, length(text) AS n_chars FROM chunks"""
+
+_CID = """,
+cid AS (SELECT c.doc_id, c.chunk_index, c.text,
+               substr(sha256(d.source), 1, 12) || '-' || c.chunk_index || '-' || substr(sha256(c.text), 1, 16) AS chunk_id,
+               count(*) OVER (PARTITION BY c.doc_id) AS chunk_total
+        FROM chunks c JOIN documents d ON d.doc_id = c.doc_id)"""
+
+SQL["f7_chunk_ids"] = DOC_CHUNKS + _CID + """
+SELECT doc_id, chunk_index, chunk_id, chunk_total FROM cid"""
+
+SQL["a8_upsert_doc_chunks"] = DOC_CHUNKS + _CID + """,
+idx AS (SELECT c.* FROM cid c JOIN documents d ON d.doc_id = c.doc_id WHERE d.lang = 'en'),
+fresh AS (SELECT * FROM cid WHERE chunk_id NOT IN (SELECT chunk_id FROM idx)),
+merged AS (SELECT doc_id FROM idx UNION ALL SELECT doc_id FROM fresh)
+SELECT doc_id, count(*) AS n_chunks FROM merged GROUP BY doc_id"""
+
+SQL["g4_index_stats"] = DOC_CHUNKS + """
+SELECT count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)"""
