@@ -1230,3 +1230,8 @@ SELECT doc_id, count(*) AS n_chunks FROM merged GROUP BY doc_id"""
 
 SQL["g4_index_stats"] = DOC_CHUNKS + """
 SELECT count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)"""
+
+SQL["a7_write_ingest"] = PIPELINE_FINDINGS + f"""
+SELECT 'jobs' AS "table", count(*) AS n FROM log_files
+UNION ALL SELECT 'chunks', (SELECT count(*) FROM {_F1} c)
+UNION ALL SELECT 'findings', count(*) FROM findings"""
