@@ -75,3 +75,18 @@ def test_incident_id_zero_filters_q22(spark):
     df = spark.createDataFrame([(1, 0, "queued", dt.datetime(2024, 1, 1)), (2, 5, "queued", dt.datetime(2024, 1, 1))],
                                "id long, incident_id long, status string, created_at timestamp_ntz")
     assert [r.id for r in store.jobs_by_incident(df, incident_id=0).collect()] == [1]
+
+
+def test_ingestion_stats_single_total_row(spark):
+    jobs = spark.createDataFrame([(1, 10, "queued"), (2, 10, "failed"), (3, 11, "succeeded")],
+                                 "id long, incident_id long, status string")
+    chunks = spark.createDataFrame([(1, 10), (2, 12)], "id long, incident_id long")
+    findings = spark.createDataFrame([(1, 10, "high", "DNSFailure"), (2, 11, "low", "CPUSpike")],
+                                     "id long, incident_id long, severity string, category string")
+    rows = {r.incident_id: r for r in store.ingestion_stats(jobs, chunks, findings).collect()}
+    assert set(rows) == {None, 10, 11, 12}          # one total row, not one per input table
+    total = rows[None]
+    assert (total.total_jobs, total.total_chunks, total.total_findings) == (3, 2, 2)
+    assert total.findings_by_category == {"CPUSpike": 1, "DNSFailure": 1}
+    assert rows[10].failed_jobs == 1 and rows[12].total_jobs == 0 and rows[12].total_chunks == 1
+    assert rows[11].findings_by_severity == {"critical": 0, "high": 0, "medium": 0, "low": 1}
