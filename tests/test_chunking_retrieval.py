@@ -89,3 +89,24 @@ def test_cosine_topk_matches_bruteforce(spark):
         d = 1 - Vn @ (q / np.linalg.norm(q))
         exp = [int(j) for j in np.lexsort((np.arange(len(d)), d))[:3]]
         assert [v for _, v in sorted(res[100 + i])] == exp
+
+
+def test_cosine_topk_under_small_partition_coalescing(spark):
+    """The settings that made a cogroup-based top-k return nothing must not matter."""
+    rng = np.random.default_rng(5)
+    V = rng.normal(size=(300, 16))
+    vdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(V)], "vec_id long, embedding array<double>")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.coalescePartitions.minPartitionSize",
+                                                "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        q = vdf.select(F.col("vec_id").alias("query_id"), "embedding")
+        got = rt.cosine_topk(q, vdf, k=2, exclude_self=True, max_block_vectors=64, max_block_queries=50).count()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert got == 300 * 2
