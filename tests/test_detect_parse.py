@@ -122,3 +122,14 @@ def test_forced_unknown_is_generic(files_df):
     df = files_df({1: S.NGINX}).withColumn("forced", F.lit("nope"))
     got = parse.with_parser_source(df, forced_col="forced").collect()[0]["source"]
     assert got == "generic"
+
+
+def test_cloudwatch_json_export_d11(files_df):
+    text = ('[{"@timestamp": "2024-03-01T16:00:00Z", "message": "ERROR disk full", "logStream": "a"}, '
+            '"not an object", {"@timestamp": 1709308801000, "@message": "WARNING slow"}]')
+    df = files_df({1: text}).withColumn("forced", F.lit("cloudwatch"))
+    rows = parse.parse_logs(df, forced_col="forced").orderBy("line_no").collect()
+    assert len(rows) == 2                              # the non-object item is skipped
+    assert rows[0].level == "ERROR" and rows[0].message == "ERROR disk full"
+    assert rows[0].metadata == {"logStream": "a"} and rows[0].ts == dt.datetime(2024, 3, 1, 16, 0, 0)
+    assert rows[1].level == "WARN" and rows[1].ts == dt.datetime(2024, 3, 1, 16, 0, 1) and rows[1].raw == ""
