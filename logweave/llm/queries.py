@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, toxicity
+from . import bpe, exact_dedup, ngram_join, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE ids of all documents and the text decoded from them, as digests (tested against the library)."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies over all documents (tested against brute force)."""
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
