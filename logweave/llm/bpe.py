@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import gather
+
 #: distinct pieces that a task remembers before it starts anew
 CACHE_PIECES = 400_000
 #: text bytes handled at once
@@ -215,12 +217,6 @@ class WordBpe:
         return [raw[a:max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of the runs ``start .. start + size``, one behind the other."""
-    total = int(size.sum())
-    return np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
-
-
 def _text_runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     at = total = 0
     for i, t in enumerate(texts):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, toxicity
+from . import bpe, exact_dedup, html_text, language_id, license_scan, mixing, ngram_join, sharding, topk_search, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,50 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies over all documents (tested against brute force)."""
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
+@register("op1_html_text")
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by the site style tree (tested on pages with known text)."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op4_sharding")
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents by balanced label propagation (its law and cuts are tested)."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@register("op6_top_k", """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  GROUP BY vec_id
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""")
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector against all others."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op3_mixing", mixing.oracle_sql())
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling probabilities and draws of all documents."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@register("op10_license_scan", license_scan.oracle_sql())
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages from fused evidence (held-out agreement is tested)."""
+    return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
