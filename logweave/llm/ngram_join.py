@@ -15,12 +15,17 @@ sets with different l_x, l_y share at least ``min(l_x, l_y)`` in theirs.  Hence:
    (a print that collides only lets a document through).  A shingle that repeats inside a
    batch is sent once, so a passage that many documents hold does not pile up.
 2. *Equal sets* fold into one class (grouped by a 128-bit digest of the set).
-3. *Stars.*  Classes with an equal minimum hash are compared with the smallest of them;
-   groups of near copies become components without the pairs inside them.
-4. *Adaptive prefixes.*  Shingles are ordered from rare to frequent by a count sketch of
+3. *Adaptive prefixes.*  Shingles are ordered from rare to frequent by a count sketch of
    all classes.  Each class takes the l that minimises list entries read plus candidates
-   to verify (by Markov at most entries / l).  Rows meet by shingle; pairs of different
-   components with enough common prefix shingles and fitting sizes are verified exactly.
+   to verify (by Markov at most entries / l).  Candidates have enough common prefix
+   shingles and fitting sizes; whole sets decide.
+4. *Inside groups.*  Classes that share a minimum hash, directly or through others, form a
+   group.  A group is compared in blocks of ``BLOCK`` classes: a task counts the common
+   prefix shingles of two blocks, verifies the candidates, and passes on the components
+   it finds, at most one row per class.  So many near copies of one text make no row per
+   pair, and no task holds more than two blocks of them.
+   *Between groups.*  Rows (shingle, class) of the prefixes meet by shingle, only shingles
+   that several groups hold; pairs with enough meetings are verified.
 5. Components of all verified links.
 
 Defined results: null and empty texts have the empty set and link with nothing; rows with
@@ -38,20 +43,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, pieces, shared_table, slices, word_hashes, words
+from .common import LOWER, gather, mix, pieces, shared_table, slices, word_hashes, words
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 #: cells of the count sketch (2 MB), its sum goes through the driver
 SKETCH = 1 << 18
-#: smallest hashes by which stars are formed
+#: bits of the filter by which representatives' texts are picked
+CELLS = 1 << 25
+#: minimum hashes by which groups are formed
 STAR_KEYS = 4
+#: classes and bytes of sets in a block of a group, and matrix columns held at once
+BLOCK = 2048
+BLOCK_BYTES = 6_000_000
+COLUMNS = 4096
+#: light pairs listed at once
+PAIRS = 4_000_000
 MAX_MATCHES = 64
-_NONE = np.uint32(0xFFFFFFFF)
+#: rows of a block of documents (its ordinals take 16 bits) and the ordinal of no document
+BLOCK_ROWS = 32_768
+_NONE = np.uint16(0xFFFF)
 _FACTORS = np.random.default_rng(11).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -96,8 +111,9 @@ _PARTS = "slice long, block long, a binary, b binary, c binary, d binary"
 
 def _block_parts(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
-    for number, batch in enumerate(batches):
-        block = task << 24 | number
+    parts = (batch.slice(x, BLOCK_ROWS) for batch in batches for x in range(0, batch.num_rows, BLOCK_ROWS))
+    for number, batch in enumerate(parts):
+        block = task << 32 | number
         size = np.zeros(batch.num_rows, np.int64)
         marks, prefix = [], []
         for i, hashes in shingle_sets(batch.column("text")):
@@ -109,7 +125,7 @@ def _block_parts(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[p
         ordinal = np.repeat(np.arange(batch.num_rows), lengths)
         values, inverse, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *prefix]), return_inverse=True, return_counts=True)
         shared = np.bincount(ordinal[counts[inverse] > 1], minlength=batch.num_rows)
-        owner = np.full(len(values), _NONE, np.uint32)
+        owner = np.full(len(values), _NONE, np.uint16)
         owner[inverse] = ordinal
         owner[counts > 1] = _NONE
         ids = batch.column("doc_id")
@@ -131,7 +147,7 @@ def _slice_replies(rows: pd.DataFrame) -> pd.DataFrame:
     if rows["slice"].iloc[0] < 0:  # a block's own documents: passed on
         return rows
     prints = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["a"]])
-    owner = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["b"]])
+    owner = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["b"]])
     block = np.repeat(rows["block"].to_numpy(), [len(x) // 4 for x in rows["a"]])
     order = np.argsort(prints, kind="stable")
     same = prints[order][1:] == prints[order][:-1]
@@ -149,7 +165,7 @@ def _block_documents(rows: pd.DataFrame) -> pd.DataFrame:
     ids = np.frombuffer(own["a"], np.int64)
     size, matches, shared = np.frombuffer(own["b"], np.int64).reshape(3, -1).copy()
     for who, count in zip(rows["a"][rows["c"].isna()], rows["b"][rows["c"].isna()], strict=True):
-        shared[np.frombuffer(who, np.uint32)] += np.frombuffer(count, np.uint32)
+        shared[np.frombuffer(who, np.uint16)] += np.frombuffer(count, np.uint32)
     return pd.DataFrame({"doc_id": ids, "no_id": np.frombuffer(own["d"], np.uint8).astype(bool), "n": size,
                          "digest": [own["c"][i:i + 16] for i in range(0, 16 * len(ids), 16)], "open": shared >= matches})
 
@@ -164,40 +180,46 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 # -- 2. classes and their sets ---------------------------------------------------------
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [(digest(h), len(h), h.tobytes()) for _, h in shingle_sets(batch.column("text"))]
-        mark, n, hashes = zip(*found, strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(mark, pa.binary()), pa.array(n, pa.int64()), pa.array(hashes, pa.binary())],
-                                         ["rep", "digest", "n", "hashes"])
+def _membership(ids: DataFrame) -> np.ndarray:
+    """Bits of the hash cells of all ``doc_id`` in ids: a filter of fixed size (4 MB)."""
+    width = CELLS // 1024
 
+    def bits(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(width, bool)
+        own[rows["cell"].to_numpy() % width] = True
+        return pd.DataFrame({"part": [int(rows["cell"].iloc[0]) // width], "bits": [np.packbits(own).tobytes()]})
 
-def classes(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """node, digest, rep (smallest doc_id), n and hashes of each set that may have a partner (written)."""
-    reps = found.where("open and not no_id").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    texts = docs.select("doc_id", "text").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets, "rep long, digest binary, n long, hashes binary").join(reps, ["rep", "digest"], "left_semi")
-    return shared_table(sets.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "sets")
+    cells = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")).distinct().withColumn("part", F.floor(F.col("cell") / width))
+    out = np.zeros((1024, width // 8), np.uint8)
+    for r in cells.groupBy("part").applyInPandas(bits, "part long, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
 
-# -- 3. and 4. candidates -------------------------------------------------------------
-def _star_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, nodes = [], []
-        for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-            h = np.frombuffer(raw, np.uint64)
-            keys += [int(mix(h + np.uint64(7919 * (k + 1))).min().view(np.int64)) for k in range(STAR_KEYS)]
-            nodes += [node] * STAR_KEYS
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["token", "node"])
+def classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """node, digest, rep (smallest doc_id), n and hashes of each set that may have a partner (written).
 
+    A filter of fixed size lets through the representatives (and few others) where texts
+    are read, so texts are not shuffled; the join by digest is exact.
+    """
+    reps = shared_table(found.where("open and not no_id").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    held = docs.sparkSession.sparkContext.broadcast(_membership(reps.select(F.col("rep").alias("doc_id"))))
 
-def stars(sets: DataFrame) -> DataFrame:
-    """Pairs (class, smallest class with the same minimum hash)."""
-    keys = sets.select("node", "hashes").mapInArrow(_star_keys, "token long, node long")
-    hubs = keys.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1").drop("held")
-    return keys.join(hubs, "token").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.asarray(batch.column("cell"), np.int64)
+            batch = batch.filter(pa.array((held.value[cell // 8] >> (7 - cell % 8).astype(np.uint8)) & 1 == 1, pa.bool_()))
+            sets = [(digest(h), len(h), h.tobytes()) for _, h in shingle_sets(batch.column("text"))]
+            mark, n, hashes = zip(*sets, strict=True) if sets else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(mark, pa.binary()), pa.array(n, pa.int64()), pa.array(hashes, pa.binary())],
+                                             ["doc_id", "digest", "n", "hashes"])
+
+    texts = docs.where("doc_id is not null").select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(CELLS)).alias("cell"), "text")
+    sets = texts.mapInArrow(run, "doc_id long, digest binary, n long, hashes binary").join(reps, "digest").where("doc_id = rep").drop("doc_id")
+    return shared_table(sets.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
+# -- 3. adaptive prefixes ---------------------------------------------------------------
 def sketch(sets: DataFrame) -> np.ndarray:
     """Counts of all shingles of all classes by ``SKETCH`` hash cells (a bounded array)."""
     cells, parts = SKETCH, 16
@@ -239,10 +261,118 @@ def adaptive_prefix(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return hashes[order[:prefix_size(n, matches)]], matches
 
 
-def candidates(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes of different components with enough common prefix shingles."""
-    counts = sets.sparkSession.sparkContext.broadcast(sketch(sets))
+# -- 4. inside groups -------------------------------------------------------------------
+def _star_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, nodes = [], []
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            h = np.frombuffer(raw, np.uint64)
+            keys += [int(mix(h + np.uint64(7919 * (k + 1))).min().view(np.int64)) for k in range(STAR_KEYS)]
+            nodes += [node] * STAR_KEYS
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.int64())], ["token", "node"])
+
+
+def group_labels(sets: DataFrame) -> DataFrame:
+    """node, component: classes with an equal minimum hash, directly or through others."""
+    keys = sets.select("node", "hashes").mapInArrow(_star_keys, "token long, node long")
+    hubs = keys.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("held")).where("held > 1").drop("held")
+    return components(keys.join(hubs, "token").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
 
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every left and every right set.
+
+    Elements that many sets of both sides hold are counted by products of 0/1 matrices,
+    the others by listing the few pairs that hold them.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    flat = [np.concatenate([np.zeros(0, np.uint64), *side]) for side in (left, right)]
+    row = [np.repeat(np.arange(len(side)), [len(x) for x in side]) for side in (left, right)]
+    common = np.intersect1d(*flat)
+    if not len(common):
+        return out
+    at = [np.minimum(np.searchsorted(common, f), len(common) - 1) for f in flat]
+    hit = [common[p] == f for p, f in zip(at, flat, strict=True)]
+    at, row = [p[h] for p, h in zip(at, hit, strict=True)], [r[h] for r, h in zip(row, hit, strict=True)]
+    held = [np.bincount(p, minlength=len(common)) for p in at]
+    heavy = held[0] * held[1] > out.size // 128
+    number = np.cumsum(heavy) - 1
+    for x in range(0, int(heavy.sum()), COLUMNS):
+        m = []
+        for side, p, r in zip((left, right), at, row, strict=True):
+            own = heavy[p] & (number[p] >= x) & (number[p] < x + COLUMNS)
+            cells = np.zeros((len(side), COLUMNS), np.float32)
+            cells[r[own], number[p[own]] - x] = 1
+            m.append(cells)
+        out += m[0] @ m[1].T
+    own = ~heavy[at[0]]
+    token, first = at[0][own], row[0][own]
+    order = np.argsort(at[1], kind="stable")
+    start, partners = (np.cumsum(held[1]) - held[1])[token], held[1][token]
+    total = np.cumsum(partners)
+    cuts = np.searchsorted(total, np.arange(PAIRS, (total[-1] if len(total) else 0) + PAIRS, PAIRS), "right")
+    for x, y in zip([0, *cuts], cuts):  # noqa: B905
+        pair = np.repeat(first[x:y], partners[x:y]) * len(right) + row[1][order[gather(start[x:y], partners[x:y])]]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _block_links(left: list[np.ndarray], right: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """Which left and right sets link: sizes, common prefix shingles, then whole sets."""
+    size = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
+    prefix = [[adaptive_prefix(x, counts) for x in side] for side in (left, right)]
+    matches = [np.array([m for _, m in side]) for side in prefix]
+    fit = 100 * np.minimum.outer(*size) >= PERCENT * np.maximum.outer(*size)
+    fit &= _overlaps(*[[p for p, _ in side] for side in prefix]) >= np.minimum.outer(*matches)
+    rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
+    out = np.zeros_like(fit)
+    if len(rows):
+        both = _overlaps([left[i] for i in rows], [right[j] for j in cols]).astype(np.int64)
+        out[np.ix_(rows, cols)] = 100 * both >= PERCENT * (np.add.outer(size[0][rows], size[1][cols]) - both)
+    return out & fit
+
+
+def _resolve(rows: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
+    """Links (node, smallest node it reaches) among the classes of each group in ``rows``."""
+    out = []
+    for _, own in rows.groupby("component", sort=False):
+        if len(own) < 2:
+            continue
+        node, block = own["node"].to_numpy(), own["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in own["hashes"]]
+        low = np.flatnonzero(block == block.min())
+        high = np.flatnonzero(block == block.max())
+        link = _block_links([sets[i] for i in low], [sets[i] for i in high], counts)
+        label = node.copy()
+        while True:  # smallest label among neighbours until nothing changes
+            best = label.copy()
+            far = np.iinfo(np.int64).max
+            best[low] = np.minimum(best[low], np.where(link, best[high][None, :], far).min(1))
+            best[high] = np.minimum(best[high], np.where(link, best[low][:, None], far).min(0))
+            if (best == label).all():
+                break
+            label = best
+        out.append(pd.DataFrame({"a": label, "b": node})[label != node])
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def inside_links(sets: DataFrame, labels: DataFrame, counts) -> DataFrame:
+    """Links inside groups (written); small groups share tasks, large ones go by pairs of blocks."""
+    n = slices(sets.sparkSession, 2)
+    member = labels.join(sets.select("node", "n"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).alias("blocks")
+    member = member.drop("n").join(member.groupBy("component").agg(blocks), "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    other = F.explode(F.expr("sequence(0, int(blocks) - 1)")).alias("other")
+    placed = (sets.select("node", "hashes").join(member, "node").select("node", "hashes", "component", "blocks", "block", other)
+              .withColumn("key", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(n)))
+                          .otherwise(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))))
+    return shared_table(placed.select("key", "component", "block", "node", "hashes").groupBy("key")
+                        .applyInPandas(lambda pdf: _resolve(pdf, counts.value), "a long, b long"), "links")
+
+
+# -- and between groups -------------------------------------------------------------------
+def candidates(sets: DataFrame, labels: DataFrame, counts) -> DataFrame:
+    """Pairs of classes of different groups with enough common prefix shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in range(0, batch.num_rows, 500):
@@ -255,9 +385,9 @@ def candidates(sets: DataFrame, labels: DataFrame) -> DataFrame:
 
     labelled = sets.select("node", "n", "hashes").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = labelled.select("node", "n", "hashes", "component").mapInArrow(run, "token long, node long, n long, matches long, component long")
-    rows = rows.repartition(slices(sets.sparkSession), "token")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    met = shared_table(rows.join(mixed, "token", "left_semi"), "met")
+    same = Window.partitionBy("token")
+    met = shared_table(rows.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same))
+                       .where("low < high").drop("low", "high"), "met")
     a, b = (met.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "matches", "component")]) for s in "ab")
     fit = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & (
         100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
@@ -286,9 +416,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     found = profiles(docs)
     sets = classes(docs, found)
-    near = verified(stars(sets), sets)
-    labels = components(near)
-    links = near.unionByName(verified(candidates(sets, labels), sets))
+    counts = docs.sparkSession.sparkContext.broadcast(sketch(sets))
+    grouped = group_labels(sets)
+    links = inside_links(sets, grouped, counts).unionByName(verified(candidates(sets, grouped, counts), sets))
     labels = components(links)
     named = sets.select("node", "digest", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = named.groupBy("component").agg(F.min("rep").alias("component_id"))
