@@ -58,8 +58,10 @@ CELLS = 1 << 25
 #: minimum hashes by which groups are formed
 STAR_KEYS = 4
 #: classes and bytes of sets in a block of a group, and matrix columns held at once
-BLOCK = 2048
-BLOCK_BYTES = 6_000_000
+BLOCK = 6144
+BLOCK_BYTES = 16_000_000
+#: classes of a block that are compared by one matrix
+TILE = 2048
 COLUMNS = 4096
 #: light pairs listed at once
 PAIRS = 4_000_000
@@ -317,17 +319,16 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _block_links(left: list[np.ndarray], right: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Which left and right sets link: sizes, common prefix shingles, then whole sets."""
-    size = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
-    prefix = [[adaptive_prefix(x, counts) for x in side] for side in (left, right)]
-    matches = [np.array([m for _, m in side]) for side in prefix]
+def _tile_links(low, high, sets, prefix) -> np.ndarray:
+    """Which sets of two tiles link: sizes, common prefix shingles, then whole sets."""
+    size = [np.array([len(sets[i]) for i in side], np.int64) for side in (low, high)]
+    matches = [np.array([prefix[i][1] for i in side]) for side in (low, high)]
     fit = 100 * np.minimum.outer(*size) >= PERCENT * np.maximum.outer(*size)
-    fit &= _overlaps(*[[p for p, _ in side] for side in prefix]) >= np.minimum.outer(*matches)
+    fit &= _overlaps(*[[prefix[i][0] for i in side] for side in (low, high)]) >= np.minimum.outer(*matches)
     rows, cols = np.flatnonzero(fit.any(1)), np.flatnonzero(fit.any(0))
     out = np.zeros_like(fit)
     if len(rows):
-        both = _overlaps([left[i] for i in rows], [right[j] for j in cols]).astype(np.int64)
+        both = _overlaps([sets[i] for i in low[rows]], [sets[j] for j in high[cols]]).astype(np.int64)
         out[np.ix_(rows, cols)] = 100 * both >= PERCENT * (np.add.outer(size[0][rows], size[1][cols]) - both)
     return out & fit
 
@@ -340,15 +341,16 @@ def _resolve(rows: pd.DataFrame, counts: np.ndarray) -> pd.DataFrame:
             continue
         node, block = own["node"].to_numpy(), own["block"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in own["hashes"]]
-        low = np.flatnonzero(block == block.min())
-        high = np.flatnonzero(block == block.max())
-        link = _block_links([sets[i] for i in low], [sets[i] for i in high], counts)
-        label = node.copy()
+        prefix = [adaptive_prefix(x, counts) for x in sets]
+        sides = [np.array_split(x, -(-len(x) // TILE)) for x in (np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()))]
+        same = block.min() == block.max()
+        tiles = [(low, high, _tile_links(low, high, sets, prefix)) for i, low in enumerate(sides[0]) for high in sides[1][i if same else 0:]]
+        label, far = node.copy(), np.iinfo(np.int64).max
         while True:  # smallest label among neighbours until nothing changes
             best = label.copy()
-            far = np.iinfo(np.int64).max
-            best[low] = np.minimum(best[low], np.where(link, best[high][None, :], far).min(1))
-            best[high] = np.minimum(best[high], np.where(link, best[low][:, None], far).min(0))
+            for low, high, link in tiles:
+                best[low] = np.minimum(best[low], np.where(link, best[high][None, :], far).min(1))
+                best[high] = np.minimum(best[high], np.where(link, best[low][:, None], far).min(0))
             if (best == label).all():
                 break
             label = best
