@@ -16,7 +16,7 @@ pages that have the node:
 * importance: (1 - g^k) * presentation + g^k * content, with g = 0.9 and k sequences.
 
 Branches below ``LOW`` are removed from each page where the node is on ``MIN_PAGES`` pages.
-Pages that open with the same block (copies of one article) count as one, so repeated
+Pages with the same longest block (copies of one article) count as one, so repeated
 articles are not taken for page furniture.  Counts are grouped aggregates by (host, node,
 feature), combined before the shuffle, so a host with a third of all pages is no hot task;
 only branch rows are joined, texts are not shuffled.
@@ -198,7 +198,7 @@ class Page:
         return out
 
 
-_PARSED = ("page_id long, url string, host string, opening long, blocks array<string>, "
+_PARSED = ("page_id long, url string, host string, longest long, blocks array<string>, "
            "inside array<array<long>>, branches array<struct<node:long,feature:long,shape:long>>")
 
 
@@ -206,31 +206,31 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node = pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("shape", pa.int64())])
     for batch in batches:
         ids, urls, sources = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
-        hosts, opening, blocks, inside, branches = [], [], [], [], []
+        hosts, longest, blocks, inside, branches = [], [], [], [], []
         for url, source in zip(urls, sources, strict=True):
             page = Page(source or "")
             found = page.nodes()
             m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
             hosts.append(m[1].lower() if m else "")
-            opening.append(_code(page.blocks[0]) if page.blocks else 0)
+            longest.append(_code(max(page.blocks, key=len)) if page.blocks else 0)
             blocks.append(page.blocks)
             inside.append([[found[b]["node"] for b in x] for x in page.inside] if found else [])
             branches.append(list(found.values()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(opening, pa.int64()),
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(longest, pa.int64()),
                                           pa.array(blocks, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.list_(pa.int64()))), pa.array(branches, pa.list_(node))],
-                                         ["page_id", "url", "host", "opening", "blocks", "inside", "branches"])
+                                         ["page_id", "url", "host", "longest", "blocks", "inside", "branches"])
 
 
 def importance(parsed: DataFrame) -> DataFrame:
     """host, node, pages and importance of every undeclared style node."""
-    rows = parsed.select("host", "opening", F.explode("branches").alias("b")).select("host", "opening", "b.*")
+    rows = parsed.select("host", "longest", F.explode("branches").alias("b")).select("host", "longest", "b.*")
 
     def spread(feature):
-        """Rows (host, node, value, pages with it), pages counted by their opening block."""
-        return (rows.select("host", "node", feature, "opening").distinct()
+        """Rows (host, node, value, pages with it), pages counted by their longest block."""
+        return (rows.select("host", "node", feature, "longest").distinct()
                 .groupBy("host", "node", feature).agg(F.count("*").alias("n")).groupBy("host", "node"))
 
-    pages = rows.select("host", "node", "opening").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
+    pages = rows.select("host", "node", "longest").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
     content = spread("feature").agg(F.avg(F.log("n")).alias("repeated"))
     shape = spread("shape").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"), F.count("*").alias("kinds"))
     base = F.log(F.greatest("pages", F.lit(2)))

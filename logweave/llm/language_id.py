@@ -82,8 +82,11 @@ class TextModel:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
-    sample = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-              .select("text", "lang", F.md5(F.col("doc_id").cast("string")).alias("turn")).orderBy("turn", "text").limit(rows).collect())
+    """The sample's ids are drawn first (at most ``rows``, so they can be broadcast), then their texts are read."""
+    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
+    ids = usable.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("turn")).distinct().orderBy("turn").limit(rows)
+    sample = (usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
+              .groupBy("doc_id", "turn").agg(F.min(F.struct("text", "lang")).alias("row")).orderBy("turn").select("row.*").collect())
     return TextModel([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

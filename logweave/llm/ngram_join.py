@@ -138,7 +138,7 @@ def _block_parts(batches: Iterator[pa.RecordBatch], n_slices: int) -> Iterator[p
         order = np.argsort(where, kind="stable")
         where, prints, owner = where[order], spread[order].astype(np.uint32), owner[order]
         cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-        for x, y in zip(cuts, np.append(cuts[1:], len(where)), strict=True):
+        for x, y in zip(cuts, [*cuts[1:], len(where)]):  # noqa: B905
             out.append((int(where[x]), block, prints[x:y].tobytes(), owner[x:y].tobytes(), None, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)],
                                          ["slice", "block", "a", "b", "c", "d"])
