@@ -46,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins; a folder of our own is only set when
-    the session has none (tests, local runs).
+    the session has none and its master is local (tests, local runs); elsewhere
+    a machine-local folder would be unreadable, so a missing setting is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
@@ -56,6 +57,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="logweave-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
