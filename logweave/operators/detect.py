@@ -24,9 +24,9 @@ def any_pattern(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-def detect_source(text, limit: int = rules.DETECT_TEXT_LIMIT) -> Column:
-    """C-1: first parser (fixed order) whose patterns hit the first ``limit`` chars."""
-    sample = F.substring(_c(text), 1, limit)
+def detect_source(text) -> Column:
+    """C-1: first parser (fixed order) whose patterns hit the text."""
+    sample = _c(text)
     expr = None
     for name, patterns in rules.PARSER_PATTERNS:
         cond = sample.rlike(ci(any_pattern(patterns)))
@@ -34,9 +34,9 @@ def detect_source(text, limit: int = rules.DETECT_TEXT_LIMIT) -> Column:
     return expr.otherwise(F.lit("generic"))
 
 
-def classify_source(text, limit: int = rules.CLASSIFY_TEXT_LIMIT) -> Column:
-    """C-2: first of the eight source rules that hits the first ``limit`` chars."""
-    sample = F.substring(_c(text), 1, limit)
+def classify_source(text) -> Column:
+    """C-2: first of the eight source rules that hits the text."""
+    sample = _c(text)
     expr = None
     for name, pattern in rules.SOURCE_RULES:
         cond = sample.rlike(ci(pattern))
@@ -44,20 +44,20 @@ def classify_source(text, limit: int = rules.CLASSIFY_TEXT_LIMIT) -> Column:
     return expr.otherwise(F.lit("generic"))
 
 
-def source_rule_counts(text, limit: int = rules.CLASSIFY_TEXT_LIMIT) -> Column:
+def source_rule_counts(text) -> Column:
     """Match count of every source rule (array<int>, rule order)."""
-    sample = F.substring(_c(text), 1, limit)
+    sample = _c(text)
     return F.array(*[F.regexp_count(sample, F.lit(ci(p))).cast("int")
                      for _, p in rules.SOURCE_RULES])
 
 
-def classify_source_scored(text, limit: int = rules.CLASSIFY_TEXT_LIMIT) -> Column:
+def classify_source_scored(text) -> Column:
     """C-3: ``struct(source, confidence)`` from per-rule match counts.
 
     argmax of counts, ties to the earlier rule; confidence =
     min(best/total + 0.3, 1.0); no hit at all gives ("generic", 0.5).
     """
-    counts = source_rule_counts(text, limit)
+    counts = source_rule_counts(text)
     names = F.array(*[F.lit(n) for n, _ in rules.SOURCE_RULES])
     scored = F.zip_with(counts, names, lambda c, n: F.struct(c.alias("n"), n.alias("name")))
     indexed = F.transform(scored, lambda s, i: F.struct(s["n"].alias("n"), (-i).alias("neg_idx"),
@@ -69,10 +69,10 @@ def classify_source_scored(text, limit: int = rules.CLASSIFY_TEXT_LIMIT) -> Colu
             .otherwise(F.struct(F.lit("generic").alias("source"), F.lit(0.5).alias("confidence"))))
 
 
-def source_match_counts(text, limit: int = rules.CLASSIFY_TEXT_LIMIT) -> Column:
+def source_match_counts(text) -> Column:
     """C-4: map rule name -> match count, positive counts only."""
     names = F.array(*[F.lit(n) for n, _ in rules.SOURCE_RULES])
-    return F.map_filter(F.map_from_arrays(names, source_rule_counts(text, limit)),
+    return F.map_filter(F.map_from_arrays(names, source_rule_counts(text)),
                         lambda k, v: v > 0)
 
 

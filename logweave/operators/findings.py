@@ -8,9 +8,8 @@ Plan shape (per file row, then per match):
 2. ``posexplode`` to one small row per match (ints only, no text);
 3. match offsets = running sum of gap+match lengths, a window partitioned
    by ``(file_id, rule_no)``;
-4. evidence cut from the file text (join on ``file_id``), first-occurrence
-   dedup of the 100-char key and the five-per-rule cap as row_number
-   windows that reuse the ``file_id`` partitioning.
+4. evidence cut from the file text (join on ``file_id``), and of equal
+   evidences the first kept by ``min_by`` (two-phase); nothing is capped.
 
 When the file frame is already hash-partitioned by ``file_id`` (it is when it
 comes from ``assemble_files``) steps 3-4 add no exchange of the file text.
@@ -18,7 +17,7 @@ comes from ``assemble_files``) steps 3-4 add no exchange of the file text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -29,15 +28,6 @@ FINDING_COLUMNS = ["file_id", "rule_no", "match_no", "category", "severity", "ti
                    "evidence", "source_type", "confidence"]
 
 
-def rules_frame(spark: SparkSession) -> DataFrame:
-    """E-1 as a 20-row DataFrame (``sources`` null = every source)."""
-    rows = [(r.rule_no, r.category, r.severity, r.title, r.pattern,
-             list(r.sources) if r.sources else None) for r in rules.DETECTION_RULES]
-    return spark.createDataFrame(
-        rows, "rule_no int, category string, severity string, title string, pattern string, "
-              "sources array<string>")
-
-
 def rule_applies(rule: rules.DetectionRule, source: Column) -> Column:
     """E-2: the rule has no source filter or the filter holds the source."""
     if rule.sources is None:
@@ -51,16 +41,16 @@ def _rule_meta(col: Column, field: str) -> Column:
 
 
 def match_offsets(files: DataFrame, text_col: str = "text", source_col: str = "source",
-                  key: str = "file_id", limit: int = rules.DETECTION_TEXT_LIMIT,
+                  key: str = "file_id",
                   detection_rules: list[rules.DetectionRule] | None = None,
                   with_source: bool = False) -> DataFrame:
-    """E-3: every match of every applicable rule in the first ``limit`` chars.
+    """E-3: every match of every applicable rule in the whole text.
 
     Returns ``(key, rule_no, match_no, start, end)``; offsets are 0-based
     character positions, ``match_no`` is the 0-based match order.
     """
     drs = detection_rules or rules.DETECTION_RULES
-    sample = F.substring(F.col(text_col), 1, limit)
+    sample = F.col(text_col)
     src = F.col(source_col)
     per_rule = []
     for r in drs:
@@ -93,31 +83,26 @@ def evidence_window(sample: Column, start: Column, end: Column,
 
 
 def detect_findings(files: DataFrame, text_col: str = "text", source_col: str = "source",
-                    key: str = "file_id", limit: int = rules.DETECTION_TEXT_LIMIT,
-                    cap: int = rules.MAX_FINDINGS_PER_RULE) -> DataFrame:
+                    key: str = "file_id") -> DataFrame:
     """E-7: findings of all rules for a table of texts.
 
     Output: ``file_id, rule_no, match_no, category, severity, title,
     evidence, source_type, confidence`` — rule order then match order is
     ``(rule_no, match_no)``.
     """
-    offsets = match_offsets(files, text_col, source_col, key, limit, with_source=True)
-    texts = files.select(key, F.substring(F.col(text_col), 1, limit).alias("_sample"))
+    offsets = match_offsets(files, text_col, source_col, key, with_source=True)
+    texts = files.select(key, F.col(text_col).alias("_sample"))
     ev = (offsets.join(texts, key)
           .select(key, "rule_no", "match_no", "source_type",
                   evidence_window(F.col("_sample"), F.col("start"), F.col("end")).alias("evidence")))
-    return dedup_and_cap(ev, [key], cap)
-
-
-def dedup_and_cap(ev: DataFrame, keys: list[str], cap: int = rules.MAX_FINDINGS_PER_RULE) -> DataFrame:
-    """E-5 / E-6: first match per 100-char evidence key, then at most ``cap`` per rule."""
-    first = Window.partitionBy(*keys, "rule_no", "_k").orderBy("match_no")
-    order = Window.partitionBy(*keys, "rule_no").orderBy("match_no")
-    out = (ev.withColumn("_k", F.substring("evidence", 1, rules.EVIDENCE_KEY_CHARS))
-           .withColumn("_first", F.row_number().over(first))
-           .where(F.col("_first") == 1)
-           .withColumn("_rank", F.row_number().over(order))
-           .where(F.col("_rank") <= cap))
+    return distinct_evidence(ev, [key])
+
+
+def distinct_evidence(ev: DataFrame, keys: list[str]) -> DataFrame:
+    """E-5 / E-6: the first match of each distinct evidence of a rule, all of them kept."""
+    carried = [c for c in ev.columns if c not in {*keys, "rule_no", "evidence"}]
+    first = F.min_by(F.struct(*carried), "match_no")
+    out = ev.groupBy(*keys, "rule_no", "evidence").agg(first.alias("_f")).select(*keys, "rule_no", "evidence", "_f.*")
     rn = F.col("rule_no")
     return out.select(*keys, "rule_no", "match_no",
                       _rule_meta(rn, "category").alias("category"),
@@ -129,20 +114,19 @@ def dedup_and_cap(ev: DataFrame, keys: list[str], cap: int = rules.MAX_FINDINGS_
 
 def detect_findings_from_entries(entries: DataFrame, source_col: str = "source",
                                  keys: tuple[str, ...] = ("file_id", "line_no"),
-                                 message_col: str = "message", ts_col: str = "ts",
-                                 limit: int = rules.DETECTION_TEXT_LIMIT) -> DataFrame:
+                                 message_col: str = "message", ts_col: str = "ts") -> DataFrame:
     """E-8: the same rules per parsed entry message; findings carry the entry's ts.
 
-    Dedup and cap apply per entry, as every entry is its own text.
+    Dedup applies per entry, as every entry is its own text.
     """
     keyed = entries.select(F.struct(*keys).alias("_ek"), F.col(message_col).alias("_msg"),
                            F.col(source_col).alias("_src"), F.col(ts_col).alias("_ts"))
-    offsets = match_offsets(keyed, "_msg", "_src", "_ek", limit, with_source=True)
-    texts = keyed.select("_ek", F.substring("_msg", 1, limit).alias("_sample"), F.col("_ts").alias("ts"))
+    offsets = match_offsets(keyed, "_msg", "_src", "_ek", with_source=True)
+    texts = keyed.select("_ek", F.col("_msg").alias("_sample"), F.col("_ts").alias("ts"))
     ev = (offsets.join(texts, "_ek")
           .select("_ek", "rule_no", "match_no", "source_type", "ts",
                   evidence_window(F.col("_sample"), F.col("start"), F.col("end")).alias("evidence")))
-    out = dedup_and_cap(ev, ["_ek"])
+    out = distinct_evidence(ev, ["_ek"])
     return out.select(*[F.col("_ek")[k].alias(k) for k in keys],
                       *[c for c in out.columns if c != "_ek"])
 

@@ -156,11 +156,10 @@ def owned_by(df: DataFrame, incidents: DataFrame, users: DataFrame, user_col: st
     return df.join(visible, "incident_id", "left_semi")
 
 
-def incidents_by_owner(incidents: DataFrame, owner_user_id: int | None = None, top: int = 5) -> DataFrame:
-    """H-12: the owner's newest incidents (the UI shows five)."""
+def incidents_by_owner(incidents: DataFrame, owner_user_id: int | None = None) -> DataFrame:
+    """H-12: all of the owner's incidents, newest first."""
     w = Window.partitionBy("owner_user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    ranked = _filter(incidents, owner_user_id=owner_user_id).withColumn("pos", F.row_number().over(w))
-    return ranked.where(F.col("pos") <= top)
+    return _filter(incidents, owner_user_id=owner_user_id).withColumn("pos", F.row_number().over(w))
 
 
 def lookup_by_id(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:

@@ -87,14 +87,13 @@ LOG_FILES = """log_files AS (
 
 
 def parser_source_sql(e: str) -> str:
-    s = f"substr({e}, 1, {rules.DETECT_TEXT_LIMIT})"
-    whens = " ".join(f"WHEN regexp_matches({s}, {rx(any_pattern(ps))}) THEN {lit(n)}"
+    whens = " ".join(f"WHEN regexp_matches({e}, {rx(any_pattern(ps))}) THEN {lit(n)}"
                      for n, ps in rules.PARSER_PATTERNS)
     return f"CASE {whens} ELSE 'generic' END"
 
 
 def rule_count_sql(e: str, p: str) -> str:
-    return f"len(regexp_extract_all(substr({e}, 1, {rules.CLASSIFY_TEXT_LIMIT}), {rx(p)}, 0))"
+    return f"len(regexp_extract_all({e}, {rx(p)}, 0))"
 
 
 SCORED = f"""scored AS (
@@ -130,7 +129,7 @@ def _rule_select(r: rules.DetectionRule, src_tbl: str, key: str, text: str, src:
         cond = f"{src} IN {in_list(r.sources)} AND " + cond
     return (f"SELECT {key}, {r.rule_no} AS rule_no, sample, {src} AS source_type, "
             f"regexp_extract_all(sample, {p}, 0) AS hits, string_split_regex(sample, {p}) AS gaps "
-            f"FROM (SELECT *, substr({text}, 1, {rules.DETECTION_TEXT_LIMIT}) AS sample FROM {src_tbl}) WHERE {cond}")
+            f"FROM (SELECT *, {text} AS sample FROM {src_tbl}) WHERE {cond}")
 
 
 def findings_ctes(src_tbl: str = "prepared", key: str = "file_id", text: str = "clean_text",
@@ -152,14 +151,12 @@ me AS (
   FROM mo),
 md AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY {key}, rule_no, substr(evidence, 1, {rules.EVIDENCE_KEY_CHARS}) ORDER BY match_no) AS k1
+    SELECT *, row_number() OVER (PARTITION BY {key}, rule_no, evidence ORDER BY match_no) AS k1
     FROM me) WHERE k1 = 1),
 findings AS (
   SELECT md.{key}, md.rule_no, md.match_no, r.category, r.severity, r.title, md.evidence,
          md.source_type, CAST(1.0 AS DOUBLE) AS confidence
-  FROM (SELECT *, row_number() OVER (PARTITION BY {key}, rule_no ORDER BY match_no) AS k2 FROM md) md
-  JOIN rules_t r ON r.rule_no = md.rule_no
-  WHERE k2 <= {rules.MAX_FINDINGS_PER_RULE})"""
+  FROM md JOIN rules_t r ON r.rule_no = md.rule_no)"""
 
 
 PIPELINE_FINDINGS = f"""WITH {LOG_LINES},
@@ -480,8 +477,7 @@ SELECT file_id, {parser_source_sql('text')} AS source FROM log_files"""
 
 
 def classify_first_sql(e: str) -> str:
-    s = f"substr({e}, 1, {rules.CLASSIFY_TEXT_LIMIT})"
-    whens = " ".join(f"WHEN regexp_matches({s}, {rx(p)}) THEN {lit(n)}" for n, p in rules.SOURCE_RULES)
+    whens = " ".join(f"WHEN regexp_matches({e}, {rx(p)}) THEN {lit(n)}" for n, p in rules.SOURCE_RULES)
     return f"CASE {whens} ELSE 'generic' END"
 
 
@@ -638,8 +634,7 @@ WHERE incident_id IN (SELECT i.id FROM incidents i JOIN customer c ON c.c_custke
 
 SQL["h12_incidents_by_owner"] = f"""{REL}
 SELECT owner_user_id, id, {ts_out('created_at')} AS created_at, pos FROM (
-  SELECT *, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_at DESC, id DESC) AS pos FROM incidents)
-WHERE pos <= 5"""
+  SELECT *, row_number() OVER (PARTITION BY owner_user_id ORDER BY created_at DESC, id DESC) AS pos FROM incidents)"""
 
 SQL["h13_lookup_by_id"] = f"""{REL}
 SELECT id, title, severity FROM incidents WHERE id IN (SELECT incident_id FROM jobs WHERE status = 'failed')"""
@@ -1113,17 +1108,18 @@ fin AS (
   FROM st WHERE i = len(ls) + 1),
 ch AS (SELECT file_id, unnest(outs) AS c FROM fin)
 SELECT file_id, c.idx AS chunk_index, c.s AS start_line, c.e AS end_line, substr(sha256(c.body), 1, 16) AS checksum,
-       length(c.body) AS n_chars FROM ch"""
+       length(c.body) AS n_chars, sha256(c.body) AS digest FROM ch"""
 
 
-SQL["f1_chunk_log_lines"] = chunk_fold_sql(rules.LOG_CHUNK_MAX, rules.LOG_CHUNK_OVERLAP, True)
+_F1_ALL = chunk_fold_sql(rules.LOG_CHUNK_MAX, rules.LOG_CHUNK_OVERLAP, True)
+SQL["f1_chunk_log_lines"] = _F1_ALL.replace(", sha256(c.body) AS digest FROM ch", " FROM ch")
 SQL["f2_chunk_non_line_mode"] = chunk_fold_sql(300, 40, False).replace(
-    ",\n       length(c.body) AS n_chars FROM ch", " FROM ch")
+    ",\n       length(c.body) AS n_chars, sha256(c.body) AS digest FROM ch", " FROM ch")
 
 _F1 = f"({SQL['f1_chunk_log_lines']})"
 
 SQL["f9_dedup_chunks"] = f"""SELECT checksum, file_id, chunk_index FROM (
-  SELECT *, row_number() OVER (PARTITION BY checksum ORDER BY file_id, chunk_index) AS rn FROM {_F1} c) WHERE rn = 1"""
+  SELECT *, row_number() OVER (PARTITION BY digest ORDER BY file_id, chunk_index) AS rn FROM ({_F1_ALL}) c) WHERE rn = 1"""
 
 SQL["f10_embedding_records"] = f"""SELECT file_id, chunk_index,
   'checksum=' || checksum || ';chunk_index=' || chunk_index || ';end_line=' || end_line || ';file_id=' || file_id
@@ -1171,8 +1167,7 @@ SQL["h9_ingestion_stats"] = _h9_sql()
 # ---------------------------------------------------------------------------
 # F-4: the document fold as a recursive CTE over (unit | paragraph end) events
 # ---------------------------------------------------------------------------
-def doc_fold_sql(M: int = rules.DOC_CHUNK_MAX, O: int = rules.DOC_CHUNK_OVERLAP,
-                 K: int = rules.DOC_MAX_CHUNKS) -> str:
+def doc_fold_sql(M: int = rules.DOC_CHUNK_MAX, O: int = rules.DOC_CHUNK_OVERLAP) -> str:
     step = M - O
     para_re = lit(chr(10) + WS_CLASS + "*" + chr(10))
     sent = f"string_split(regexp_replace({strip('p')}, {lit('([.!?])' + WS_CLASS + '+')}, '\\1' || chr(1), 'g'), chr(1))"
@@ -1186,25 +1181,21 @@ ev AS (SELECT doc_id, flatten(list_transform(ps, lambda p:
          list_append(list_transform(list_filter(list_transform({sent}, lambda x: {strip('x')}), lambda x: x <> ''),
                                     lambda x: {{'end': false, 'u': x}}),
                      {{'end': true, 'u': ''}}))) AS evs FROM ps),
-st(doc_id, evs, i, cur, outs, done) AS (
-  SELECT doc_id, evs, 1, '', CAST([] AS VARCHAR[]), false FROM ev
+st(doc_id, evs, i, cur, outs) AS (
+  SELECT doc_id, evs, 1, '', CAST([] AS VARCHAR[]) FROM ev
   UNION ALL
   SELECT doc_id, evs, i + 1,
          CASE WHEN e.end THEN (CASE WHEN length(cur) > {M} THEN (CASE WHEN {O} > 0 THEN right(cur, {O}) ELSE '' END) ELSE cur END)
               WHEN length(u) > {M} THEN ''
               ELSE (CASE WHEN cur1 <> '' THEN {strip("cur1 || ' ' || u")} ELSE u END) END,
          CASE WHEN e.end THEN (CASE WHEN length(cur) > {M} THEN list_append(outs, {strip('cur')}) ELSE outs END)
-              WHEN length(u) > {M} THEN list_concat(outs, ({parts})[1:greatest({K} - len(outs), 0)])
-              ELSE outs1 END,
-         CASE WHEN e.end THEN length(cur) > {M} AND len(outs) + 1 >= {K}
-              WHEN length(u) > {M} THEN len(outs) + len({parts}) > {K}
-              ELSE flushed AND len(outs1) >= {K} END
-  FROM (SELECT *, cur <> '' AND length(cur) + length(u) + 1 > {M} AS flushed,
+              WHEN length(u) > {M} THEN list_concat(CASE WHEN cur <> '' THEN list_append(outs, {strip('cur')}) ELSE outs END, {parts})
+              ELSE outs1 END
+  FROM (SELECT *,
                CASE WHEN cur <> '' AND length(cur) + length(u) + 1 > {M} THEN list_append(outs, {strip('cur')}) ELSE outs END AS outs1,
                CASE WHEN cur <> '' AND length(cur) + length(u) + 1 > {M} THEN (CASE WHEN {O} > 0 THEN right(cur, {O}) ELSE '' END) ELSE cur END AS cur1
-        FROM (SELECT *, evs[i] AS e, evs[i].u AS u FROM st WHERE i <= len(evs) AND NOT done))),
-last AS (SELECT doc_id, arg_max(struct_pack(cur := cur, outs := outs, done := done), i) AS s FROM st GROUP BY doc_id),
-fin AS (SELECT doc_id, (CASE WHEN NOT s.done AND s.cur <> '' THEN list_append(s.outs, {strip('s.cur')}) ELSE s.outs END)[1:{K}] AS outs FROM last),
+        FROM (SELECT *, evs[i] AS e, evs[i].u AS u FROM st WHERE i <= len(evs)))),
+fin AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(outs, {strip('cur')}) ELSE outs END AS outs FROM st WHERE i = len(evs) + 1),
 chunks AS (SELECT doc_id, CAST(generate_subscripts(outs, 1) - 1 AS BIGINT) AS chunk_index, unnest(outs) AS text FROM fin)"""
 
 

@@ -425,7 +425,7 @@ def log_chunks(spark, sf_dir):
 
 
 def doc_chunks(spark, sf_dir):
-    """F-4 over normalised documents (strict: quirk Q-11 reproduced)."""
+    """F-4 over normalised documents."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", tx.normalize_text(F.col("text")).alias("text"))
     return ch.chunk_documents(docs).join(docs.select("doc_id", "source"), "doc_id")
 
@@ -455,7 +455,7 @@ def q_f3(spark, sf_dir):
 
 @register("f4_chunk_documents")
 def q_f4(spark, sf_dir):
-    """F-4: document chunks (1200/150, at most 1000 per document)."""
+    """F-4: document chunks (1200/150)."""
     c = doc_chunks(spark, sf_dir)
     return c.select("doc_id", "chunk_index", ch.checksum(F.col("text")).alias("checksum"), F.length("text").alias("n_chars"))
 

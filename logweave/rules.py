@@ -38,13 +38,10 @@ class DetectionRule:
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: the twenty finding rules, in evaluation order.
-# Evidence window: 120 chars before a match, 200 after; text limit 500,000.
+# Evidence window: 120 chars before a match, 200 after.
 # ---------------------------------------------------------------------------
 EVIDENCE_BEFORE = 120
 EVIDENCE_AFTER = 200
-DETECTION_TEXT_LIMIT = 500_000
-EVIDENCE_KEY_CHARS = 100
-MAX_FINDINGS_PER_RULE = 5
 
 DETECTION_RULES: list[DetectionRule] = [
     DetectionRule(1, "CrashLoopBackOff", "high",
@@ -132,9 +129,8 @@ DETECTION_RULES: list[DetectionRule] = [
 SEVERITIES = ["critical", "high", "medium", "low"]
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: source classification rules (first 200,000 chars), in order.
+# FIXED VALUES: source classification rules, in order.
 # ---------------------------------------------------------------------------
-CLASSIFY_TEXT_LIMIT = 200_000
 SOURCE_RULES: list[tuple[str, str]] = [
     ("kubernetes", r"CrashLoopBackOff|OOMKilled|kubelet|kubectl|namespace=|pod/"),
     ("docker", r"docker\[|containerd|\{\"log\":|\{\"time\":.*\"log\":"),
@@ -147,10 +143,9 @@ SOURCE_RULES: list[tuple[str, str]] = [
 ]
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: parser detection patterns (first 10,000 chars), in order.
+# FIXED VALUES: parser detection patterns, in order.
 # A parser is chosen when any of its patterns matches; generic otherwise.
 # ---------------------------------------------------------------------------
-DETECT_TEXT_LIMIT = 10_000
 PARSER_PATTERNS: list[tuple[str, list[str]]] = [
     ("kubernetes", [
         r"CrashLoopBackOff|OOMKilled|kubelet|kubectl|namespace=",
@@ -366,7 +361,6 @@ LOG_CHUNK_MAX = 2200
 LOG_CHUNK_OVERLAP = 200
 DOC_CHUNK_MAX = 1200
 DOC_CHUNK_OVERLAP = 150
-DOC_MAX_CHUNKS = 1000
 ATTACHMENT_KINDS = ["log", "screenshot", "yaml"]
 DOC_SUFFIX_TYPES = {
     ".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".markdown": "markdown",

@@ -62,17 +62,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="logweave-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def spread(df, min_partitions: int | None = None):
-    """Repartition only when ``df`` has fewer partitions than the cluster can run.
-
-    Row-local CPU-heavy work (regexes, Python folds) gets its parallelism from
-    the input partitioning; a scan of one small file is a single task.  On a
-    real input with many partitions this is a no-op (no extra shuffle).
-    """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

@@ -10,47 +10,52 @@ from logweave.operators import chunking as ch
 from logweave.operators import retrieval as rt
 
 
-def test_log_chunks_line_drift_q10():
-    text = "\n".join(f"Line {i}" for i in range(100))
-    chunks = ch.pack_log_lines(text, max_chars=500, overlap_chars=100)
+def test_line_chunks_count_the_opening_again():
+    # traced by hand: the opening's line is counted again in the next chunk's range (quirk Q-10)
+    assert ch.line_chunks("aaaa\nbbbb\ncccc\ndddd", 10, 4) == [
+        (0, "aaaa\nbbbb", 0, 1), (1, "bbbb\ncccc", 2, 3), (2, "cccc\ndddd", 4, 5)]
+    # without a line break in the overlap the last characters open the next chunk
+    assert ch.line_chunks("abcdefgh\nxy", 9, 3, respect_lines=False) == [(0, "abcdefgh", 0, 0), (1, "fgh\nxy", 1, 2)]
+
+
+def test_line_chunks_keep_every_line():
+    text = "\n".join(f"{i:04d} " + "v" * (1 + 7 * i % 53) for i in range(700))
+    chunks = ch.line_chunks(text, 333, 0)
+    assert "\n".join(c[1] for c in chunks) == text and max(len(c[1]) for c in chunks) <= 333
     assert [c[0] for c in chunks] == list(range(len(chunks)))
-    assert chunks[-1][3] > 99  # line numbers drift past the real last line (quirk Q-10)
-    assert all(len(c[1]) <= 500 for c in chunks)
-    # traced by hand: the overlap line is counted again in the next chunk's range
-    small = ch.pack_log_lines("aaaa\nbbbb\ncccc\ndddd", max_chars=10, overlap_chars=4)
-    assert small == [(0, "aaaa\nbbbb", 0, 1), (1, "bbbb\ncccc", 2, 3), (2, "cccc\ndddd", 4, 5)]
-
-
-def test_log_chunks_basic_properties():
-    text = "\n".join(f"Line {i} content here" for i in range(20))
-    one = ch.pack_log_lines(text, max_chars=10_000)
-    assert len(one) == 1 and one[0][1] == text and (one[0][2], one[0][3]) == (0, 19)
-    assert ch.pack_log_lines("", 100, 10) == []
-    assert ch.pack_log_lines("a\nb", 0, 10) == [(0, "a\nb", 0, 1)]
-    long_line = "x" * 50
-    assert ch.pack_log_lines(long_line, 10, 0) == [(0, long_line, 0, 0)]  # over-long line kept whole
+    assert [(c[2], c[3]) for c in ch.line_chunks(text, 10**6)] == [(0, 699)]
+    assert ch.line_chunks("", 9, 2) == [] and ch.line_chunks(" \n \n", 2, 1) == []
+    assert ch.line_chunks("z" * 90, 8, 0) == [(0, "z" * 90, 0, 0)]  # over-long line kept whole
 
 
 def test_chunk_log_lines_spark_equals_python(spark):
-    texts = {1: "\n".join(f"row {i} " + "y" * (i % 37) for i in range(300)), 2: "", 3: "short"}
+    texts = {1: "\n".join(f"row {i} " + "y" * (i % 37) for i in range(300)), 2: "", 3: "short", 4: None}
     df = spark.createDataFrame(list(texts.items()), "file_id long, text string")
     got = {}
     for r in ch.chunk_log_lines(df, max_chars=400, overlap_chars=60).collect():
         got.setdefault(r.file_id, []).append((r.chunk_index, r.text, r.start_line, r.end_line))
         assert len(r.checksum) == 16
     for k, t in texts.items():
-        assert sorted(got.get(k, [])) == ch.pack_log_lines(t, 400, 60)
+        assert sorted(got.get(k, [])) == ch.line_chunks(t or "", 400, 60)
+    whole = ch.chunk_log_lines(df, max_chars=0)
+    assert {(r.file_id, r.text, r.end_line) for r in whole.collect()} == {(1, texts[1], 299), (3, "short", 0)}
+    assert "MapInPandas" not in whole._jdf.queryExecution().executedPlan().toString()
 
 
-def test_document_chunker_strict_q11():
-    para = "Short one. " + "W" * 50 + ". Tail."
-    strict = ch.pack_document(para, max_chars=20, overlap=5, max_chunks=100, strict=True)
-    loose = ch.pack_document(para, max_chars=20, overlap=5, max_chunks=100, strict=False)
-    assert "Short one." not in " ".join(strict)      # the pending buffer is dropped
-    assert loose[0] == "Short one."
+def test_sentence_chunks_keep_pending_text_q11():
+    assert ch.sentence_chunks("Short one. " + "W" * 50 + ". Tail.", 20, 5)[0] == "Short one."
+    got = ch.sentence_chunks("a" * 150 + ". " + "b" * 1999 + ".")
+    assert [len(x) for x in got] == [151, 1200, 950]
     with pytest.raises(ValueError):
-        ch.split_long_py("abc", 3, 3)                # quirk Q-12 fixed
-    assert len(ch.pack_document("A. " * 500, 30, 5, max_chunks=4)) == 4
+        ch.windows("abc", 3, 3)  # quirk Q-12
+
+
+def test_documents_of_over_a_thousand_chunks(spark):
+    text = " ".join(f"Sentence {i:05d} of one long document." for i in range(4000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    rows = ch.chunk_documents(df, max_chars=80, overlap=0).orderBy("chunk_index").collect()
+    assert len(rows) == 2000 and {r.chunk_total for r in rows} == {2000}
+    assert " ".join(r.text for r in rows) == text
 
 
 def test_sentence_and_window_split_match_python(spark):
@@ -61,15 +66,15 @@ def test_sentence_and_window_split_match_python(spark):
                      ch.split_long(F.col("t"), 1200, 150).alias("w")).orderBy("i").collect()
     for r, d in zip(rows, docs):
         assert r.p == [p.strip() for p in re.split(r"\n\s*\n", d) if p.strip()]
-        assert r.w == ch.split_long_py(d, 1200, 150)
+        assert r.w == ch.windows(d, 1200, 150)
     s = spark.createDataFrame([("a. b! c?  d",)], "t string").select(ch.split_sentences(F.col("t")).alias("s")).collect()[0].s
     assert s == ["a.", "b!", "c?  d"] or s == ["a.", "b!", "c?", "d"]
     assert s == [x.strip() for x in re.split(r"(?<=[.!?])\s+", "a. b! c?  d") if x.strip()]
 
 
 def test_dedup_chunks_keeps_smallest(spark):
-    df = spark.createDataFrame([(2, 0, "aa"), (1, 3, "aa"), (1, 4, "bb")], "file_id long, chunk_index int, checksum string")
-    got = sorted((r.checksum, r.file_id, r.chunk_index) for r in ch.dedup_chunks(df).collect())
+    df = spark.createDataFrame([(2, 0, "aa"), (1, 3, "aa"), (1, 4, "bb")], "file_id long, chunk_index int, text string")
+    got = sorted((r.text, r.file_id, r.chunk_index) for r in ch.dedup_chunks(df).collect())
     assert got == [("aa", 1, 3), ("bb", 1, 4)]
 
 
