@@ -136,26 +136,38 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
-def finding_summary(findings: DataFrame, key: str = "file_id") -> DataFrame:
-    """E-9: per-key critical/high/medium/low/total counts (total includes other severities)."""
+def _for_all(per_key: DataFrame, files: DataFrame | None, key: str) -> DataFrame:
+    """A row for every file: zeros, false or empty lists where a file has no finding."""
+    if files is None:
+        return per_key
+    empty = {"bigint": F.lit(0).cast("long"), "boolean": F.lit(False), "array<string>": F.array().cast("array<string>")}
+    return files.select(key).distinct().join(per_key, key, "left").select(
+        key, *[F.coalesce(c, empty[t]).alias(c) for c, t in per_key.dtypes if c != key])
+
+
+def finding_summary(findings: DataFrame, key: str = "file_id", files: DataFrame | None = None) -> DataFrame:
+    """E-9: per-key critical/high/medium/low/total counts (total includes other severities).
+
+    With ``files``, files without findings have a row of zeros (also in E-10 ... E-12).
+    """
     sev = F.col("severity")
-    return findings.groupBy(key).agg(
+    return _for_all(findings.groupBy(key).agg(
         *[F.count_if(sev == s).alias(s) for s in rules.SEVERITIES],
         F.count(F.lit(1)).alias("total"),
-    )
+    ), files, key)
 
 
-def brief_findings(findings: DataFrame, key: str = "file_id") -> DataFrame:
+def brief_findings(findings: DataFrame, key: str = "file_id", files: DataFrame | None = None) -> DataFrame:
     """E-10: per key, titles listed as "critical" (critical or high) and "high" (high only).
 
     Lists keep finding order (rule, match)."""
     item = F.struct("rule_no", "match_no", "title")
     crit = F.collect_list(F.when(F.col("severity").isin("critical", "high"), item))
     high = F.collect_list(F.when(F.col("severity") == "high", item))
-    return findings.groupBy(key).agg(
+    return _for_all(findings.groupBy(key).agg(
         F.transform(F.array_sort(crit), lambda s: s["title"]).alias("critical_list"),
         F.transform(F.array_sort(high), lambda s: s["title"]).alias("high_list"),
-    )
+    ), files, key)
 
 
 def brief_message(summary: DataFrame) -> DataFrame:
@@ -170,11 +182,11 @@ def brief_message(summary: DataFrame) -> DataFrame:
     return summary.withColumn("message", msg)
 
 
-def severity_flags(findings: DataFrame, key: str = "file_id") -> DataFrame:
+def severity_flags(findings: DataFrame, key: str = "file_id", files: DataFrame | None = None) -> DataFrame:
     """E-12: counts of critical / high findings and ``has_critical_issues`` per key."""
     sev = F.col("severity")
-    return findings.groupBy(key).agg(
+    return _for_all(findings.groupBy(key).agg(
         F.count_if(sev == "critical").alias("critical_findings"),
         F.count_if(sev == "high").alias("high_findings"),
         F.bool_or(sev == "critical").alias("has_critical_issues"),
-    )
+    ), files, key)

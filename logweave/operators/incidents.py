@@ -184,13 +184,13 @@ def _rc_struct(hits: Column, merged: Column, results: Column, text: Column) -> C
     conf_agents = F.least(F.lit(0.99), F.greatest(F.lit(0.3), mean))
     conf = F.when(n > 0, py_round(conf_agents, 2)).when(none, F.lit(0.35)).otherwise(F.lit(0.5))
     shared_ev = merged["evidence"]
-    evidence = F.when(F.size(shared_ev) > 0, F.slice(shared_ev, 1, 3)).otherwise(first_nonblank_lines(text, 3))
+    evidence = F.when(F.size(shared_ev) > 0, shared_ev).otherwise(first_nonblank_lines(text, 3))
 
     def build(prob: Column) -> Column:
         severe = F.exists(prob, lambda p: F.lower(p).contains("database") | F.lower(p).contains("out of memory"))
         rc_findings = let(remediation, lambda rem: F.concat(
             F.transform(prob, lambda p: F.concat(F.lit("Probable cause: "), p)),
-            F.transform(F.slice(rem, 1, 3), lambda r: F.concat(F.lit("Suggested remediation: "), r))))
+            F.transform(rem, lambda r: F.concat(F.lit("Suggested remediation: "), r))))
         return F.struct(
             F.concat(F.lit("root cause analysis: "), F.element_at(prob, 1)).alias("summary"),
             rc_findings.alias("findings"),

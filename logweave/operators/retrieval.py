@@ -36,8 +36,8 @@ def l2_normalize(vec: Column) -> Column:
 
 
 def with_embeddings(chunks: DataFrame, vectors: DataFrame, key: str, vec_col: str = "embedding") -> DataFrame:
-    """G-1: attach unit-norm vectors to chunks by key (equi-join)."""
-    return chunks.join(vectors.select(key, l2_normalize(F.col(vec_col)).alias("embedding")), key)
+    """G-1: attach unit-norm vectors to chunks by key (equi-join; null where a chunk has none)."""
+    return chunks.join(vectors.select(key, l2_normalize(F.col(vec_col)).alias("embedding")), key, "left")
 
 
 def _blocks(n: int, per_block: int) -> int:

@@ -527,27 +527,32 @@ SELECT e.file_id, CAST(e.line_no AS BIGINT) AS line_no, CAST(f.rule_no AS BIGINT
        f.confidence, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS ts
 FROM findings f JOIN ekeyed e ON e.ek = f.ek"""
 
-SQL["e9_finding_summary"] = PIPELINE_FINDINGS + f"""
+ALL_FILES = """,
+f AS (SELECT l.file_id, x.file_id AS file_id_f, x.severity, x.title, x.rule_no, x.match_no
+      FROM log_files l LEFT JOIN findings x ON x.file_id = l.file_id)
+"""
+
+SQL["e9_finding_summary"] = PIPELINE_FINDINGS + ALL_FILES + f"""
 SELECT file_id, {', '.join(f"count(*) FILTER (WHERE severity = {lit(s)}) AS {s}" for s in rules.SEVERITIES)},
-       count(*) AS total FROM findings GROUP BY file_id"""
+       count(file_id_f) AS total FROM f GROUP BY file_id"""
 
-SQL["e10_brief_findings"] = PIPELINE_FINDINGS + """
+SQL["e10_brief_findings"] = PIPELINE_FINDINGS + ALL_FILES + """
 SELECT file_id,
   coalesce(string_agg(title, '|' ORDER BY rule_no, match_no) FILTER (WHERE severity IN ('critical', 'high')), '') AS critical_list,
   coalesce(string_agg(title, '|' ORDER BY rule_no, match_no) FILTER (WHERE severity = 'high'), '') AS high_list
-FROM findings GROUP BY file_id"""
+FROM f GROUP BY file_id"""
 
-SQL["e11_brief_message"] = PIPELINE_FINDINGS + """,
+SQL["e11_brief_message"] = PIPELINE_FINDINGS + ALL_FILES + """,
 s AS (SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h,
-             count(*) AS t FROM findings GROUP BY file_id)
+             count(file_id_f) AS t FROM f GROUP BY file_id)
 SELECT file_id, CASE WHEN c > 0 THEN 'Critical issues detected: ' || c || ' critical findings'
                      WHEN h > 0 THEN 'High severity issues detected: ' || h || ' high findings'
                      WHEN t > 0 THEN t || ' issues detected' ELSE 'No issues detected' END AS message FROM s"""
 
-SQL["e12_severity_flags"] = PIPELINE_FINDINGS + """
+SQL["e12_severity_flags"] = PIPELINE_FINDINGS + ALL_FILES + """
 SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS critical_findings,
-       count(*) FILTER (WHERE severity = 'high') AS high_findings, bool_or(severity = 'critical') AS has_critical_issues
-FROM findings GROUP BY file_id"""
+       count(*) FILTER (WHERE severity = 'high') AS high_findings, coalesce(bool_or(severity = 'critical'), false) AS has_critical_issues
+FROM f GROUP BY file_id"""
 
 # ---------------------------------------------------------------------------
 # H: relational views and queries
@@ -782,12 +787,15 @@ def _rc_pick(idx: int, lowered: str, text: str) -> str:
     return f"list_filter([{', '.join(items)}], lambda x: x IS NOT NULL)"
 
 
+MESSAGES = """(SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn, text), '') AS text
+               FROM conversations GROUP BY conv_id)"""
+
 PAY_J13 = f"""pay AS (
   SELECT 'log-' || file_id AS incident_id, {first3('text')}[1] AS summary, [text] AS logs,
          {parser_source_sql('text')} AS incident_type, ['auto-analysis', {parser_source_sql('text')}] AS tags,
          CAST(NULL AS VARCHAR) AS message, CAST(NULL AS VARCHAR) AS log_text FROM log_files
   UNION ALL
-  SELECT 'conv-' || conv_id, NULL, NULL, NULL, NULL, text, NULL FROM conversations WHERE turn = 0)"""
+  SELECT 'conv-' || conv_id, NULL, NULL, NULL, NULL, text, NULL FROM {MESSAGES})"""
 
 PAY_J15 = f"""{PREPARED},
 pay AS (
@@ -832,9 +840,9 @@ SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary
        array_to_string(findings, '|') AS findings, array_to_string(evidence, '|') AS evidence,
        'root cause analysis: ' || probable[1] AS rc_summary,
        array_to_string(list_concat(list_transform(probable, lambda p: 'Probable cause: ' || p),
-                                   list_transform(remediation[1:3], lambda r: 'Suggested remediation: ' || r)), '|') AS rc_findings,
+                                   list_transform(remediation, lambda r: 'Suggested remediation: ' || r)), '|') AS rc_findings,
        rc_confidence,
-       array_to_string(CASE WHEN len(evidence) > 0 THEN evidence[1:3] ELSE {first3('rc_text')} END, '|') AS rc_evidence,
+       array_to_string(CASE WHEN len(evidence) > 0 THEN evidence ELSE {first3('rc_text')} END, '|') AS rc_evidence,
        CASE WHEN list_bool_or(list_transform(probable, lambda p: contains(lower(p), 'database') OR contains(lower(p), 'out of memory')))
             THEN 'Critical' ELSE 'High' END AS rc_severity,
        array_to_string(dependency, '|') AS rc_dependency_chain,
@@ -906,11 +914,11 @@ n AS (SELECT vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm,
 u AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN nrm > 0 THEN x / nrm ELSE 0.0 END) AS w FROM n)
 SELECT d.doc_id AS vec_id, d.source, round(sqrt(list_sum(list_transform(u.w, lambda x: x * x))), 6) AS norm,
        round(u.w[1], 6) AS x1
-FROM documents d JOIN u ON u.vec_id = d.doc_id"""
+FROM documents d LEFT JOIN u ON u.vec_id = d.doc_id"""
 
 SQL["g3_format_context"] = f"""WITH {TOPK},
 b AS (SELECT t.query_id, t.rank, 'Source: ' || coalesce(d.source, 'unknown') || chr(10) || {strip("coalesce(d.text, '')")} AS blk
-      FROM topk t JOIN documents d ON d.doc_id = t.vec_id),
+      FROM topk t LEFT JOIN documents d ON d.doc_id = t.vec_id),
 c AS (SELECT query_id, string_agg(blk, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY query_id)
 SELECT query_id, sha256(context) AS digest, length(context) AS n_chars FROM c"""
 
@@ -992,7 +1000,7 @@ SQL["s7_stream_static_enrich"] = f"""WITH {LOG_LINES},
 {INCIDENTS},
 h AS ({_line_cats_sql()})
 SELECT h.file_id, CAST(h.line_no AS BIGINT) AS line_no, h.category, i.owner_user_id, i.service_name
-FROM h JOIN incidents i ON i.id = h.file_id"""
+FROM h LEFT JOIN incidents i ON i.id = h.file_id"""
 
 
 # ---------------------------------------------------------------------------
@@ -1006,8 +1014,8 @@ SQL["a5_attachment_manifest"] = f"""{REL}
 SELECT id, kind AS kind_norm,
        CASE WHEN regexp_replace(split_part('/uploads/' || incident_id || '/' || id, '/', -1), '[^a-zA-Z0-9._-]+', '_', 'g') = '' THEN 'file'
             ELSE regexp_replace(split_part('/uploads/' || incident_id || '/' || id, '/', -1), '[^a-zA-Z0-9._-]+', '_', 'g') END AS safe_name,
-       CASE WHEN kind NOT IN ('log', 'screenshot', 'yaml') THEN 'invalid kind'
-            WHEN size_bytes > 26214400 THEN 'file too large' END AS reject_reason
+       CASE WHEN kind NOT IN ('log', 'screenshot', 'yaml') THEN 'invalid kind' END AS reject_reason,
+       size_bytes > 26214400 AS oversize
 FROM attachments"""
 
 SQL["a9_export_log_lines"] = """SELECT event_id,
@@ -1042,8 +1050,7 @@ for _src, _name in {"kubernetes": "d1_parse_kubernetes", "docker": "d3_parse_doc
                     "cloudwatch": "d12_parse_cloudwatch", "generic": "d13_parse_generic"}.items():
     SQL[_name] = SQL["parse_logs"] + f" WHERE source = {lit(_src)}"
 
-SQL["a4_split_oversize"] = f"""SELECT doc_id, CASE WHEN strlen(text) > {rules.DOC_MAX_BYTES}
-  THEN 'rejected' ELSE 'accepted' END AS side FROM documents"""
+SQL["a4_split_oversize"] = f"""SELECT doc_id, strlen(text) > {rules.DOC_MAX_BYTES} AS oversize FROM documents"""
 
 SQL["j16_run_pipeline"] = PIPELINE_FINDINGS + f""",
 cnt AS (SELECT file_id, list_transform({split_lines_sql('text')}, lambda x: {strip('x')}) AS ls FROM log_files),
@@ -1054,12 +1061,12 @@ SELECT p.file_id, p.source AS source_type, p.parser_source, p.classification_sou
        coalesce(nf.n, 0) AS n_findings
 FROM prepared p JOIN cnt c ON c.file_id = p.file_id LEFT JOIN nf ON nf.file_id = p.file_id"""
 
-PAY_J1 = """pay AS (
+PAY_J1 = f"""pay AS (
   SELECT o.o_orderkey AS incident_id, 'order ' || o.o_orderkey AS summary,
          CASE WHEN lf.text IS NOT NULL THEN [lf.text] END AS logs, CAST(NULL AS VARCHAR) AS incident_type,
          CAST(NULL AS VARCHAR[]) AS tags, c.text AS message, CAST(NULL AS VARCHAR) AS log_text
   FROM orders o LEFT JOIN log_files lf ON lf.file_id = o.o_orderkey
-  LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 0) c ON c.conv_id = o.o_orderkey)"""
+  LEFT JOIN {MESSAGES} c ON c.conv_id = o.o_orderkey)"""
 
 SQL["j1_analysis_payload"] = f"""{analysis_sql(PAY_J1)}
 SELECT incident_id, array_to_string(agents, ',') AS agents, summary_m AS summary,

@@ -185,14 +185,14 @@ def q_e2(spark, sf_dir):
 
 @register("e3_find_matches")
 def q_e3(spark, sf_dir):
-    """E-3: offsets of every match of every applicable rule (before dedup and cap)."""
+    """E-3: offsets of every match of every applicable rule (before dedup)."""
     p = pipeline.resolve_files(fx.log_files(spark, sf_dir))
     return fnd.match_offsets(p, text_col="clean_text", source_col="source")
 
 
 @register("e7_detect_findings")
 def q_e7(spark, sf_dir):
-    """E-4 ... E-7: full finding rows (evidence windows, dedup, cap five)."""
+    """E-4 ... E-7: full finding rows (evidence windows, dedup)."""
     return log_findings(spark, sf_dir)
 
 
@@ -205,25 +205,25 @@ def q_e8(spark, sf_dir):
 
 @register("e9_finding_summary")
 def q_e9(spark, sf_dir):
-    return fnd.finding_summary(log_findings(spark, sf_dir))
+    return fnd.finding_summary(log_findings(spark, sf_dir), files=fx.log_files(spark, sf_dir))
 
 
 @register("e10_brief_findings")
 def q_e10(spark, sf_dir):
-    b = fnd.brief_findings(log_findings(spark, sf_dir))
+    b = fnd.brief_findings(log_findings(spark, sf_dir), files=fx.log_files(spark, sf_dir))
     return b.select("file_id", F.array_join("critical_list", "|").alias("critical_list"),
                     F.array_join("high_list", "|").alias("high_list"))
 
 
 @register("e11_brief_message")
 def q_e11(spark, sf_dir):
-    s = fnd.brief_message(fnd.finding_summary(log_findings(spark, sf_dir)))
+    s = fnd.brief_message(fnd.finding_summary(log_findings(spark, sf_dir), files=fx.log_files(spark, sf_dir)))
     return s.select("file_id", "message")
 
 
 @register("e12_severity_flags")
 def q_e12(spark, sf_dir):
-    return fnd.severity_flags(log_findings(spark, sf_dir))
+    return fnd.severity_flags(log_findings(spark, sf_dir), files=fx.log_files(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -529,7 +529,7 @@ def q_g3(spark, sf_dir):
     """G-3: context text of each vector's top five, with documents as the texts."""
     hits = topk_all(spark, sf_dir)
     docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
-    ctx = rt.format_context(hits.join(docs, "vec_id"))
+    ctx = rt.format_context(hits.join(docs, "vec_id", "left"))
     return ctx.select("query_id", F.sha2("context", 256).alias("digest"), F.length("context").alias("n_chars"))
 
 
@@ -676,8 +676,9 @@ def q_a3(spark, sf_dir):
 def q_a5(spark, sf_dir):
     """A-5: normalised kind, safe file name and reject reason of every attachment."""
     a = fx.attachments(spark, sf_dir).withColumn("kind", F.upper(F.concat(F.lit(" "), F.col("kind"), F.lit(" "))))
+    a = a.withColumn("storage_path", F.concat(F.lit(" "), F.col("storage_path"), F.lit("\t")))
     m = fls.attachment_manifest(a, name_col="storage_path")
-    return m.select("id", "kind_norm", "safe_name", "reject_reason")
+    return m.select("id", "kind_norm", "safe_name", "reject_reason", "oversize")
 
 
 @register("a9_export_log_lines")
@@ -792,11 +793,9 @@ for _src, _name in PARSER_QUERY_IDS.items():
 
 @register("a4_split_oversize")
 def q_a4(spark, sf_dir):
-    """A-4: documents over the 20,000,000-byte limit go to the rejects side."""
+    """A-4: every document with a flag for a size over 20,000,000 bytes."""
     d = fx.table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size_bytes"))
-    ok, rejected = fls.split_oversize(d)
-    return ok.select("doc_id", F.lit("accepted").alias("side")).unionByName(
-        rejected.select("doc_id", F.lit("rejected").alias("side")))
+    return fls.flag_oversize(d).select("doc_id", "oversize")
 
 
 @register("j16_run_pipeline")
@@ -817,10 +816,9 @@ def q_j16(spark, sf_dir):
 @register("j1_analysis_payload")
 def q_j1(spark, sf_dir):
     """J-1: payloads of every incident (title as summary; a request message when one was
-    sent — conversation turn 0 for the same id; the incident's log text), then analysed."""
+    sent — the whole conversation of the same id; the incident's log text), then analysed."""
     incs = fx.incidents(spark, sf_dir)
-    reqs = (fx.table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
-            .select(F.col("conv_id").alias("incident_id"), F.col("text").alias("message")))
+    reqs = fx.messages(spark, sf_dir).withColumnRenamed("conv_id", "incident_id")
     logs = fx.log_files(spark, sf_dir).select(F.col("file_id").alias("incident_id"), F.col("text").alias("log_text"))
     payloads = inc.analysis_payload(incs, reqs, logs)
     res = inc.analyze_incidents(payloads.select("incident_id", *inc.PAYLOAD_FIELDS))

@@ -362,6 +362,11 @@ LOG_CHUNK_OVERLAP = 200
 DOC_CHUNK_MAX = 1200
 DOC_CHUNK_OVERLAP = 150
 ATTACHMENT_KINDS = ["log", "screenshot", "yaml"]
+# FIXED VALUES: content types accepted for a kind; kinds not named accept all.
+ATTACHMENT_CONTENT_TYPES = {
+    "screenshot": ["image/png", "image/jpeg", "image/jpg", "image/webp"],
+    "yaml": ["application/x-yaml", "text/yaml", "text/plain", "application/octet-stream"],
+}
 DOC_SUFFIX_TYPES = {
     ".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".markdown": "markdown",
     ".txt": "text", ".yaml": "yaml", ".yml": "yaml",

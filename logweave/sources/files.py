@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.text import py_strip
 
 OFFSET_BLOCK = 1024
 
@@ -116,7 +117,7 @@ def read_documents(spark: SparkSession, path: str, content_type: str | None = No
     """A-2: plain/markdown documents, bytes decoded with bad bytes dropped.
 
     Returns ``(source, doc_type, size_bytes, text)``; the 20 MB limit (A-4)
-    is applied by ``split_oversize``.
+    is marked by ``flag_oversize``.
     """
     df = spark.read.format("binaryFile").load(path)
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "�", "")
@@ -133,35 +134,37 @@ def document_source(path_col, filename_col, metadata_source_col) -> F.Column:
     return F.coalesce(path_col, filename_col, metadata_source_col, F.lit("in-memory"))
 
 
-def split_oversize(docs: DataFrame, size_col: str = "size_bytes",
-                   limit: int = rules.DOC_MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    """A-4: (accepted, rejected) — oversize documents go to a rejects frame."""
-    too_big = F.col(size_col) > limit
-    return docs.where(~too_big), docs.where(too_big).withColumn(
-        "error", F.lit(f"document exceeds {limit} bytes"))
+def flag_oversize(docs: DataFrame, size_col: str = "size_bytes", limit: int = rules.DOC_MAX_BYTES) -> DataFrame:
+    """A-4: ``oversize`` marks documents over ``limit`` bytes; all of them stay."""
+    return docs.withColumn("oversize", F.col(size_col) > limit)
 
 
 def safe_filename(name_col) -> F.Column:
-    """A-5: last path part, runs of [^a-zA-Z0-9._-] -> "_", empty -> "file"."""
-    last = F.element_at(F.split(F.regexp_replace(name_col, r"\\", "/"), "/"), -1)
+    """A-5: last path part of the stripped name, runs of [^a-zA-Z0-9._-] -> "_", empty -> "file"."""
+    last = F.element_at(F.split(F.regexp_replace(py_strip(name_col), r"\\", "/"), "/"), -1)
     cleaned = F.regexp_replace(F.coalesce(last, F.lit("")), r"[^a-zA-Z0-9._-]+", "_")
     return F.when(cleaned == "", F.lit("file")).otherwise(cleaned)
 
 
 def attachment_manifest(files: DataFrame, kind_col: str = "kind", name_col: str = "filename",
-                        size_col: str = "size_bytes", content_type_col: str = "content_type",
-                        allowed_content_types: list[str] | None = None,
+                        size_col: str = "size_bytes", content_type_col: str | None = None,
+                        content_types: dict[str, list[str]] = rules.ATTACHMENT_CONTENT_TYPES,
                         max_bytes: int = rules.UPLOAD_LIMIT_BYTES) -> DataFrame:
-    """A-5: normalised kind, safe name and a ``reject_reason`` (null = accepted)."""
-    kind = F.lower(F.trim(F.col(kind_col)))
-    reason = (F.when(~kind.isin(*rules.ATTACHMENT_KINDS), F.lit("invalid kind"))
-              .when(F.col(size_col) > max_bytes, F.lit("file too large")))
-    if allowed_content_types is not None:
-        reason = reason.when(~F.col(content_type_col).isin(*allowed_content_types),
-                             F.lit("unsupported content type"))
+    """A-5: normalised kind, safe name, ``reject_reason`` (null = accepted) and ``oversize``.
+
+    With ``content_type_col`` the content type must be one of its kind's (null counts as
+    empty).  Size is only marked, never a reason to reject.
+    """
+    kind = F.lower(py_strip(F.col(kind_col)))
+    reason = F.when(~kind.isin(*rules.ATTACHMENT_KINDS), F.lit("invalid kind"))
+    if content_type_col is not None:
+        own = F.lower(F.coalesce(F.col(content_type_col), F.lit("")))
+        for name, allowed in content_types.items():
+            reason = reason.when((kind == name) & ~own.isin(*allowed), F.lit("unsupported content type"))
     return files.select(
         "*",
         kind.alias("kind_norm"),
         safe_filename(F.col(name_col)).alias("safe_name"),
         reason.alias("reject_reason"),
+        (F.col(size_col) > max_bytes).alias("oversize"),
     )

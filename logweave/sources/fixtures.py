@@ -301,11 +301,18 @@ def analysis_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("auto-analysis"), src).alias("tags"),
         F.lit(None).cast("string").alias("message"),
     )
-    conv = (table(spark, sf_dir, "conversations").where(F.col("turn") == 0)
+    conv = (messages(spark, sf_dir)
             .select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("incident_id"),
                     F.lit(None).cast("string").alias("summary"),
                     F.lit(None).cast("array<string>").alias("logs"),
                     F.lit(None).cast("string").alias("incident_type"),
                     F.lit(None).cast("array<string>").alias("tags"),
-                    F.col("text").alias("message")))
+                    "message"))
     return logs.unionByName(conv)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id and message: all turns of a conversation in order, one line break between."""
+    turns = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", "text"))))
+    return (table(spark, sf_dir, "conversations").groupBy("conv_id")
+            .agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("message")))

@@ -145,10 +145,10 @@ def stream_incident_sessions(spark: SparkSession, events: DataFrame, key: str =
 # ---------------------------------------------------------------------------
 def stream_dedup_lines(spark: SparkSession, lines: DataFrame, key_cols: list[str] | None = None,
                        watermark: str = "1 day", name: str = "dedup") -> DataFrame:
-    """S-4: first occurrence of each checksum within the watermark delay."""
+    """S-4: first occurrence of each line (whole digest) within the watermark delay."""
     out = stream_root(spark, name)
-    keyed = lines.withColumn("checksum", fnd_checksum(F.col("line")))
-    dedup = event_time(keyed).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(key_cols or ["checksum"])
+    keyed = lines.withColumn("checksum", fnd_checksum(F.col("line"))).withColumn("digest", F.sha2("line", 256))
+    dedup = event_time(keyed).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(key_cols or ["digest"])
     run_available_now(dedup.select("checksum", "line", "ts").writeStream.outputMode("append")
                       .format("parquet").option("path", out + "/data"), out + "/_ckpt")
     return spark.read.parquet(out + "/data")
@@ -202,10 +202,10 @@ def stream_auto_analysis(spark: SparkSession, lines: DataFrame, name: str = "aut
 # ---------------------------------------------------------------------------
 def stream_static_enrich(spark: SparkSession, lines: DataFrame, incidents: DataFrame,
                          name: str = "enrich") -> DataFrame:
-    """S-7: rule hits per line joined with the static incident (owner, service)."""
+    """S-7: rule hits per line left-joined with the static incident (owner, service)."""
     out = stream_root(spark, name)
     inc = incidents.select(F.col("id").alias("file_id"), "owner_user_id", "service_name")
-    enriched = line_rule_hits(lines).join(inc, "file_id").select(
+    enriched = line_rule_hits(lines).join(inc, "file_id", "left").select(
         "file_id", "line_no", "category", "owner_user_id", "service_name")
     run_available_now(enriched.writeStream.outputMode("append").format("parquet").option("path", out + "/data"),
                       out + "/_ckpt")

@@ -1,4 +1,4 @@
-"""Cleaning (B), finding rules (E): offsets equal re.finditer, evidence, dedup, cap."""
+"""Cleaning (B), finding rules (E): offsets equal re.finditer, evidence, dedup."""
 
 import random
 import re
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweave import rules
 from logweave.functions import text as tx
 from logweave.operators import findings as fnd
+from logweave.sources import files as fls
 from logweave.plans.pipeline import pipeline_findings
 
 
@@ -81,6 +82,23 @@ def test_source_filter(files_df):
     assert "BuildFailure" not in cats and "TestFailure" not in cats and "HTTPError5xx" in cats
 
 
+def test_clean_files_have_a_row(files_df):
+    files = files_df({1: "segmentation fault", 2: "all is well"})
+    found = pipeline_findings(files)
+    got = fnd.brief_message(fnd.finding_summary(found, files=files)).select("file_id", "total", "message").collect()
+    assert {r.file_id: r.message for r in got}[2] == "No issues detected" and {r.file_id: r.total for r in got}[2] == 0
+    assert {r.file_id: r.critical_list for r in fnd.brief_findings(found, files=files).collect()}[2] == []
+    assert {r.file_id: r.has_critical_issues for r in fnd.severity_flags(found, files=files).collect()}[2] is False
+
+
+def test_attachment_manifest(spark):
+    rows = [(" Log\t", " a b.log ", 26_214_401, None), ("yaml", "x/y.yml", 1, "TEXT/YAML"), ("screenshot", "s.png", 1, "text/plain"), ("exe", "", 1, None)]
+    df = spark.createDataFrame(rows, "kind string, filename string, size_bytes long, content_type string")
+    got = {r.kind_norm: (r.safe_name, r.reject_reason, r.oversize) for r in fls.attachment_manifest(df, content_type_col="content_type").collect()}
+    assert got == {"log": ("a_b.log", None, True), "yaml": ("y.yml", None, False),
+                   "screenshot": ("s.png", "unsupported content type", False), "exe": ("file", "invalid kind", False)}
+
+
 def test_brief_message(spark):
     df = spark.createDataFrame([(1, 2, 1, 0, 0, 3), (2, 0, 2, 1, 0, 3), (3, 0, 0, 1, 1, 2), (4, 0, 0, 0, 0, 0)],
                                "file_id long, critical long, high long, medium long, low long, total long")
