@@ -40,33 +40,29 @@ def with_embeddings(chunks: DataFrame, vectors: DataFrame, key: str, vec_col: st
     return chunks.join(vectors.select(key, l2_normalize(F.col(vec_col)).alias("embedding")), key, "left")
 
 
-def _blocks(n: int, per_block: int) -> int:
-    return max(1, math.ceil(n / per_block))
-
-
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id",
                 vec_id: str = "vec_id", query_vec: str = "embedding", vec_col: str = "embedding",
-                exclude_self: bool = False, max_block_vectors: int = 100_000,
-                max_block_queries: int = 20_000) -> DataFrame:
+                exclude_self: bool = False, max_block_vectors: int = 2048,
+                max_block_queries: int = 256) -> DataFrame:
     """G-2: ``(query_id, rank, vec_id, distance)`` with cosine distance = 1 - cos.
 
-    Empty (all-zero / null) query vectors get no results.  ``exclude_self``
-    drops a vector whose id equals the query id.
+    Blocks have a fixed size; their numbers come from scalar subqueries, so nothing runs
+    while the plan is built.  Empty (all-zero / null) query vectors get no results.
+    ``exclude_self`` drops a vector whose id equals the query id.
     """
-    nq = queries.count()
-    nv = vectors.count()
-    qb = _blocks(nq, max_block_queries)
-    vb = _blocks(nv, max_block_vectors)
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv")).where(F.col("qv").isNotNull())
-    v = vectors.select(F.col(vec_id).alias("vid"), F.col(vec_col).alias("vv")).where(F.col("vv").isNotNull())
-    q = q.select(F.pmod(F.xxhash64("qid"), F.lit(qb)).alias("qb"),
-                 F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"),
-                 F.lit(True).alias("is_q"), F.col("qid").cast("long").alias("id"),
-                 F.col("qv").cast("array<double>").alias("v"))
-    v = v.select(F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"),
-                 F.pmod(F.xxhash64("vid"), F.lit(vb)).alias("vb"),
-                 F.lit(False).alias("is_q"), F.col("vid").cast("long").alias("id"),
-                 F.col("vv").cast("array<double>").alias("v"))
+    def blocks(df: DataFrame, size: int):
+        return df.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int")).scalar()
+
+    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("v")).where("v is not null")
+    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
+    n = {"qb": blocks(queries, max_block_queries), "vb": blocks(vectors, max_block_vectors)}
+
+    def placed(df: DataFrame, own: str, other: str, is_q: bool) -> DataFrame:
+        rows = df.withColumn("_own", n[own]).withColumn("_other", n[other])
+        return rows.select(F.pmod(F.xxhash64("id"), "_own").cast("int").alias(own),
+                           F.explode(F.expr("sequence(0, _other - 1)")).alias(other), F.lit(is_q).alias("is_q"), "id", "v")
+
+    q, v = placed(q, "qb", "vb", True), placed(v, "vb", "qb", False).select("qb", "vb", "is_q", "id", "v")
     # one tagged frame and one grouping: both sides of a block always meet in the
     # same group (no reliance on two shuffles being coalesced alike)
     both = q.unionByName(v)
@@ -91,31 +87,14 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: st
         vids = vpdf["vid"].to_numpy(dtype=np.int64)
         order_v = np.argsort(vids, kind="stable")
         V, vids = V[order_v], vids[order_v]
-        kk = min(k + (1 if exclude_self else 0), len(vids))
-        rows_q, rows_v, rows_d = [], [], []
-        step = max(1, 4_000_000 // max(1, len(vids)))
-        for s in range(0, len(qids), step):
-            sims = Q[s:s + step] @ V.T
-            dist = 1.0 - sims
-            for i in range(dist.shape[0]):
-                gi = s + i
-                if not okq[gi]:
-                    continue
-                d = dist[i]
-                if exclude_self:
-                    d = np.where(vids == qids[gi], np.inf, d)
-                idx = np.argpartition(d, kk - 1)[:kk] if kk < len(d) else np.arange(len(d))
-                cut = np.sort(d[idx])[min(kk, len(idx)) - 1]
-                cand = np.nonzero(d <= cut)[0]  # keep ties at the boundary
-                cand = cand[np.lexsort((vids[cand], d[cand]))][:k]
-                for j in cand:
-                    if np.isinf(d[j]):
-                        continue
-                    rows_q.append(qids[gi])
-                    rows_v.append(vids[j])
-                    rows_d.append(float(d[j]))
-        return pd.DataFrame({"qid": np.asarray(rows_q, dtype=np.int64), "vid": np.asarray(rows_v, dtype=np.int64),
-                             "distance": np.asarray(rows_d, dtype=np.float64)})
+        dist = 1.0 - Q[okq] @ V.T
+        qids = qids[okq]
+        if exclude_self:
+            dist[qids[:, None] == vids] = np.inf
+        best = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
+        near = np.take_along_axis(dist, best, axis=1)
+        row, col = np.nonzero(np.isfinite(near))
+        return pd.DataFrame({"qid": qids[row], "vid": vids[best[row, col]], "distance": near[row, col]})
 
     partial = both.groupBy("qb", "vb").applyInPandas(block_topk, out_schema)
     w = Window.partitionBy("qid").orderBy("distance", "vid")

@@ -1034,8 +1034,8 @@ SELECT incident_id AS file_id, 'AI Auto-Analysis' AS title,
 SQL["s6_stream_auto_analysis"] = SQL["j15_auto_analyze"]
 
 SQL["j8_docs_agent"] = f"""WITH {TOPK},
-h AS (SELECT t.query_id, string_agg('Doc match: ' || d.source, '|' ORDER BY t.rank) AS findings
-      FROM topk t JOIN documents d ON d.doc_id = t.vec_id GROUP BY t.query_id)
+h AS (SELECT t.query_id, string_agg('Doc match: ' || coalesce(d.source, 'unknown'), '|' ORDER BY t.rank) AS findings
+      FROM topk t LEFT JOIN documents d ON d.doc_id = t.vec_id GROUP BY t.query_id)
 SELECT d.doc_id AS incident_id,
        CASE WHEN nullif(d.text, '') IS NULL THEN 'docs retrieval skipped'
             WHEN h.findings IS NOT NULL THEN 'docs retrieval complete' ELSE 'no docs matched' END AS summary,

@@ -756,7 +756,8 @@ def q_j8(spark, sf_dir):
     query | summary); hits = the sources of the five nearest other documents.
     """
     docs = fx.table(spark, sf_dir, "documents")
-    hits = topk_all(spark, sf_dir).join(docs.select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
+    hits = (topk_all(spark, sf_dir).join(docs.select(F.col("doc_id").alias("vec_id"), "source"), "vec_id", "left")
+            .withColumn("source", F.coalesce("source", F.lit("unknown"))))
     emb = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
     payloads = docs.join(emb, "doc_id", "left_semi").select(
         F.col("doc_id").alias("incident_id"),

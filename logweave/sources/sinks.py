@@ -30,14 +30,24 @@ def upsert_doc_chunks(new: DataFrame, index: DataFrame, key: str = "chunk_id") -
 
 
 def py_dict_repr(json_text: Column) -> Column:
-    """``repr(json.loads(s))`` for a flat JSON object: ``{'k': 69, 's': 'x'}``."""
+    """``repr(json.loads(s))`` for a flat JSON object: ``{'k': 69, 's': 'x', 'b': True, 'n': None}``.
+
+    Strings are quoted and escaped as Python does for backslash, quotes and line breaks.
+    """
     m = F.from_json(json_text, "map<string,variant>")
 
+    def quoted(text):
+        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(raw), F.lit(shown))
+        single = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')),
+                      F.concat(F.lit('"'), text, F.lit('"'))).otherwise(single)
+
     def item(e):
         v = F.to_json(e["value"])
-        is_str = F.startswith(v, F.lit('"'))
-        val = F.when(is_str, F.concat(F.lit("'"), F.substring(v, F.lit(2), F.length(v) - 2), F.lit("'"))).otherwise(v)
-        return F.concat(F.lit("'"), e["key"], F.lit("': "), val)
+        val = (F.when(F.startswith(v, F.lit('"')), quoted(e["value"].cast("string")))
+               .when(v == "true", "True").when(v == "false", "False").when(v.isNull() | (v == "null"), "None").otherwise(v))
+        return F.concat(quoted(e["key"]), F.lit(": "), val)
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(m), item), ", "), F.lit("}"))
 
 

@@ -1,5 +1,6 @@
 """Cleaning (B), finding rules (E): offsets equal re.finditer, evidence, dedup."""
 
+import json
 import random
 import re
 
@@ -9,6 +10,7 @@ from logweave import rules
 from logweave.functions import text as tx
 from logweave.operators import findings as fnd
 from logweave.sources import files as fls
+from logweave.sources import sinks
 from logweave.plans.pipeline import pipeline_findings
 
 
@@ -99,6 +101,13 @@ def test_attachment_manifest(spark):
                    "screenshot": ("s.png", "unsupported content type", False), "exe": ("file", "invalid kind", False)}
 
 
+def test_export_metadata_as_python_shows_it(spark):
+    values = [{"a": True, "b": None, "c": False, "n": 3}, {"s": "x", "q": "it's", "d": 'say "hi"', "m": "a'b\"c", "w": "a\\b\tc"}, {}]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, j string")
+    got = dict(df.select("i", sinks.py_dict_repr(F.col("j"))).collect())
+    assert got == {i: repr(v) for i, v in enumerate(values)}
+
+
 def test_brief_message(spark):
     df = spark.createDataFrame([(1, 2, 1, 0, 0, 3), (2, 0, 2, 1, 0, 3), (3, 0, 0, 1, 1, 2), (4, 0, 0, 0, 0, 0)],
                                "file_id long, critical long, high long, medium long, low long, total long")

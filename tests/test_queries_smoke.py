@@ -3,11 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from logweave.plans.queries import QUERIES
 from tests.conftest import SF_SMALL
 
-FAST = ["finding_counts", "parse_logs", "e7_detect_findings", "j13_analyze_incidents", "i4_generate_timeline",
-        "f1_chunk_log_lines", "g2_cosine_topk", "h9_ingestion_stats" if False else "h6_job_status_counts",
-        "k1_mttr", "s2_stream_finding_counts"]
 
 
 def test_entry(spark):
@@ -20,7 +18,7 @@ def test_oracle_keys_are_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     df.count()
