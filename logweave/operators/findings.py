@@ -24,9 +24,6 @@ from .. import rules
 from ..functions.text import py_strip
 from ..rules import ci
 
-FINDING_COLUMNS = ["file_id", "rule_no", "match_no", "category", "severity", "title",
-                   "evidence", "source_type", "confidence"]
-
 
 def rule_applies(rule: rules.DetectionRule, source: Column) -> Column:
     """E-2: the rule has no source filter or the filter holds the source."""

@@ -10,11 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _secs(ts) -> F.Column:
-    """Seconds since epoch of a timestamp_ntz (UTC wall time)."""
-    return F.unix_micros(F.to_utc_timestamp(F.col(ts).cast("timestamp"), "UTC")) / F.lit(1_000_000)
-
-
 def mttr(incidents: DataFrame, by: str = "service_name") -> DataFrame:
     """K-1: mean time to resolve (seconds) per group; rows with both ends and end >= start."""
     ok = incidents.where(F.col("started_at").isNotNull() & F.col("ended_at").isNotNull()

@@ -3,7 +3,7 @@
 Input: ``log_files(file_id, text, source)``.  ``explode_lines`` turns it
 into one row per non-blank stripped line (narrow, no shuffle); every
 source's parser is a set of ``regexp_extract`` / ``from_json`` /
-``try_make_timestamp_ntz`` expressions, and ``parse_entries`` picks the
+``try_make_timestamp_ntz`` expressions, and ``parse_lines`` picks the
 file's parser with a ``CASE`` on the source so only one parser runs per
 line.  Timestamps are ``timestamp_ntz`` holding UTC wall time (an offset in
 the text is applied; a naive stamp is taken as UTC).
@@ -21,8 +21,6 @@ from .. import rules
 from ..functions.text import py_strip, split_lines
 from . import detect
 
-ENTRY_SCHEMA = ("ts timestamp_ntz, level string, message string, "
-                "metadata map<string,string>, raw string")
 
 # FIXED VALUES: regexes of the line formats (Python named groups -> numbered).
 ISO_PREFIX = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^\s]*)\s+"
@@ -122,50 +120,6 @@ def iso_ts(s: Column) -> Column:
     return F.when(ok, ts)
 
 
-def naive_iso_ts(s: Column) -> Column:
-    """``datetime.fromisoformat`` of ``YYYY-MM-DDTHH:MM:SS`` (no zone, no fraction)."""
-    p = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2})$"
-    return F.when(s.rlike(p), _ts_from_parts(*[_rx(s, p, i) for i in range(1, 7)]))
-
-
-def clf_ts(s: Column) -> Column:
-    """``strptime(s, "%d/%b/%Y:%H:%M:%S %z")``."""
-    p = r"^(\d{1,2})/([A-Za-z]{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})\s+([+-]\d{2}:?\d{2})$"
-    mon = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(_rx(s, p, 2)))
-    ts = _ts_from_parts(_rx(s, p, 3), mon, _rx(s, p, 1), _rx(s, p, 4), _rx(s, p, 5), _rx(s, p, 6),
-                        off_min=_offset_minutes(_rx(s, p, 7)))
-    return F.when(s.rlike(p) & (mon > 0), ts)
-
-
-def ymd_hms_ts(s: Column, date_sep: str = "-") -> Column:
-    """``strptime(s, "%Y-%m-%d %H:%M:%S")`` (or with ``/``); whitespace run between parts."""
-    p = rf"^(\d{{4}}){date_sep}(\d{{1,2}}){date_sep}(\d{{1,2}})\s+(\d{{1,2}}):(\d{{1,2}}):(\d{{1,2}})$"
-    return F.when(s.rlike(p), _ts_from_parts(*[_rx(s, p, i) for i in range(1, 7)]))
-
-
-def jenkins_ts(s: Column) -> Column:
-    """``strptime(s, "%Y-%m-%d %H:%M:%S.%f %z")`` (1-6 fraction digits)."""
-    p = r"^(\d{4})-(\d{1,2})-(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})\.(\d{1,6})\s+([+-]\d{4})$"
-    ts = _ts_from_parts(*[_rx(s, p, i) for i in range(1, 7)], frac=_rx(s, p, 7),
-                        off_min=_offset_minutes(_rx(s, p, 8)))
-    return F.when(s.rlike(p), ts)
-
-
-def iso_zone_ts(s: Column) -> Column:
-    """``strptime(s, "%Y-%m-%dT%H:%M:%S%z")``: zone required (Z, +HHMM, +HH:MM)."""
-    p = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})(Z|[+-]\d{2}:?\d{2})$"
-    ts = _ts_from_parts(*[_rx(s, p, i) for i in range(1, 7)], off_min=_offset_minutes(_rx(s, p, 7)))
-    return F.when(s.rlike(p), ts)
-
-
-def syslog_ts(s: Column) -> Column:
-    """``strptime(s, "%b %d %H:%M:%S")``: year 1900."""
-    p = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}):(\d{1,2}):(\d{1,2})$"
-    mon = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(_rx(s, p, 1)))
-    ts = _ts_from_parts(F.lit(1900), mon, _rx(s, p, 2), _rx(s, p, 3), _rx(s, p, 4), _rx(s, p, 5))
-    return F.when(s.rlike(p) & (mon > 0), ts)
-
-
 def level_of(msg: Column, fold_warning: bool = True) -> Column:
     g = F.upper(_nz(_rx(msg, _i(rules.LEVEL_WORDS), 1)))
     if fold_warning:
@@ -192,54 +146,8 @@ def _without(j: Column, keys: list[str]) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Parsers: (stripped line) -> struct(ts, level, message, metadata, raw)
+# Parts of the parsers
 # ---------------------------------------------------------------------------
-def parse_kubernetes(line: Column) -> Column:
-    """D-1."""
-    j = _json_map(line)
-    is_json = line.rlike(_s(K8S_JSON))
-    ok = j.isNotNull()
-    j_msg = F.when(F.map_contains_key(j, F.lit("log")), j["log"]).when(
-        F.map_contains_key(j, F.lit("message")), j["message"]).otherwise(line)
-    j_lvl = F.when(F.map_contains_key(j, F.lit("stream")), j["stream"]).when(
-        F.map_contains_key(j, F.lit("level")), j["level"])
-    j_ts = F.when(F.map_contains_key(j, F.lit("time")), iso_ts(j["time"]))
-    pre = _rx(line, _s(ISO_PREFIX), 1)
-    p_ts = F.when(pre != "", iso_ts(pre))
-    p_msg = F.when(p_ts.isNotNull(), F.regexp_replace(line, _s(ISO_PREFIX), "")).otherwise(line)
-    json_entry = F.when(ok, _entry(j_ts, j_lvl, j_msg, _without(j, ["log", "message", "stream", "time"]), line)
-                        ).otherwise(_entry(F.lit(None), F.lit(None), line, _empty_map(), line))
-    text_entry = _entry(p_ts, level_of(p_msg, True), p_msg, _empty_map(), line)
-    return F.when(is_json, json_entry).otherwise(text_entry)
-
-
-def parse_docker(line: Column) -> Column:
-    """D-3: JSON lines keep level=stream only and no metadata; WARNING not folded."""
-    j = _json_map(line)
-    is_json = F.startswith(line, F.lit("{"))
-    j_msg = F.when(F.map_contains_key(j, F.lit("log")), j["log"]).when(
-        F.map_contains_key(j, F.lit("message")), j["message"]).otherwise(line)
-    j_ts = F.when(F.map_contains_key(j, F.lit("time")), iso_ts(j["time"]))
-    pre = _rx(line, _s(ISO_PREFIX), 1)
-    p_ts = F.when(pre != "", iso_ts(pre))
-    p_msg = F.when(p_ts.isNotNull(), F.regexp_replace(line, _s(ISO_PREFIX), "")).otherwise(line)
-    json_entry = F.when(j.isNotNull(), _entry(j_ts, _get(j, "stream"), j_msg, _empty_map(), line)
-                        ).otherwise(_entry(F.lit(None), F.lit(None), line, _empty_map(), line))
-    text_entry = _entry(p_ts, level_of(p_msg, False), p_msg, _empty_map(), line)
-    return F.when(is_json, json_entry).otherwise(text_entry)
-
-
-def _access_entry(line: Column, pattern: str, with_size: bool) -> Column:
-    g = [None] + [_rx(line, _s(pattern), i) for i in range(1, 9)]
-    status = g[7].cast("int")
-    level = F.when(status >= 400, F.lit("ERROR")).otherwise(F.lit("INFO"))
-    msg = F.concat(g[4], F.lit(" "), g[5], F.lit(" - "), status.cast("string"))
-    kv = ["ip", g[1], "status", status.cast("string"), "method", g[4], "path", g[5]]
-    if with_size:
-        kv += ["size", F.when(g[8] != "-", g[8].cast("decimal(38,0)").cast("string"))]
-    return _entry(clf_ts(g[3]), level, msg, _map(*kv), line)
-
-
 def _severity(word: Column, mapping: dict[str, str]) -> Column:
     items = []
     for k, v in mapping.items():
@@ -247,45 +155,6 @@ def _severity(word: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*items), F.lower(word)), F.lit("INFO"))
 
 
-def _plain(line: Column) -> Column:
-    return _entry(F.lit(None), F.lit(None), line, _empty_map(), line)
-
-
-def parse_nginx(line: Column) -> Column:
-    """D-4 / D-5: access line, else error line, else plain."""
-    e = [None] + [_rx(line, _s(NGINX_ERROR), i) for i in range(1, 6)]
-    err = _entry(ymd_hms_ts(e[1], "/"), _severity(e[2], rules.NGINX_ERROR_LEVELS), e[5],
-                 _map("pid", e[3], "tid", e[4], "nginx_level", e[2]), line)
-    return (F.when(line.rlike(_s(NGINX_ACCESS)), _access_entry(line, NGINX_ACCESS, True))
-            .when(line.rlike(_s(NGINX_ERROR)), err)
-            .otherwise(_plain(line)))
-
-
-def parse_apache(line: Column) -> Column:
-    """D-6 / D-7: access line (no size), else error line (ts always null), else plain."""
-    e = [None] + [_rx(line, _s(APACHE_ERROR), i) for i in range(1, 5)]
-    err = _entry(F.lit(None), _severity(e[3], rules.APACHE_ERROR_LEVELS), e[4],
-                 _map("module", e[2], "apache_level", e[3]), line)
-    return (F.when(line.rlike(_s(APACHE_ACCESS)), _access_entry(line, APACHE_ACCESS, False))
-            .when(line.rlike(_s(APACHE_ERROR)), err)
-            .otherwise(_plain(line)))
-
-
-def parse_jenkins(line: Column) -> Column:
-    """D-8: stamp needs a space before the zone; lookup of the level word is case-sensitive."""
-    pre = _rx(line, _s(JENKINS_TS), 1)
-    ts = F.when(pre != "", jenkins_ts(pre))
-    msg = F.when(ts.isNotNull(), F.regexp_replace(line, _s(JENKINS_TS), "")).otherwise(line)
-    stage = _nz(_rx(line, _i(JENKINS_STAGE), 1))
-    meta = F.when(stage.isNotNull(), _map("pipeline_action", stage)).otherwise(_empty_map())
-    word = _nz(_rx(msg, _i(rules.JENKINS_LEVEL_WORDS), 1))
-    items = []
-    for k, v in rules.JENKINS_LEVELS.items():
-        items += [F.lit(k), F.lit(v)]
-    level = F.when(word.isNotNull(), F.coalesce(F.try_element_at(F.create_map(*items), word), F.lit("INFO")))
-    return _entry(ts, level, msg, meta, line)
-
-
 def _params_map(params: Column) -> Column:
     """``k=v`` pairs split on ",", both sides stripped; a later key wins."""
     pairs = F.filter(F.split(params, ",", -1), lambda p: p.contains("="))
@@ -296,29 +165,6 @@ def _params_map(params: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def parse_github_actions(line: Column) -> Column:
-    """D-9: ``type::params:message``; notice->INFO; then a naive ISO prefix on the message."""
-    is_ann = line.rlike(_i(GHA_ANNOTATION))
-    typ = F.lower(_rx(line, _i(GHA_ANNOTATION), 1))
-    level = F.when(is_ann, F.when(typ == "notice", F.lit("INFO")).otherwise(F.upper(typ)))
-    msg0 = F.when(is_ann, _rx(line, _i(GHA_ANNOTATION), 3)).otherwise(line)
-    meta = F.when(is_ann, _params_map(_rx(line, _i(GHA_ANNOTATION), 2))).otherwise(_empty_map())
-    pre = _rx(msg0, _s(GHA_TS_PREFIX), 1)
-    ts = F.when(pre != "", naive_iso_ts(pre))
-    msg = F.when(ts.isNotNull(), F.regexp_replace(msg0, _s(GHA_TS_PREFIX), "")).otherwise(msg0)
-    return _entry(ts, level, msg, meta, line)
-
-
-def parse_terraform(line: Column) -> Column:
-    """D-10: ``[LEVEL] `` prefix, then an ISO prefix."""
-    lv = _nz(_rx(line, _i(TERRAFORM_LEVEL), 1))
-    msg0 = F.when(lv.isNotNull(), F.regexp_replace(line, _i(TERRAFORM_LEVEL), "")).otherwise(line)
-    pre = _rx(msg0, _s(ISO_PREFIX), 1)
-    ts = F.when(pre != "", iso_ts(pre))
-    msg = F.when(ts.isNotNull(), F.regexp_replace(msg0, _s(ISO_PREFIX), "")).otherwise(msg0)
-    return _entry(ts, F.upper(lv), msg, _empty_map(), line)
-
-
 def cloudwatch_json_entry(obj: Column) -> Column:
     """D-12 JSON object -> entry; ``obj`` is the object's JSON text."""
     j = _json_map(obj)
@@ -343,60 +189,6 @@ def _py_json_dumps(obj: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
 
 
-def parse_cloudwatch(line: Column) -> Column:
-    """D-12: JSON object line, else tab fields ts, message, log_stream (no level)."""
-    j = _json_map(line)
-    parts = F.split(line, "\t", -1)
-    tab_ts = iso_ts(parts[0])
-    tab_meta = F.when(F.size(parts) > 2, _map("log_stream", parts[2])).otherwise(_empty_map())
-    tab = _entry(tab_ts, F.lit(None), parts[1], tab_meta, line)
-    return (F.when(F.startswith(line, F.lit("{")) & j.isNotNull(), cloudwatch_json_entry(line))
-            .when(F.size(parts) >= 2, tab)
-            .otherwise(_plain(line)))
-
-
-def parse_generic(line: Column) -> Column:
-    """D-13: three stamp prefixes; the prefix is cut even when the stamp is invalid."""
-    g1 = _rx(line, _s(GENERIC_TS[0]), 1)
-    g2 = _rx(line, _s(GENERIC_TS[1]), 1)
-    g3 = _rx(line, _s(GENERIC_TS[2]), 1)
-    ts = (F.when(g1 != "", iso_zone_ts(g1))
-          .when(g2 != "", ymd_hms_ts(g2))
-          .when(g3 != "", syslog_ts(g3)))
-    msg = (F.when(g1 != "", F.regexp_replace(line, _s(GENERIC_TS[0]), ""))
-           .when(g2 != "", F.regexp_replace(line, _s(GENERIC_TS[1]), ""))
-           .when(g3 != "", F.regexp_replace(line, _s(GENERIC_TS[2]), ""))
-           .otherwise(line))
-    return _entry(ts, level_of(msg, True), msg, _empty_map(), line)
-
-
-PARSERS = {
-    "kubernetes": parse_kubernetes,
-    "docker": parse_docker,
-    "nginx": parse_nginx,
-    "apache": parse_apache,
-    "jenkins": parse_jenkins,
-    "github_actions": parse_github_actions,
-    "terraform": parse_terraform,
-    "cloudwatch": parse_cloudwatch,
-    "generic": parse_generic,
-}
-
-
-def parse_line(line: Column, source: Column) -> Column:
-    """Single-expression dispatch (reference form, used by tests).
-
-    ``parse_lines`` is the staged form used by the table operators: it
-    evaluates each regex once per line instead of once per use.
-    """
-    expr = None
-    for name, fn in PARSERS.items():
-        if name == "generic":
-            continue
-        expr = F.when(source == name, fn(line)) if expr is None else expr.when(source == name, fn(line))
-    return expr.otherwise(parse_generic(line))
-
-
 # ---------------------------------------------------------------------------
 # Staged parser: each regex runs once per line
 # ---------------------------------------------------------------------------

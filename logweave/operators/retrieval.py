@@ -19,7 +19,6 @@ task is bounded whatever the table sizes.  Ties break on the vector id.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
