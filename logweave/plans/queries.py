@@ -8,9 +8,9 @@ oracle in ``oracle.py``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from ..operators import findings as fnd
@@ -710,7 +710,7 @@ def q_a7(spark, sf_dir):
     found = fnd.detect_findings(prepared, text_col="clean_text", source_col="source")
     chunks = ch.chunk_log_lines(prepared.select("file_id", F.col("clean_text").alias("text")))
     jobs = prepared.select(F.col("file_id").alias("id"), F.lit("succeeded").alias("status"), "source",
-                           F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
+                           F.lit(datetime.now(UTC).replace(tzinfo=None)).alias("created_at"))
     paths = sinks.write_ingest(jobs, chunks, found, root + "/tables", mode="overwrite")
     counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table"), "n")
               for k, p in paths.items()]

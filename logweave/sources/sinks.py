@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 
 def write_ingest(jobs: DataFrame, chunks: DataFrame, findings: DataFrame, root: str,
                  mode: str = "append") -> dict[str, str]:
-    """A-7: one job row per file plus its chunks and findings (ids copied), parquet by day."""
-    out = {}
-    for name, df in (("jobs", jobs), ("chunks", chunks), ("findings", findings)):
-        path = f"{root.rstrip('/')}/{name}"
-        ts = "created_at" if "created_at" in df.columns else None
-        w = df.withColumn("day", F.to_date(ts)) if ts else df.withColumn("day", F.current_date())
-        w.write.mode(mode).partitionBy("day").parquet(path)
-        out[name] = path
-    return out
+    """A-7: one job row per file plus its chunks and findings, parquet by the job's day.
+
+    ``jobs`` is written first and read back; chunks and findings take job_id, created_at
+    and, where jobs have them, incident_id and attachment_id from the job of their file, so
+    all rows of a job lie in one day.
+    """
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in ("jobs", "chunks", "findings")}
+    jobs.withColumn("day", F.to_date("created_at")).write.mode(mode).partitionBy("day").parquet(paths["jobs"])
+    own = [c for c in ("incident_id", "attachment_id") if c in jobs.columns]
+    written = jobs.sparkSession.read.parquet(paths["jobs"])
+    keys = written.groupBy(F.col("id").alias("file_id")).agg(
+        F.max(F.struct("created_at", F.col("id").alias("job_id"), *own, "day")).alias("_j")).select("file_id", "_j.*")
+    for name, df in (("chunks", chunks), ("findings", findings)):
+        carried = [c for c in keys.columns if c == "file_id" or c not in df.columns]
+        df.join(keys.select(carried), "file_id", "left").write.mode(mode).partitionBy("day").parquet(paths[name])
+    return paths
 
 
 def upsert_doc_chunks(new: DataFrame, index: DataFrame, key: str = "chunk_id") -> DataFrame:

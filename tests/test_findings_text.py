@@ -108,6 +108,16 @@ def test_export_metadata_as_python_shows_it(spark):
     assert got == {i: repr(v) for i, v in enumerate(values)}
 
 
+def test_written_chunks_carry_the_keys_of_their_job(spark, tmp_path):
+    jobs = spark.sql("SELECT id, 10 * id AS incident_id, 'succeeded' AS status, TIMESTAMP_NTZ '2024-02-28 23:59:59' + MAKE_DT_INTERVAL(0, id) AS created_at FROM VALUES (0L), (1L) t(id)")
+    chunks = spark.createDataFrame([(0, 0, "a"), (1, 0, "b"), (1, 1, "c")], "file_id long, chunk_index int, text string")
+    found = spark.createDataFrame([(1, "x")], "file_id long, title string")
+    paths = sinks.write_ingest(jobs, chunks, found, str(tmp_path))
+    got = spark.read.parquet(paths["chunks"]).selectExpr("text", "job_id", "incident_id", "string(day)").collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 0, "2024-02-28"), ("b", 1, 10, "2024-02-29"), ("c", 1, 10, "2024-02-29")]
+    assert [r.incident_id for r in spark.read.parquet(paths["findings"]).collect()] == [10]
+
+
 def test_brief_message(spark):
     df = spark.createDataFrame([(1, 2, 1, 0, 0, 3), (2, 0, 2, 1, 0, 3), (3, 0, 0, 1, 1, 2), (4, 0, 0, 0, 0, 0)],
                                "file_id long, critical long, high long, medium long, low long, total long")
