@@ -10,12 +10,14 @@ of a host into a style tree.  A style node is a path of tags and classes; a bran
 features are its text (content) and the sequence of its child tags (presentation).  With m
 pages that have the node:
 
-* content importance: 1 - mean over its texts of log(pages with the text) / log(m): 1 if
-  no text occurs twice, 0 if all pages say the same;
-* presentation importance: entropy to the base m of its child sequences;
-* importance: (1 - g^k) * presentation + g^k * content, with g = 0.9 and k sequences.
-
-Branches below ``LOW`` are removed from each page where the node is on ``MIN_PAGES`` pages.
+* content importance: different texts over pages that have them: 1 if no text occurs
+  twice, near 0 if all pages say the same;
+* presentation importance: entropy of its child sequences over the log of m, of
+  ``BASE_PAGES`` at most, so that it does not fall as a host grows;
+* importance: the larger of the two.
+
+Branches below ``LOW`` are removed from each page where the node is on ``MIN_PAGES`` pages;
+texts that differ from page to page stay, however many pages a host has.
 Pages with the same longest block (copies of one article) count as one, so repeated
 articles are not taken for page furniture.  Counts are grouped aggregates by (host, node,
 feature), combined before the shuffle, so a host with a third of all pages is no hot task;
@@ -42,7 +44,7 @@ from .common import shared_table
 
 LOW = 0.3
 MIN_PAGES = 5
-DAMPING = 0.9
+BASE_PAGES = 100
 
 # fixed values: HTML element classes and the words that declare page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,14 +233,12 @@ def importance(parsed: DataFrame) -> DataFrame:
                 .groupBy("host", "node", feature).agg(F.count("*").alias("n")).groupBy("host", "node"))
 
     pages = rows.select("host", "node", "longest").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    content = spread("feature").agg(F.avg(F.log("n")).alias("repeated"))
-    shape = spread("shape").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"), F.count("*").alias("kinds"))
-    base = F.log(F.greatest("pages", F.lit(2)))
-    content_part = 1 - F.col("repeated") / base
-    shape_part = (F.log("total") - F.col("weighted") / F.col("total")) / base
-    damped = F.pow(F.lit(DAMPING), F.col("kinds"))
+    content = spread("feature").agg((F.count("*") / F.sum("n")).alias("content"))
+    shape = spread("shape").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
+    base = F.log(F.least(F.greatest("pages", F.lit(2)), F.lit(BASE_PAGES)))
+    presentation = F.least(F.lit(1.0), (F.log("total") - F.col("weighted") / F.col("total")) / base)
     return (pages.join(content, ["host", "node"]).join(shape, ["host", "node"])
-            .select("host", "node", "pages", ((1 - damped) * F.least(F.lit(1.0), shape_part) + damped * content_part).alias("importance")))
+            .select("host", "node", "pages", F.greatest("content", presentation).alias("importance")))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -133,6 +133,17 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_large_host_keeps_unique_text(spark):
+    """Many pages, all texts different, few layouts: the undeclared main branch stays; repeated text goes."""
+    share = np.floor(200_000 * np.cumsum(0.85 ** np.arange(30)) / np.sum(0.85 ** np.arange(30)))
+    kind = F.size(F.filter(F.array(*[F.lit(float(x)) for x in share]), lambda x: x <= F.col("id"))).cast("long")
+    branch = lambda node, feature, shape: F.struct(F.lit(node).cast("long").alias("node"), feature.cast("long").alias("feature"), shape.alias("shape"))
+    rows = spark.range(200_000).select(F.lit("h").alias("host"), F.col("id").alias("longest"),
+                                      F.array(branch(1, F.col("id"), kind), branch(2, F.lit(5), F.lit(0).cast("long"))).alias("branches"))
+    got = {r.node: r.importance for r in html_text.importance(rows).collect()}
+    assert got[1] >= html_text.LOW > got[2]
+
+
 def test_language(spark):
     words = {"en": "the house and the garden are here with us", "de": "das haus und der garten sind hier bei uns", "fr": "la maison et le jardin sont ici avec nous"}
     docs = spark.createDataFrame([(i, t + f" {i}", k) for i, (k, t) in enumerate(list(words.items()) * 8)], "doc_id long, text string, lang string")
