@@ -1,12 +1,18 @@
 """Operator 1, HTML extraction with a site style tree.
 
 Every page is parsed once, in the tasks, into text blocks.  Elements that declare what
-they are decide by themselves: navigation, headers, footers, sidebars, forms, adverts,
-notices and reader comments go, by tag, ARIA role or class word; ``article`` and ``main``
-stay, and a page that has one keeps only what lies inside.
-
-The other branches (containers and elements with a class or id) are merged over the pages
-of a host into a style tree.  A style node is a path of tags and classes; a branch's
+they are decide by themselves: navigation, footers, sidebars, forms, dialogs and headers go
+by tag, ARIA role or ``hidden``; ``article`` and ``main`` stay, and a page that has one
+keeps only what lies inside.
+
+A class or id word (advert, notice, comments ...) only makes an element suspect.  Inside a
+declared article only the whole class name or id of a container does; no word on the article
+or around it counts.  A suspect branch goes if its content importance on the host is below
+``SUSPECT_LOW``; if its node is on fewer than ``MIN_PAGES`` pages the word decides, unless
+that would leave the page without text.
+
+The other branches (containers and elements with a class or id) and the suspect ones are
+merged over the pages of a host into a style tree.  A style node is a path of tags and classes; a branch's
 features are its text (content) and the sequence of its child tags (presentation).  With m
 pages that have the node:
 
@@ -45,6 +51,7 @@ from .common import shared_table
 LOW = 0.3
 MIN_PAGES = 5
 BASE_PAGES = 100
+SUSPECT_LOW = 0.7
 
 # fixed values: HTML element classes and the words that declare page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +61,11 @@ CLOSES_P = BLOCK - frozenset("body caption html legend option tbody td tfoot th
 CONTAINERS = frozenset("blockquote details div dl fieldset figure ol section table ul".split())
 CHROME_TAGS = frozenset("nav footer aside form dialog menu button search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: a word only marks an element as suspect
 CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies related recommended widget toolbar pagination pager search form".split())
+#: inside a declared article only whole class names and ids of containers mark, and only these
+INNER_WORDS = frozenset("ads advert adverts advertisement sponsored breadcrumb breadcrumbs comments commentlist disqus respond replies sharing newsletter pagination".split())
+INNER_TAGS = frozenset("div dl ol section ul".split())
 #: closed by the start of a tag of the same group, up to the group's container
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
             "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "option": (("option",), ("select", "datalist"))}
@@ -76,8 +87,9 @@ class Page:
         self.blocks: list[str] = []
         self.inside: list[tuple[int, ...]] = []  # branch numbers of each block
         self.in_main: list[bool] = []
-        self.branches: list[list] = []  # [path, first block, last block, child tags]
-        self._stack: list[tuple[str, bool, bool, int | None, str]] = [("", False, False, None, "")]  # tag, chrome, main, branch, name
+        self.branches: list[list] = []  # [path, suspect, child tags]
+        # tag, chrome, main, branch, name, branches a text inside belongs to
+        self._stack: list[tuple[str, bool, bool, int | None, str, tuple[int, ...]]] = [("", False, False, None, "", ())]
         self._open: dict[str, int] = {}
         self._text: list[str] = []
         self._parse(source)
@@ -86,20 +98,18 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             self._text = []
-            _, chrome, main, _, _ = self._stack[-1]
+            _, chrome, main, _, _, inside = self._stack[-1]
             if text and not chrome:
                 self.blocks.append(text)
                 self.in_main.append(main)
-                self.inside.append(tuple(e[3] for e in self._stack if e[3] is not None))
+                self.inside.append(inside)
 
     def _pop(self, size: int) -> None:
         if len(self._stack) > size:
-            if any(e[0] in BLOCK for e in self._stack[size:]):
+            if any(e[0] in BLOCK or e[3] is not None for e in self._stack[size:]):
                 self._flush()
-            for tag, _, _, branch, _ in self._stack[size:]:
-                self._open[tag] -= 1
-                if branch is not None:
-                    self.branches[branch][2] = len(self.blocks)
+            for e in self._stack[size:]:
+                self._open[e[0]] -= 1
             del self._stack[size:]
 
     def _close_to(self, tags: tuple[str, ...], stop) -> None:
@@ -120,25 +130,34 @@ class Page:
             self._flush()
         elif tag == "br":
             self._text.append(" ")
-        parent, chrome, main, _, _ = self._stack[-1]
-        if parent and self._stack[-1][3] is not None:
-            self.branches[self._stack[-1][3]][3].append(tag)
+        _, chrome, main, above, _, inside = self._stack[-1]
+        if above is not None:
+            self.branches[above][2].append(tag)
         if tag in VOID:
             return
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t") else {}
         names = [w.lower() for w in _WORD.findall(f"{found.get('class', '')} {found.get('id', '')}")] if found else []
         role = found.get("role", "").lower()
+        was_main, suspect = main, False
         if tag == "main" or role == "main" or (tag == "article" and chrome and self._stack[-1][0] in ("form", "nav", "header")):
             chrome, main = False, True
         elif not chrome:
-            chrome = (tag in CHROME_TAGS or role in CHROME_ROLES or (tag == "header" and not main) or "hidden" in found
-                      or (tag not in ("html", "body") and (not CHROME_WORDS.isdisjoint(names) or (not main and "header" in names))))
+            chrome = tag in CHROME_TAGS or role in CHROME_ROLES or (tag == "header" and not main) or "hidden" in found
             main = main or (not chrome and (tag == "article" or role == "article" or found.get("itemprop", "").lower() == "articlebody"))
+        if main and not was_main:
+            inside = ()  # no ancestor, by its words or its repetition, removes a declared article
+        elif main:
+            suspect = tag in INNER_TAGS and not INNER_WORDS.isdisjoint([*found.get("class", "").lower().split(), found.get("id", "").lower()])
+        elif tag not in ("html", "body"):
+            suspect = not CHROME_WORDS.isdisjoint(names) or "header" in names
         branch, name = None, f"{tag}.{'.'.join(names)}" if names else tag
-        if not chrome and tag in BLOCK and tag not in ("html", "body", "main", "article") and (names or tag in CONTAINERS):
+        declared = tag in ("html", "body", "main", "article") or main > was_main
+        if not chrome and not declared and (suspect or (tag in BLOCK and (names or tag in CONTAINERS))):
+            self._flush()
             branch = len(self.branches)
-            self.branches.append(["/".join([e[4] for e in self._stack] + [name]), len(self.blocks), None, []])
-        self._stack.append((tag, chrome, main, branch, name))
+            self.branches.append(["/".join([e[4] for e in self._stack] + [name]), suspect, []])
+            inside = (*inside, branch)
+        self._stack.append((tag, chrome, main, branch, name, inside))
         self._open[tag] = self._open.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
@@ -182,10 +201,7 @@ class Page:
         self._flush()
         if any(self.in_main):  # a declared article: what lies outside is not the article
             self.blocks, self.inside = ([x for x, m in zip(side, self.in_main, strict=True) if m] for side in (self.blocks, self.inside))
-            used = {b for inside in self.inside for b in inside}
-            self.kept = used
-        else:
-            self.kept = {b for inside in self.inside for b in inside}
+        self.kept = {b for inside in self.inside for b in inside}
 
     def nodes(self) -> dict[int, dict]:
         """Style node, text feature and child sequence of each branch that holds text."""
@@ -195,17 +211,17 @@ class Page:
             for b in inside:
                 text[b].append(block)
         for b in self.kept:
-            path, _, _, children = self.branches[b]
-            out[b] = {"node": _code(path), "feature": _code(*text[b]), "shape": _code(*children)}
+            path, suspect, children = self.branches[b]
+            out[b] = {"node": _code(path), "feature": _code(*text[b]), "shape": _code(*children), "suspect": suspect}
         return out
 
 
 _PARSED = ("page_id long, url string, host string, longest long, blocks array<string>, "
-           "inside array<array<long>>, branches array<struct<node:long,feature:long,shape:long>>")
+           "inside array<array<long>>, branches array<struct<node:long,feature:long,shape:long,suspect:boolean>>")
 
 
 def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    node = pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("shape", pa.int64())])
+    node = pa.struct([("node", pa.int64()), ("feature", pa.int64()), ("shape", pa.int64()), ("suspect", pa.bool_())])
     for batch in batches:
         ids, urls, sources = (batch.column(c).to_pylist() for c in ("page_id", "url", "html"))
         hosts, longest, blocks, inside, branches = [], [], [], [], []
@@ -224,7 +240,7 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(parsed: DataFrame) -> DataFrame:
-    """host, node, pages and importance of every undeclared style node."""
+    """host, node, pages, content importance and importance of every undeclared style node."""
     rows = parsed.select("host", "longest", F.explode("branches").alias("b")).select("host", "longest", "b.*")
 
     def spread(feature):
@@ -238,20 +254,26 @@ def importance(parsed: DataFrame) -> DataFrame:
     base = F.log(F.least(F.greatest("pages", F.lit(2)), F.lit(BASE_PAGES)))
     presentation = F.least(F.lit(1.0), (F.log("total") - F.col("weighted") / F.col("total")) / base)
     return (pages.join(content, ["host", "node"]).join(shape, ["host", "node"])
-            .select("host", "node", "pages", F.greatest("content", presentation).alias("importance")))
+            .select("host", "node", "pages", "content", F.greatest("content", presentation).alias("importance")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     parsed = shared_table(pages.select("page_id", "url", "html").mapInArrow(_parse_pages, _PARSED)
                           .withColumn("row_no", F.monotonically_increasing_id()), "parsed")
-    low = importance(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW)).select("host", "node")
+    known = importance(parsed).where(F.col("pages") >= MIN_PAGES)
     plain = parsed.where("size(branches) = 0")
     mixed = parsed.where("size(branches) > 0")
-    hit = (mixed.select("row_no", "host", F.explode("branches.node").alias("node")).distinct().join(low, ["host", "node"])
-           .groupBy("row_no").agg(F.collect_set("node").alias("gone")))  # at most the page's own branches
-    pruned = mixed.join(hit, "row_no", "left").withColumn("blocks", F.expr(
-        "transform(filter(arrays_zip(blocks, inside), x -> gone is null or not arrays_overlap(x.inside, gone)), x -> x.blocks)"))
+    judged = (mixed.select("row_no", "host", F.explode("branches").alias("b")).select("row_no", "host", "b.node", "b.suspect").distinct()
+              .join(known, ["host", "node"], "left"))
+    few = F.col("pages").isNull()
+    hit = (judged.groupBy("row_no").agg(  # at most the page's own branches
+        F.collect_set(F.when((F.col("importance") < LOW) | (F.col("suspect") & (F.col("content") < SUSPECT_LOW)), F.col("node"))).alias("gone"),
+        F.collect_set(F.when(few & F.col("suspect"), F.col("node"))).alias("doubted")))
+    left = "filter({}, x -> not arrays_overlap(x.inside, {}))"
+    pruned = (mixed.withColumn("held", F.arrays_zip("blocks", "inside")).join(hit, "row_no", "left")
+              .withColumn("sure", F.expr(left.format("held", "gone"))).withColumn("clean", F.expr(left.format("sure", "doubted")))
+              .withColumn("blocks", F.expr("if(size(clean) > 0, clean, sure).blocks")))  # words alone empty no page
     text = F.concat_ws(" ", "blocks")
     return (plain.select("page_id", "url", text.alias("text")).unionByName(pruned.select("page_id", "url", text.alias("text")))
             .withColumn("n_chars", F.length("text").cast("long")))

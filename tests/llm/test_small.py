@@ -144,6 +144,19 @@ def test_html_large_host_keeps_unique_text(spark):
     assert got[1] >= html_text.LOW > got[2]
 
 
+def test_html_words_alone_remove_nothing_unique(spark):
+    """Class and id words: declared articles and unique text stay, what repeats goes, a lone page is not emptied."""
+    lone = {1: "<div id='content' class='no-sidebar'><article class='post comments-open'><h2 id='related-work'>Related work</h2>"
+               "<section id='search-methods'><p>Methods</p></section><p class='notice'>Note</p></article></div>",
+            2: "<div class='content-sidebar-wrap'><p>All of the text</p></div>",
+            3: "<div class='ad'>Buy</div><div>Text <span class='share'>Share</span></div>"}
+    rows = [(i, f"http://h{i}.org/", t) for i, t in lone.items()]
+    rows += [(10 + i, "http://many.org/", f"<div class='promo'>Buy this</div><div class='share-wrap'><p>Story {i} a</p><p>More {i}</p></div><div id='comments'>Say</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Related work Methods Note" and got[2] == "All of the text" and got[3] == "Text"
+    assert all(got[10 + i] == f"Story {i} a More {i}" for i in range(8))
+
+
 def test_language(spark):
     words = {"en": "the house and the garden are here with us", "de": "das haus und der garten sind hier bei uns", "fr": "la maison et le jardin sont ici avec nous"}
     docs = spark.createDataFrame([(i, t + f" {i}", k) for i, (k, t) in enumerate(list(words.items()) * 8)], "doc_id long, text string, lang string")
