@@ -1,9 +1,10 @@
 """Operator 1, HTML extraction with a site style tree.
 
-Every page is parsed once, in the tasks, into text blocks.  Elements that declare what
-they are decide by themselves: navigation, footers, sidebars, forms, dialogs and headers go
-by tag, ARIA role or ``hidden``; ``article`` and ``main`` stay, and a page that has one
-keeps only what lies inside.
+Every page is parsed once, in the tasks, into text blocks.  Two rules come first: what
+declares itself furniture by tag (navigation, footers, sidebars, forms, dialogs, headers),
+ARIA role or ``hidden`` goes; and a page with a declared article (``article``, ``main``)
+keeps only what lies inside it.  These declarations are not left to the statistics, because
+furniture that is drawn from many texts doesn't repeat enough on small hosts.
 
 A class or id word (advert, notice, comments ...) only makes an element suspect.  Inside a
 declared article only the whole class name or id of a container does; no word on the article
@@ -11,8 +12,9 @@ or around it counts.  A suspect branch goes if its content importance on the hos
 ``SUSPECT_LOW``; if its node is on fewer than ``MIN_PAGES`` pages the word decides, unless
 that would leave the page without text.
 
-The other branches (containers and elements with a class or id) and the suspect ones are
-merged over the pages of a host into a style tree.  A style node is a path of tags and classes; a branch's
+All text that these rules leave, inside an article too, is in the style tree of its host:
+every block element, suspect element and text directly in the body or article is a branch.
+A style node is a path of tags and classes; a branch's
 features are its text (content) and the sequence of its child tags (presentation).  With m
 pages that have the node:
 
@@ -23,11 +25,13 @@ pages that have the node:
 * importance: the larger of the two.
 
 Branches below ``LOW`` are removed from each page where the node is on ``MIN_PAGES`` pages;
-texts that differ from page to page stay, however many pages a host has.
-Pages with the same longest block (copies of one article) count as one, so repeated
+texts that differ from page to page stay, however many pages a host has.  So is a branch
+whose own text is on ``MIN_PAGES`` pages and on the share ``REPEATED`` of the node's pages.
+Pages with the same longest sentence (copies of one article) count as one, so repeated
 articles are not taken for page furniture.  Counts are grouped aggregates by (host, node,
 feature), combined before the shuffle, so a host with a third of all pages is no hot task;
-only branch rows are joined, texts are not shuffled.
+texts are shuffled once only if
+the pages that lose something are too many to send to every task.
 
 Defined results: null and empty html give the empty text; null page_id and url pass
 through (the null url is a host of its own); repeated pages are extracted alike; an empty
@@ -52,13 +56,13 @@ LOW = 0.3
 MIN_PAGES = 5
 BASE_PAGES = 100
 SUSPECT_LOW = 0.7
+REPEATED = 0.5
 
 # fixed values: HTML element classes and the words that declare page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript title textarea svg math iframe object canvas select xmp noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption html legend option tbody td tfoot th thead tr".split())
-CONTAINERS = frozenset("blockquote details div dl fieldset figure ol section table ul".split())
 CHROME_TAGS = frozenset("nav footer aside form dialog menu button search".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: a word only marks an element as suspect
@@ -100,6 +104,9 @@ class Page:
             self._text = []
             _, chrome, main, _, _, inside = self._stack[-1]
             if text and not chrome:
+                if not inside:  # text of the body, the article or of a formatting element in it
+                    inside = (len(self.branches),)
+                    self.branches.append(["/".join([e[4] for e in self._stack if e[0] in BLOCK] + ["#text"]), False, []])
                 self.blocks.append(text)
                 self.in_main.append(main)
                 self.inside.append(inside)
@@ -152,7 +159,7 @@ class Page:
             suspect = not CHROME_WORDS.isdisjoint(names) or "header" in names
         branch, name = None, f"{tag}.{'.'.join(names)}" if names else tag
         declared = tag in ("html", "body", "main", "article") or main > was_main
-        if not chrome and not declared and (suspect or (tag in BLOCK and (names or tag in CONTAINERS))):
+        if not chrome and not declared and (suspect or tag in BLOCK):
             self._flush()
             branch = len(self.branches)
             self.branches.append(["/".join([e[4] for e in self._stack] + [name]), suspect, []])
@@ -204,7 +211,7 @@ class Page:
         self.kept = {b for inside in self.inside for b in inside}
 
     def nodes(self) -> dict[int, dict]:
-        """Style node, text feature and child sequence of each branch that holds text."""
+        """Style node, text feature, child sequence and mark of each branch that holds text."""
         out = {}
         text: dict[int, list[str]] = {b: [] for b in self.kept}
         for block, inside in zip(self.blocks, self.inside, strict=True):
@@ -217,7 +224,7 @@ class Page:
 
 
 _PARSED = ("page_id long, url string, host string, longest long, blocks array<string>, "
-           "inside array<array<long>>, branches array<struct<node:long,feature:long,shape:long,suspect:boolean>>")
+           "inside array<array<int>>, branches array<struct<node:long,feature:long,shape:long,suspect:boolean>>")
 
 
 def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,27 +237,31 @@ def _parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = page.nodes()
             m = re.match(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
             hosts.append(m[1].lower() if m else "")
-            longest.append(_code(max(page.blocks, key=len)) if page.blocks else 0)
+            longest.append(_code(max((x for b in page.blocks for x in b.split(". ")), key=len)) if page.blocks else 0)
             blocks.append(page.blocks)
-            inside.append([[found[b]["node"] for b in x] for x in page.inside] if found else [])
+            place = {b: i for i, b in enumerate(found)}
+            inside.append([[place[b] for b in x] for x in page.inside])
             branches.append(list(found.values()))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(longest, pa.int64()),
-                                          pa.array(blocks, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.list_(pa.int64()))), pa.array(branches, pa.list_(node))],
+                                          pa.array(blocks, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.list_(pa.int32()))), pa.array(branches, pa.list_(node))],
                                          ["page_id", "url", "host", "longest", "blocks", "inside", "branches"])
 
 
-def importance(parsed: DataFrame) -> DataFrame:
-    """host, node, pages, content importance and importance of every undeclared style node."""
-    rows = parsed.select("host", "longest", F.explode("branches").alias("b")).select("host", "longest", "b.*")
+def _rows(parsed: DataFrame) -> DataFrame:
+    return parsed.select("host", "longest", F.explode("branches").alias("b")).select("host", "longest", "b.*")
+
 
-    def spread(feature):
-        """Rows (host, node, value, pages with it), pages counted by their longest block."""
-        return (rows.select("host", "node", feature, "longest").distinct()
-                .groupBy("host", "node", feature).agg(F.count("*").alias("n")).groupBy("host", "node"))
+def _counted(rows: DataFrame, feature: str) -> DataFrame:
+    """Rows (host, node, feature, n pages with it), pages counted by their longest sentence."""
+    return rows.select("host", "node", feature, "longest").distinct().groupBy("host", "node", feature).agg(F.count("*").alias("n"))
 
+
+def importance(parsed: DataFrame) -> DataFrame:
+    """host, node, pages, content importance and importance of every undeclared style node."""
+    rows = _rows(parsed)
     pages = rows.select("host", "node", "longest").distinct().groupBy("host", "node").agg(F.count("*").alias("pages"))
-    content = spread("feature").agg((F.count("*") / F.sum("n")).alias("content"))
-    shape = spread("shape").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
+    content = _counted(rows, "feature").groupBy("host", "node").agg((F.count("*") / F.sum("n")).alias("content"))
+    shape = _counted(rows, "shape").groupBy("host", "node").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("weighted"))
     base = F.log(F.least(F.greatest("pages", F.lit(2)), F.lit(BASE_PAGES)))
     presentation = F.least(F.lit(1.0), (F.log("total") - F.col("weighted") / F.col("total")) / base)
     return (pages.join(content, ["host", "node"]).join(shape, ["host", "node"])
@@ -261,16 +272,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     parsed = shared_table(pages.select("page_id", "url", "html").mapInArrow(_parse_pages, _PARSED)
                           .withColumn("row_no", F.monotonically_increasing_id()), "parsed")
-    known = importance(parsed).where(F.col("pages") >= MIN_PAGES)
+    known = shared_table(importance(parsed).where(F.col("pages") >= MIN_PAGES), "known")
     plain = parsed.where("size(branches) = 0")
     mixed = parsed.where("size(branches) > 0")
-    judged = (mixed.select("row_no", "host", F.explode("branches").alias("b")).select("row_no", "host", "b.node", "b.suspect").distinct()
-              .join(known, ["host", "node"], "left"))
-    few = F.col("pages").isNull()
-    hit = (judged.groupBy("row_no").agg(  # at most the page's own branches
-        F.collect_set(F.when((F.col("importance") < LOW) | (F.col("suspect") & (F.col("content") < SUSPECT_LOW)), F.col("node"))).alias("gone"),
-        F.collect_set(F.when(few & F.col("suspect"), F.col("node"))).alias("doubted")))
-    left = "filter({}, x -> not arrays_overlap(x.inside, {}))"
+    rows = mixed.select("row_no", "host", F.posexplode("branches").alias("place", "b")).select("row_no", "host", "place", "b.node", "b.feature", "b.suspect")
+    low = known.where((F.col("importance") < LOW) | (F.col("content") < SUSPECT_LOW))
+    gone = rows.join(low, ["host", "node"]).where((F.col("importance") < LOW) | (F.col("suspect") & (F.col("content") < SUSPECT_LOW)))
+    texts = (_counted(_rows(parsed), "feature").where(F.col("n") >= MIN_PAGES).join(known, ["host", "node"])
+             .where(F.col("n") >= REPEATED * F.col("pages")).select("host", "node", "feature"))
+    gone = gone.select("row_no", "place").unionByName(rows.join(texts, ["host", "node", "feature"]).select("row_no", "place"))
+    doubted = rows.where("suspect").join(known, ["host", "node"], "left_anti").select("row_no", "place")
+    hit = shared_table(gone.withColumn("sure", F.lit(True)).unionByName(doubted.withColumn("sure", F.lit(False)))
+                       .groupBy("row_no").agg(  # at most the page's own branches
+                           F.collect_set(F.when(F.col("sure"), F.col("place"))).alias("gone"),
+                           F.collect_set(F.when(~F.col("sure"), F.col("place"))).alias("doubted")), "hit")  # its size is known before texts are joined
+    left = "filter({0}, x -> {1} is null or not arrays_overlap(x.inside, {1}))"
     pruned = (mixed.withColumn("held", F.arrays_zip("blocks", "inside")).join(hit, "row_no", "left")
               .withColumn("sure", F.expr(left.format("held", "gone"))).withColumn("clean", F.expr(left.format("sure", "doubted")))
               .withColumn("blocks", F.expr("if(size(clean) > 0, clean, sure).blocks")))  # words alone empty no page

@@ -157,6 +157,16 @@ def test_html_words_alone_remove_nothing_unique(spark):
     assert all(got[10 + i] == f"Story {i} a More {i}" for i in range(8))
 
 
+def test_html_repeated_text_without_words_goes(spark):
+    """Elements without class or id, in and out of an article, are in the style tree; copies of an article stay."""
+    rows = [(i, "http://a.org/", f"<article><h1>Title {i}</h1><p>Story {i} of <b>ours</b></p><p>Read us daily</p>Thanks<br>all</article><footer>F</footer>") for i in range(8)]
+    rows += [(20 + i, "http://b.org/", f"<body><p>Read us daily</p><p>Story {i} of ours</p></body>") for i in range(8)]
+    rows += [(40 + i, "http://c.org/", "<article><p>One story</p><p>Read us daily</p></article>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Story {i} of ours" and got[20 + i] == f"Story {i} of ours" for i in range(8))
+    assert all(got[40 + i] == "One story Read us daily" for i in range(8))
+
+
 def test_language(spark):
     words = {"en": "the house and the garden are here with us", "de": "das haus und der garten sind hier bei uns", "fr": "la maison et le jardin sont ici avec nous"}
     docs = spark.createDataFrame([(i, t + f" {i}", k) for i, (k, t) in enumerate(list(words.items()) * 8)], "doc_id long, text string, lang string")
