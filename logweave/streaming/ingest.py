@@ -120,8 +120,9 @@ def stream_incident_sessions(spark: SparkSession, events: DataFrame, key: str =
     """S-3: bursts of error events per key; a session closes after ``gap`` of silence.
 
     ``append`` (default) keeps state bounded: a session is written once the
-    watermark (max event time - ``watermark``) passes its end, so sessions
-    still open when the input ends stay in state.  ``complete`` rewrites the
+    watermark (max event time - ``watermark``) passes its end.  Sessions still
+    open when the ``availableNow`` run ends are read from the state it has
+    committed; ``is_open`` marks them.  ``complete`` rewrites the
     whole session table per trigger (includes open sessions; state is never
     dropped, so only for bounded inputs).
     """
@@ -137,7 +138,11 @@ def stream_incident_sessions(spark: SparkSession, events: DataFrame, key: str =
         return df.where(F.col("batch_id") == df.select(F.max("batch_id")).scalar()).drop("batch_id")
     run_available_now(flat.writeStream.outputMode("append").format("parquet").option("path", out + "/data"),
                       out + "/_ckpt")
-    return spark.read.parquet(out + "/data")
+    closed = spark.read.schema(flat.schema).parquet(out + "/data").withColumn("is_open", F.lit(False))
+    state = spark.read.format("statestore").load(out + "/_ckpt").select("value.*")
+    still = state.select(key, F.col("session_window.start").alias("session_start"),
+                         F.col("session_window.end").alias("session_end"), F.col("count").alias("n_errors"))
+    return closed.unionByName(still.withColumn("is_open", F.lit(True)))
 
 
 # ---------------------------------------------------------------------------
