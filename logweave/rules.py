@@ -352,7 +352,6 @@ REMEDIATION_DEFAULTS = [
 # ---------------------------------------------------------------------------
 # FIXED VALUES: limits and defaults.
 # ---------------------------------------------------------------------------
-INGEST_READ_BYTES = 10_000_000
 UPLOAD_LIMIT_BYTES = 25 * 1024 * 1024
 DOC_MAX_BYTES = 20_000_000
 LOG_CHUNK_MAX = 2200

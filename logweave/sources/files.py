@@ -2,29 +2,20 @@
 
 Files are read with the ``binaryFile`` source (one row per file, parallel
 over files).  Line tables are turned into file texts with
-``assemble_files``, which bounds every per-file group by the byte limit the
-ingest path applies before collecting it.
+``assemble_files``.  Both keep the whole text; a file is one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import py_strip
 
-OFFSET_BLOCK = 1024
 
-
-def _decode_prefix(content, max_bytes: int):
-    """First ``max_bytes`` bytes as UTF-8, malformed bytes replaced (U+FFFD)."""
-    return F.make_valid_utf8(F.substring(content, 1, max_bytes).cast("string"))
-
-
-def read_log_files(spark: SparkSession, path: str, max_bytes: int = rules.INGEST_READ_BYTES,
-                   glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """A-1: ``(file_id, path, size_bytes, modified_at, text)``, first ``max_bytes`` bytes.
+def read_log_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
+    """A-1: ``(file_id, path, size_bytes, modified_at, text)``, whole files as UTF-8, malformed bytes replaced (U+FFFD).
 
     ``file_id`` is a 64-bit hash of the path so it is stable across re-reads
     and across executors (no driver-side numbering).
@@ -38,61 +29,24 @@ def read_log_files(spark: SparkSession, path: str, max_bytes: int = rules.INGEST
         "path",
         F.col("length").alias("size_bytes"),
         F.col("modificationTime").alias("modified_at"),
-        _decode_prefix(F.col("content"), max_bytes).alias("text"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
     )
 
 
-def text_prefix_bytes(text, max_bytes: int):
-    """Cut a string column to its first ``max_bytes`` UTF-8 bytes (replacement on a cut char)."""
-    col = F.col(text) if isinstance(text, str) else text
-    return F.when(F.octet_length(col) <= max_bytes, col).otherwise(
-        _decode_prefix(F.encode(col, "UTF-8"), max_bytes))
-
-
-def line_byte_offsets(lines: DataFrame, key: str = "file_id", order: str = "line_no",
-                      line: str = "line", block: int = OFFSET_BLOCK) -> DataFrame:
-    """Add ``byte_offset``: start of each line in ``"\\n".join(lines)`` (UTF-8 bytes).
-
-    Two-level prefix sum so no window holds a whole file: a running sum
-    inside blocks of ``block`` lines, plus a running sum over per-block
-    totals (``block`` times fewer rows).
-    """
-    blk = F.floor(F.col(order) / block).cast("long")
-    with_len = lines.withColumn("_blk", blk).withColumn("_len", F.octet_length(line) + 1)
-    inner = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    with_inner = with_len.withColumn("_inner", F.coalesce(F.sum("_len").over(inner), F.lit(0)))
-    totals = with_len.groupBy(key, "_blk").agg(F.sum("_len").alias("_blen"))
-    outer = Window.partitionBy(key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(key, "_blk", F.coalesce(F.sum("_blen").over(outer), F.lit(0)).alias("_bstart"))
-    return (with_inner.join(starts, [key, "_blk"])
-            .withColumn("byte_offset", F.col("_bstart") + F.col("_inner"))
-            .drop("_blk", "_len", "_inner", "_bstart"))
-
-
 def assemble_files(lines: DataFrame, key: str = "file_id", order: str = "line_no",
-                   line: str = "line", max_bytes: int = rules.INGEST_READ_BYTES) -> DataFrame:
-    """Line table -> ``(file_id, text, n_lines)``: lines joined by LF in order.
-
-    Only the first ``max_bytes`` bytes of a file are kept (the ingest read
-    limit), so the per-file ``collect_list`` is bounded no matter how many
-    lines one file has.  Lines are numbered densely from 0, so a line whose
-    number is >= ``max_bytes`` starts past the limit and is dropped before
-    the prefix sum.
-    """
-    cand = lines.select(key, order, line).where(F.col(order) < max_bytes)
-    with_off = line_byte_offsets(cand, key, order, line).where(F.col("byte_offset") < max_bytes)
-    kept = with_off.select(key, order, F.substring(line, 1, max_bytes).alias(line))
-    grouped = kept.groupBy(key).agg(
+                   line: str = "line") -> DataFrame:
+    """Line table -> ``(file_id, text, n_lines)``: all lines joined by LF in order."""
+    grouped = lines.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(line).alias("l")))).alias("_ls"),
         F.count(F.lit(1)).alias("n_lines"),
     )
     text = F.array_join(F.transform("_ls", lambda s: s["l"]), "\n")
-    return grouped.select(key, text_prefix_bytes(text, max_bytes).alias("text"), "n_lines")
+    return grouped.select(key, text.alias("text"), "n_lines")
 
 
 def simple_assemble_files(lines: DataFrame, key: str = "file_id", order: str = "line_no",
                           line: str = "line") -> DataFrame:
-    """Join lines per file without the read limit (only for bounded files)."""
+    """Join lines per file, without their number."""
     grouped = lines.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.col(line).alias("l")))).alias("_ls"))
     return grouped.select(key, F.array_join(F.transform("_ls", lambda s: s["l"]), "\n").alias("text"))

@@ -154,7 +154,7 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``file_id = event_id div 50`` and ``event_id`` is the events key, so a
     file holds at most 50 template lines: the group is bounded by
     construction and one ``groupBy`` suffices.  Line tables without such a
-    bound go through ``files.assemble_files`` (byte-limited, skew-safe).
+    bound go through ``files.assemble_files``.
     """
     from ..sources.files import simple_assemble_files
     return simple_assemble_files(log_lines(spark, sf_dir))
