@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_text, language_id, license_scan, mixing, ngram_join, sharding, topk_search, toxicity
+from . import (bpe, conversation_repair, exact_dedup, html_text, language_id, license_scan, merkle, mixing, ngram_join, sharding,
+               token_records, topk_search, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +112,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all pages from fused evidence (held-out agreement is tested)."""
     return language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@register("op11_token_records")
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as framed records and read back (tested against the library)."""
+    return token_records.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@register("op12_merkle_manifest", merkle.oracle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle tree over all documents with every row's proof."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair", conversation_repair.oracle_sql())
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
