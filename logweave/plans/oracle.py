@@ -980,9 +980,9 @@ g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NUL
                       OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 1 ELSE 0 END AS brk FROM e),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start,
-       strftime(max(ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_errors
-FROM s GROUP BY user_id, sid
-HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM e) - INTERVAL 1 DAY"""
+       strftime(max(ts) + INTERVAL 30 MINUTES, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_errors,
+       max(ts) + INTERVAL 30 MINUTES > (SELECT max(ts) FROM e) - INTERVAL 1 DAY AS is_open
+FROM s GROUP BY user_id, sid"""
 
 SQL["s4_stream_dedup"] = f"""WITH {LOG_LINES}
 SELECT DISTINCT {checksum_sql('line')} AS checksum FROM log_lines"""
