@@ -42,7 +42,9 @@ MASK = 0xA282EAD8
 HEAD = "<qBB"
 HEAD_SIZE = struct.calcsize(HEAD)
 #: distinct pieces whose ids a task remembers before it starts anew
-CACHE_PIECES = 500_000
+CACHE_PIECES = 800_000
+#: pieces given to the library as one text
+JOINED_PIECES = 500
 #: characters encoded at once
 BATCH_CHARS = 2_000_000
 #: a task goes on with its next file beyond so many bytes
@@ -84,17 +86,24 @@ def filesystem(path: str):
 
 
 class PieceEncoder:
-    """The tokenizers library, asked once for each distinct piece of the texts."""
+    """The tokenizers library, asked once for each distinct piece of the texts.
 
-    def __init__(self, spec: str):
-        self.spec = spec
-        self._tokenizer = None
-
-    def __getstate__(self):
-        return {"spec": self.spec}
+    Many pieces go to the library as one text where they start with white space and end without, since no
+    match crosses from the one to the other; the ids' bytes tell the pieces apart again.
+    """
 
-    def __setstate__(self, state):
-        self.__init__(**state)
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
+        from tokenizers import Tokenizer
+        self._tokenizer = Tokenizer.from_str(spec)
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
+        vocab = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(self._tokenizer.get_vocab().values()) + 1, np.int64)
+        self._bytes[list(vocab.values())] = [len(t) for t in vocab]  # a character stands for each byte
+        for i, t in self._tokenizer.get_added_tokens_decoder().items():
+            self._bytes[i] = len(t.content.encode())
+        self._reset()
 
     def _reset(self) -> None:
         self._number: dict[str, int] = {}
@@ -105,14 +114,24 @@ class PieceEncoder:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        ids = self._encode(new)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, end, total = len(self._number), self._used, int(sizes.sum())
+        joined = [x for x in new if x[0].isspace() and not x[-1].isspace()]
+        alone = [x for x in new if not x[0].isspace() or x[-1].isspace()]
+        ids = self._encode(["".join(joined[k:k + JOINED_PIECES]) for k in range(0, len(joined), JOINED_PIECES)])
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        ends = np.cumsum(np.fromiter((len(x.encode()) for x in joined), np.int64, len(joined)))
+        cuts = np.searchsorted(np.cumsum(self._bytes[flat]), ends, "right")
+        self._remember(joined, flat, np.diff(cuts, prepend=0))
+        ids = self._encode(alone)
+        self._remember(alone, np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))),
+                       np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _remember(self, new: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        at, end, total = len(self._number), self._used, len(flat)
         while len(self._flat) < end + total:
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         while len(self._start) < at + len(new):
             self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
-        self._flat[end:end + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self._flat[end:end + total] = flat
         self._start[at:at + len(new)] = end + np.cumsum(sizes) - sizes
         self._size[at:at + len(new)] = sizes
         self._used = end + total
@@ -120,13 +139,6 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        if self._tokenizer is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
-            from tokenizers import Tokenizer
-            self._tokenizer = Tokenizer.from_str(self.spec)
-            self._tokenizer.no_truncation()
-            self._tokenizer.no_padding()
-            self._reset()
         if len(self._number) > CACHE_PIECES:
             self._reset()
         whole = {i for i, t in enumerate(texts) if NOT_SPACES.search(t)}
@@ -145,6 +157,18 @@ class PieceEncoder:
         return out
 
 
+_ENCODERS: dict[int, PieceEncoder] = {}
+
+
+def encoder(spec: str) -> PieceEncoder:
+    """The encoder of a vocabulary; a Python worker keeps one, with its pieces, over its tasks."""
+    key = zlib.crc32(spec.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(spec)
+    return _ENCODERS[key]
+
+
 def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
     at = total = 0
     for i, t in enumerate(texts):
@@ -163,11 +187,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
     each document.  Ids take two bytes if all of them fit.
     """
     with open(tokenizer, encoding="utf-8") as f:
-        codec = PieceEncoder(f.read())
+        spec = f.read()
     records = f"{path}/records"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(records)
+        codec = encoder(spec)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         out, name, at, first, files = None, "", 0, 0, 0
         try:
