@@ -1,29 +1,33 @@
 """Finding detection over whole log texts (E-1 ... E-12).
 
-Plan shape (per file row, then per match):
-
-1. one narrow projection per file: for every rule that applies to the
-   file's source and whose regex hits (``rlike``), the match texts
-   (``regexp_extract_all``) and the gaps between them (``split``);
-2. ``posexplode`` to one small row per match (ints only, no text);
-3. match offsets = running sum of gap+match lengths, a window partitioned
-   by ``(file_id, rule_no)``;
-4. evidence cut from the file text (join on ``file_id``), and of equal
-   evidences the first kept by ``min_by`` (two-phase); nothing is capped.
-
-When the file frame is already hash-partitioned by ``file_id`` (it is when it
-comes from ``assemble_files``) steps 3-4 add no exchange of the file text.
+Plan shape, all of it in the row:
+
+1. one projection per text decides natively which rules apply to the source and
+   hit (``rlike``); texts without a hit go no further;
+2. the texts left (null for the others) go to Arrow batches once, where each hitting rule's matches are
+   searched, their evidence cut and equal evidence of a rule dropped.
+
+No row per match is shuffled, no window runs over matches and no text is joined
+to its own offsets, so nothing depends on how many texts or matches a key has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.text import py_strip
 from ..rules import ci
 
+#: rows of findings handed back at once
+OUT_ROWS = 10_000
+
 
 def rule_applies(rule: rules.DetectionRule, source: Column) -> Column:
     """E-2: the rule has no source filter or the filter holds the source."""
@@ -37,38 +41,69 @@ def _rule_meta(col: Column, field: str) -> Column:
                         col)
 
 
-def match_offsets(files: DataFrame, text_col: str = "text", source_col: str = "source",
-                  key: str = "file_id",
-                  detection_rules: list[rules.DetectionRule] | None = None,
-                  with_source: bool = False) -> DataFrame:
-    """E-3: every match of every applicable rule in the whole text.
+def rule_hits(text: Column, source: Column, detection_rules: list[rules.DetectionRule] | None = None) -> Column:
+    """Numbers of the rules that apply to the source and match the text somewhere."""
+    drs = detection_rules or rules.DETECTION_RULES
+    return F.array_compact(F.array(*[F.when(rule_applies(r, source) & text.rlike(ci(r.pattern)), F.lit(r.rule_no))
+                                     for r in drs]))
+
+
+def search_matches(texts: DataFrame, keep: list[str], text_col: str, source_col: str,
+                   detection_rules: list[rules.DetectionRule] | None = None, distinct: bool = True) -> DataFrame:
+    """Every match of every hitting rule, with ``keep`` columns of its text.
 
-    Returns ``(key, rule_no, match_no, start, end)``; offsets are 0-based
-    character positions, ``match_no`` is the 0-based match order.
+    Adds ``rule_no, match_no, start, end, evidence`` (offsets are 0-based character
+    positions, ``match_no`` the 0-based match order).  ``distinct`` keeps the first match of
+    each distinct evidence of a rule (E-5); nothing is capped.
     """
     drs = detection_rules or rules.DETECTION_RULES
-    sample = F.col(text_col)
-    src = F.col(source_col)
-    per_rule = []
-    for r in drs:
-        p = ci(r.pattern)
-        hit = F.when(
-            rule_applies(r, src) & sample.rlike(p),
-            F.struct(F.lit(r.rule_no).alias("rule_no"),
-                     F.transform(F.regexp_extract_all(sample, F.lit(p), 0), lambda x: F.length(x)).alias("hl"),
-                     F.transform(F.split(sample, p, -1), lambda x: F.length(x)).alias("gl")))
-        per_rule.append(hit)
-    hits = (files.select(key, src.alias("_src"), F.inline(F.filter(F.array(*per_rule), lambda x: x.isNotNull())))
-            .select(key, "_src", "rule_no", F.posexplode(F.arrays_zip("hl", "gl")).alias("match_no", "z"))
-            .where(F.col("z.hl").isNotNull())
-            .select(key, "_src", "rule_no", "match_no",
-                    F.col("z.hl").alias("hl"), F.col("z.gl").alias("gl")))
-    w = (Window.partitionBy(key, "rule_no").orderBy("match_no")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    end = F.sum(F.col("hl") + F.col("gl")).over(w)
-    out = hits.select(key, "rule_no", "match_no", (end - F.col("hl")).alias("start"), end.alias("end"),
-                      F.col("_src").alias("source_type"))
-    return out if with_source else out.drop("source_type")
+    patterns = {r.rule_no: r.pattern for r in drs}
+    before, after, out_rows = rules.EVIDENCE_BEFORE, rules.EVIDENCE_AFTER, OUT_ROWS
+    # not a filter: pushed below the projections that make the text, it would repeat them for every rule
+    hit = texts.select(*keep, F.col(text_col).alias("_text"), rule_hits(F.col(text_col), F.col(source_col), drs).alias("_hits"))
+    hit = hit.select(*keep, F.when(F.size("_hits") > 0, F.col("_text")).alias("_text"), "_hits")
+    schema = T.StructType([*hit.schema.fields[:len(keep)], T.StructField("rule_no", T.IntegerType(), False),
+                           T.StructField("match_no", T.IntegerType(), False), T.StructField("start", T.LongType(), False),
+                           T.StructField("end", T.LongType(), False), T.StructField("evidence", T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = {no: re.compile(p, re.IGNORECASE) for no, p in patterns.items()}
+
+        def rows(batch, found):
+            at = pa.array([f[0] for f in found], pa.int64())
+            kept = [c.take(at) for c in batch.columns[:-2]]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            made = [pa.array([f[k + 1] for f in found], t) for k, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(kept + made, [*batch.schema.names[:-2], "rule_no", "match_no", "start", "end", "evidence"])
+
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                text = batch.column("_text")[i].as_py()
+                for no in batch.column("_hits")[i].as_py() if text is not None else ():
+                    seen = set()
+                    for k, m in enumerate(compiled[no].finditer(text)):
+                        evidence = text[max(m.start() - before, 0):m.end() + after].replace("\n", " ").strip()
+                        if distinct:
+                            if evidence in seen:
+                                continue
+                            seen.add(evidence)
+                        found.append((i, no, k, m.start(), m.end(), evidence))
+                        if len(found) >= out_rows:
+                            yield rows(batch, found)
+                            found = []
+            if found:
+                yield rows(batch, found)
+
+    return hit.mapInArrow(run, schema)
+
+
+def match_offsets(files: DataFrame, text_col: str = "text", source_col: str = "source",
+                  key: str = "file_id",
+                  detection_rules: list[rules.DetectionRule] | None = None) -> DataFrame:
+    """E-3: ``(key, rule_no, match_no, start, end)`` of every match of every applicable rule."""
+    found = search_matches(files, [key], text_col, source_col, detection_rules, distinct=False)
+    return found.select(key, "rule_no", "match_no", "start", "end")
 
 
 def evidence_window(sample: Column, start: Column, end: Column,
@@ -79,34 +114,25 @@ def evidence_window(sample: Column, start: Column, end: Column,
     return py_strip(F.translate(F.substring(sample, a + 1, b - a), "\n", " "))
 
 
+def _described(found: DataFrame, keys: list[str], carried: list[str] = ()) -> DataFrame:
+    rn = F.col("rule_no")
+    return found.select(*keys, "rule_no", "match_no",
+                        _rule_meta(rn, "category").alias("category"),
+                        _rule_meta(rn, "severity").alias("severity"),
+                        _rule_meta(rn, "title").alias("title"),
+                        "evidence", F.col("_source").alias("source_type"), F.lit(1.0).alias("confidence"), *carried)
+
+
 def detect_findings(files: DataFrame, text_col: str = "text", source_col: str = "source",
                     key: str = "file_id") -> DataFrame:
-    """E-7: findings of all rules for a table of texts.
+    """E-4 ... E-7: findings of all rules for a table of texts, one per distinct evidence of a rule.
 
     Output: ``file_id, rule_no, match_no, category, severity, title,
     evidence, source_type, confidence`` — rule order then match order is
-    ``(rule_no, match_no)``.
+    ``(rule_no, match_no)``.  A projection and a map over batches: no shuffle.
     """
-    offsets = match_offsets(files, text_col, source_col, key, with_source=True)
-    texts = files.select(key, F.col(text_col).alias("_sample"))
-    ev = (offsets.join(texts, key)
-          .select(key, "rule_no", "match_no", "source_type",
-                  evidence_window(F.col("_sample"), F.col("start"), F.col("end")).alias("evidence")))
-    return distinct_evidence(ev, [key])
-
-
-def distinct_evidence(ev: DataFrame, keys: list[str]) -> DataFrame:
-    """E-5 / E-6: the first match of each distinct evidence of a rule, all of them kept."""
-    carried = [c for c in ev.columns if c not in {*keys, "rule_no", "evidence"}]
-    first = F.min_by(F.struct(*carried), "match_no")
-    out = ev.groupBy(*keys, "rule_no", "evidence").agg(first.alias("_f")).select(*keys, "rule_no", "evidence", "_f.*")
-    rn = F.col("rule_no")
-    return out.select(*keys, "rule_no", "match_no",
-                      _rule_meta(rn, "category").alias("category"),
-                      _rule_meta(rn, "severity").alias("severity"),
-                      _rule_meta(rn, "title").alias("title"),
-                      "evidence", "source_type", F.lit(1.0).alias("confidence"),
-                      *[c for c in ev.columns if c not in set(keys) | {"rule_no", "match_no", "evidence", "source_type"}])
+    texts = files.withColumn("_source", F.col(source_col))
+    return _described(search_matches(texts, [key, "_source"], text_col, "_source"), [key])
 
 
 def detect_findings_from_entries(entries: DataFrame, source_col: str = "source",
@@ -116,16 +142,9 @@ def detect_findings_from_entries(entries: DataFrame, source_col: str = "source",
 
     Dedup applies per entry, as every entry is its own text.
     """
-    keyed = entries.select(F.struct(*keys).alias("_ek"), F.col(message_col).alias("_msg"),
-                           F.col(source_col).alias("_src"), F.col(ts_col).alias("_ts"))
-    offsets = match_offsets(keyed, "_msg", "_src", "_ek", with_source=True)
-    texts = keyed.select("_ek", F.col("_msg").alias("_sample"), F.col("_ts").alias("ts"))
-    ev = (offsets.join(texts, "_ek")
-          .select("_ek", "rule_no", "match_no", "source_type", "ts",
-                  evidence_window(F.col("_sample"), F.col("start"), F.col("end")).alias("evidence")))
-    out = distinct_evidence(ev, ["_ek"])
-    return out.select(*[F.col("_ek")[k].alias(k) for k in keys],
-                      *[c for c in out.columns if c != "_ek"])
+    texts = entries.withColumns({"_source": F.col(source_col), "ts": F.col(ts_col)})
+    found = search_matches(texts, [*keys, "_source", "ts"], message_col, "_source")
+    return _described(found, list(keys), ["ts"])
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rule-based incident analysis (J-1 ... J-16) as column expressions.
 
-A payload is one row with typed fields (``PAYLOAD_FIELDS``); everything
+A payload is one row with typed fields (``PAYLOAD_FIELDS``); a field may also be a variant, struct,
+map or nested array, whose values count at any depth.  Everything
 below is a projection over that row: routing is an array of names, each
 agent's result is a struct, the merge, root cause and recommendations are
 array functions over those structs.  No shuffle is needed except the
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.json_text import json_items, json_leaves
 from ..functions.text import first_nonblank_lines, let, py_strip
 
 STRING_FIELDS = ["message", "summary", "description", "log_text", "error", "details", "trace",
@@ -29,15 +31,34 @@ AGENT_RESULT = "struct<agent:string,summary:string,findings:array<string>,confid
 
 
 def with_payload_fields(df: DataFrame) -> DataFrame:
-    """Add any missing payload field as null (strings) / null arrays (lists)."""
-    out = df
-    for f in STRING_FIELDS:
-        if f not in df.columns:
-            out = out.withColumn(f, F.lit(None).cast("string"))
-    for f in LIST_FIELDS:
-        if f not in df.columns:
-            out = out.withColumn(f, F.lit(None).cast("array<string>"))
-    return out
+    """Payload fields as strings and lists of strings: missing ones null, nested ones flattened (J-2).
+
+    A nested field becomes the text of its leaves.  The router sees nested fields only one
+    level deep, as ``str`` shows them, so its text is kept beside them in ``router_text``.
+    """
+    if "router_text" in df.columns:
+        return df
+    fields, router = {}, {}
+    for f in PAYLOAD_FIELDS:
+        kind = df.schema[f].dataType.simpleString() if f in df.columns else None
+        plain = "array<string>" if f in LIST_FIELDS else "string"
+        if kind is None:
+            fields[f] = F.lit(None).cast(plain)
+        elif kind not in ("string", "array<string>", "void"):
+            json = F.to_json(F.col(f))
+            leaves = F.filter(json_leaves(json), lambda x: x != "")
+            fields[f] = leaves if f in LIST_FIELDS else F.array_join(leaves, "\n")
+            router[f] = json_items(json)
+        elif kind == "array<string>" and plain == "string":
+            fields[f] = F.array_join(F.filter(F.col(f), lambda x: x != ""), "\n")
+        elif kind == "void":
+            fields[f] = F.col(f).cast(plain)
+        elif kind == "string" and plain == "array<string>":
+            fields[f] = F.when(F.col(f).isNotNull(), F.array(F.col(f)))
+    seen = df.withColumns({f"_router_{f}": c for f, c in router.items()}).withColumns(fields)
+    parts = F.flatten(F.array(*[F.coalesce(F.col(f"_router_{f}"), F.array().cast("array<string>")) if f in router else _field_parts(f)
+                                for f in rules.ROUTER_TEXT_FIELDS]))
+    return seen.withColumn("router_text", F.array_join(F.filter(parts, lambda x: x != ""), "\n")).drop(*[f"_router_{f}" for f in router])
 
 
 def _field_parts(name: str) -> Column:
@@ -86,7 +107,7 @@ def route_agents(text_fields=None) -> Column:
         return let(F.array_sort(F.array_distinct(F.array_compact(F.array(*picks)))),
                    lambda chosen: F.when(F.size(chosen) > 0, chosen).otherwise(default))
 
-    text = F.lower(payload_text(text_fields or rules.ROUTER_TEXT_FIELDS))
+    text = F.lower(payload_text(text_fields) if text_fields else F.col("router_text"))
     itype = F.lower(F.coalesce(F.col("incident_type"), F.lit("none")))
     tags = F.transform(F.filter(F.coalesce(F.col("tags"), F.array().cast("array<string>")),
                                 lambda x: x.isNotNull() & (x != "")),
@@ -125,9 +146,9 @@ def docs_agent(doc_sources: Column | None = None) -> Column:
         conf.alias("confidence"), srcs.alias("evidence"))
 
 
-def run_agents(agents: Column, doc_sources: Column | None = None) -> Column:
-    """Results of the routed agents, ordered by agent name."""
-    results = [F.when(F.array_contains(agents, F.lit(a.name)), keyword_agent(a)) for a in rules.AGENTS]
+def run_agents(agents: Column, doc_sources: Column | None = None, registry: list[rules.Agent] | None = None) -> Column:
+    """Results of the routed agents, ordered by agent name; ``registry`` takes further keyword agents."""
+    results = [F.when(F.array_contains(agents, F.lit(a.name)), keyword_agent(a)) for a in registry or rules.AGENTS]
     results.append(F.when(F.array_contains(agents, F.lit("docs_retrieval")), docs_agent(doc_sources)))
     arr = F.array_compact(F.array(*results))
     return F.array_sort(arr, lambda x, y: F.when(x["agent"] < y["agent"], -1).when(x["agent"] > y["agent"], 1).otherwise(0))
@@ -213,9 +234,13 @@ def recommendations(merged: Column) -> Column:
     return let(F.lower(F.array_join(merged["findings"], " ")), build)
 
 
-def analyze_incidents(payloads: DataFrame, key: str = "incident_id", doc_hits: DataFrame | None = None) -> DataFrame:
+def analyze_incidents(payloads: DataFrame, key: str = "incident_id", doc_hits: DataFrame | None = None,
+                      registry: list[rules.Agent] | None = None, extra_routes: dict[str, Column] | None = None) -> DataFrame:
     """J-13: the whole analysis for a table of payloads.
 
+    Agents of one's own go into ``registry`` (``rules.AGENTS`` plus them), and ``extra_routes`` says by
+    a condition over the payload's columns when each of them runs.
+
     ``doc_hits(key, source, rank)`` — top-k document sources per incident
     from ``retrieval.cosine_topk`` — feeds the docs agent; it is
     pre-aggregated per key and left-joined, so incidents without hits stay.
@@ -226,8 +251,11 @@ def analyze_incidents(payloads: DataFrame, key: str = "incident_id", doc_hits: D
         per = doc_hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "source"))).alias("_dh"))
         p = p.join(per, key, "left")
         doc_col = F.transform(F.col("_dh"), lambda s: s["source"])
-    staged = p.select("*", route_agents().alias("agents"))
-    staged = staged.select("*", run_agents(F.col("agents"), doc_col).cast(f"array<{AGENT_RESULT}>").alias("agent_results"))
+    routes = route_agents()
+    for name, when in (extra_routes or {}).items():
+        routes = F.when(when, F.array_sort(F.array_distinct(F.concat(routes, F.array(F.lit(name)))))).otherwise(routes)
+    staged = p.select("*", routes.alias("agents"))
+    staged = staged.select("*", run_agents(F.col("agents"), doc_col, registry).cast(f"array<{AGENT_RESULT}>").alias("agent_results"))
     staged = staged.select("*", merge_agents(F.col("agent_results")).alias("merged"))
     out = staged.select(
         key, "agents", "agent_results",
@@ -277,7 +305,7 @@ def analysis_payload(incidents: DataFrame, requests: DataFrame | None, latest_lo
                             F.col("environment"), F.col("service_name"))
     out = base
     if requests is not None:
-        req = with_payload_fields(requests)
+        req = with_payload_fields(requests).drop("router_text")
         out = out.join(req.select("incident_id", *[F.col(c).alias("_r_" + c) for c in PAYLOAD_FIELDS]), "incident_id", "left")
         for c in PAYLOAD_FIELDS:
             if c in out.columns:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import percentile
+
 
 def mttr(incidents: DataFrame, by: str = "service_name") -> DataFrame:
     """K-1: mean time to resolve (seconds) per group; rows with both ends and end >= start."""
@@ -43,12 +45,13 @@ def error_latency_trend(events: DataFrame, ts: str = "ts", is_error=None, latenc
                         days: int = 7) -> DataFrame:
     """K-3: per day errors and mean latency, plus a ``days``-day rolling mean of errors.
 
-    The rolling window runs over the per-day aggregate (one row per day).
+    The rolling window spans calendar days (a day without events has no row and counts for
+    nothing) and runs over the per-day aggregate (one row per day).
     """
     err = is_error if is_error is not None else (F.col("event_type") == "error")
     daily = events.groupBy(F.to_date(F.col(ts)).alias("day")).agg(
         F.count_if(err).alias("errors"), F.avg(F.col(latency)).alias("avg_latency"))
-    w = Window.orderBy("day").rowsBetween(-(days - 1), 0)
+    w = Window.orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
     return daily.withColumn("errors_rolling", F.avg("errors").over(w))
 
 
@@ -56,12 +59,13 @@ def latency_p95(events: DataFrame, by: str = "event_type", latency: str = "value
                 accuracy: int = 10000) -> DataFrame:
     """K-4: 95th percentile of latency per group.
 
-    ``exact=True`` uses ``percentile`` (linear interpolation; holds the
-    group's distinct values); the default ``percentile_approx`` is a
-    bounded-memory sketch for large groups.
+    ``exact=True`` ranks distinct values with their counts (``ranking.percentile``, linear
+    interpolation), so no buffer holds a group's values; the default ``percentile_approx`` is a
+    bounded-memory sketch.
     """
-    p = F.percentile(F.col(latency), 0.95) if exact else F.percentile_approx(F.col(latency), 0.95, accuracy)
-    return events.groupBy(by).agg(p.alias("p95"), F.count(F.lit(1)).alias("n"))
+    if exact:
+        return percentile(events, [by], latency, 0.95, "p95")
+    return events.groupBy(by).agg(F.percentile_approx(F.col(latency), 0.95, accuracy).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
 def error_rate(events: DataFrame, by: str | None = None, is_error=None) -> DataFrame:
@@ -80,6 +84,15 @@ def integration_rollup(status: DataFrame, service: str = "service", state: str =
     ).withColumn("status", F.when(F.size("degraded") > 0, F.lit("degraded")).otherwise(F.lit("healthy")))
 
 
+def integration_services(status: DataFrame, service: str = "service", state: str = "status") -> DataFrame:
+    """K-5, a row per service: its state, and the number of services and overall state beside it."""
+    overall = status.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(state) != "healthy").alias("bad"))
+    return status.select(
+        F.col(service).alias("service"), F.col(state).alias("status"),
+        overall.select("n").scalar().alias("total_integrations"),
+        F.when(overall.select("bad").scalar() > 0, F.lit("degraded")).otherwise(F.lit("healthy")).alias("overall"))
+
+
 def service_status(jobs: DataFrame, service: str = "source_type", max_failure_rate: float = 0.25) -> DataFrame:
     """Per-service health from job outcomes (input for K-5)."""
     return jobs.groupBy(F.col(service).alias("service")).agg(

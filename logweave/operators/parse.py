@@ -165,28 +165,22 @@ def _params_map(params: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def cloudwatch_json_entry(obj: Column) -> Column:
-    """D-12 JSON object -> entry; ``obj`` is the object's JSON text."""
-    j = _json_map(obj)
-    tsv = _get(j, "@timestamp")
-    # a JSON number (not a string) is epoch milliseconds
-    is_num = obj.rlike(r'"@timestamp"\s*:\s*-?[0-9]')
-    micros = F.round(F.try_multiply(tsv.cast("double"), F.lit(1000.0))).cast("long")
-    num_ts = F.try_add(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                       F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), micros.cast("decimal(20,0)") / F.lit(1000000)))
-    ts = F.when(is_num, num_ts).otherwise(iso_ts(tsv))
-    msg = F.coalesce(_get(j, "message"), _get(j, "@message"), F.lit(""))
-    raw = F.when(F.coalesce(_get(j, "message"), F.lit("")) != "", _py_json_dumps(obj)).otherwise(F.lit(""))
-    return _entry(ts, level_of(msg, True), msg, _without(j, ["@timestamp", "message", "@message"]), raw)
-
-
 def _py_json_dumps(obj: Column) -> Column:
     """``json.dumps`` spacing (", " and ": ") for a flat JSON object, key order kept."""
     typed = F.from_json(obj, "map<string,variant>")
     parts = F.transform(F.map_entries(typed), lambda e: F.concat(
         F.to_json(F.struct(e["key"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["key"].alias("k")))) - 6),
         F.lit(": "), F.to_json(e["value"])))
-    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+    return _ascii_json(F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}")))
+
+
+def _ascii_json(text: Column) -> Column:
+    """Characters beyond ASCII as ``\\uXXXX`` of their UTF-16 units, as ``json.dumps`` writes them."""
+    def unit(c):
+        return F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "([0-9a-f]{4})", r"\\u$1")
+    runs = F.regexp_extract_all(text, F.lit(r"[\x00-\x7F]+|[^\x00-\x7F]"), F.lit(0))
+    escaped = F.array_join(F.transform(runs, lambda c: F.when(c.rlike(r"^[\x00-\x7F]"), c).otherwise(unit(c))), "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), escaped).otherwise(text)
 
 
 # ---------------------------------------------------------------------------
@@ -393,46 +387,63 @@ def with_parser_source(files: DataFrame, text_col: str = "text", forced_col: str
     return files.withColumn("source", src)
 
 
-def cloudwatch_export_entries(files: DataFrame, text_col: str = "text", key: str = "file_id") -> DataFrame:
-    """D-11: a text that is one JSON array yields one entry per object item."""
-    arr = F.from_json(F.col(text_col), "array<string>")
-    return (files.where(arr.isNotNull())
-            .select(key, F.posexplode(arr).alias("line_no", "_item"))
-            .where(F.startswith(F.ltrim(F.col("_item")), F.lit("{")) & F.from_json(F.col("_item"), "map<string,string>").isNotNull())
-            .select(key, "line_no", cloudwatch_json_entry(F.col("_item")).alias("e")))
+def is_cloudwatch_export(source: Column, text: Column) -> Column:
+    """D-11: a CloudWatch text that is one JSON array."""
+    return (source == "cloudwatch") & F.from_json(text, "array<string>").isNotNull()
+
+
+def entry_lines(files: DataFrame, text_col: str = "text", key: str = "file_id", source_col: str = "source") -> DataFrame:
+    """One row per line to parse: non-blank lines, or the object items of a CloudWatch export.
+
+    Both come from one ``posexplode`` of one array, so the text is scanned once.
+    """
+    text, source = F.col(text_col), F.col(source_col)
+    export = is_cloudwatch_export(source, text)
+    items = F.when(export, F.from_json(text, "array<string>")).otherwise(split_lines(text))
+    lines = (files.select(key, source.alias("source"), export.alias("_export"), F.posexplode(items).alias("line_no", "_l"))
+             .select(key, "line_no", "source", "_export", py_strip(F.col("_l")).alias("line")).where(F.col("line") != ""))
+    is_object = F.startswith("line", F.lit("{")) & F.from_json("line", "map<string,string>").isNotNull()
+    return lines.where(~F.col("_export") | is_object).drop("_export")
+
+
+def parse_entries(files: DataFrame, text_col: str = "text", key: str = "file_id", source_col: str = "source") -> DataFrame:
+    """D-1 ... D-13 for texts whose parser source is known."""
+    return parse_lines(entry_lines(files, text_col, key, source_col)).select(
+        key, "line_no", "ts", "level", "message", "source", "metadata", "raw")
 
 
 def parse_logs(files: DataFrame, text_col: str = "text", key: str = "file_id",
                forced_col: str | None = None) -> DataFrame:
     """D-14: detect each file's source (or take the forced one) and parse every line.
 
-    Cloudwatch texts that are one JSON array go through D-11; all others are
-    parsed line by line.  Narrow plan: no shuffle.
+    CloudWatch texts that are one JSON array give an entry per object item (D-11), all others
+    one per line.  Narrow plan over one scan: no shuffle.
     """
     srcd = with_parser_source(files.select(key, text_col, *([forced_col] if forced_col else [])),
                               text_col, forced_col)
-    is_export = (F.col("source") == "cloudwatch") & F.from_json(F.col(text_col), "array<string>").isNotNull()
-    lines = explode_lines(srcd.where(~is_export).select(key, "source", text_col), text_col, key)
-    by_line = parse_lines(lines.select(key, "line_no", "source", "line")).drop("line")
-    export = (cloudwatch_export_entries(srcd.where(is_export), text_col, key)
-              .select(key, "line_no", F.lit("cloudwatch").alias("source"), "e.*"))
-    return by_line.unionByName(export).select(key, "line_no", "ts", "level", "message", "source", "metadata", "raw")
+    return parse_entries(srcd, text_col, key)
 
 
-def batch_counts(files: DataFrame, text_col: str = "text", key: str = "file_id") -> DataFrame:
-    """D-15: total lines (blank included), parsed (non-blank) and failed lines per file."""
+def batch_columns(text_col: str = "text") -> list[Column]:
+    """D-15 columns: total lines (blank included), parsed (non-blank) and failed lines of a text."""
     lines = F.transform(split_lines(F.col(text_col)), lambda x: py_strip(x))
-    return files.select(
-        key,
-        F.size(lines).alias("total_lines"),
-        F.size(F.filter(lines, lambda x: x != "")).alias("parsed_lines"),
-        F.lit(0).alias("failed_lines"),
-    )
+    return [F.size(lines).alias("total_lines"), F.size(F.filter(lines, lambda x: x != "")).alias("parsed_lines"),
+            F.lit(0).alias("failed_lines")]
+
+
+def batch_counts(files: DataFrame, text_col: str = "text", key: str = "file_id") -> DataFrame:
+    """D-15: line counts per file."""
+    return files.select(key, *batch_columns(text_col))
+
+
+def k8s_flag_columns(text_col: str = "text") -> list[Column]:
+    """D-2 columns: the five Kubernetes flags of a whole text."""
+    return [F.col(text_col).rlike(_i(p)).alias(n) for n, p in rules.K8S_FLAGS]
 
 
 def k8s_batch_flags(files: DataFrame, text_col: str = "text", key: str = "file_id") -> DataFrame:
     """D-2: the five Kubernetes flags over each whole text."""
-    return files.select(key, *[F.col(text_col).rlike(_i(p)).alias(n) for n, p in rules.K8S_FLAGS])
+    return files.select(key, *k8s_flag_columns(text_col))
 
 
 def metadata_text(m: Column) -> Column:

@@ -1,29 +1,12 @@
-"""Vector retrieval (G-1 ... G-5).
-
-Exact cosine top-k without a cross join:
-
-* queries are hashed into ``qb`` blocks and vectors into ``vb`` blocks;
-  each query row is repeated once per vector block and each vector row once
-  per query block (``explode(sequence)``), giving the key
-  ``(query_block, vector_block)``;
-* one tagged frame grouped by ``(query_block, vector_block)`` and
-  ``applyInPandas`` multiplies one query block by one vector block with
-  numpy (normalised float64), emitting only the top ``k`` per query of that
-  block — never the pairs;
-* a final per-query top ``k`` over at most ``vb * k`` candidates.
-
-Block counts come from the row counts so a block holds at most
-``max_block_vectors`` vectors and ``max_block_queries`` queries: memory per
-task is bounded whatever the table sizes.  Ties break on the vector id.
-"""
+"""Vector retrieval (G-1 ... G-5); the search itself is in ``metric_topk``."""
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import py_strip
+from .metric_topk import MetricTopK, numbered
 
 
 def l2_normalize(vec: Column) -> Column:
@@ -45,60 +28,13 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: st
                 max_block_queries: int = 256) -> DataFrame:
     """G-2: ``(query_id, rank, vec_id, distance)`` with cosine distance = 1 - cos.
 
-    Blocks have a fixed size; their numbers come from scalar subqueries, so nothing runs
-    while the plan is built.  Empty (all-zero / null) query vectors get no results.
-    ``exclude_self`` drops a vector whose id equals the query id.
+    Exact; cells of vectors that can't hold a better one are skipped (see ``metric_topk``).
+    Empty (all-zero / null) query vectors get no results.  ``exclude_self`` drops a vector whose
+    id equals the query id.  Ties break on the vector id.
     """
-    def blocks(df: DataFrame, size: int):
-        return df.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).cast("int")).scalar()
-
-    q = queries.select(F.col(query_id).cast("long").alias("id"), F.col(query_vec).cast("array<double>").alias("v")).where("v is not null")
-    v = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
-    n = {"qb": blocks(queries, max_block_queries), "vb": blocks(vectors, max_block_vectors)}
-
-    def placed(df: DataFrame, own: str, other: str, is_q: bool) -> DataFrame:
-        rows = df.withColumn("_own", n[own]).withColumn("_other", n[other])
-        return rows.select(F.pmod(F.xxhash64("id"), "_own").cast("int").alias(own),
-                           F.explode(F.expr("sequence(0, _other - 1)")).alias(other), F.lit(is_q).alias("is_q"), "id", "v")
-
-    q, v = placed(q, "qb", "vb", True), placed(v, "vb", "qb", False).select("qb", "vb", "is_q", "id", "v")
-    # one tagged frame and one grouping: both sides of a block always meet in the
-    # same group (no reliance on two shuffles being coalesced alike)
-    both = q.unionByName(v)
-    out_schema = "qid long, vid long, distance double"
-
-    def block_topk(pdf):
-        import numpy as np
-        import pandas as pd
-        qpdf = pdf[pdf["is_q"]].rename(columns={"id": "qid", "v": "qv"})
-        vpdf = pdf[~pdf["is_q"]].rename(columns={"id": "vid", "v": "vv"})
-        if len(qpdf) == 0 or len(vpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "vid": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
-        Q = np.stack([np.asarray(x, dtype=np.float64) for x in qpdf["qv"]])
-        V = np.stack([np.asarray(x, dtype=np.float64) for x in vpdf["vv"]])
-        qn = np.linalg.norm(Q, axis=1)
-        vn = np.linalg.norm(V, axis=1)
-        okq = qn > 0
-        Q = np.divide(Q, qn[:, None], out=np.zeros_like(Q), where=qn[:, None] > 0)
-        V = np.divide(V, vn[:, None], out=np.zeros_like(V), where=vn[:, None] > 0)
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        vids = vpdf["vid"].to_numpy(dtype=np.int64)
-        order_v = np.argsort(vids, kind="stable")
-        V, vids = V[order_v], vids[order_v]
-        dist = 1.0 - Q[okq] @ V.T
-        qids = qids[okq]
-        if exclude_self:
-            dist[qids[:, None] == vids] = np.inf
-        best = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
-        near = np.take_along_axis(dist, best, axis=1)
-        row, col = np.nonzero(np.isfinite(near))
-        return pd.DataFrame({"qid": qids[row], "vid": vids[best[row, col]], "distance": near[row, col]})
-
-    partial = both.groupBy("qb", "vb").applyInPandas(block_topk, out_schema)
-    w = Window.partitionBy("qid").orderBy("distance", "vid")
-    ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("qid").alias(query_id), "rank", F.col("vid").alias(vec_id), "distance")
+    run = MetricTopK(numbered(queries, query_id, query_vec), numbered(vectors, vec_id, vec_col), k, exclude_self,
+                     max_block_vectors, max_block_queries)
+    return run.result.select(F.col("qid").alias(query_id), "rank", F.col("vid").alias(vec_id), "distance")
 
 
 def format_context(results: DataFrame, key: str = "query_id", source_col: str = "source",

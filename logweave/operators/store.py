@@ -2,7 +2,7 @@
 
 Single-key lookups of the reference (one incident, one job) are written
 as whole-table operators: a filter when a key is given, otherwise a
-per-key ranking (``row_number`` over the key) so one plan serves every key.
+per-key ranking (``ranking.ranked``) so one plan serves every key.
 Sort orders follow the reference, including text order on ``severity``
 (quirk Q-1: DESC gives medium, low, high, critical); ``rank_severity=True``
 sorts critical first instead.  Every ordering ends in the row id so ties
@@ -11,10 +11,11 @@ are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from .ranking import ranked
 
 JOB_STATES = ["queued", "running", "succeeded", "failed"]
 
@@ -35,31 +36,27 @@ def _filter(df: DataFrame, **eq) -> DataFrame:
 
 def jobs_by_incident(jobs: DataFrame, incident_id: int | None = None, status: str | None = None) -> DataFrame:
     """H-1: jobs newest first; ``pos`` = position within the incident."""
-    w = Window.partitionBy("incident_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return _filter(jobs, incident_id=incident_id, status=status).withColumn("pos", F.row_number().over(w))
+    return ranked(_filter(jobs, incident_id=incident_id, status=status), ["incident_id"],
+                  [F.col("created_at").desc(), F.col("id").desc()])
 
 
 def chunks_by_job(chunks: DataFrame, job_id: int | None = None) -> DataFrame:
     """H-2: chunks in chunk_index order; ``pos`` within the job."""
-    w = Window.partitionBy("job_id").orderBy("chunk_index", "id")
-    return _filter(chunks, job_id=job_id).withColumn("pos", F.row_number().over(w))
+    return ranked(_filter(chunks, job_id=job_id), ["job_id"], ["chunk_index", "id"])
 
 
 def findings_by_job(findings: DataFrame, job_id: int | None = None, severity: str | None = None,
                     category: str | None = None, rank_severity: bool = False) -> DataFrame:
     """H-3: findings of a job by severity DESC (text), then category."""
-    w = Window.partitionBy("job_id").orderBy(_severity_key(rank_severity), F.col("category").asc(), F.col("id").asc())
-    return (_filter(findings, job_id=job_id, severity=severity, category=category)
-            .withColumn("pos", F.row_number().over(w)))
+    return ranked(_filter(findings, job_id=job_id, severity=severity, category=category), ["job_id"],
+                  [_severity_key(rank_severity), F.col("category").asc(), F.col("id").asc()])
 
 
 def findings_by_incident(findings: DataFrame, incident_id: int | None = None, severity: str | None = None,
                          category: str | None = None, rank_severity: bool = False) -> DataFrame:
     """H-4: findings of an incident by severity DESC (text), newest first."""
-    w = Window.partitionBy("incident_id").orderBy(_severity_key(rank_severity), F.col("created_at").desc(),
-                                                  F.col("id").desc())
-    return (_filter(findings, incident_id=incident_id, severity=severity, category=category)
-            .withColumn("pos", F.row_number().over(w)))
+    return ranked(_filter(findings, incident_id=incident_id, severity=severity, category=category), ["incident_id"],
+                  [_severity_key(rank_severity), F.col("created_at").desc(), F.col("id").desc()])
 
 
 def critical_findings(findings: DataFrame, incident_id: int | None = None, limit: int = 10,
@@ -98,30 +95,35 @@ def category_counts(findings: DataFrame) -> DataFrame:
 def ingestion_stats(jobs: DataFrame, chunks: DataFrame, findings: DataFrame) -> DataFrame:
     """H-9 for every incident (and the all-incident total, ``incident_id`` null).
 
-    Each table is pre-aggregated per incident (partial aggregation before
-    the shuffle), then the three small results are joined.  ``rollup`` adds
-    the grand total row in the same aggregation.
+    Each table is counted once by its finest keys (partial aggregation before the
+    shuffle); ``rollup`` and ``cube``, which repeat their input rows, run over these counts, never
+    over raw rows.  The small results are then joined.
     """
+    def total(cond=None):
+        return F.sum("_n" if cond is None else F.when(cond, F.col("_n")).otherwise(0))
+
     st = F.col("status")
-    j = jobs.rollup("incident_id").agg(
-        F.count(F.lit(1)).alias("total_jobs"),
-        F.count_if(st == "queued").alias("pending_jobs"),
-        F.count_if(st == "running").alias("running_jobs"),
-        F.count_if(st == "succeeded").alias("completed_jobs"),
-        F.count_if(st == "failed").alias("failed_jobs"),
+    j = jobs.groupBy("incident_id", "status").agg(F.count(F.lit(1)).alias("_n")).rollup("incident_id").agg(
+        total().alias("total_jobs"),
+        total(st == "queued").alias("pending_jobs"),
+        total(st == "running").alias("running_jobs"),
+        total(st == "succeeded").alias("completed_jobs"),
+        total(st == "failed").alias("failed_jobs"),
         F.grouping("incident_id").alias("_g"))
-    c = chunks.rollup("incident_id").agg(F.count(F.lit(1)).alias("total_chunks"),
-                                         F.grouping("incident_id").alias("_g"))
+    c = chunks.groupBy("incident_id").agg(F.count(F.lit(1)).alias("_n")).rollup("incident_id").agg(
+        total().alias("total_chunks"), F.grouping("incident_id").alias("_g"))
     sev = F.col("severity")
+    # one aggregate of the findings serves categories and severities
+    found = findings.groupBy("incident_id", "category", "severity").agg(F.count(F.lit(1)).alias("_n"))
     # cube (not rollup): the total row also needs per-category counts over all incidents
-    per_cat = findings.cube("incident_id", "category").agg(F.count(F.lit(1)).alias("n"),
-                                                             F.grouping("incident_id").alias("_g"),
-                                                             F.grouping("category").alias("_gc"))
+    per_cat = found.cube("incident_id", "category").agg(total().alias("n"),
+                                                        F.grouping("incident_id").alias("_g"),
+                                                        F.grouping("category").alias("_gc"))
     cats = (per_cat.where(F.col("_gc") == 0).groupBy("incident_id", "_g")
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("findings_by_category")))
-    f = findings.rollup("incident_id").agg(
-        F.count(F.lit(1)).alias("total_findings"),
-        *[F.count_if(sev == s).alias(f"sev_{s}") for s in rules.SEVERITIES],
+    f = found.rollup("incident_id").agg(
+        total().alias("total_findings"),
+        *[total(sev == s).alias(f"sev_{s}") for s in rules.SEVERITIES],
         F.grouping("incident_id").alias("_g"))
     # rollup total rows have a null incident_id: join on a non-null key so they meet
     def keyed(df):
@@ -145,8 +147,7 @@ def jobs_for_owner(jobs: DataFrame, incidents: DataFrame, owner_user_id: int | N
     """H-10: jobs of all the owner's incidents, newest first (one equi-join)."""
     inc = _filter(incidents.select(F.col("id").alias("incident_id"), "owner_user_id"), owner_user_id=owner_user_id)
     joined = _filter(jobs, status=status).join(inc, "incident_id")
-    w = Window.partitionBy("owner_user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return joined.withColumn("pos", F.row_number().over(w))
+    return ranked(joined, ["owner_user_id"], [F.col("created_at").desc(), F.col("id").desc()])
 
 
 def owned_by(df: DataFrame, incidents: DataFrame, users: DataFrame, user_col: str = "user_id") -> DataFrame:
@@ -158,8 +159,8 @@ def owned_by(df: DataFrame, incidents: DataFrame, users: DataFrame, user_col: st
 
 def incidents_by_owner(incidents: DataFrame, owner_user_id: int | None = None) -> DataFrame:
     """H-12: all of the owner's incidents, newest first."""
-    w = Window.partitionBy("owner_user_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
-    return _filter(incidents, owner_user_id=owner_user_id).withColumn("pos", F.row_number().over(w))
+    return ranked(_filter(incidents, owner_user_id=owner_user_id), ["owner_user_id"],
+                  [F.col("created_at").desc(), F.col("id").desc()])
 
 
 def lookup_by_id(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
@@ -176,8 +177,7 @@ def latest_log_attachment(attachments: DataFrame) -> DataFrame:
 
 def incident_timeline(events: DataFrame, incident_id: int | None = None) -> DataFrame:
     """H-15: events by occurred_at; ``pos`` within the incident."""
-    w = Window.partitionBy("incident_id").orderBy("occurred_at", "id")
-    return _filter(events, incident_id=incident_id).withColumn("pos", F.row_number().over(w))
+    return ranked(_filter(events, incident_id=incident_id), ["incident_id"], ["occurred_at", "id"])
 
 
 def job_transitions(jobs: DataFrame) -> DataFrame:

@@ -64,7 +64,10 @@ def ts_text(c):
 @register("parse_logs")
 def q_parse_logs(spark, sf_dir):
     """D-14 (D-1 ... D-13 by source): every entry of every log file."""
-    e = prs.parse_logs(fx.log_files(spark, sf_dir))
+    return entry_rows(prs.parse_logs(fx.log_files(spark, sf_dir)))
+
+
+def entry_rows(e):
     return e.select("file_id", "line_no", "ts", "level", "message", "source",
                     prs.metadata_text(F.col("metadata")).alias("meta"), "raw")
 
@@ -385,6 +388,26 @@ def q_j3(spark, sf_dir):
     return p.select("incident_id", F.explode(inc.route_agents()).alias("agent"))
 
 
+@register("j2_payload_text")
+def q_j2(spark, sf_dir):
+    """J-2: payloads with nested fields (objects and lists in a struct, a variant), as the agents and the router see them."""
+    files = fx.log_files(spark, sf_dir).select("file_id", tx.split_lines(F.col("text")).alias("ls"))
+    meta = F.struct(F.slice("ls", 1, 2).alias("head"), F.size("ls").alias("n"))
+    details = F.struct(meta.alias("meta"), F.array(F.array(F.element_at("ls", -1))).alias("tail"))
+    alerts = F.parse_json(F.concat(F.lit('{"a": null, "b": ['), F.col("file_id").cast("string"), F.lit(', {"c": ["alert '),
+                                   F.col("file_id").cast("string"), F.lit('", true]}]}')))
+    p = inc.with_payload_fields(files.select("file_id", F.element_at("ls", 1).alias("summary"), details.alias("details"), alerts.alias("alerts")))
+    return p.select("file_id", inc.payload_text(["summary", "details", "alerts", "error"]).alias("text"), "router_text")
+
+
+@register("j11_root_cause")
+def q_j11(spark, sf_dir):
+    """J-11: affected systems and remediation steps of every payload."""
+    return _analysis(spark, sf_dir).select(
+        "incident_id", F.array_join("root_cause.affected_systems", "|").alias("affected_systems"),
+        F.array_join("root_cause.remediation_steps", "|").alias("remediation_steps"))
+
+
 @register("j10_agent_results")
 def q_j10(spark, sf_dir):
     """J-4 ... J-9: one row per (incident, agent) with summary, findings, confidence, evidence."""
@@ -427,14 +450,17 @@ def log_chunks(spark, sf_dir):
 def doc_chunks(spark, sf_dir):
     """F-4 over normalised documents."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", tx.normalize_text(F.col("text")).alias("text"))
-    return ch.chunk_documents(docs).join(docs.select("doc_id", "source"), "doc_id")
+    return ch.chunk_documents(docs, keep=["source"])
 
 
 @register("f1_chunk_log_lines")
 def q_f1(spark, sf_dir):
     """F-1 / F-8: log chunks (2200/200, line mode) with checksums."""
-    return log_chunks(spark, sf_dir).select("file_id", "chunk_index", "start_line", "end_line", "checksum",
-                                            F.length("text").alias("n_chars"))
+    return chunk_rows(log_chunks(spark, sf_dir))
+
+
+def chunk_rows(c):
+    return c.select("file_id", "chunk_index", "start_line", "end_line", "checksum", F.length("text").alias("n_chars"))
 
 
 @register("f2_chunk_non_line_mode")
@@ -456,7 +482,8 @@ def q_f3(spark, sf_dir):
 @register("f4_chunk_documents")
 def q_f4(spark, sf_dir):
     """F-4: document chunks (1200/150)."""
-    c = doc_chunks(spark, sf_dir)
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
+    c = ch.chunk_documents(docs)
     return c.select("doc_id", "chunk_index", ch.checksum(F.col("text")).alias("checksum"), F.length("text").alias("n_chars"))
 
 
@@ -584,6 +611,12 @@ def q_k5(spark, sf_dir):
     return r.select("total_integrations", F.array_join("degraded", ",").alias("degraded"), "status")
 
 
+@register("k5_integration_services")
+def q_k5s(spark, sf_dir):
+    """K-5 with a row per service instead of a list."""
+    return kpi.integration_services(kpi.service_status(fx.jobs(spark, sf_dir)))
+
+
 @register("k6_docs_recall")
 def q_k6(spark, sf_dir):
     """K-6: recall@5 of the exact top-k against the embedding labels, per label."""
@@ -598,11 +631,32 @@ def q_k6(spark, sf_dir):
 from ..streaming import ingest as st  # noqa: E402
 
 
+def _ingested(spark, sf_dir):
+    return st.stream_ingest(spark, st.log_line_stream(spark, sf_dir))
+
+
 @register("s1_stream_ingest")
 def q_s1(spark, sf_dir):
     """S-1: streamed findings, counted like ``finding_counts``."""
-    out = st.stream_ingest(spark, st.log_line_stream(spark, sf_dir))
-    return fnd.finding_counts(spark.read.parquet(out))
+    return fnd.finding_counts(_ingested(spark, sf_dir).read("findings"))
+
+
+@register("s1_stream_findings")
+def q_s1f(spark, sf_dir):
+    """S-1: the finding rows themselves."""
+    return _ingested(spark, sf_dir).read("findings")
+
+
+@register("s1_stream_entries")
+def q_s1e(spark, sf_dir):
+    """S-1: the entries of every streamed file."""
+    return entry_rows(_ingested(spark, sf_dir).read("entries"))
+
+
+@register("s1_stream_chunks")
+def q_s1c(spark, sf_dir):
+    """S-1: the chunks of every streamed file."""
+    return chunk_rows(_ingested(spark, sf_dir).read("chunks"))
 
 
 @register("s2_stream_finding_counts")
@@ -610,6 +664,12 @@ def q_s2(spark, sf_dir):
     return st.stream_finding_counts(spark, st.log_line_stream(spark, sf_dir))
 
 
+@register("s2_stream_window_counts")
+def q_s2w(spark, sf_dir):
+    """S-2: counts by category and severity in windows of two days that slide by one."""
+    return st.stream_window_counts(spark, st.log_line_stream(spark, sf_dir), "2 days", "1 day").counts
+
+
 @register("s3_stream_incident_sessions")
 def q_s3(spark, sf_dir):
     return st.stream_incident_sessions(spark, st.table_stream(spark, sf_dir, "events"))
@@ -621,6 +681,18 @@ def q_s4(spark, sf_dir):
     return d.select("checksum")
 
 
+@register("s4_stream_dedup_chunks")
+def q_s4c(spark, sf_dir):
+    """S-4: a stream of log chunks, each file uploaded twice; one chunk per text comes out."""
+    root = st.stream_root(spark, "chunk-uploads")
+    twice = F.explode(F.array(F.lit(0), F.lit(1))).alias("upload")
+    at = F.lit(RUN_TS).cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("upload"), F.lit(0))
+    uploads = log_chunks(spark, sf_dir).select("*", twice).select("file_id", "chunk_index", "text", at.alias("ts"))
+    uploads.write.parquet(root)
+    stream = spark.readStream.schema(uploads.schema).parquet(root)
+    return st.stream_dedup_chunks(spark, stream).select("checksum")
+
+
 @register("s5_stream_job_state")
 def q_s5(spark, sf_dir):
     """S-5: job states folded from a stream of lineitem-derived transitions."""
@@ -792,6 +864,15 @@ for _src, _name in PARSER_QUERY_IDS.items():
     register(_name)(_parser_query(_src))
 
 
+@register("d11_parse_cloudwatch_export")
+def q_d11(spark, sf_dir):
+    """D-11: each CloudWatch file's JSON lines as one JSON array, an entry per item."""
+    lines = fx.log_lines(spark, sf_dir).where((F.pmod("file_id", F.lit(9)) == 7) & F.startswith("line", F.lit("{")))
+    files = fls.simple_assemble_files(lines)
+    text = F.concat(F.lit("["), F.replace(F.col("text"), F.lit("\n"), F.lit(", ")), F.lit("]"))
+    return entry_rows(prs.parse_logs(files.select("file_id", text.alias("text"), F.lit("cloudwatch").alias("forced")), forced_col="forced"))
+
+
 @register("a4_split_oversize")
 def q_a4(spark, sf_dir):
     """A-4: every document with a flag for a size over 20,000,000 bytes."""
@@ -802,25 +883,47 @@ def q_a4(spark, sf_dir):
 @register("j16_run_pipeline")
 def q_j16(spark, sf_dir):
     """J-16: per-file pipeline result metadata (sources, confidence, line counts, findings)."""
-    files = fx.log_files(spark, sf_dir)
-    prepared = pipeline.prepare_files(files)
-    counts = prs.batch_counts(files)
-    found = fnd.detect_findings(prepared, text_col="clean_text", source_col="source")
-    per = found.groupBy("file_id").agg(F.count(F.lit(1)).alias("findings_count"))
-    return (prepared.select("file_id", F.col("source").alias("source_type"), "parser_source",
-                            "classification_source",
-                            F.round("classification_confidence", 6).alias("classification_confidence"))
+    done = pipeline.run_pipeline(fx.log_files(spark, sf_dir))
+    counts = done.batches.select("file_id", "total_lines", "parsed_lines", "failed_lines")
+    per = done.findings.groupBy("file_id").agg(F.count(F.lit(1)).alias("findings_count"))
+    return (done.files.withColumn("classification_confidence", F.round("classification_confidence", 6))
             .join(counts, "file_id").join(per, "file_id", "left")
             .select("*", F.coalesce(F.col("findings_count"), F.lit(0)).alias("n_findings")).drop("findings_count"))
 
 
+@register("j16_pipeline_entries")
+def q_j16e(spark, sf_dir):
+    """J-16: the pipeline's entries (first output)."""
+    return entry_rows(pipeline.run_pipeline(fx.log_files(spark, sf_dir)).entries)
+
+
+@register("j16_pipeline_chunks")
+def q_j16c(spark, sf_dir):
+    """J-16: the pipeline's chunks (second output)."""
+    return chunk_rows(pipeline.run_pipeline(fx.log_files(spark, sf_dir)).chunks)
+
+
+@register("j16_pipeline_findings")
+def q_j16f(spark, sf_dir):
+    """J-16: the pipeline's findings (third output)."""
+    return pipeline.run_pipeline(fx.log_files(spark, sf_dir)).findings
+
+
+@register("j16_pipeline_batches")
+def q_j16b(spark, sf_dir):
+    """J-16: the parsed batch's counts and Kubernetes flags (fourth output)."""
+    return pipeline.run_pipeline(fx.log_files(spark, sf_dir)).batches
+
+
 @register("j1_analysis_payload")
 def q_j1(spark, sf_dir):
     """J-1: payloads of every incident (title as summary; a request message when one was
-    sent — the whole conversation of the same id; the incident's log text), then analysed."""
+    sent — the whole conversation of the same id; the text of its latest log attachment, H-14), then analysed."""
     incs = fx.incidents(spark, sf_dir)
     reqs = fx.messages(spark, sf_dir).withColumnRenamed("conv_id", "incident_id")
-    logs = fx.log_files(spark, sf_dir).select(F.col("file_id").alias("incident_id"), F.col("text").alias("log_text"))
+    latest = store.latest_log_attachment(fx.attachments(spark, sf_dir)).select(
+        "incident_id", fx.attachment_file(F.col("incident_id"), F.col("attachment_id")).alias("file_id"))
+    logs = latest.join(fx.log_files(spark, sf_dir), "file_id").select("incident_id", F.col("text").alias("log_text"))
     payloads = inc.analysis_payload(incs, reqs, logs)
     res = inc.analyze_incidents(payloads.select("incident_id", *inc.PAYLOAD_FIELDS))
     return res.select("incident_id", F.array_join("agents", ",").alias("agents"), "summary",

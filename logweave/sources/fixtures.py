@@ -220,6 +220,11 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attachment_file(incident_id: F.Column, attachment_id: F.Column) -> F.Column:
+    """Log file that an attachment stands for: its incident's number plus its line number."""
+    return incident_id + F.pmod(attachment_id, F.lit(ID_STRIDE))
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _lineitem_with_id(spark, sf_dir)
     status = (F.when(F.col("l_returnflag") == "R", "failed")

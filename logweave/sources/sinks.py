@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_text import py_quoted
+
 
 def write_ingest(jobs: DataFrame, chunks: DataFrame, findings: DataFrame, root: str,
                  mode: str = "append") -> dict[str, str]:
@@ -37,18 +39,9 @@ def upsert_doc_chunks(new: DataFrame, index: DataFrame, key: str = "chunk_id") -
 
 
 def py_dict_repr(json_text: Column) -> Column:
-    """``repr(json.loads(s))`` for a flat JSON object: ``{'k': 69, 's': 'x', 'b': True, 'n': None}``.
-
-    Strings are quoted and escaped as Python does for backslash, quotes and line breaks.
-    """
+    """``repr(json.loads(s))`` for a flat JSON object: ``{'k': 69, 's': 'x', 'b': True, 'n': None}``."""
     m = F.from_json(json_text, "map<string,variant>")
-
-    def quoted(text):
-        for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-            text = F.replace(text, F.lit(raw), F.lit(shown))
-        single = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'"))
-        return F.when(F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"')),
-                      F.concat(F.lit('"'), text, F.lit('"'))).otherwise(single)
+    quoted = py_quoted
 
     def item(e):
         v = F.to_json(e["value"])
