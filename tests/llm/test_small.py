@@ -137,15 +137,15 @@ def test_html_large_host_keeps_unique_text(spark):
     """Many pages, all texts different, few layouts: the undeclared main branch stays; repeated text goes."""
     share = np.floor(200_000 * np.cumsum(0.85 ** np.arange(30)) / np.sum(0.85 ** np.arange(30)))
     kind = F.size(F.filter(F.array(*[F.lit(float(x)) for x in share]), lambda x: x <= F.col("id"))).cast("long")
-    branch = lambda node, feature, shape: F.struct(F.lit(node).cast("long").alias("node"), feature.cast("long").alias("feature"), shape.alias("shape"))
-    rows = spark.range(200_000).select(F.lit("h").alias("host"), F.col("id").alias("longest"),
+    branch = lambda node, feature, shape: F.struct(F.lit(node).cast("long").alias("node"), feature.cast("long").alias("feature"), shape.alias("shape"), F.lit(False).alias("suspect"))
+    rows = spark.range(200_000).select(F.lit("h").alias("host"), F.col("id").alias("copy"),
                                       F.array(branch(1, F.col("id"), kind), branch(2, F.lit(5), F.lit(0).cast("long"))).alias("branches"))
     got = {r.node: r.importance for r in html_text.importance(rows).collect()}
     assert got[1] >= html_text.LOW > got[2]
 
 
 def test_html_words_alone_remove_nothing_unique(spark):
-    """Class and id words: declared articles and unique text stay, what repeats goes, a lone page is not emptied."""
+    """Class and id words: declared articles and unique text stay, notices in them and what repeats goes, a lone page is not emptied."""
     lone = {1: "<div id='content' class='no-sidebar'><article class='post comments-open'><h2 id='related-work'>Related work</h2>"
                "<section id='search-methods'><p>Methods</p></section><p class='notice'>Note</p></article></div>",
             2: "<div class='content-sidebar-wrap'><p>All of the text</p></div>",
@@ -153,7 +153,7 @@ def test_html_words_alone_remove_nothing_unique(spark):
     rows = [(i, f"http://h{i}.org/", t) for i, t in lone.items()]
     rows += [(10 + i, "http://many.org/", f"<div class='promo'>Buy this</div><div class='share-wrap'><p>Story {i} a</p><p>More {i}</p></div><div id='comments'>Say</div>") for i in range(8)]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1] == "Related work Methods Note" and got[2] == "All of the text" and got[3] == "Text"
+    assert got[1] == "Related work Methods" and got[2] == "All of the text" and got[3] == "Text"
     assert all(got[10 + i] == f"Story {i} a More {i}" for i in range(8))
 
 
