@@ -50,6 +50,15 @@ def resolve_files(files: DataFrame, text_col: str = "text") -> DataFrame:
     return staged.withColumn("source", detect.resolve_source(F.col("parser_source"), classified))
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` as values of their own: a generator of one row, which the optimiser doesn't merge.
+
+    Without it, what is built on detection and cleaning repeats their expressions once per
+    use, and the plan grows beyond what can be optimised.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def pipeline_findings(files: DataFrame, text_col: str = "text") -> DataFrame:
     """Findings of J-16 for a table of raw log texts."""
     prepared = resolve_files(files, text_col)

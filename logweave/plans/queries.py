@@ -424,12 +424,8 @@ def q_j14(spark, sf_dir):
 @register("j15_auto_analyze")
 def q_j15(spark, sf_dir):
     """J-15 / J-16: the upload hook — pipeline source per file, then the analysis and its event."""
-    files = pipeline.resolve_files(fx.log_files(spark, sf_dir))
-    # reliable checkpoint (shared spark.checkpoint.dir): the analysis plan fused onto
-    # the detection plan optimises badly, and the cut also bounds recompute on executor loss
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    payloads = inc.auto_analyze_payloads(files.select("file_id", "text", "source")).checkpoint(eager=True)
+    files = pipeline.settled(pipeline.resolve_files(fx.log_files(spark, sf_dir)), "file_id", "text", "source")
+    payloads = inc.auto_analyze_payloads(files)
     res = inc.analyze_incidents(payloads)
     ev = inc.ai_event(res, auto=True)
     return ev.select(F.col("incident_id").alias("file_id"), "title", "detail")

@@ -57,8 +57,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="logweave-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Send this package to the executors as a zip (needed where it isn't installed on them).
+
+    The zip is written once to a folder of the driver; ``addPyFile`` copies it to every worker.
+    """
+    import shutil
+    folder = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="logweave-zip-"), "logweave")
+    path = shutil.make_archive(base, "zip", os.path.dirname(folder), os.path.basename(folder))
+    spark.sparkContext.addPyFile(path)
+    return path

@@ -320,11 +320,11 @@ def stream_auto_analysis(spark: SparkSession, lines: DataFrame, name: str = "aut
     it has committed and analysed as they are.  So every file has one event, whatever the triggers.
     """
     from ..operators import incidents as inc
-    from ..plans.pipeline import resolve_files
+    from ..plans.pipeline import resolve_files, settled
     root = stream_root(spark, name)
 
     def events(files: DataFrame) -> DataFrame:
-        resolved = resolve_files(files.select("file_id", "text")).select("file_id", "text", "source")
+        resolved = settled(resolve_files(files.select("file_id", "text")), "file_id", "text", "source")
         return inc.ai_event(inc.analyze_incidents(inc.auto_analyze_payloads(resolved)), auto=True)
 
     none = spark.createDataFrame([], CLOSED)
