@@ -1,10 +1,14 @@
 """Operator 3, mixing sources to target weights (DataFrame operations only).
 
 Tokens (runs of non-white characters) are summed by cell (source, language, topic).
-Iterative proportional fitting rakes the cells' token weights to the three target
+Iterative proportional fitting rakes the cells' expected tokens to the three target
 marginals, one after the other, for ``ROUNDS`` rounds; the cells are an aggregate, the
-documents are not touched again.  A document's probability is ``min(1, c * weight /
-tokens)`` of its cell; c is calibrated so that the expected tokens are ``BUDGET`` of all.
+documents are not touched again.  A cell can't give more than it holds, so the fit is bounded:
+each step finds the factor of a value by which the tokens of its cells, each cut at what the cell
+holds, add up to the value's goal.  Cut cells are thus made up for by the others of their value.
+The sum of the expected tokens is ``BUDGET`` of all, or less where a value holds too little for its target
+(``feasible_budget``), so that the marginals hold and not only the budget; ``gaps`` tells what is left.
+A document's probability is its cell's expected tokens over the tokens held.
 Documents are drawn by comparing the probability with a hash of doc_id, so a run can be
 repeated and the same document is always drawn alike.
 
@@ -14,7 +18,7 @@ The topic is a column expression, by default the form of the text (``topic_of``)
 
 Defined results: null source, language and topic are values of their own; a null or empty
 text has no tokens, and rows of cells without tokens have probability ``BUDGET``; rows with
-a null doc_id are drawn alike by one fixed hash; an empty table gives an empty result;
+a null doc_id are drawn alike by one fixed hash, rows of one doc_id too; very long texts count like others; an empty table gives an empty result;
 further columns are ignored by ``mix`` and kept by ``draw``.
 """
 
@@ -50,43 +54,75 @@ def tokens(text: str = "text") -> Column:
 def _tempered(cells: DataFrame, side: str, power: float) -> DataFrame:
     found = cells.groupBy(side).agg(F.sum("tokens").alias("held")).where("held > 0")
     weight = F.pow(F.col("held").cast("double"), F.lit(power))
-    return found.withColumn("target", weight / F.sum(weight).over(Window.partitionBy(F.lit(0)))).drop("held")  # one row a value
+    return found.withColumn("target", weight / F.sum(weight).over(Window.partitionBy(F.lit(0))))  # one row a value
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, power: float = POWER) -> DataFrame:
-    """``cells`` (sides, tokens) with their raked ``weight``; weights sum to 1."""
-    targets = targets or {}
-    fitted = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+def goals(cells: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = POWER) -> dict[str, DataFrame]:
+    """Per side: its values with the tokens ``held`` and the ``target`` share."""
+    out = {}
     for side in SIDES:
         goal = _tempered(cells, side, power)
-        if side in targets:
+        if side in (targets or {}):
             own = targets[side].select(F.col("value").alias(side), F.col("share").alias("given"))
             goal = goal.join(own, side, "left").withColumn("target", F.coalesce("given", "target")).drop("given")
             goal = goal.withColumn("target", F.col("target") / F.sum("target").over(Window.partitionBy(F.lit(0))))
-        fitted = fitted.join(goal.withColumnRenamed("target", f"target_{side}"), side)
-    fitted = shared_table(fitted, "cells")
+        out[side] = goal
+    return out
+
+
+def feasible_budget(cells: DataFrame, wanted: dict[str, DataFrame], budget: float) -> float:
+    """``budget``, or the largest share of all tokens at which every value holds enough for its target."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    least = [wanted[s].where("target > 0").agg(F.min(F.col("held") / F.col("target"))).first()[0] for s in SIDES]
+    return min([budget, *(x / total for x in least if total and x is not None)])
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS,
+         power: float = POWER) -> DataFrame:
+    """``cells`` (sides, tokens) with ``weight``: least(weight, tokens) are the expected tokens of a cell."""
+    cells = cells.where("tokens > 0")
+    wanted = goals(cells, targets, power)
+    share = feasible_budget(cells, wanted, budget)
+    fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
+    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a cell
+    fitted = fitted.withColumn("budget", F.lit(share) * total)
+    for side in SIDES:
+        fitted = fitted.join(wanted[side].select(side, F.col("target").alias(f"target_{side}")), side)
+        fitted = fitted.withColumn(f"goal_{side}", F.col(f"target_{side}") * F.col("budget"))
+    fitted = shared_table(fitted.drop("budget"), "cells")
     for turn in range(rounds):
         for side in SIDES:
-            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"target_{side}") / F.sum("weight").over(Window.partitionBy(side)))
+            fitted = _fit(fitted, side)
         if turn % 3 == 2 or turn == rounds - 1:
             fitted = shared_table(fitted, "raked")
     return fitted
 
 
-def calibrate(cells: DataFrame, budget: float) -> float:
-    """c with sum of tokens * min(1, c * weight / tokens) = budget of all tokens.
+def _fit(cells: DataFrame, side: str) -> DataFrame:
+    """Scale the weights of each value of ``side`` so that its cells' tokens, cut at what they hold, give its goal.
 
-    Each step caps the cells that reach 1 and shares the rest among the others; the capped
-    cells only grow, so it ends.  One row of sums comes back per step.
+    In the order of tokens / weight the cells before the first one that stays below its tokens are cut.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    c, capped = budget * total, -1
-    while True:
-        full = F.lit(c) * F.col("weight") >= F.col("tokens")
-        r = cells.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)), F.sum(F.when(~full, F.col("weight"))), F.count(F.when(full, 1))).first()
-        if r[2] == capped or not r[1]:
-            return c
-        c, capped = (budget * total - r[0]) / r[1], r[2]
+    order = Window.partitionBy(side).orderBy("ratio", *SIDES)
+    cut = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = cells.withColumn("ratio", F.col("tokens") / F.col("weight"))
+    rows = rows.withColumn("factor", (F.col(f"goal_{side}") - cut) / rest)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    factor = F.coalesce(F.first(F.when(F.col("factor") < F.col("ratio"), F.col("factor")), ignorenulls=True).over(whole),
+                        F.max("ratio").over(Window.partitionBy(side)))
+    return rows.withColumn("weight", F.col("weight") * factor).drop("ratio", "factor")
+
+
+def gaps(raked: DataFrame) -> DataFrame:
+    """side, value, target, expected (its share of the expected tokens) and gap of every target."""
+    given = F.least("weight", "tokens")
+    out = None
+    for side in SIDES:
+        one = raked.groupBy(F.lit(side).alias("side"), F.col(side).alias("value")).agg(F.max(f"target_{side}").alias("target"), F.sum(given).alias("given"))
+        out = one if out is None else out.unionByName(one)
+    out = out.withColumn("expected", F.col("given") / F.sum("given").over(Window.partitionBy("side"))).drop("given")  # one row a value
+    return out.withColumn("gap", F.abs(F.col("expected") - F.col("target")))
 
 
 def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, topic: Column | None = None,
@@ -98,9 +134,8 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
                        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     rows = shared_table(rows, "rows")
     cells = shared_table(rows.groupBy(*SIDES).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets)
-    c = calibrate(raked, budget)
-    chance = raked.select(*SIDES, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens")).alias("chance"))
+    raked = rake(cells, targets, budget)
+    chance = raked.select(*SIDES, F.least(F.lit(1.0), F.col("weight") / F.col("tokens")).alias("chance"))
     if chance.count() <= BROADCAST_CELLS:
         chance = F.broadcast(chance)
     u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))), 1, 8), 16, 10).cast("double") / float(2**32)
@@ -118,26 +153,30 @@ def draw(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: f
     return probabilities(docs, targets, budget, carry=docs.columns).where("kept").select("row.*")
 
 
-def oracle_sql(rounds: int = ROUNDS, steps: int = 12) -> str:
+def oracle_sql(rounds: int = ROUNDS) -> str:
+    """DuckDB SQL: one recursive step per side, each a bounded fit by windows."""
     topics = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPICS)
-    parts = [f"""d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
+    goal = " UNION ALL ".join(
+        f"SELECT {k} AS side, {s} AS value, h AS held, pow(h, {POWER}) / sum(pow(h, {POWER})) OVER () AS target "
+        f"FROM (SELECT {s}, sum(tokens) AS h FROM c GROUP BY {s})" for k, s in enumerate(SIDES))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
   CASE WHEN coalesce(text, '') = '' THEN 'empty' {topics} ELSE 'prose' END AS topic,
-  CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents)""",
-             "c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"]
-    for s in SIDES:
-        parts.append(f"t_{s} AS MATERIALIZED (SELECT {s}, h / sum(h) OVER () AS target FROM (SELECT {s}, pow(sum(tokens), {POWER}) AS h FROM c GROUP BY {s}))")
-    last = "w0"
-    parts.append("w0 AS MATERIALIZED (SELECT *, tokens AS weight FROM c)")
-    for r in range(rounds):
-        for s in SIDES:
-            new = f"w{r}_{s}"
-            parts.append(f"{new} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {s}) AS weight FROM {last} JOIN t_{s} USING ({s}))")
-            last = new
-    parts.append(f"k0 AS (SELECT {BUDGET} * sum(tokens) AS c FROM c)")
-    for k in range(steps):
-        parts.append(f"""k{k + 1} AS MATERIALIZED (SELECT coalesce(({BUDGET} * (SELECT sum(tokens) FROM c) - coalesce(sum(tokens) FILTER (k.c * weight >= tokens), 0))
-  / sum(weight) FILTER (k.c * weight < tokens), max(k.c)) AS c FROM {last}, k{k} k)""")
-    return "WITH " + ",\n".join(parts) + f"""
+  CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+goal AS MATERIALIZED ({goal}),
+budget AS MATERIALIZED (SELECT least({BUDGET} * (SELECT sum(tokens) FROM c), min(held / target)) AS budget FROM goal),
+r(k, source, lang, topic, tokens, weight) AS (
+  SELECT 0, source, lang, topic, tokens, tokens FROM c
+  UNION ALL
+  SELECT k + 1, source, lang, topic, tokens, weight * coalesce(
+    first_value(CASE WHEN factor < ratio THEN factor END IGNORE NULLS) OVER (PARTITION BY value ORDER BY ratio, source, lang, topic
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), max(ratio) OVER (PARTITION BY value))
+  FROM (SELECT *, (wanted - coalesce(sum(tokens) OVER (PARTITION BY value ORDER BY ratio, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (PARTITION BY value ORDER BY ratio, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor
+    FROM (SELECT r.*, r.tokens / r.weight AS ratio, g.value, g.target * b.budget AS wanted FROM r
+      JOIN goal g ON g.side = r.k % 3 AND g.value = CASE r.k % 3 WHEN 0 THEN r.source WHEN 1 THEN r.lang ELSE r.topic END, budget b WHERE r.k < {3 * rounds}))
+)
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS probability,
   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '{NONE}')), 1, 8) AS BIGINT) / 4294967296.0 < round(p, 6) AS kept
-FROM (SELECT d.*, coalesce(least(1.0, (SELECT c FROM k{steps}) * weight / tokens), {BUDGET}) AS p FROM d LEFT JOIN {last} w USING (source, lang, topic))"""
+FROM (SELECT d.*, CASE WHEN w.weight IS NULL THEN {BUDGET} ELSE least(1.0, w.weight / w.tokens) END AS p
+  FROM d LEFT JOIN (SELECT * FROM r WHERE k = {3 * rounds}) w USING (source, lang, topic))"""
