@@ -57,7 +57,11 @@ def classify_source_scored(text) -> Column:
     argmax of counts, ties to the earlier rule; confidence =
     min(best/total + 0.3, 1.0); no hit at all gives ("generic", 0.5).
     """
-    counts = source_rule_counts(text)
+    return scored_counts(source_rule_counts(text))
+
+
+def scored_counts(counts: Column) -> Column:
+    """C-3 from the source rules' match counts (``source_rule_counts``, or their sums over parts of a text)."""
     names = F.array(*[F.lit(n) for n, _ in rules.SOURCE_RULES])
     scored = F.zip_with(counts, names, lambda c, n: F.struct(c.alias("n"), n.alias("name")))
     indexed = F.transform(scored, lambda s, i: F.struct(s["n"].alias("n"), (-i).alias("neg_idx"),

@@ -114,7 +114,8 @@ def evidence_window(sample: Column, start: Column, end: Column,
     return py_strip(F.translate(F.substring(sample, a + 1, b - a), "\n", " "))
 
 
-def _described(found: DataFrame, keys: list[str], carried: list[str] = ()) -> DataFrame:
+def described(found: DataFrame, keys: list[str], carried: list[str] = ()) -> DataFrame:
+    """Matches with what their rules say of them (columns of E-7)."""
     rn = F.col("rule_no")
     return found.select(*keys, "rule_no", "match_no",
                         _rule_meta(rn, "category").alias("category"),
@@ -132,7 +133,7 @@ def detect_findings(files: DataFrame, text_col: str = "text", source_col: str =
     ``(rule_no, match_no)``.  A projection and a map over batches: no shuffle.
     """
     texts = files.withColumn("_source", F.col(source_col))
-    return _described(search_matches(texts, [key, "_source"], text_col, "_source"), [key])
+    return described(search_matches(texts, [key, "_source"], text_col, "_source"), [key])
 
 
 def detect_findings_from_entries(entries: DataFrame, source_col: str = "source",
@@ -144,7 +145,7 @@ def detect_findings_from_entries(entries: DataFrame, source_col: str = "source",
     """
     texts = entries.withColumns({"_source": F.col(source_col), "ts": F.col(ts_col)})
     found = search_matches(texts, [*keys, "_source", "ts"], message_col, "_source")
-    return _described(found, list(keys), ["ts"])
+    return described(found, list(keys), ["ts"])
 
 
 def finding_counts(findings: DataFrame) -> DataFrame:

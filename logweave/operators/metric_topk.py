@@ -82,7 +82,8 @@ def _products(work: DataFrame, blocks: DataFrame, k: int, exclude_self: bool, ma
         if not len(qs) or not len(vs):
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "vid": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
         qids, vids = qs["id"].to_numpy(np.int64), vs["id"].to_numpy(np.int64)
-        dist = 1.0 - _unit(qs["v"].tolist()) @ _unit(vs["v"].tolist()).T
+        # the last digits of a product vary with the shape of the block: rounded, equal angles tie everywhere
+        dist = np.round(1.0 - _unit(qs["v"].tolist()) @ _unit(vs["v"].tolist()).T, 12)
         if exclude_self:
             dist[qids[:, None] == vids] = np.inf
         at = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller

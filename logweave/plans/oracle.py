@@ -1241,10 +1241,34 @@ SELECT doc_id, count(*) AS n_chunks FROM merged GROUP BY doc_id"""
 SQL["g4_index_stats"] = DOC_CHUNKS + """
 SELECT count(*) AS documents, CAST(coalesce(sum(n), 0) AS BIGINT) AS chunks FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)"""
 
-SQL["a7_write_ingest"] = PIPELINE_FINDINGS + f"""
-SELECT 'jobs' AS "table", count(*) AS n FROM log_files
-UNION ALL SELECT 'chunks', (SELECT count(*) FROM {_F1} c)
-UNION ALL SELECT 'findings', count(*) FROM findings"""
+# A-1 / A-7 over uploads: a hundred logs of a kind in one file
+UPLOADS = """log_files AS (
+  SELECT file_id % 9 + 9 * (file_id // 900) AS file_id, string_agg(line, chr(10) ORDER BY file_id, line_no) AS text
+  FROM log_lines GROUP BY 1)"""
+
+
+def of_uploads(sql: str) -> str:
+    return sql.replace(LOG_FILES, UPLOADS)
+
+
+SQL["a1_block_sources"] = of_uploads(SQL["c5_resolve_source"])
+SQL["a1_block_findings"] = of_uploads(SQL["e7_detect_findings"])
+
+SQL["a7_write_ingest"] = of_uploads(PIPELINE_FINDINGS + f"""
+SELECT 'jobs' AS "table", count(*) AS n, count(*) AS n_keyed FROM log_files
+UNION ALL SELECT 'chunks', (SELECT count(*) FROM {_F1} c), (SELECT count(*) FROM {_F1} c)
+UNION ALL SELECT 'findings', count(*), count(*) FROM findings""")
+
+SQL["a8_chunk_index"] = DOC_CHUNKS + _CID + """
+SELECT chunk_id, min(c.doc_id) AS doc_id, min(chunk_index) AS chunk_index, CASE WHEN bool_or(d.lang = 'en') THEN 'english' ELSE 'all' END AS ingest,
+       min(sha256(c.text)) AS digest
+FROM cid c JOIN documents d ON d.doc_id = c.doc_id GROUP BY chunk_id"""
+
+SQL["a2_document_source"] = """SELECT doc_id, CASE lang WHEN 'en' THEN '/docs/' || doc_id || '.md' WHEN 'de' THEN doc_id || '.md'
+  WHEN 'es' THEN 'in-memory' ELSE coalesce(source, 'in-memory') END AS label FROM documents"""
+
+SQL["g5_rag_query"] = """SELECT doc_id, CASE lang WHEN 'en' THEN coalesce(nullif(substr(text, 1, 40), ''), 'document ' || doc_id)
+  WHEN 'de' THEN coalesce(nullif(source, ''), 'document ' || doc_id) WHEN 'es' THEN NULL ELSE 'document ' || doc_id END AS q FROM documents"""
 
 
 # ---------------------------------------------------------------------------

@@ -727,6 +727,7 @@ def q_s7(spark, sf_dir):
 # A: scans and sinks; H over real chunks
 # ---------------------------------------------------------------------------
 from ..sources import files as fls  # noqa: E402
+from ..sources import blocks as bl  # noqa: E402
 from ..sources import sinks  # noqa: E402
 
 
@@ -755,36 +756,82 @@ def q_a9(spark, sf_dir):
     return sinks.export_log_lines(fx.table(spark, sf_dir, "events")).select("event_id", "line")
 
 
+def _chunk_index(spark, sf_dir):
+    """Index of the English documents' chunks, then of all documents': only the rest is written."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", tx.normalize_text(F.col("text")).alias("text"))
+    chunks = ch.chunk_ids(ch.chunk_documents(docs, keep=["source", "lang"])).select("chunk_id", "doc_id", "chunk_index", "text", "lang")
+    index = sinks.ChunkIndex(spark, st.stream_root(spark, "chunk-index"), "chunk_id string, doc_id long, chunk_index int, text string")
+    index.upsert(chunks.where("lang = 'en'").drop("lang"), "english")
+    index.upsert(chunks.drop("lang"), "all")
+    return index.read()
+
+
 @register("a8_upsert_doc_chunks")
 def q_a8(spark, sf_dir):
-    """A-8: chunks of all documents upserted into an index holding the English ones."""
-    allc = ch.chunk_ids(doc_chunks(spark, sf_dir)).select("chunk_id", "doc_id", "chunk_index", "text")
-    en = fx.table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id")
-    index = allc.join(en, "doc_id", "left_semi").select(*allc.columns)
-    merged = sinks.upsert_doc_chunks(allc, index)
+    """A-8: chunks of all documents upserted into a frame holding the English ones."""
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", tx.normalize_text(F.col("text")).alias("text"))
+    chunks = ch.chunk_ids(ch.chunk_documents(docs, keep=["source", "lang"])).select("chunk_id", "doc_id", "chunk_index", "text", "lang")
+    merged = sinks.upsert_doc_chunks(chunks.drop("lang"), chunks.where("lang = 'en'").drop("lang"))
     return merged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+@register("a8_chunk_index")
+def q_a8i(spark, sf_dir):
+    """A-8: the index itself, each chunk with the upsert that wrote it and the digest of its text."""
+    return _chunk_index(spark, sf_dir).select("chunk_id", "doc_id", "chunk_index", "ingest", F.sha2("text", 256).alias("digest"))
+
+
+def upload_of(file_id):
+    """Number of the uploaded file that holds a log: a hundred logs of one kind."""
+    return F.pmod(file_id, F.lit(9)) + F.lit(9) * F.floor(file_id / F.lit(900))
+
+
+def _uploads(spark, sf_dir):
+    """Logs of a kind written as text files of a hundred, read back in blocks; ``file_id`` is the upload's number."""
+    root = st.stream_root(spark, "uploads")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = fx.log_lines(spark, sf_dir).select(upload_of(F.col("file_id")).alias("upload"), "file_id", "line_no", "line")
+    (lines.repartition(parts, "upload").sortWithinPartitions("upload", "file_id", "line_no").select("upload", "line")
+     .write.partitionBy("upload").text(root))
+    back = bl.read_lines(spark, root).withColumn("file_id", F.regexp_extract("path", r"upload=(\d+)", 1).cast("long"))
+    blocks = bl.file_blocks(back, block_chars=20_000, overlap=2_000)
+    kept = st.stream_root(spark, "upload-blocks")
+    blocks.write.parquet(kept)
+    return spark.read.schema(blocks.schema).parquet(kept)
+
+
+@register("a1_block_sources")
+def q_a1s(spark, sf_dir):
+    """A-1: sources of uploaded files from their blocks."""
+    return bl.block_sources(_uploads(spark, sf_dir)).withColumn("classification_confidence", F.round("classification_confidence", 6))
+
+
+@register("a1_block_findings")
+def q_a1f(spark, sf_dir):
+    """A-1: findings of uploaded files of many blocks."""
+    blocks = _uploads(spark, sf_dir)
+    return bl.block_findings(blocks, bl.block_sources(blocks))
+
+
 @register("a7_write_ingest")
 def q_a7(spark, sf_dir):
-    """A-1 / A-7: log files written as files, read back with binaryFile, ingested, written, counted."""
-    from ..streaming.ingest import stream_root
-    root = stream_root(spark, "ingest-batch")
-    files = fx.log_files(spark, sf_dir)
-    files.select(F.concat(F.lit("log-"), F.col("file_id").cast("string")).alias("name"), "text") \
-        .write.partitionBy("name").mode("overwrite").text(root + "/raw")
-    raw = fls.read_log_files(spark, root + "/raw", glob="*.txt")
-    prepared = pipeline.resolve_files(raw)
-    found = fnd.detect_findings(prepared, text_col="clean_text", source_col="source")
-    chunks = ch.chunk_log_lines(prepared.select("file_id", F.col("clean_text").alias("text")))
-    jobs = prepared.select(F.col("file_id").alias("id"), F.lit("succeeded").alias("status"), "source",
-                           F.lit(datetime.now(UTC).replace(tzinfo=None)).alias("created_at"))
-    paths = sinks.write_ingest(jobs, chunks, found, root + "/tables", mode="overwrite")
-    counts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("table"), "n")
-              for k, p in paths.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    """A-1 / A-7: uploaded files read in blocks, ingested, written under their ingest and day, written again, counted."""
+    blocks = _uploads(spark, sf_dir)
+    sources = bl.block_sources(blocks)
+    found, chunks = bl.block_findings(blocks, sources), bl.block_chunks(blocks)
+    jobs = sources.select(F.col("file_id").alias("id"), F.lit("succeeded").alias("status"), "source",
+                          F.lit(datetime.now(UTC).replace(tzinfo=None)).alias("created_at"),
+                          (F.col("file_id") + 1).alias("incident_id"), (F.col("file_id") * 10).alias("attachment_id"))
+    root = st.stream_root(spark, "ingest-batch")
+    for _ in range(2):  # the second run is a retry: it must leave the rows of one
+        paths = sinks.write_ingest(jobs, chunks, found, root, ingest_id="first")
+    out = None
+    for k, p in paths.items():
+        rows = spark.read.parquet(p)
+        own = F.col("incident_id") == (F.col("id") if k == "jobs" else F.col("job_id")) + 1
+        n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(own & (F.col("attachment_id") == (F.col("incident_id") - 1) * 10)).alias("n_keyed"))
+        n = n.select(F.lit(k).alias("table"), "n", "n_keyed")
+        out = n if out is None else out.unionByName(n)
     return out
 
 
@@ -930,14 +977,33 @@ def q_j1(spark, sf_dir):
 
 @register("a2_read_documents")
 def q_a2(spark, sf_dir):
-    """A-2 / A-3: documents written as .md files, read back with binaryFile, typed and measured."""
-    from ..streaming.ingest import stream_root
-    root = stream_root(spark, "documents")
+    """A-2 / A-3: documents written as files of one folder (number and text), read back with binaryFile, typed and measured."""
+    root = st.stream_root(spark, "documents")
     docs = fx.table(spark, sf_dir, "documents")
-    docs.select(F.col("doc_id").cast("string").alias("doc"), "text").write.partitionBy("doc").mode("overwrite").text(root)
+    docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text")).write.option("maxRecordsPerFile", 1).text(root)
     back = fls.read_documents(spark, root)
-    doc_id = F.regexp_extract(F.col("source"), r"doc=(\d+)", 1).cast("long")
+    doc_id = F.substring_index("text", "\n", 1).cast("long")
     # the text writer ends every row with a newline
-    text = F.regexp_replace(F.col("text"), "\n$", "")
-    return back.select(doc_id.alias("doc_id"), "doc_type", F.length(text).alias("n_chars"),
-                       F.sha2(text, 256).alias("digest"))
+    text = F.regexp_replace(F.substr("text", F.instr("text", F.lit("\n")) + 1), "\n$", "")
+    return back.where("size_bytes > 0").select(doc_id.alias("doc_id"), "doc_type", F.length(text).alias("n_chars"),
+                                               F.sha2(text, 256).alias("digest"))
+
+
+@register("a2_document_source")
+def q_a2s(spark, sf_dir):
+    """A-2: source label of documents that come with a path, a file name, a metadata source or none."""
+    d = fx.table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("string")
+    path = F.when(F.col("lang") == "en", F.concat(F.lit("/docs/"), number, F.lit(".md")))
+    name = F.when(F.col("lang").isin("en", "de"), F.concat(number, F.lit(".md")))
+    return d.select("doc_id", fls.document_source(path, name, F.when(F.col("lang") != "es", F.col("source"))).alias("label"))
+
+
+@register("g5_rag_query")
+def q_g5(spark, sf_dir):
+    """G-5: the first non-empty of rag_query, query and summary, each missing or empty in some rows."""
+    d = fx.table(spark, sf_dir, "documents")
+    rag = F.when(F.col("lang") == "en", F.substring("text", 1, 40)).when(F.col("lang") == "de", F.lit(""))
+    query = F.when(F.col("lang") == "de", F.col("source")).when(F.col("lang") == "fr", F.lit(""))
+    summary = F.when(F.col("lang") != "es", F.concat(F.lit("document "), F.col("doc_id").cast("string")))
+    return d.select("doc_id", rt.rag_query(rag, query, summary).alias("q"))
