@@ -9,12 +9,14 @@ share of the template's shingles inside the window must reach ``CONTAINMENT``.
 The number of bands of a width follows from the smallest Jaccard similarity J that such a
 window and template can have: ``(1 - J) ** bands <= MISS``.  Windows without any anchor
 word are passed over: each template shingle holds at least one anchor, so they can't match.
+Texts that hold one are written once, for all widths.
 
 Templates are a short parameter list; their band table (a few thousand rows at most, the
 bound is checked) is broadcast, texts are never shuffled; the rows that match are grouped.
 
 Defined results: null, empty and short texts match nothing; repeated rows give repeated
-matches; an empty table gives an empty result; further columns are ignored.
+matches; very long texts are looked at whole; of equally good windows the first counts; an empty table or no
+templates give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_table
+
 SHINGLE = 5
 CONTAINMENT = 0.75
 MISS = 1e-6
 MAX_TEMPLATES = 2000
 
-#: short notices of public licences (fixed values)
+#: notices and headers of public licences (fixed values); a text may match several of one family
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -39,6 +43,21 @@ TEMPLATES = {
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd-warranty": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
 }
 
 
@@ -90,6 +109,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates, so that their bands can be broadcast")
     spark = docs.sparkSession
+    if not templates:
+        return docs.limit(0).select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"))
     known = spark.createDataFrame([(n, width(t), template_words(t)) for n, t in templates.items()], "license string, width int, words array<string>")
     known = known.withColumn("known", F.array_distinct(_hashes("words", F.greatest(F.lit(1), F.size("words") - SHINGLE + 1))))
     words = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")
@@ -98,7 +119,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             .where(F.lower("text").rlike("(?<![a-z0-9])(?:" + "|".join(rare) + ")(?![a-z0-9])"))
             .select("row_no", "doc_id", words.alias("words")))
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(rare))
-    rows = rows.withColumn("places", places)
+    rows = shared_table(rows.withColumn("places", places), "anchored")
     found = None
     for w in sorted({width(t) for t in templates.values()}):
         step, count = w // 2, bands(w)
