@@ -7,7 +7,7 @@ looks the pieces up again.  All new words of a batch lie in one flat symbol arra
 round finds the rank of every adjacent pair by binary search over the sorted pair keys,
 takes the lowest rank of each word and merges its occurrences from the left.
 
-Defined results: a null text counts as empty and has no tokens; repeated rows are encoded
+Defined results: a null text counts as empty and has no tokens; very long texts are encoded whole; repeated rows are encoded
 alike; an empty table gives an empty result; further columns stay as they are in
 ``encode`` / ``decode``.
 """

@@ -7,7 +7,9 @@ suffix), and a prior of its host.
 
 * The text model is fitted on a bounded sample of labelled documents (``TRAIN_ROWS`` in the
   order of a hash of doc_id, texts up to ``TRAIN_CHARS``).  Trigrams of a text depend on
-  each other, so its log likelihood counts as that of at most ``TEXT_WEIGHT`` trigrams.
+  each other, so its log likelihood counts as that of a number of trigrams at most.  That number is
+  fitted: of ``WEIGHTS`` the one with the least log loss on ``HELD_OUT`` of the sample, in
+  pieces from a line to the whole text, under a model of the rest.
 * How far markup and address are to be trusted is not assumed: for each language the share
   of pages that declare it is a grouped sum of the text posteriors, smoothed.
 * Host priors are grouped sums of text posteriors, smoothed towards the domain, which is
@@ -18,8 +20,8 @@ page texts are read once and not shuffled.
 
 Defined results: null or empty html gives no text evidence, and the other evidence decides;
 a null url is a host of its own; without any labelled document every page has a null
-language; repeated pages count as pages; an empty table gives an empty result; further
-columns are ignored.  Ties go to the language that sorts first.
+language; repeated pages count as pages; very long pages are read whole; an empty table gives an empty result; further
+columns, of whatever names, are ignored.  Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ from .common import LOWER, shared_table
 TRAIN_ROWS = 4000
 TRAIN_CHARS = 20_000
 CELLS = 1 << 16
-TEXT_WEIGHT = 30
+WEIGHTS = (10, 30, 100, 300, 1000, 3000)
+#: every so many rows of the sample one is held out for the fit of the weight, and the pieces' characters
+HELD_OUT = 4
+PIECES = (60, 400, TRAIN_CHARS)
 SMOOTH = 10.0
 TRUST = 2.0
 #: country suffixes of the web that suggest a language (fixed values)
@@ -63,7 +68,8 @@ def trigram_cells(text: str) -> np.ndarray:
 
 
 class TextModel:
-    def __init__(self, texts: list[str], langs: list[str]):
+    def __init__(self, texts: list[str], langs: list[str], weight: int = WEIGHTS[1]):
+        self.weight = weight
         self.langs = sorted(set(langs))
         counts = np.full((max(1, len(self.langs)), CELLS), 0.5)
         for text, lang in zip(texts, langs, strict=True):
@@ -73,12 +79,28 @@ class TextModel:
         self.table = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
     def likelihoods(self, text: str) -> np.ndarray:
+        return self._weighted(*self._sums(text), self.weight)
+
+    def _sums(self, text: str) -> tuple[np.ndarray, int]:
         cells = trigram_cells(text)
-        if not len(cells):
-            return np.zeros(len(self.langs))
-        total = self.table[:, cells].sum(1, dtype=np.float64)
-        total *= min(1.0, TEXT_WEIGHT / len(cells))
-        return total - total.max()
+        return self.table[:, cells].sum(1, dtype=np.float64) if len(cells) else np.zeros(len(self.langs)), len(cells)
+
+    @staticmethod
+    def _weighted(total: np.ndarray, cells: int, weight: int) -> np.ndarray:
+        total = total * min(1.0, weight / max(1, cells))
+        return total - (total.max() if len(total) else 0.0)
+
+    def best_weight(self, texts: list[str], langs: list[str]) -> int:
+        """The weight of least log loss on labelled texts (the smaller of equals)."""
+        seen = [(self._sums(t[:n]), self.langs.index(k)) for t, k in zip(texts, langs, strict=True) if k in self.langs for n in PIECES]
+
+        def loss(weight: int) -> float:
+            out = 0.0
+            for (total, cells), k in seen:
+                x = self._weighted(total, cells, weight)
+                out += np.log(np.exp(x).sum()) - x[k]
+            return round(out, 9)
+        return min(WEIGHTS, key=lambda w: (loss(w), w)) if seen else self.weight
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
@@ -87,7 +109,10 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
     ids = usable.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("turn")).distinct().orderBy("turn").limit(rows)
     sample = (usable.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
               .groupBy("doc_id", "turn").agg(F.min(F.struct("text", "lang")).alias("row")).orderBy("turn").select("row.*").collect())
-    return TextModel([r["text"] for r in sample], [r["lang"] for r in sample])
+    texts, langs = [r["text"] for r in sample], [r["lang"] for r in sample]
+    held = slice(0, None, HELD_OUT)
+    rest = [[x for i, x in enumerate(side) if i % HELD_OUT] for side in (texts, langs)]
+    return TextModel(texts, langs, TextModel(*rest).best_weight(texts[held], langs[held]))
 
 
 def address(url: str | None) -> tuple[str, str, str | None]:

@@ -28,7 +28,7 @@ sets with different l_x, l_y share at least ``min(l_x, l_y)`` in theirs.  Hence:
    that several groups hold; pairs with enough meetings are verified.
 5. Components of all verified links.
 
-Defined results: null and empty texts have the empty set and link with nothing; rows with
+Defined results: very long texts enter whole; null and empty texts have the empty set and link with nothing; rows with
 a null ``doc_id`` link with nothing and have a null component; repeated rows share their
 component; an empty table gives an empty result; further columns are ignored by
 ``near_components`` and kept by ``keep_first``.

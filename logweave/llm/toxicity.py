@@ -14,8 +14,8 @@ in the order of a hash of doc_id, texts up to ``TRAIN_CHARS``); held-out rows ne
 it.  Scoring covers every row and whole texts, in the tasks, with no shuffle.  Of labels,
 lang, source and doc_id nothing enters a score.
 
-Defined results: a null or empty text is scored as a text without words; repeated rows
-score alike; a doc_id with several labels counts as toxic if one says so, null labels are
+Defined results: a null or empty text is scored as a text without words; very long texts are
+scored whole, by parts; repeated rows score alike; a score of exactly 0.5 is predicted 1; a doc_id with several labels counts as toxic if one says so, null labels are
 ignored; without labelled rows of both classes every score is the share of toxic rows (0
 without any); an empty table gives an empty result; further columns are ignored.
 """

@@ -234,3 +234,50 @@ def test_pipeline(spark):
     stay = [i for i, _ in texts if near[i][1] == i]
     drawn = mixing.mix(docs.where(F.col("doc_id").isin(stay))).where("kept")
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in drawn.collect())
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Real labelled rows that the fit never sees."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    rows = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out and truth.get(r.doc_id) is not None]
+    assert len(rows) > 50 and sum(r.predicted == truth[r.doc_id] for r in rows) >= 0.9 * len(rows)
+
+
+def test_toxicity_odd_rows(spark):
+    docs = documents(spark, [(1, "vile " * 60_000), (1, "vile " * 60_000), (2, None), (None, "kind words")])
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity(docs, labels).collect()
+    assert len(rows) == 4 and len({r.score for r in rows if r.doc_id == 1}) == 1 and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_top_k_with_fewer_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.5]), (20, [0.5, 1.0]), (21, [0.5, 1.0]), (22, None)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in topk_search.top_k(df).collect())
+    assert got == [(0, 1, 20), (0, 2, 21), (20, 1, 21), (20, 2, 0)]
+
+
+def test_pipeline_odd_documents(spark, tmp_path):
+    """Nulls, repeated rows, long texts, clashing columns and an empty table."""
+    import corpus_pipeline
+    rows = [(i, f"plain words number {i} and more of them here", "en", "s1", 1, "x", 7) for i in range(40)]
+    rows += [(3, "plain words number 3 and more of them here", "en", "s1", 1, "x", 7), (None, None, None, None, None, None, None), (50, "", "fr", None, 0, "", 0),
+             (51, "long " * 60_000, None, "s2", 5, "x", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, digest string, node int"
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, kept in (("a", rows), ("b", [])):
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "labels.parquet").symlink_to(tmp_path / "labels.parquet")
+        spark.createDataFrame(kept, schema).write.parquet(str(folder / "documents.parquet"))
+        docs = spark.read.parquet(str(folder / "documents.parquet"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(folder))
+            if k < 4:
+                assert out.columns == docs.columns
+                out.write.parquet(str(folder / f"stage{k}"))
+                docs = spark.read.schema(out.schema).parquet(str(folder / f"stage{k}"))
+        got = out.collect()
+        assert bool(got) == bool(kept) and all(r.n_tokens >= 0 for r in got)
