@@ -3,6 +3,12 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a frame; it is written as Parquet under
 the shared folder and read again as the next stage's documents.  All stages but the last
 return the columns of ``documents``; the last returns the encoded documents.
+
+Defined results: a null text counts as empty in every stage (scored as a text without words, equal to
+other empty texts, linked with nothing, without tokens); very long texts go through whole; of repeated
+rows with a doc_id one stays after the exact dedup; rows with a null doc_id are never dropped as near
+copies; ties go to the smallest doc_id; further columns, of whatever names, are kept up to
+the last stage; an empty table goes through as an empty table.
 """
 
 from __future__ import annotations
