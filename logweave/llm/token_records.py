@@ -85,6 +85,19 @@ def filesystem(path: str):
     return FileSystem.from_uri(path)
 
 
+class _Numbers(dict):
+    """Numbers of pieces in the order of their first look-up; ``new`` lists those without ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceEncoder:
     """The tokenizers library, asked once for each distinct piece of the texts.
 
@@ -106,36 +119,37 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self._number: dict[str, int] = {}
+        self._number = _Numbers()
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
         self._start, self._size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        joined = [x for x in new if x[0].isspace() and not x[-1].isspace()]
-        alone = [x for x in new if not x[0].isspace() or x[-1].isspace()]
+    def _learn(self, new: list[str], first: int) -> None:
+        """Ids of the pieces numbered from ``first``."""
+        open_end = np.fromiter((x[0].isspace() and not x[-1].isspace() for x in new), bool, len(new))
+        joined = [x for x, j in zip(new, open_end.tolist(), strict=True) if j]
+        alone = [x for x, j in zip(new, open_end.tolist(), strict=True) if not j]
         ids = self._encode(["".join(joined[k:k + JOINED_PIECES]) for k in range(0, len(joined), JOINED_PIECES)])
         flat = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
-        ends = np.cumsum(np.fromiter((len(x.encode()) for x in joined), np.int64, len(joined)))
+        ends = np.cumsum(np.fromiter((len(x) if x.isascii() else len(x.encode()) for x in joined), np.int64, len(joined)))
         cuts = np.searchsorted(np.cumsum(self._bytes[flat]), ends, "right")
-        self._remember(joined, flat, np.diff(cuts, prepend=0))
+        self._remember(first + np.flatnonzero(open_end), flat, np.diff(cuts, prepend=0))
         ids = self._encode(alone)
-        self._remember(alone, np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))),
+        self._remember(first + np.flatnonzero(~open_end), np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids))),
                        np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def _remember(self, new: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        at, end, total = len(self._number), self._used, len(flat)
+    def _remember(self, numbers: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        end, total = self._used, len(flat)
         while len(self._flat) < end + total:
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
-        while len(self._start) < at + len(new):
+        while len(self._start) < len(self._number):
             self._start, self._size = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._size))
         self._flat[end:end + total] = flat
-        self._start[at:at + len(new)] = end + np.cumsum(sizes) - sizes
-        self._size[at:at + len(new)] = sizes
+        self._start[numbers] = end + np.cumsum(sizes) - sizes
+        self._size[numbers] = sizes
         self._used = end + total
-        self._number.update(zip(new, range(at, at + len(new)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
@@ -143,11 +157,12 @@ class PieceEncoder:
             self._reset()
         whole = {i for i, t in enumerate(texts) if NOT_SPACES.search(t)}
         cut = [PIECE.findall(t) if i not in whole else [] for i, t in enumerate(texts)]
-        new = set(chain.from_iterable(cut)) - self._number.keys()
-        if new:
-            self._learn(list(new))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        first = len(self._number)
         known = np.fromiter(map(self._number.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if self._number.new:
+            self._learn(self._number.new, first)
+            self._number.new = []
         sizes = self._size[known]
         flat = self._flat[gather(self._start[known], sizes)] if len(known) else np.zeros(0, np.uint32)
         ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
