@@ -10,7 +10,7 @@ Spark side: every map task first runs its rows through a small index of its own
 passes on one row per digest (so a group of copies sends one row per task, whatever its
 size).  The rows are then dealt by digest to shards, each of which runs its index.
 
-Defined results: a null text counts as empty; null ``doc_id`` sorts last, so it is the
+Defined results: very long texts are digested whole; a null text counts as empty; null ``doc_id`` sorts last, so it is the
 keeper only when the whole group has none; of repeated rows of the keeper's id one stays;
 an empty table gives an empty result; further columns of the input are ignored by
 ``dedup`` and carried through by ``keep_first``.

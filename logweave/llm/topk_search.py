@@ -13,7 +13,7 @@ raises the bounds as it goes; a last top-k merges at most k rows per query and t
 
 Defined results: a null vec_id, a null vector and one with null or non-finite components
 take no part; of rows with equal vec_id the smallest vector counts; shorter vectors are
-padded with zeros; ties go to the smaller vec_id; an empty table gives an empty result;
+padded with zeros; ties go to the smaller vec_id; with fewer than k candidates all are returned; an empty table gives an empty result;
 further columns are ignored.
 """
 
