@@ -59,8 +59,8 @@ def latency_p95(events: DataFrame, by: str = "event_type", latency: str = "value
                 accuracy: int = 10000) -> DataFrame:
     """K-4: 95th percentile of latency per group.
 
-    ``exact=True`` ranks distinct values with their counts (``ranking.percentile``, linear
-    interpolation), so no buffer holds a group's values; the default ``percentile_approx`` is a
+    ``exact=True`` (``ranking.percentile``, linear interpolation) ranks distinct values with their
+    counts in ranges where a group has more than a buffer may hold; the default ``percentile_approx`` is a
     bounded-memory sketch.
     """
     if exact:

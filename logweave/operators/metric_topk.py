@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 MAX_PIVOTS = 1024
+#: with so few blocks every query meets all of them
+FEW_BLOCKS = 4
 #: slack of an angle comparison, above rounding
 EPS = 1e-7
 HIT = "qid long, vid long, distance double"
@@ -100,13 +102,19 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
 
 
 class MetricTopK:
-    """One run of the search; ``pairs`` and ``all_pairs`` tell how many (query, block) pairs were left."""
+    """One run of the search; ``pairs`` and ``all_pairs`` tell how many (query, block) pairs were left (null: not pruned)."""
 
     def __init__(self, queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False,
                  max_block_vectors: int = 2048, max_block_queries: int = 256):
         spark = vectors.sparkSession
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logweave-topk/{uuid.uuid4().hex}"
         count = vectors.count()
+        if count <= FEW_BLOCKS * max_block_vectors:  # so few blocks that skipping some costs more than it saves
+            asked = queries.where(F.exists("v", lambda x: x != 0)).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(0).alias("cell"))
+            n = -(-count // max_block_vectors) or 1
+            blocks = vectors.select("id", "v", F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.lit(n).alias("n_blocks"))
+            self.result, self.pairs, self.all_pairs = _top(_products(asked, blocks, k, exclude_self, max_block_queries), k), None, None
+            return
         # about a block a cell, and cells enough for the home cell to give a bound
         self.pivots = choose_pivots(vectors, max(1, -(-2 * count // max_block_vectors)))
         if not len(self.pivots):

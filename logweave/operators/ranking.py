@@ -63,10 +63,15 @@ def percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str,
                whole_key_rows: int = WHOLE_KEY_ROWS) -> DataFrame:
     """Exact ``p`` quantile (linear interpolation) and row count ``n`` per key; nulls don't count.
 
-    Equal values are counted first, so what is ranked are distinct values with their counts; the
-    two values around the wanted rank are picked by the counts before them.
+    Up to ``whole_key_rows`` distinct values a key (counted first, by a sketch) Spark's ``percentile``
+    holds them in one buffer.  Beyond that what is ranked are distinct values with their counts, dealt
+    by ranges; the two values around the wanted rank are picked by the counts before them.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    df = df.where(F.col(value).isNotNull())
+    most = df.groupBy(*keys).agg(F.approx_count_distinct(value).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if most <= whole_key_rows:
+        return df.groupBy(*keys).agg(F.percentile(value, p).alias(name), F.count(value).alias("n"))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     upto = running_sum(counts, keys, [F.col(value)], F.col("_c"), "_upto", whole_key_rows)
     total = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
     rows = joined(upto, total, keys)
