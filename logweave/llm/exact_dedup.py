@@ -8,7 +8,8 @@ overflow rebuilds a filter of twice the size from the stored keys.
 
 Spark side: every map task first runs its rows through a small index of its own and
 passes on one row per digest (so a group of copies sends one row per task, whatever its
-size).  The rows are then dealt by digest to shards, each of which runs its index.
+size).  The rows are then dealt by digest to shards, each of which runs its index; there are
+shards enough for ``SHARD_KEYS`` rows each, so a shard's memory doesn't grow with the input.
 
 Defined results: very long texts are digested whole; a null text counts as empty; null ``doc_id`` sorts last, so it is the
 keeper only when the whole group has none; of repeated rows of the keeper's id one stays;
@@ -29,6 +30,8 @@ from .common import shared_table, slices
 BUCKET_SLOTS = 4
 MAX_KICKS = 200
 #: digests that one map task holds before it passes them on
+#: digests that a shard holds, on average at most
+SHARD_KEYS = 500_000
 LOCAL_KEYS = 100_000
 
 
@@ -176,12 +179,19 @@ def shard_of(digest="digest", shards: int = 64):
     return F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int")
 
 
+def shards_for(spark, rows: int) -> int:
+    return max(slices(spark), -(-rows // SHARD_KEYS))
+
+
 def groups(rows: DataFrame) -> DataFrame:
-    """One row per distinct digest: keeper (smallest doc_id, then first row) and group size."""
+    """One row per distinct digest: keeper (smallest doc_id, then first row) and group size.
+
+    ``rows`` is a written table, so that its rows are counted from its footers.
+    """
     spark = rows.sparkSession
     local = (rows.select("row_no", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("keep_id"), "digest")
              .mapInPandas(_local_groups, _GROUP))
-    n = slices(spark)
+    n = shards_for(spark, rows.count())
     found = (local.withColumn("shard", shard_of("digest", n)).groupBy("shard")
              .applyInPandas(lambda pdf: _shard_groups(pdf), _GROUP))
     return found.withColumn("keep_id", F.when(~F.col("no_id"), F.col("keep_id"))).drop("no_id")
@@ -248,6 +258,6 @@ def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> D
     count = lambda df, kind: df.groupBy("digest").agg(F.count("*").alias("live")).withColumn("kind", F.lit(kind))
     rows = (index.select("digest", "live").withColumn("kind", F.lit(0))
             .unionByName(count(inserts, 1)).unionByName(count(deletes, 2)))
-    n = slices(index.sparkSession)
+    n = shards_for(index.sparkSession, index.count() + inserts.count())
     return (rows.withColumn("shard", shard_of("digest", n)).groupBy("shard")
             .applyInPandas(lambda pdf: _apply_shard(pdf), "digest binary, kind string, hit boolean, live long"))
