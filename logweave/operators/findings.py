@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from .. import rules
 from ..functions.text import py_strip
 from ..rules import ci
+from .ranking import ranked
 
 #: rows of findings handed back at once
 OUT_ROWS = 10_000
@@ -187,6 +188,17 @@ def brief_findings(findings: DataFrame, key: str = "file_id", files: DataFrame |
     ), files, key)
 
 
+def brief_titles(findings: DataFrame, key: str = "file_id") -> DataFrame:
+    """E-10 as rows: ``(key, list, pos, title)``, in finding order; no list is held whole.
+
+    A high finding is in both lists, as in ``brief_findings``.
+    """
+    lists = F.array_compact(F.array(F.when(F.col("severity").isin("critical", "high"), F.lit("critical")),
+                                    F.when(F.col("severity") == "high", F.lit("high"))))
+    rows = findings.select(key, F.explode(lists).alias("list"), "rule_no", "match_no", "title")
+    return ranked(rows, [key, "list"], ["rule_no", "match_no"]).select(key, "list", "pos", "title")
+
+
 def brief_message(summary: DataFrame) -> DataFrame:
     """E-11: a one-line message by precedence critical, high, any, none."""
     # FIXED VALUES: message texts.

@@ -542,6 +542,11 @@ SELECT file_id,
   coalesce(string_agg(title, '|' ORDER BY rule_no, match_no) FILTER (WHERE severity = 'high'), '') AS high_list
 FROM f GROUP BY file_id"""
 
+SQL["e10_brief_titles"] = PIPELINE_FINDINGS + """,
+lists AS (SELECT file_id, 'critical' AS list, rule_no, match_no, title FROM findings WHERE severity IN ('critical', 'high')
+          UNION ALL SELECT file_id, 'high', rule_no, match_no, title FROM findings WHERE severity = 'high')
+SELECT file_id, list, row_number() OVER (PARTITION BY file_id, list ORDER BY rule_no, match_no) AS pos, title FROM lists"""
+
 SQL["e11_brief_message"] = PIPELINE_FINDINGS + ALL_FILES + """,
 s AS (SELECT file_id, count(*) FILTER (WHERE severity = 'critical') AS c, count(*) FILTER (WHERE severity = 'high') AS h,
              count(file_id_f) AS t FROM f GROUP BY file_id)

@@ -218,6 +218,12 @@ def q_e10(spark, sf_dir):
                     F.array_join("high_list", "|").alias("high_list"))
 
 
+@register("e10_brief_titles")
+def q_e10t(spark, sf_dir):
+    """E-10 with a row per title instead of lists."""
+    return fnd.brief_titles(log_findings(spark, sf_dir))
+
+
 @register("e11_brief_message")
 def q_e11(spark, sf_dir):
     s = fnd.brief_message(fnd.finding_summary(log_findings(spark, sf_dir), files=fx.log_files(spark, sf_dir)))

@@ -131,15 +131,15 @@ def brute(ids, m, qids, q, k):
 def test_search_skips_cells_and_stays_exact(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(40, 24))
-    m = centers[rng.integers(0, 40, 3000)] + 0.08 * rng.normal(size=(3000, 24))
+    m = centers[rng.integers(0, 40, 1500)] + 0.08 * rng.normal(size=(1500, 24))
     m[10], m[11] = m[12], m[12] * 3  # ties
     m[20] = 0
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
-    run = mt.MetricTopK(df, df, 5, exclude_self=True, max_block_vectors=64, max_block_queries=50)
+    run = mt.MetricTopK(df, df, 5, exclude_self=True, max_block_vectors=32, max_block_queries=50)
     got = {}
     for r in run.result.orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append((r.vid, round(r.distance, 6)))
-    assert got == brute(np.arange(3000), m, np.arange(3000), m, 5)
+    assert got == brute(np.arange(1500), m, np.arange(1500), m, 5)
     assert run.pairs < run.all_pairs / 2, (run.pairs, run.all_pairs)
 
 
