@@ -8,6 +8,8 @@
   still looks for.  A cell whose pivot is farther than that bound plus its radius can't hold a
   better vector, so the query goes only to the blocks of the cells that are left.
 * A group is one block of vectors and at most ``max_block_queries`` queries; it emits the top k of each.
+* Python holds a slice of ``SLICE_ROWS`` rows against the pivots or a block at a time.  A query's cells
+  travel as a list, so its vector is copied only into the shuffle, by the JVM.
 
 Nothing is approximate: a cell is skipped only if all its angles exceed the bound.
 """
@@ -29,7 +31,11 @@ MAX_PIVOTS = 1024
 FEW_BLOCKS = 4
 #: slack of an angle comparison, above rounding
 EPS = 1e-7
+#: rows compared at once, with all pivots or a block of vectors
+SLICE_ROWS = 512
 HIT = "qid long, vid long, distance double"
+WORK = "qid long, qv array<double>, bound double, cells array<int>"
+WORK_NAMES = ["qid", "qv", "bound", "cells"]
 
 
 def _unit(rows) -> np.ndarray:
@@ -38,6 +44,23 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, n[:, None], out=np.zeros_like(m), where=n[:, None] > 0)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Unit vectors of an Arrow list column, without a Python object per component."""
+    if not len(column):
+        return np.zeros((0, 1))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if (column.value_lengths().to_numpy(zero_copy_only=False) * len(column) != len(flat)).any():
+        raise ValueError("all vectors must have the same length")
+    return _unit(flat.reshape(len(column), -1))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of ``SLICE_ROWS`` rows, views of the same memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(m @ pivots.T, -1.0, 1.0))
 
@@ -56,8 +79,8 @@ def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
 def assign_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``id, v, cell, angle``: nearest pivot of each vector; zero vectors are in no cell's radius (angle 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _unit(batch.column("v").to_pylist())
+        for batch in _slices(batches):
+            m = _matrix(batch.column("v"))
             a = _angles(m, pivots)
             cell = a.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(a[np.arange(len(m)), cell], pa.float64())],
@@ -65,33 +88,44 @@ def assign_cells(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(run, "id long, v array<double>, cell int, angle double")
 
 
-def _products(work: DataFrame, blocks: DataFrame, k: int, exclude_self: bool, max_block_queries: int) -> DataFrame:
-    """Top k of each query in each (cell, block) it is sent to.
+def _products(work: DataFrame, blocks: DataFrame, n_blocks: list[int], asked: list[int], k: int, exclude_self: bool,
+              max_block_queries: int) -> DataFrame:
+    """Top k of each query in each (cell, block) it is sent to, but for what is beyond its bound.
 
-    ``work``: qid, qv, cell.  ``blocks``: id, v, cell, block, n_blocks (of the cell).
+    ``work``: qid, qv, bound, cells.  ``blocks``: id, v, cell, block.  ``n_blocks`` and ``asked`` hold each
+    cell's number of blocks and of queries (``MAX_PIVOTS`` cells at most).
     """
-    per_cell = blocks.groupBy("cell").agg(F.max("n_blocks").alias("n_blocks"))
-    wanted = work.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / max_block_queries).cast("int").alias("parts"))
-    q = work.join(wanted, "cell").join(per_cell, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("qid", "cell"), "parts").cast("int").alias("part"), F.lit(True).alias("is_q"), F.col("qid").alias("id"), F.col("qv").alias("v"))
-    v = blocks.join(wanted, "cell").select(
-        "cell", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_q"), "id", "v")
+    parts = F.lit([max(1, -(-n // max_block_queries)) if n else 0 for n in asked])
+    at = lambda numbers: F.get(numbers, F.col("cell"))
+    q = work.select("qid", "qv", "bound", F.explode("cells").alias("cell")).select(
+        "cell", F.explode(F.sequence(F.lit(0), at(F.lit(n_blocks)) - 1)).alias("block"),
+        F.pmod(F.xxhash64("qid", "cell"), at(parts)).cast("int").alias("part"), F.lit(True).alias("is_q"), F.col("qid").alias("id"),
+        F.col("qv").alias("v"), "bound")
+    v = blocks.where(at(parts) > 0).select(
+        "cell", "block", F.explode(F.sequence(F.lit(0), at(parts) - 1)).alias("part"), F.lit(False).alias("is_q"), "id", "v",
+        F.lit(None).cast("double").alias("bound"))
 
     def best(pdf):
         import pandas as pd
         qs, vs = pdf[pdf["is_q"]], pdf[~pdf["is_q"]].sort_values("id")
         if not len(qs) or not len(vs):
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "vid": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
-        qids, vids = qs["id"].to_numpy(np.int64), vs["id"].to_numpy(np.int64)
-        # the last digits of a product vary with the shape of the block: rounded, equal angles tie everywhere
-        dist = np.round(1.0 - _unit(qs["v"].tolist()) @ _unit(vs["v"].tolist()).T, 12)
-        if exclude_self:
-            dist[qids[:, None] == vids] = np.inf
-        at = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the smaller
-        near = np.take_along_axis(dist, at, axis=1)
-        row, col = np.nonzero(np.isfinite(near))
-        return pd.DataFrame({"qid": qids[row], "vid": vids[at[row, col]], "distance": near[row, col]})
+        vids, vm = vs["id"].to_numpy(np.int64), _unit(vs["v"].tolist())
+        out, most = [], min(k, len(vids))
+        for i in range(0, len(qs), SLICE_ROWS):
+            some = qs.iloc[i:i + SLICE_ROWS]
+            qids, bounds = some["id"].to_numpy(np.int64), some["bound"].to_numpy(np.float64)
+            # the last digits of a product vary with the shape of the block: rounded, equal angles tie everywhere
+            dist = np.round(1.0 - _unit(some["v"].tolist()) @ vm.T, 12)
+            if exclude_self:
+                dist[qids[:, None] == vids] = np.inf
+            dist[np.isnan(dist)] = np.inf
+            last = np.fmin(np.partition(dist, most - 1, axis=1)[:, most - 1], bounds)[:, None]
+            nearer, ties = dist < last, (dist == last) & np.isfinite(dist)
+            ties &= np.cumsum(ties, axis=1) <= k - nearer.sum(axis=1)[:, None]  # ids ascend, so ties go to the smaller
+            row, col = np.nonzero(nearer | ties)
+            out.append(pd.DataFrame({"qid": qids[row], "vid": vids[col], "distance": dist[row, col]}))
+        return pd.concat(out)
 
     return q.unionByName(v).groupBy("cell", "block", "part").applyInPandas(best, HIT)
 
@@ -105,15 +139,17 @@ class MetricTopK:
     """One run of the search; ``pairs`` and ``all_pairs`` tell how many (query, block) pairs were left (null: not pruned)."""
 
     def __init__(self, queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = False,
-                 max_block_vectors: int = 2048, max_block_queries: int = 256):
+                 max_block_vectors: int = 2048, max_block_queries: int = 2048):
         spark = vectors.sparkSession
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/logweave-topk/{uuid.uuid4().hex}"
         count = vectors.count()
         if count <= FEW_BLOCKS * max_block_vectors:  # so few blocks that skipping some costs more than it saves
-            asked = queries.where(F.exists("v", lambda x: x != 0)).select(F.col("id").alias("qid"), F.col("v").alias("qv"), F.lit(0).alias("cell"))
+            asked = queries.where(F.exists("v", lambda x: x != 0)).select(F.col("id").alias("qid"), F.col("v").alias("qv"),
+                                                                          F.lit(None).cast("double").alias("bound"), F.lit([0]).alias("cells"))
             n = -(-count // max_block_vectors) or 1
-            blocks = vectors.select("id", "v", F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.lit(n).alias("n_blocks"))
-            self.result, self.pairs, self.all_pairs = _top(_products(asked, blocks, k, exclude_self, max_block_queries), k), None, None
+            blocks = vectors.select("id", "v", F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+            found = _products(asked, blocks, [n], [asked.count()], k, exclude_self, max_block_queries)
+            self.result, self.pairs, self.all_pairs = _top(found, k), None, None
             return
         # about a block a cell, and cells enough for the home cell to give a bound
         self.pivots = choose_pivots(vectors, max(1, -(-2 * count // max_block_vectors)))
@@ -127,39 +163,46 @@ class MetricTopK:
         blocks_of = np.zeros(len(self.pivots), np.int64)
         for r in sizes.collect():  # a row per pivot, MAX_PIVOTS at most
             radius[r.cell], blocks_of[r.cell] = r.radius, -(-r.n // max_block_vectors)
-        blocks = cells.join(sizes.select("cell", F.ceil(F.col("n") / max_block_vectors).cast("int").alias("n_blocks")), "cell")
-        blocks = blocks.select("id", "v", "cell", F.pmod(F.xxhash64("id"), "n_blocks").cast("int").alias("block"), "n_blocks")
         pivots, sizes_at = self.pivots, blocks_of
+        n_blocks = [int(n) for n in blocks_of]
+        # a cell of the frame has a vector, so its number of blocks isn't 0
+        blocks = cells.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.get(F.lit(n_blocks), F.col("cell"))).cast("int").alias("block"))
 
         def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a = _angles(_unit(batch.column("v").to_pylist()), pivots)
+            for batch in _slices(batches):
+                a = _angles(_matrix(batch.column("v")), pivots)
                 a[:, sizes_at == 0] = np.inf
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(a.argmin(axis=1), pa.int32())], ["qid", "qv", "cell"])
+                cells = pa.ListArray.from_arrays(pa.array(range(len(a) + 1), pa.int32()), pa.array(a.argmin(axis=1), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.nulls(len(a), pa.float64()), cells], WORK_NAMES)
+
+        def asked_of(work: DataFrame) -> list[int]:
+            per = {r.cell: r["count"] for r in work.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
+            return [per.get(c, 0) for c in range(len(pivots))]  # MAX_PIVOTS at most
 
         asked = queries.where(F.exists("v", lambda x: x != 0))
-        first = _products(asked.mapInArrow(home, "qid long, qv array<double>, cell int"), blocks, k, exclude_self, max_block_queries)
+        at_home = asked.mapInArrow(home, WORK)
+        first = _products(at_home, blocks, n_blocks, asked_of(at_home), k, exclude_self, max_block_queries)
         _top(first, k).select("qid", "vid", "distance", "rank").write.parquet(f"{root}/home")
         first = spark.read.schema(f"{HIT}, rank int").parquet(f"{root}/home")
         bound = first.where(F.col("rank") == k).select("qid", F.col("distance").alias("bound"))
 
         def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a = _angles(_unit(batch.column("v").to_pylist()), pivots)
+            for batch in _slices(batches):
+                a = _angles(_matrix(batch.column("v")), pivots)
                 a[:, sizes_at == 0] = np.inf
                 own = a.argmin(axis=1)
                 bounds = np.array([np.pi if b is None else np.arccos(np.clip(1.0 - b, -1.0, 1.0)) for b in batch.column("bound").to_pylist()])
                 go = (a - radius <= bounds[:, None] + EPS) & (sizes_at > 0)
                 go[np.arange(len(a)), own] = False
-                row, cell = np.nonzero(go)
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(cell, pa.int32())], ["qid", "qv", "cell"])
+                ends = np.concatenate([[0], np.cumsum(go.sum(axis=1))])
+                cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(go)[1], pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("bound"), cells], WORK_NAMES)
 
         with_bound = asked.join(bound, asked.id == bound.qid, "left").select("id", "v", "bound")
-        with_bound.mapInArrow(left, "qid long, qv array<double>, cell int").write.parquet(f"{root}/work")
-        work = spark.read.schema("qid long, qv array<double>, cell int").parquet(f"{root}/work")
-        self.all_pairs = asked.count() * int(blocks_of.sum())
-        per = work.groupBy("cell").count().collect()
-        self.pairs = int(sum(r["count"] * blocks_of[r.cell] for r in per)) + asked.count()
-        more = _products(work, blocks, k, exclude_self, max_block_queries)
+        with_bound.mapInArrow(left, WORK).write.parquet(f"{root}/work")
+        work = spark.read.schema(WORK).parquet(f"{root}/work")
+        wanted, n_asked = asked_of(work), asked.count()
+        self.all_pairs = n_asked * sum(n_blocks)
+        self.pairs = sum(n * b for n, b in zip(wanted, n_blocks, strict=True)) + n_asked
+        more = _products(work, blocks, n_blocks, wanted, k, exclude_self, max_block_queries)
         self.result = _top(first.select("qid", "vid", "distance").unionByName(more), k)

@@ -25,7 +25,7 @@ def with_embeddings(chunks: DataFrame, vectors: DataFrame, key: str, vec_col: st
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query_id: str = "query_id",
                 vec_id: str = "vec_id", query_vec: str = "embedding", vec_col: str = "embedding",
                 exclude_self: bool = False, max_block_vectors: int = 2048,
-                max_block_queries: int = 256) -> DataFrame:
+                max_block_queries: int = 2048) -> DataFrame:
     """G-2: ``(query_id, rank, vec_id, distance)`` with cosine distance = 1 - cos.
 
     Exact; cells of vectors that can't hold a better one are skipped (see ``metric_topk``).

@@ -155,3 +155,24 @@ def test_search_of_few_hot_or_odd_vectors(spark):
     few = retrieval.cosine_topk(df.select(F.col("vec_id").alias("query_id"), "embedding").where("query_id = 0"), df.where("vec_id > 298"), k=9)
     assert [r.vec_id for r in few.orderBy("rank").collect()] == [299, 300, 302]
     assert retrieval.cosine_topk(df.select(F.col("vec_id").alias("query_id"), "embedding"), df.limit(0), k=3).count() == 0
+
+
+def test_search_sends_no_query_vector_per_cell(spark):
+    """Unclustered vectors: every cell is left for every query, and its vector must not be copied for each (Python and disk)."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(300, 16))
+    m[40:60] = m[40]  # ties that go to the smaller id
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<double>")
+    run = mt.MetricTopK(df, df, 4, exclude_self=True, max_block_vectors=32, max_block_queries=70)
+    got = {}
+    for r in run.result.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.vid, round(r.distance, 6)))
+    assert got == brute(np.arange(300), m, np.arange(300), m, 4)
+    assert run.pairs > run.all_pairs / 2
+    assert "cells array<int>" in mt.WORK
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300))], ["id"])
+    assert max(b.num_rows for b in mt._slices(iter([batch]))) == mt.SLICE_ROWS
+    with pytest.raises(ValueError):
+        mt._matrix(pa.array([[1.0, 2.0], [1.0, 2.0, 3.0], [1.0]]))
+    assert np.allclose(mt._matrix(pa.array([[3.0, 4.0], [0.0, 0.0], [1.0, 2.0]]).slice(0, 2)), [[0.6, 0.8], [0, 0]])
