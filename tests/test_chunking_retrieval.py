@@ -115,3 +115,31 @@ def test_cosine_topk_under_small_partition_coalescing(spark):
             else:
                 spark.conf.set(k, v)
     assert got == 300 * 2
+
+
+def test_chunks_are_handed_back_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(ch, "OUT_CHARS", 3000)
+    texts = ["\n".join(f"line {i} of text {n}" for i in range(200)) for n in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], ["file_id", "text"])
+    made = [("chunk_index", pa.int32()), ("text", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]
+    out = list(ch.cut_texts(iter([batch]), ["file_id"], lambda t: ch.line_chunks(t, 400, 60), made))
+    assert len(out) > 40 and max(sum(map(len, b.column("text").to_pylist())) for b in out) < 3000 + 401
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(n, *c) for n, t in enumerate(texts) for c in ch.line_chunks(t, 400, 60)]
+
+
+def test_chunk_index_writes_a_file_per_bucket(spark, tmp_path):
+    from logweave.sources import sinks
+    rows = spark.range(0, 3000, 1, 12).select(F.concat(F.lit("c"), F.col("id") % 2500).alias("chunk_id"), F.lit("t").alias("text"))
+    index = sinks.ChunkIndex(spark, str(tmp_path / "index"), "chunk_id string, text string", buckets=5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index.upsert(rows.where("chunk_id < 'c2'"), "first")
+        index.upsert(rows, "second")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for ingest in ("first", "second"):
+        assert len(list((tmp_path / "index" / f"ingest={ingest}").glob("bucket=*/*.parquet"))) == 5
+    assert index.read().count() == index.read().select("chunk_id").distinct().count() == 2500
