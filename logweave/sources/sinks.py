@@ -47,7 +47,8 @@ class ChunkIndex:
 
     An upsert reads the ids of the buckets it touches and nothing else, and writes only the chunks that
     are new, under its own ``ingest`` folder (a retry overwrites that folder).  What is in the index is
-    never rewritten.
+    never rewritten.  A bucket's new chunks are written by one task, so an upsert adds ``buckets`` files at
+    most, whatever its size.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "chunk_id", buckets: int = 256):
@@ -67,14 +68,18 @@ class ChunkIndex:
             return self.spark.createDataFrame([], schema)
 
     def upsert(self, new: DataFrame, ingest_id: str) -> DataFrame:
-        """Write the chunks of ``new`` whose id isn't in the index yet (one per id); returns them."""
+        """Write the chunks of ``new`` whose id isn't in the index yet (one per id); returns them.
+
+        ``new`` is read twice, first for its ids alone: give written rows where making them is costly.
+        """
         rows = new.withColumn("bucket", self._bucket())
         touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # ``buckets`` at most
         there = self.read().where(F.col("bucket").isin(touched) & (F.col("ingest") != ingest_id)).select("bucket", self.key)
         rest = [c for c in rows.columns if c not in (self.key, "bucket")]
         once = rows.groupBy("bucket", self.key).agg(F.min(F.struct(*rest)).alias("_r")).select("bucket", self.key, "_r.*")
         path = f"{self.path}/ingest={ingest_id}"
-        once.join(there, ["bucket", self.key], "left_anti").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        fresh = once.join(there, ["bucket", self.key], "left_anti")
+        fresh.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
         return self.spark.read.schema(f"{self.schema}, bucket int").parquet(path)
 
 
