@@ -766,6 +766,7 @@ def _chunk_index(spark, sf_dir):
     """Index of the English documents' chunks, then of all documents': only the rest is written."""
     docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", tx.normalize_text(F.col("text")).alias("text"))
     chunks = ch.chunk_ids(ch.chunk_documents(docs, keep=["source", "lang"])).select("chunk_id", "doc_id", "chunk_index", "text", "lang")
+    chunks = _written(spark, chunks, "index-chunks")  # cut once for both upserts
     index = sinks.ChunkIndex(spark, st.stream_root(spark, "chunk-index"), "chunk_id string, doc_id long, chunk_index int, text string")
     index.upsert(chunks.where("lang = 'en'").drop("lang"), "english")
     index.upsert(chunks.drop("lang"), "all")
@@ -801,9 +802,14 @@ def _uploads(spark, sf_dir):
      .write.partitionBy("upload").text(root))
     back = bl.read_lines(spark, root).withColumn("file_id", F.regexp_extract("path", r"upload=(\d+)", 1).cast("long"))
     blocks = bl.file_blocks(back, block_chars=20_000, overlap=2_000)
-    kept = st.stream_root(spark, "upload-blocks")
-    blocks.write.parquet(kept)
-    return spark.read.schema(blocks.schema).parquet(kept)
+    return _written(spark, blocks, "upload-blocks")
+
+
+def _written(spark, df, name):
+    """``df`` written to a folder of its own and read back."""
+    kept = st.stream_root(spark, name)
+    df.write.parquet(kept)
+    return spark.read.schema(df.schema).parquet(kept)
 
 
 @register("a1_block_sources")
