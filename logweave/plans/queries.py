@@ -992,7 +992,9 @@ def q_a2(spark, sf_dir):
     """A-2 / A-3: documents written as files of one folder (number and text), read back with binaryFile, typed and measured."""
     root = st.stream_root(spark, "documents")
     docs = fx.table(spark, sf_dir, "documents")
-    docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text")).write.option("maxRecordsPerFile", 1).text(root)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a file costs more than its bytes: by number, not by size
+    (docs.repartition(parts, "doc_id").select(F.concat(F.col("doc_id").cast("string"), F.lit("\n"), "text"))
+     .write.options(**fls.COMMIT_IN_TASKS).option("maxRecordsPerFile", 1).text(root))
     back = fls.read_documents(spark, root)
     doc_id = F.substring_index("text", "\n", 1).cast("long")
     # the text writer ends every row with a newline

@@ -14,6 +14,11 @@ from .. import rules
 from ..functions.text import py_strip
 
 
+#: write options by which tasks put their files in place side by side; by default the driver moves
+#: every file at the end, one after the other
+COMMIT_IN_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
 def read_log_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """A-1: ``(file_id, path, size_bytes, modified_at, text)``, whole files as UTF-8, malformed bytes replaced (U+FFFD).
 
