@@ -830,7 +830,8 @@ def q_a7(spark, sf_dir):
     """A-1 / A-7: uploaded files read in blocks, ingested, written under their ingest and day, written again, counted."""
     blocks = _uploads(spark, sf_dir)
     sources = bl.block_sources(blocks)
-    found, chunks = bl.block_findings(blocks, sources), bl.block_chunks(blocks)
+    sources = _written(spark, sources, "upload-sources")  # the retry repeats the writes, not the search
+    found, chunks = _written(spark, bl.block_findings(blocks, sources), "upload-findings"), _written(spark, bl.block_chunks(blocks), "upload-chunks")
     jobs = sources.select(F.col("file_id").alias("id"), F.lit("succeeded").alias("status"), "source",
                           F.lit(datetime.now(UTC).replace(tzinfo=None)).alias("created_at"),
                           (F.col("file_id") + 1).alias("incident_id"), (F.col("file_id") * 10).alias("attachment_id"))
