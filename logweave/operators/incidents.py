@@ -280,7 +280,10 @@ def ai_event(results: DataFrame, key: str = "incident_id", auto: bool = False) -
     detail = F.when(F.size(lines) > 0, F.array_join(lines, "\n"))
     title = "AI Auto-Analysis" if auto else "AI Orchestrator Analysis"
     out = results.select(key, F.lit(title).alias("title"), detail.alias("detail"), F.lit("ai").alias("source"))
-    return out.where(F.col("detail").isNotNull()) if auto else out
+    if not auto:
+        return out
+    # a value of its own: pushed below the projections that make the text, the filter would repeat the whole analysis
+    return out.select(F.inline(F.array(F.struct(*out.columns)))).where(F.col("detail").isNotNull())
 
 
 def auto_analyze_payloads(files: DataFrame, key: str = "file_id", text_col: str = "text",
