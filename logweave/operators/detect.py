@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..rules import ci
+from ..rules import ci, first_tested
 
 
 def _c(c) -> Column:
@@ -24,12 +24,19 @@ def any_pattern(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def any_tested(patterns: list[str]) -> str:
+    """``any_pattern`` with one test of the first character for all alternatives that have a plain one."""
+    parts = [a for p in patterns for a in rules.alternatives(p)]
+    tested = [a for a in parts if first_tested(a) != a]
+    return any_pattern([*([first_tested("|".join(tested))] if tested else []), *[a for a in parts if a not in tested]])
+
+
 def detect_source(text) -> Column:
     """C-1: first parser (fixed order) whose patterns hit the text."""
     sample = _c(text)
     expr = None
     for name, patterns in rules.PARSER_PATTERNS:
-        cond = sample.rlike(ci(any_pattern(patterns)))
+        cond = sample.rlike(ci(any_tested(patterns)))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit("generic"))
 
@@ -39,7 +46,7 @@ def classify_source(text) -> Column:
     sample = _c(text)
     expr = None
     for name, pattern in rules.SOURCE_RULES:
-        cond = sample.rlike(ci(pattern))
+        cond = sample.rlike(ci(first_tested(pattern)))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit("generic"))
 
@@ -47,7 +54,7 @@ def classify_source(text) -> Column:
 def source_rule_counts(text) -> Column:
     """Match count of every source rule (array<int>, rule order)."""
     sample = _c(text)
-    return F.array(*[F.regexp_count(sample, F.lit(ci(p))).cast("int")
+    return F.array(*[F.regexp_count(sample, F.lit(ci(first_tested(p)))).cast("int")
                      for _, p in rules.SOURCE_RULES])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.text import py_strip
-from ..rules import ci
+from ..rules import ci, first_tested
 from .ranking import ranked
 
 #: rows of findings handed back at once
@@ -45,7 +45,7 @@ def _rule_meta(col: Column, field: str) -> Column:
 def rule_hits(text: Column, source: Column, detection_rules: list[rules.DetectionRule] | None = None) -> Column:
     """Numbers of the rules that apply to the source and match the text somewhere."""
     drs = detection_rules or rules.DETECTION_RULES
-    return F.array_compact(F.array(*[F.when(rule_applies(r, source) & text.rlike(ci(r.pattern)), F.lit(r.rule_no))
+    return F.array_compact(F.array(*[F.when(rule_applies(r, source) & text.rlike(ci(first_tested(r.pattern))), F.lit(r.rule_no))
                                      for r in drs]))
 
 

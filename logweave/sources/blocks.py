@@ -12,6 +12,7 @@ A match longer than ``overlap`` characters that crosses a block's edge is the on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -23,6 +24,7 @@ from .. import rules
 from ..functions.text import clean_text
 from ..operators import chunking, detect
 from ..operators.findings import described, search_matches
+from ..session import ensure_checkpoint_dir
 
 BLOCK_CHARS = 4_000_000
 OVERLAP = 8_192
@@ -81,8 +83,8 @@ def block_sources(blocks: DataFrame, key: str = "file_id") -> DataFrame:
     follows = F.col("before") != ""
     shown = blocks.select(key, F.concat(F.when(follows, F.lit(".\n")).otherwise(""), "text", F.left("after", F.lit(256))).alias("raw"),
                           F.concat(F.when(follows, F.lit("\n")).otherwise(""), clean_text(F.col("text"))).alias("clean"))
-    hits = [F.bool_or(F.col("raw").rlike(rules.ci(detect.any_pattern(p)))).alias(f"p{i}") for i, (_, p) in enumerate(rules.PARSER_PATTERNS)]
-    counts = [F.sum(F.regexp_count("clean", F.lit(rules.ci(p)))).alias(f"c{i}") for i, (_, p) in enumerate(rules.SOURCE_RULES)]
+    hits = [F.bool_or(F.col("raw").rlike(rules.ci(detect.any_tested(p)))).alias(f"p{i}") for i, (_, p) in enumerate(rules.PARSER_PATTERNS)]
+    counts = [F.sum(F.regexp_count("clean", F.lit(rules.ci(rules.first_tested(p))))).alias(f"c{i}") for i, (_, p) in enumerate(rules.SOURCE_RULES)]
     per = shown.groupBy(key).agg(*hits, *counts)
     parser = F.lit("generic")
     for i in range(len(rules.PARSER_PATTERNS) - 1, -1, -1):
@@ -93,12 +95,16 @@ def block_sources(blocks: DataFrame, key: str = "file_id") -> DataFrame:
     return out.withColumn("source", detect.resolve_source("parser_source", "classification_source"))
 
 
-def block_findings(blocks: DataFrame, sources: DataFrame, key: str = "file_id") -> DataFrame:
+def block_findings(blocks: DataFrame, sources: DataFrame, key: str = "file_id", path: str | None = None) -> DataFrame:
     """E-7 of whole files: like ``detect_findings`` over the cleaned text of each file.
 
     A block's matches are those that start in it; equal evidence of a rule is folded over the
-    file's blocks, and matches are numbered by the counts of the blocks before.
+    file's blocks, and matches are numbered by the counts of the blocks before.  The matches are
+    written under ``path`` (a folder of the shared checkpoint directory if none is given), so that the
+    counts and the findings take one search.
     """
+    spark = blocks.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/logweave-matches/{uuid.uuid4().hex}"
     parts = blocks.join(sources.select(key, "source"), key).select(
         key, "block", F.col("source").alias("_source"), clean_text(F.col("before")).alias("b"), clean_text(F.col("text")).alias("t"),
         clean_text(F.col("after")).alias("a"))
@@ -106,7 +112,10 @@ def block_findings(blocks: DataFrame, sources: DataFrame, key: str = "file_id")
                          F.concat("b", "t", "a").alias("_text"))
     found = search_matches(parts, [key, "block", "_source", "_from", "_to"], "_text", "_source", distinct=False)
     # what starts on the line break behind a block's text is the block's own
-    own = found.where((F.col("start") >= F.col("_from")) & (F.col("start") <= F.col("_to")))
+    own = found.where((F.col("start") >= F.col("_from")) & (F.col("start") <= F.col("_to"))).select(
+        key, "block", "_source", "rule_no", "match_no", "evidence")
+    own.write.parquet(path)
+    own = spark.read.schema(own.schema).parquet(path)
     counts = own.groupBy(key, "rule_no", "block").agg(F.count(F.lit(1)).alias("n"), F.min("match_no").alias("first"))
     before = Window.partitionBy(key, "rule_no").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
     counts = counts.select(key, "rule_no", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -30,3 +30,35 @@ def test_auto_event_analyses_once(spark, files_df):
 def test_auto_event_skips_rows_with_nothing_to_say(spark):
     results = spark.createDataFrame([(1, "s", []), (2, None, []), (3, "", ["r"]), (4, "", [])], "incident_id long, summary string, recommendations array<string>")
     assert sorted(r.incident_id for r in incidents.ai_event(results, auto=True).collect()) == [1, 3]
+
+
+def test_blocks_are_searched_once(spark):
+    lines = spark.range(200).selectExpr("id div 100 as file_id", "cast(id % 100 as int) as line_no", "(id % 100) * 31 as start",
+                                        "rpad(if(id % 3 = 0, 'connection refused', 'nothing'), 30, 'x') as line")
+    blocks = bl.file_blocks(lines, block_chars=1000, overlap=500)
+    found = bl.block_findings(blocks, bl.block_sources(blocks))
+    assert plan(found).count("MapInArrow") <= 1
+    whole = pipeline.pipeline_findings(lines.groupBy("file_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")))
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.select(*found.columns).collect())) and found.count() > 5
+
+
+def test_first_character_test_keeps_every_match(spark):
+    patterns = [r.pattern for r in rules.DETECTION_RULES] + [p for _, p in rules.SOURCE_RULES]
+    assert sum(rules.first_tested(p) != p for p in patterns) == len(patterns)
+    for p in ("a?b|c", "(x|y)z", "^a|b", "a*|b", "a{0}b", "[ab]c", r"\bx", "", ".a"):
+        assert rules.first_tested(p) == p
+    assert rules.alternatives(r"a\|b|[|(]c|(d|e)f") == [r"a\|b", "[|(]c", "(d|e)f"]
+    rng = random.Random(3)
+    words = [w for p in patterns for w in re.split(r"[|()]", re.sub(r"\\d\+?|\\d\{\d,?\}", "77", p).replace("\\", ""))] + ["\t", "\n", " ", "É", "ſ", "K", "500 ", '" ']
+    texts = ["".join(rng.choice([str.upper, str.lower, str])(rng.choice(words)) for _ in range(30)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    cols = []
+    for i, p in enumerate(patterns):
+        cols += [F.count_if(F.regexp_count("t", F.lit(rules.ci(p))) != F.regexp_count("t", F.lit(rules.ci(rules.first_tested(p))))).alias(f"a{i}"),
+                 F.count_if(F.col("t").rlike(rules.ci(p))).alias(f"n{i}")]
+    for i, (_, ps) in enumerate(rules.PARSER_PATTERNS):
+        cols.append(F.count_if(F.col("t").rlike(rules.ci(detect.any_pattern(ps))) != F.col("t").rlike(rules.ci(detect.any_tested(ps)))).alias(f"a_{i}"))
+    r = df.agg(*cols).first().asDict()
+    assert all(v == 0 for k, v in r.items() if k[0] == "a")
+    assert sum(v > 0 for k, v in r.items() if k[0] == "n") > 20
