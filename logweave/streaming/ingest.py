@@ -78,6 +78,14 @@ def newest_lines(rows: DataFrame) -> DataFrame:
             .select("file_id", "line_no", "line", "bucket", "batch_id"))
 
 
+def newest_files(rows: DataFrame) -> DataFrame:
+    """Texts of files from all versions of their lines: ``assemble_files`` of ``newest_lines``, in one shuffle."""
+    versions = F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), F.col("batch_id").alias("b"), F.col("line").alias("l"))))
+    last = F.filter("_v", lambda v, i: ~v["n"].eqNullSafe(F.get("_v", i + 1)["n"]) | (i == F.size("_v") - 1))
+    lines = F.transform(last, lambda v: v["l"])
+    return rows.groupBy("file_id").agg(versions.alias("_v")).select("file_id", F.array_join(lines, "\n").alias("text"))
+
+
 @dataclass
 class IngestTables:
     """What S-1 has written: every file's outputs as of the last batch that touched it."""
@@ -98,7 +106,6 @@ def stream_ingest(spark: SparkSession, lines: DataFrame, name: str = "ingest", f
     source, the offsets of its whole text and no doubled finding: the tables equal ``run_pipeline`` over all lines.
     """
     from ..plans.pipeline import run_pipeline
-    from ..sources.files import assemble_files
     root = stream_root(spark, name)
     sample = run_pipeline_schemas(spark, lines)
     line_table = BatchTable(spark, f"{root}/lines", LINE_SCHEMA, newest_lines, fold_every, buckets="bucket")
@@ -113,12 +120,11 @@ def stream_ingest(spark: SparkSession, lines: DataFrame, name: str = "ingest", f
     def write(batch: DataFrame, batch_id: int) -> None:
         bucket = F.pmod(F.xxhash64("file_id"), F.lit(LINE_BUCKETS)).cast("int")
         line_table.add(batch.select("file_id", F.col("line_no").cast("int").alias("line_no"), "line", bucket.alias("bucket")), batch_id)
-        touched = batch.select("file_id", bucket.alias("bucket")).distinct()
+        touched = line_table.batch(batch_id).select("file_id", "bucket").distinct()  # as written, not rendered again
         numbers = [r.bucket for r in touched.select("bucket").distinct().collect()]  # LINE_BUCKETS at most
-        so_far = newest_lines(line_table.rows(batch_id).where(F.col("bucket").isin(numbers)).join(
-            touched.select("file_id"), "file_id", "left_semi"))
+        so_far = line_table.rows(batch_id).where(F.col("bucket").isin(numbers)).join(touched.select("file_id"), "file_id", "left_semi")
         scratch = f"{root}/prepared/{batch_id}"
-        done = run_pipeline(assemble_files(so_far), path=scratch)
+        done = run_pipeline(newest_files(so_far), path=scratch)
         for n, table in tables.items():
             table.add(getattr(done, n), batch_id)
         delete_folder(spark, scratch)

@@ -54,6 +54,10 @@ class BatchTable:
         """Write a batch's rows (again: the same folder)."""
         self._write(rows.withColumn("batch_id", F.lit(batch_id).cast("long")), f"{self.path}/batch/{batch_id:010d}")
 
+    def batch(self, batch_id: int) -> DataFrame:
+        """One batch's rows as they were written."""
+        return self.spark.read.schema(f"{self.schema}, batch_id long").parquet(f"{self.path}/batch/{batch_id:010d}")
+
     def parts(self, upto: int | None = None) -> list[str]:
         """Folders that together hold every batch up to ``upto``: the last fold and the batches behind it."""
         done = [f for f in folders(self.spark, f"{self.path}/fold") if upto is None or int(f) < upto]

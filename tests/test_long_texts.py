@@ -62,3 +62,13 @@ def test_first_character_test_keeps_every_match(spark):
     r = df.agg(*cols).first().asDict()
     assert all(v == 0 for k, v in r.items() if k[0] == "a")
     assert sum(v > 0 for k, v in r.items() if k[0] == "n") > 20
+
+
+def test_newest_files_in_one_shuffle(spark):
+    rows = [(1, 0, "a", 0), (1, 0, "b", 2), (1, 0, "c", 1), (1, 1, None, 3), (1, 1, "gone", 2), (1, 2, "z", 0), (1, 2, "z", 0),
+            (1, None, "n", 0), (1, None, "m", 1), (2, 5, "only", 4), (None, 1, "x", 1), (None, 1, "y", 2), (3, 0, None, 0)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "file_id long, line_no int, line string, batch_id long, bucket int").repartition(3)
+    got = st.newest_files(df)
+    want = assemble_files(st.newest_lines(df)).select("file_id", "text")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert plan(got).count("Aggregate") == 1
