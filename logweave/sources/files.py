@@ -7,6 +7,11 @@ over files).  Line tables are turned into file texts with
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +93,43 @@ def read_documents(spark: SparkSession, path: str, content_type: str | None = No
     )
 
 
+def local_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a folder in the file system of this machine's paths (``file:``), else null; the folder is made."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm_path)
+    return jvm_path.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def write_documents(texts: DataFrame, path: str) -> None:
+    """A text file per row of the one column ``texts`` has, ended by a newline, all in one folder that executors share.
+
+    Hadoop's local file system starts two processes (``chmod``) for a file, so files of a local path are
+    written by Python.  A task's rows have a fixed order, so an attempt that runs again replaces its files by the same.
+    """
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if texts.rdd.getNumPartitions() < min(parts, spark.sparkContext.defaultParallelism):
+        texts = texts.repartition(parts, *texts.columns)  # a file costs more than its bytes: by number, not by size
+    folder = local_folder(spark, path)
+    if folder is None:
+        texts.write.mode("append").options(**COMMIT_IN_TASKS).option("maxRecordsPerFile", 1).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, attempt, n = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.large_binary()):
+                own = f"{folder}/_{part}-{attempt}"
+                with open(own, "wb") as f:
+                    f.write((text.as_py() or b"") + b"\n")
+                os.replace(own, f"{folder}/part-{part:05d}-{n:08d}.txt")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    texts.sortWithinPartitions(*texts.columns).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def document_source(path_col, filename_col, metadata_source_col) -> F.Column:
     """A-2: source label = path | filename | metadata.source | "in-memory"."""
     return F.coalesce(path_col, filename_col, metadata_source_col, F.lit("in-memory"))
