@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators import metric_topk as mt
 from logweave.operators import retrieval
+from logweave.plans.queries import QUERIES
 
 
 def unit(m):
@@ -87,3 +88,10 @@ def test_nothing_is_shuffled_for_a_pair(spark, tmp_path, monkeypatch):
     root, = (tmp_path / "logweave-topk").iterdir()
     work, blocks = spark.read.schema(mt.WORK).parquet(f"{root}/work"), spark.read.schema(mt.BLOCK).parquet(f"{root}/blocks")
     assert work.agg(F.sum(F.length("qs"))).first()[0] == blocks.agg(F.sum(F.length("vs"))).first()[0] == m.nbytes
+
+
+@pytest.mark.parametrize("name", ["j8_docs_agent"])
+def test_queries_shuffle_only_what_was_found(spark, name):
+    """The search below a query hands on its best; vectors are neither exploded nor grouped by pairs of blocks."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInPandas" not in plan and "explode(sequence" not in plan
