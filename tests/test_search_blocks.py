@@ -90,7 +90,7 @@ def test_nothing_is_shuffled_for_a_pair(spark, tmp_path, monkeypatch):
     assert work.agg(F.sum(F.length("qs"))).first()[0] == blocks.agg(F.sum(F.length("vs"))).first()[0] == m.nbytes
 
 
-@pytest.mark.parametrize("name", ["j8_docs_agent", "k6_docs_recall"])
+@pytest.mark.parametrize("name", ["j8_docs_agent", "k6_docs_recall", "g2_cosine_topk", "g3_format_context"])
 def test_queries_shuffle_only_what_was_found(spark, name):
     """The search below a query hands on its best; vectors are neither exploded nor grouped by pairs of blocks."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
